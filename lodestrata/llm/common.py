@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,3 +48,21 @@ def ascii_lower(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """The fold that no model learns from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed table in the same folder: for wide rows, and to read single columns."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+#: Rows of a few numbers that may be broadcast, some tens of megabytes.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast where its counted rows are within the bound, else as it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
