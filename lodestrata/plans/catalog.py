@@ -1,6 +1,1035 @@
-"""Named queries of the reference operators and their DuckDB SQL."""
+"""Named queries of the reference operators on the driver's tables, each with its DuckDB SQL.
+
+The tables hold no code, so each query feeds its operator from a bridge view (``bridges``). Queries
+without SQL are tested against brute force in ``tests``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.functions import ids, text
+from lodestrata.operators import aggregates, embeddings, graph, overlay, queue, ranges, review, search, snapshot
+from lodestrata.plans.bridges import CAL, JOBS, RAW, SYM, calls, jobs, raw_calls, symbols, table
+from lodestrata.sources import diffs, reports, syntax
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+A, Z = text.UPPER, text.LOWER
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- lexical search ---------------------------------------------------------------------------
+
+_LEX = f"""WITH {SYM}, scored AS (
+  SELECT ordinal, name, fqn, file_path, (translate(fqn, '{A}', '{Z}') = q OR translate(name, '{A}', '{Z}') = q) AS exact,
+    len(list_filter(regexp_extract_all(q, '[a-z0-9_]+'), lambda t: contains(translate(fqn, '{A}', '{Z}'), t)
+      OR contains(translate(name, '{A}', '{Z}'), t) OR contains(translate(file_path, '{A}', '{Z}'), t)))::INTEGER AS lexical_hits
+  FROM sym, (SELECT translate('{{q}}', '{A}', '{Z}') AS q))
+SELECT ordinal, name, fqn, file_path, exact, lexical_hits, (exact::INT * 100 + lexical_hits * 10)::BIGINT AS score
+FROM scored WHERE exact OR lexical_hits > 0 ORDER BY score DESC, file_path, fqn, ordinal LIMIT {{n}}"""
+_LEX_COLUMNS = ["ordinal", "name", "fqn", "file_path", "exact", "lexical_hits", "score"]
+
+
+@query(_LEX.format(q="Red bolt RED economy", n=25))
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top(symbols(spark, sf_dir), "Red bolt RED economy", 25).select(*_LEX_COLUMNS)
+
+
+@query(_LEX.format(q="blue bolt", n=40))
+def lexical_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top(symbols(spark, sf_dir), " Blue Bolt ", 40).select(*_LEX_COLUMNS)
+
+
+_BM25 = """WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, '{A}', '{Z}'), '[a-z0-9]+') AS w FROM documents),
+terms AS (SELECT unnest(['the', 'worthless', 'thing', 'le']) AS t),
+c AS (SELECT doc_id, len(w) AS len, t, len(list_filter(w, lambda x: x = t)) AS tf FROM w, terms),
+tot AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(len(w)) FROM w) AS avg),
+df AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM c GROUP BY t)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score
+FROM c JOIN df USING (t), tot GROUP BY doc_id HAVING max(tf) > 0 ORDER BY score DESC, doc_id LIMIT 20""".replace("{A}", A).replace("{Z}", Z)
+
+
+@query(_BM25)
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25_top(table(spark, sf_dir, "documents"), "the worthless thing le the", 20)
+
+
+# --- identity ---------------------------------------------------------------------------------
+
+
+def _sha(prefix: str, *parts: str, hashed: bool = True) -> str:
+    pieces = [f"'{prefix}'", *parts] if hashed else list(parts)
+    body = " || ".join(f"strlen({p})::VARCHAR || ':' || {p} || ';'" for p in pieces)
+    return f"'{prefix}:' || sha256({body})"
+
+
+@query(
+    f"""WITH {SYM} SELECT ordinal, {_sha('sym', 'repo_id', 'file_path', 'fqn')} AS stable_id,
+  {_sha('symv', 'repo_id', 'commit_sha', 'file_path', 'fqn', 'sha256(name)')} AS versioned_id,
+  {_sha('ent', 'repo_id', 'file_path', 'kind', 'name')} AS entity_id,
+  {_sha('entv', 'repo_id', 'commit_sha', 'file_path', 'kind', 'name', 'sha256(name)')} AS entity_version_id,
+  {_sha('gn', "'repo'", "'c0'", "'file'", 'file_path', hashed=False)} AS file_node_id,
+  {_sha('gn', "'symbol'", "'versioned'", "'symbol'", 'versioned_symbol_id', hashed=False)} AS symbol_node_id FROM sym"""
+)
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    content = F.sha2(c("name").cast("binary"), 256)
+    return symbols(spark, sf_dir).select(
+        "ordinal",
+        ids.stable_symbol(c("repo_id"), c("file_path"), c("fqn")).alias("stable_id"),
+        ids.versioned_symbol(c("repo_id"), c("commit_sha"), c("file_path"), c("fqn"), content).alias("versioned_id"),
+        ids.stable_entity(c("repo_id"), c("file_path"), c("kind"), c("name")).alias("entity_id"),
+        ids.versioned_entity(c("repo_id"), c("commit_sha"), c("file_path"), c("kind"), c("name"), content).alias("entity_version_id"),
+        ids.file_node(c("repo_id"), c("commit_sha"), c("file_path")).alias("file_node_id"),
+        ids.symbol_node(c("versioned_symbol_id")).alias("symbol_node_id"),
+    )
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+  {_sha('fo', "'repo'", 'l_orderkey::VARCHAR', "'head'", 'l_partkey::VARCHAR', "'modified'", hashed=False)} AS overlay_id,
+  {_sha('covseg', "'repo'", "'c0'", 'l_orderkey::VARCHAR', "'é'", "'lcov'", 'l_partkey::VARCHAR', 'l_linenumber::VARCHAR', "'9'", hashed=False)} AS segment_id,
+  {_sha('tres', _sha('trun', "'repo'", "'c0'", 'l_orderkey::VARCHAR', "'a.xml'", "'junit'", hashed=False), "'s'", 'l_suppkey::VARCHAR', hashed=False)} AS result_id,
+  {_sha('search_outbox', "'i'", "'symbol'", 'l_partkey::VARCHAR', "'upsert'", 'l_suppkey::VARCHAR', hashed=False)} AS outbox_id,
+  'emb:' || sha256('p' || chr(0) || 'm' || chr(0) || sha256(l_partkey::VARCHAR) || chr(0) || '64') AS embedding_id
+FROM lineitem WHERE l_orderkey % 20 = 1"""
+)
+def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 1")
+    order, part, supp = (F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey"))
+    lit = F.lit
+    run = ids.test_run(lit("repo"), lit("c0"), order, lit("a.xml"), lit("junit"))
+    return rows.select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        "l_extendedprice",
+        ids.overlay_row(lit("repo"), order, lit("head"), part, lit("modified")).alias("overlay_id"),
+        ids.coverage_segment(lit("repo"), lit("c0"), order, lit("é"), lit("lcov"), part, F.col("l_linenumber"), lit(9)).alias("segment_id"),
+        ids.test_result(run, lit("s"), supp).alias("result_id"),
+        ids.outbox(lit("i"), lit("symbol"), part, lit("upsert"), supp).alias("outbox_id"),
+        ids.embedding_key(lit("p"), lit("m"), part, lit(64)).alias("embedding_id"),
+    )
+
+
+# --- paths, flags, scalar functions -----------------------------------------------------------
+
+_EXT = "CASE doc_id % 6 WHEN 0 THEN 'rs' WHEN 1 THEN 'tsx' WHEN 2 THEN 'py' WHEN 3 THEN 'go' WHEN 4 THEN 'md' ELSE 'mjs' END"
+_DOC_PATH = f"concat(source, '/', lang, '/', doc_id, '.', {_EXT})"
+_LANGUAGE = "CASE doc_id % 6 WHEN 0 THEN 'rust' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' WHEN 3 THEN 'go' WHEN 4 THEN 'unknown' ELSE 'javascript' END"
+
+
+@query(
+    f"""SELECT doc_id, {_DOC_PATH} AS file_path, {_LANGUAGE} AS language, strlen(text)::BIGINT AS size_bytes, sha256(text) AS content_sha256,
+  {_sha('fm', "'repo'", "'c0'", "'g0'", _DOC_PATH, 'sha256(text)', hashed=False)} AS manifest_id,
+  (NOT contains(text, chr(0))) AS is_text, {_LANGUAGE} <> 'unknown' AS indexable FROM documents"""
+)
+def document_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").withColumn("file_path", F.expr(_DOC_PATH)).withColumn("language", text.language(F.col("file_path")))
+    body = F.col("text").cast("binary")
+    rows = rows.withColumn("content_sha256", F.sha2(body, 256))
+    return rows.select(
+        "doc_id",
+        "file_path",
+        "language",
+        F.octet_length("text").cast("long").alias("size_bytes"),
+        "content_sha256",
+        ids.file_manifest(F.lit("repo"), F.lit("c0"), F.lit("g0"), F.col("file_path"), F.col("content_sha256")).alias("manifest_id"),
+        (F.position(F.lit(b"\x00"), body) == 0).alias("is_text"),
+        text.is_indexable(F.col("file_path"), F.col("language")).alias("indexable"),
+    )
+
+
+_PATHS = """SELECT page_id, CASE page_id % 16 WHEN 0 THEN 'Vendor/' || page_id || '.go' WHEN 1 THEN 'src/vendor/a.go' WHEN 2 THEN 'a/vendor' WHEN 3 THEN 'third_party'
+  WHEN 4 THEN 'src/Generated/x.rs' WHEN 5 THEN 'gen/y.pb.go' WHEN 6 THEN 'api.generated.ts' WHEN 7 THEN 'Tests/a.py' WHEN 8 THEN 'src/b_test.go' WHEN 9 THEN 'web/c.spec.ts'
+  WHEN 10 THEN 'target/debug/x' WHEN 11 THEN '.git' WHEN 12 THEN 'docs/a.md' WHEN 13 THEN 'node_modules/x/index.js' WHEN 14 THEN 'targets/x' ELSE regexp_replace(url, '^[a-z]+://[^/]*/', '') END AS path FROM pages"""
+
+
+def _duck_or(*tests: str) -> str:
+    return "(" + " OR ".join(tests) + ")"
+
+
+_low = f"translate(path, '{A}', '{Z}')"
+_vendor_sql = _duck_or(*(t for d in text.VENDOR_TREES for t in (f"{_low} = '{d}'", f"starts_with({_low}, '{d}/')", f"contains({_low}, '/{d}/')")))
+
+
+@query(
+    f"""WITH p AS ({_PATHS}) SELECT page_id, path, {_vendor_sql} AS is_vendor,
+  {_duck_or(*(t for d in text.GENERATED_FOLDERS for t in (f"contains({_low}, '/{d}')", f"starts_with({_low}, '{d}')")), f"contains({_low}, '.generated.')", f"ends_with({_low}, '.pb.go')")} AS is_generated,
+  {_duck_or(f"starts_with({_low}, 'tests/')", f"contains({_low}, '/tests/')", *(f"contains({_low}, '{x}')" for x in text.TEST_PARTS))} AS is_test,
+  {_duck_or(_vendor_sql, *(t for d in text.IGNORED_ROOTS for t in (f"path = '{d}'", f"starts_with(path, '{d}/')")))} AS is_ignored FROM p"""
+)
+def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "pages").createOrReplaceTempView("bridge_pages")
+    rows = spark.sql(_PATHS.replace("FROM pages", "FROM bridge_pages"))
+    path = F.col("path")
+    return rows.select("page_id", "path", text.is_vendor(path).alias("is_vendor"), text.is_generated(path).alias("is_generated"), text.is_test(path).alias("is_test"), text.is_ignored(path).alias("is_ignored"))
+
+
+_ARCH = """SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'CODEOWNERS' WHEN 1 THEN 'docs/CODEOWNERS' WHEN 2 THEN 'openapi.yaml' WHEN 3 THEN 'api/pet.OpenAPI.yml' WHEN 4 THEN 'schema.graphql'
+  WHEN 5 THEN 'a/b.graphql' WHEN 6 THEN concat('migrations/', page_id, '.sql') WHEN 7 THEN 'docs/adr/1.md' WHEN 8 THEN 'x/adr/2.md' WHEN 9 THEN 'docs/readme.md' WHEN 10 THEN 'swagger.json' ELSE 'src/a.rs' END AS path, html FROM pages"""
+
+
+@query(
+    f"""WITH p AS ({_ARCH}), k AS (SELECT page_id, path, html, CASE page_id % 12 WHEN 0 THEN 'codeowners' WHEN 2 THEN 'openapi' WHEN 3 THEN 'openapi' WHEN 4 THEN 'graphql' WHEN 5 THEN 'graphql'
+    WHEN 6 THEN 'db_migration' WHEN 7 THEN 'adr' WHEN 8 THEN 'adr' WHEN 9 THEN 'documentation' WHEN 10 THEN 'openapi' END AS kind FROM p)
+SELECT page_id, kind, regexp_extract(path, '([^/]*)$', 1) AS name, 1::INTEGER AS start_line,
+  greatest(1, len(string_split(regexp_replace(html, '\\n$', ''), chr(10))))::INTEGER AS end_line FROM k WHERE kind IS NOT NULL"""
+)
+def architecture_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "pages").createOrReplaceTempView("bridge_pages")
+    rows = spark.sql(_ARCH.replace("FROM pages", "FROM bridge_pages")).withColumn("kind", text.architecture_kind(F.col("path"))).where("kind IS NOT NULL")
+    return rows.select("page_id", "kind", text.basename(F.col("path")).alias("name"), F.lit(1).alias("start_line"), text.line_count(F.col("html")).alias("end_line"))
+
+
+@query(
+    """SELECT l_returnflag, tier, count(*)::BIGINT AS n FROM (SELECT l_returnflag, CASE WHEN c >= 0.95 THEN 'exact' WHEN c >= 0.80 THEN 'high' WHEN c >= 0.50 THEN 'medium' ELSE 'low' END AS tier
+  FROM (SELECT l_returnflag, round(l_discount * 10, 3) AS c FROM lineitem)) GROUP BY ALL"""
+)
+def confidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", text.confidence_tier(F.round(F.col("l_discount") * 10, 3)).alias("tier"))
+    return rows.groupBy("l_returnflag", "tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KINDS = "CASE event_id % 9 WHEN 0 THEN 'repository_code' WHEN 1 THEN 'repository_comment' WHEN 2 THEN 'pull_request_description' WHEN 3 THEN 'pull_request_comment' WHEN 4 THEN 'documentation' WHEN 5 THEN 'ci_artifact' WHEN 6 THEN 'runtime_trace' WHEN 7 THEN 'user_instruction' ELSE 'system_instruction' END"
+
+
+@query(f"SELECT kind, CASE WHEN min(event_id % 9) >= 5 THEN 'trusted' ELSE 'untrusted' END AS trust, count(*)::BIGINT AS n FROM (SELECT {_KINDS} AS kind, event_id FROM events) GROUP BY kind")
+def trust_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.expr(_KINDS).alias("kind"))
+    return rows.select("kind", text.trust_level(F.col("kind")).alias("trust")).groupBy("kind", "trust").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT c_custkey, n_nationkey, (hay <> '' AND needle <> '' AND contains(hay, needle)) AS hit, needle FROM (
+  SELECT c_custkey, n_nationkey, lower(regexp_replace(c_name || '-Nation.' || c_nationkey || '_x', '[^A-Za-z0-9]', '', 'g')) AS hay, lower(regexp_replace(CASE WHEN n_nationkey % 5 = 4 THEN '--' ELSE n_name END, '[^A-Za-z0-9]', '', 'g')) AS needle
+  FROM customer JOIN nation ON n_nationkey % 5 = c_custkey % 5)"""
+)
+def normalized_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat(c_name, '-Nation.', c_nationkey, '_x') AS hay", "c_custkey % 5 AS k")
+    right = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "CASE WHEN n_nationkey % 5 = 4 THEN '--' ELSE n_name END AS raw", "n_nationkey % 5 AS k")
+    return left.join(right, "k").select("c_custkey", "n_nationkey", text.normalized_contains(F.col("hay"), F.col("raw")).alias("hit"), text.normalized(F.col("raw")).alias("needle"))
+
+
+_SECONDS = "CASE event_id % 6 WHEN 0 THEN CAST(value AS STRING) WHEN 1 THEN concat('-', CAST(CAST(value AS BIGINT) AS STRING), '.25') WHEN 2 THEN '-0.5' WHEN 3 THEN '1e-3' WHEN 4 THEN CAST(event_id AS STRING) ELSE concat(CAST(event_id AS STRING), '.1239') END"
+
+
+@query(
+    f"""WITH s AS (SELECT event_id, {_SECONDS.replace('STRING', 'VARCHAR')} AS t FROM events),
+p AS (SELECT event_id, t, split_part(t, '.', 1) AS w, rpad(left(CASE WHEN contains(t, '.') THEN substr(t, strpos(t, '.') + 1) ELSE '' END, 3), 3, '0') AS f FROM s),
+n AS (SELECT event_id, t, CASE WHEN regexp_full_match(w, '[+-]?[0-9]+') THEN TRY_CAST(w AS BIGINT) END AS w, CASE WHEN regexp_full_match(f, '[0-9]{{3}}') THEN TRY_CAST(f AS BIGINT) END AS f FROM p)
+SELECT event_id, t AS seconds, w * 1000 + CASE WHEN w < 0 THEN -f ELSE f END AS millis FROM n WHERE event_id % 6 <> 0"""
+)
+def millis_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where("event_id % 6 <> 0").select("event_id", F.expr(_SECONDS).alias("seconds"))
+    return rows.withColumn("millis", text.seconds_to_millis(F.col("seconds")))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 < 4 THEN '[redacted]' ELSE v END AS shown FROM (SELECT event_id, props AS v FROM events)""")
+def config_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("key", F.expr("CASE event_id % 5 WHEN 0 THEN 'db_Password' WHEN 1 THEN 'MY_SECRET_X' WHEN 2 THEN 'token' WHEN 3 THEN 'a_key' ELSE 'keyring' END"))
+    return rows.select("event_id", text.redact_config(F.col("key"), F.col("props")).alias("shown"))
+
+
+@query("SELECT c_custkey, lower(regexp_replace(c_name || ' é/' || c_mktsegment, '[^A-Za-z0-9]', '-', 'g')) AS slug FROM customer")
+def token_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.token_slug(F.concat("c_name", F.lit(" é/"), "c_mktsegment")).alias("slug"))
+
+
+_SECRET_SQL = "(k = 'authorization' OR " + " OR ".join(f"contains(k, '{p}')" for p in text.SECRET_KEY_PARTS) + ")"
+_REDACT = f"""WITH RECURSIVE lines AS (SELECT event_id, '{{head}}' || props || '{{tail}}' AS t FROM events WHERE event_id % 4 = 1),
+tok AS (SELECT event_id, unnest(string_split(t, ' ')) AS x, generate_subscripts(string_split(t, ' '), 1) AS i FROM lines),
+part AS (SELECT event_id, i, x, regexp_extract(x, '^([^=:]+)[=:]', 1) AS key, regexp_replace(translate(regexp_extract(x, '^([^=:]+)[=:]', 1), '{A}', '{Z}'), '[^a-z0-9_-]', '', 'g') AS k FROM tok),
+info AS (SELECT event_id, i, x, key, key <> '' AND {_SECRET_SQL} AS secret, substr(x, len(key) + 2) AS value,
+  translate(trim(x, '"''`,.;)([]{{{{}}}}'), '{A}', '{Z}') AS low FROM part),
+walk AS (SELECT event_id, 0::BIGINT AS i, 0 AS pending, '' AS out FROM lines
+  UNION ALL SELECT w.event_id, n.i,
+    CASE WHEN n.x = '' THEN w.pending WHEN w.pending > 0 THEN w.pending - 1 WHEN n.secret AND n.value = '' THEN 2 ELSE 0 END,
+    w.out || CASE WHEN n.i > 1 THEN ' ' ELSE '' END || CASE WHEN n.x = '' THEN '' WHEN w.pending > 0 THEN '[redacted]' WHEN n.secret AND n.value = '' THEN left(n.x, len(n.key) + 1)
+      WHEN n.secret THEN left(n.x, len(n.key) + 1) || '[redacted]'
+      WHEN starts_with(n.low, 'ghp_') OR starts_with(n.low, 'github_pat_') OR starts_with(n.low, 'glpat-') OR starts_with(n.low, 'glpat_') OR (starts_with(n.low, 'sk-') AND strlen(n.low) >= 12) THEN '[redacted]' ELSE n.x END
+  FROM walk w JOIN info n ON n.event_id = w.event_id AND n.i = w.i + 1)
+SELECT event_id, arg_max(out, i) AS shown FROM walk GROUP BY event_id"""
+_HEAD, _TAIL = 'say password=x1 token: a b c Authorization:Bearer api-key=', ' (ghp_abc) sk-short sk-longenough12, =lone token = "q"'
+
+
+@query(_REDACT.format(head=_HEAD, tail=_TAIL))
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where("event_id % 4 = 1")
+    return rows.select("event_id", text.redact(F.concat(F.lit(_HEAD), "props", F.lit(_TAIL))).alias("shown"))
+
+
+@query(
+    """SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE contains(text, 'token = "'))::BIGINT AS with_spaced_token FROM documents"""
+)
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents; a spaced ``token = "x"`` has an empty key after its name and stays as it is."""
+    rows = table(spark, sf_dir, "documents").select(text.redact(F.col("text")).alias("shown"))
+    return rows.agg(F.count("shown").alias("n"), F.count_if(F.contains("shown", F.lit('token = "'))).alias("with_spaced_token"))
+
+
+# --- ranges -----------------------------------------------------------------------------------
+
+_INNER = f"""WITH {SYM}, lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand AS file_path, CAST(l_quantity AS INT) AS line, l_extendedprice
+  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 5 = 2)
+SELECT ordinal_in_diff, file_path, line, versioned_symbol_id FROM (
+  SELECT l.ordinal_in_diff, l.file_path, l.line, s.versioned_symbol_id, row_number() OVER (PARTITION BY l.ordinal_in_diff ORDER BY s.end_line - s.start_line, greatest(s.end_col - s.start_col, 0), s.ordinal) AS rn
+  FROM (SELECT *, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey * 10 + l_suppkey % 10 AS ordinal_in_diff FROM lines) l JOIN sym s ON s.file_path = l.file_path AND l.line BETWEEN s.start_line AND s.end_line)
+WHERE rn = 1"""
+
+
+@query(_INNER)
+def innermost_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", "p_brand AS file_path")
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 2").join(part, "l_partkey")
+    lines = lines.selectExpr("l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey * 10 + l_suppkey % 10 AS ordinal_in_diff", "file_path", "CAST(l_quantity AS INT) AS line").distinct()
+    return ranges.changed_symbols(lines, symbols(spark, sf_dir), ["versioned_symbol_id"]).select("ordinal_in_diff", "file_path", "line", "versioned_symbol_id")
+
+
+_SEGMENTS = "SELECT s_suppkey, concat('Brand#', s_suppkey % 25 + 1) AS file_path, CAST(s_suppkey % 40 AS INT) AS segment_start, CAST(s_suppkey % 40 + s_nationkey % 6 AS INT) AS segment_end FROM supplier"
+
+
+@query(f"WITH {SYM}, seg AS ({_SEGMENTS}) SELECT versioned_symbol_id, s_suppkey, sym.file_path, segment_start, segment_end FROM sym JOIN seg ON sym.file_path = seg.file_path AND segment_end >= start_line AND segment_start <= end_line")
+def coverage_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("bridge_supplier")
+    segments = spark.sql(_SEGMENTS.replace("FROM supplier", "FROM bridge_supplier"))
+    return ranges.overlaps(segments, symbols(spark, sf_dir)).select("versioned_symbol_id", "s_suppkey", "file_path", "segment_start", "segment_end")
+
+
+# --- graph ------------------------------------------------------------------------------------
+
+_RESOLVE = f"""WITH {SYM}, {RAW}, src AS (SELECT call_id, file_path, target_name, source_symbol_id FROM (
+  SELECT r.call_id, r.file_path, r.target_name, s.versioned_symbol_id AS source_symbol_id, row_number() OVER (PARTITION BY call_id ORDER BY s.end_line - s.start_line, greatest(s.end_col - s.start_col, 0), s.ordinal) AS rn
+  FROM raw r JOIN sym s ON s.file_path = r.file_path AND r.line BETWEEN s.start_line AND s.end_line) WHERE rn = 1)
+SELECT call_id, source_symbol_id, target_symbol_id FROM (
+  SELECT src.call_id, source_symbol_id, t.versioned_symbol_id AS target_symbol_id, row_number() OVER (PARTITION BY src.call_id ORDER BY t.file_path <> src.file_path, t.file_path, t.fqn, t.ordinal) AS rn
+  FROM src JOIN sym t ON t.name = src.target_name AND t.versioned_symbol_id <> source_symbol_id) WHERE rn = 1"""
+
+
+@query(_RESOLVE)
+def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.resolve_calls(raw_calls(spark, sf_dir), symbols(spark, sf_dir)).select("call_id", "source_symbol_id", "target_symbol_id")
+
+
+def _node(symbol: str) -> str:
+    return _sha("gn", "'symbol'", "'versioned'", "'symbol'", symbol, hashed=False)
+
+
+_FILE_NODE = _sha("gn", "repo_id", "commit_sha", "'file'", "file_path", hashed=False)
+
+
+def _edge(kind: str) -> str:
+    return _sha("ge", "repo_id", "commit_sha", "source_node_id", "target_node_id", f"'{kind}'", hashed=False)
+
+
+@query(
+    f"""WITH {SYM}, e AS (SELECT *, {_FILE_NODE} AS source_node_id, {_node('versioned_symbol_id')} AS target_node_id FROM sym)
+SELECT {_edge('contains')} AS edge_id, source_node_id, target_node_id, 'contains' AS edge_type, 1.0::DOUBLE AS confidence, 'tree_sitter_contains' AS resolution_method, file_path, start_line, start_col, end_line, end_col FROM e"""
+)
+def contains_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.contains_edges(symbols(spark, sf_dir)).select(*graph.EDGE_COLUMNS)
+
+
+@query(f"WITH {SYM} SELECT {_FILE_NODE} AS graph_node_id, 'file' AS node_type, file_path AS subject_id, file_path AS display_name, file_path FROM (SELECT DISTINCT repo_id, commit_sha, file_path FROM sym) UNION ALL SELECT {_node('versioned_symbol_id')}, 'symbol', versioned_symbol_id, fqn, file_path FROM sym")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nodes(symbols(spark, sf_dir))
+
+
+@query(
+    f"""WITH {CAL}, e AS (SELECT *, {_node('source_symbol_id')} AS source_node_id, {_node('target_symbol_id')} AS target_node_id FROM cal),
+g AS (SELECT repo_id, commit_sha, source_node_id, target_node_id, arg_min({{'f': file_path, 'a': start_line, 'b': start_col, 'c': end_line, 'd': end_col}}, ordinal) AS x, count(*)::BIGINT AS sites, arg_max(start_line, ordinal) AS last_line FROM e GROUP BY ALL)
+SELECT {_edge('calls')} AS edge_id, source_node_id, target_node_id, 'calls' AS edge_type, 0.7::DOUBLE AS confidence, 'tree_sitter_call_name' AS resolution_method, x.f AS file_path, x.a AS start_line, x.b AS start_col, x.c AS end_line, x.d AS end_col, sites, last_line::INTEGER AS last_line FROM g"""
+)
+def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = graph.call_edges(calls(spark, sf_dir))
+    return made.select(*graph.EDGE_COLUMNS, "sites", F.get_json_object("evidence", "$.start_line").cast("int").alias("last_line"))
+
+
+_MODULES = """SELECT n_nationkey AS ordinal, 'repo' AS repo_id, 'c0' AS commit_sha, CASE n_nationkey % 4 WHEN 0 THEN 'src/lib.rs' WHEN 1 THEN 'main.rs' WHEN 2 THEN 'src/a/region.rs' ELSE 'readme.md' END AS file_path,
+  concat('m', n_regionkey) AS name, 'module' AS kind, 'rust' AS language, n_nationkey + 1 AS start_line, 0 AS start_col, n_nationkey + 1 AS end_line, 9 AS end_col FROM nation"""
+_FILES = "SELECT concat(CASE r_regionkey % 3 WHEN 0 THEN 'src/' WHEN 1 THEN '' ELSE 'src/a/region/' END, 'm', r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN '.rs' ELSE '/mod.rs' END) AS file_path FROM region"
+
+
+@query(
+    f"""WITH m AS ({_MODULES}), f AS ({_FILES}), b AS (SELECT *, CASE n WHEN 0 THEN 'src/' WHEN 1 THEN '' ELSE 'src/a/region/' END AS base FROM (SELECT *, ordinal % 4 AS n FROM m) WHERE n < 3),
+c AS (SELECT b.*, coalesce((SELECT max(file_path) FROM f WHERE f.file_path = base || name || '.rs'), (SELECT max(file_path) FROM f WHERE f.file_path = base || name || '/mod.rs')) AS target_path FROM b),
+e AS (SELECT *, {_FILE_NODE} AS source_node_id, {_sha('gn', 'repo_id', 'commit_sha', "'file'", 'target_path', hashed=False)} AS target_node_id FROM c WHERE target_path IS NOT NULL),
+g AS (SELECT repo_id, commit_sha, source_node_id, target_node_id, arg_min({{'f': file_path, 'a': start_line, 'b': start_col, 'c': end_line, 'd': end_col}}, ordinal) AS x FROM e GROUP BY ALL)
+SELECT {_edge('imports')} AS edge_id, source_node_id, target_node_id, 'imports' AS edge_type, 0.85::DOUBLE AS confidence, 'rust_mod_file' AS resolution_method, x.f AS file_path, x.a::INTEGER AS start_line, x.b::INTEGER AS start_col, x.c::INTEGER AS end_line, x.d::INTEGER AS end_col FROM g"""
+)
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "nation").createOrReplaceTempView("bridge_nation")
+    table(spark, sf_dir, "region").createOrReplaceTempView("bridge_region")
+    modules, files = spark.sql(_MODULES.replace("FROM nation", "FROM bridge_nation")), spark.sql(_FILES.replace("FROM region", "FROM bridge_region"))
+    return graph.import_edges(modules, files).select(*graph.EDGE_COLUMNS)
+
+
+_NORM = "lower(regexp_replace({}, '[^A-Za-z0-9]', '', 'g'))"
+
+
+@query(f"WITH {SYM}, t AS (SELECT versioned_symbol_id AS test_id, {_NORM.format('fqn')} AS h FROM sym WHERE kind = 'test_case' AND ordinal % 8 = 2), o AS (SELECT versioned_symbol_id AS target_id, {_NORM.format('name')} AS n FROM sym WHERE kind <> 'test_case' AND ordinal % 5 <> 1) SELECT test_id, target_id FROM t JOIN o ON n <> '' AND contains(h, n)")
+def test_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = symbols(spark, sf_dir).where("CASE WHEN kind = 'test_case' THEN ordinal % 8 = 2 ELSE ordinal % 5 <> 1 END")
+    return graph.test_covers(rows)
+
+
+@query(f"WITH {SYM} SELECT versioned_symbol_id, related_id, place::INTEGER AS place FROM (SELECT a.versioned_symbol_id, b.versioned_symbol_id AS related_id, row_number() OVER (PARTITION BY a.versioned_symbol_id ORDER BY b.file_path, b.start_line, b.fqn, b.ordinal) AS place FROM sym a JOIN sym b ON a.file_path = b.file_path AND a.versioned_symbol_id <> b.versioned_symbol_id AND b.kind <> 'module') WHERE place <= 16")
+def related_first16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = symbols(spark, sf_dir)
+    return graph.related_symbols(rows, rows)
+
+
+_IMPACT = f"""WITH {SYM}, {CAL}, pairs AS (SELECT DISTINCT source_symbol_id AS s, target_symbol_id AS t FROM cal),
+i AS (SELECT t AS id, list(b.fqn ORDER BY b.versioned_symbol_id) AS names, list(b.file_path) AS paths FROM pairs JOIN sym b ON b.versioned_symbol_id = s GROUP BY t),
+o AS (SELECT s AS id, list(b.fqn ORDER BY b.versioned_symbol_id) AS names, list(b.file_path) AS paths FROM pairs JOIN sym b ON b.versioned_symbol_id = t GROUP BY s),
+r AS (SELECT a.versioned_symbol_id AS id, least(16, count(*)) AS n FROM sym a JOIN sym b ON a.file_path = b.file_path AND a.versioned_symbol_id <> b.versioned_symbol_id AND b.kind <> 'module' GROUP BY a.versioned_symbol_id),
+rep AS (SELECT a.versioned_symbol_id, a.fqn, a.file_path, coalesce(r.n, 0)::BIGINT AS related, coalesce(i.names, []) AS callers, coalesce(o.names, []) AS callees,
+  list_sort(list_distinct(list_concat([a.file_path], coalesce(i.paths, []), coalesce(o.paths, [])))) AS files FROM sym a LEFT JOIN r ON r.id = a.versioned_symbol_id LEFT JOIN i ON i.id = a.versioned_symbol_id LEFT JOIN o ON o.id = a.versioned_symbol_id),
+scored AS (SELECT *, (related + len(callers) + len(callees) + 1)::BIGINT AS impact_score FROM rep)"""
+
+
+@query(f"{_IMPACT} SELECT versioned_symbol_id, related, array_to_string(callers, '|') AS direct_callers, array_to_string(callees, '|') AS direct_callees, array_to_string(files, '|') AS affected_files, impact_score FROM scored")
+def impact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = symbols(spark, sf_dir)
+    found = graph.impact(rows, calls(spark, sf_dir), rows)
+    flat = [F.array_join(c, "|").alias(c) for c in ("direct_callers", "direct_callees", "affected_files")]
+    return found.select("versioned_symbol_id", F.col("related").cast("long").alias("related"), *flat, "impact_score")
+
+
+@query(
+    f"""{_IMPACT} SELECT versioned_symbol_id, fqn AS symbol, CASE WHEN impact_score >= 5 OR len(files) >= 4 THEN 'high' WHEN impact_score >= 3 OR len(files) >= 2 THEN 'medium' ELSE 'low' END AS risk, f AS slice_file,
+  CASE WHEN f = file_path THEN 'target symbol definition lives in this file' ELSE 'direct caller/callee or same-file related symbol may be affected' END AS rationale FROM (SELECT *, unnest(files) AS f FROM scored)"""
+)
+def refactor_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = symbols(spark, sf_dir)
+    reports_ = graph.impact(rows, calls(spark, sf_dir), rows)
+    plan = graph.refactor_plan(reports_.withColumn("fqn", F.concat_ws("\t", "versioned_symbol_id", "fqn")))
+    return plan.select(F.split_part("symbol", F.lit("\t"), F.lit(1)).alias("versioned_symbol_id"), F.split_part("symbol", F.lit("\t"), F.lit(2)).alias("symbol"), "risk", "slice_file", "rationale")
+
+
+@query(f"WITH {SYM}, {CAL} SELECT cal.ordinal, a.fqn AS source_fqn, b.fqn AS target_fqn, CASE WHEN target_symbol_id = 'v7' THEN 'incoming' ELSE 'outgoing' END AS direction, 'calls' AS relation, 'medium' AS confidence FROM cal JOIN sym a ON a.versioned_symbol_id = source_symbol_id JOIN sym b ON b.versioned_symbol_id = target_symbol_id WHERE target_symbol_id = 'v7' OR source_symbol_id = 'v7'")
+def references_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = symbols(spark, sf_dir).select("versioned_symbol_id", "fqn")
+    return graph.references(rows, calls(spark, sf_dir), "v7").select("ordinal", "source_fqn", "target_fqn", "direction", "relation", "confidence")
+
+
+@query(
+    f"""WITH {SYM}, {CAL}, r AS (SELECT cal.ordinal, CASE WHEN target_symbol_id = 'v7' THEN 'incoming' ELSE 'outgoing' END AS direction FROM cal JOIN sym a ON a.versioned_symbol_id = source_symbol_id JOIN sym b ON b.versioned_symbol_id = target_symbol_id WHERE target_symbol_id = 'v7' OR source_symbol_id = 'v7')
+SELECT ordinal, direction, row_number() OVER (PARTITION BY direction ORDER BY ordinal) <= 12 AS node_shown, row_number() OVER (ORDER BY ordinal) <= 24 AS edge_shown FROM r"""
+)
+def ui_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = symbols(spark, sf_dir).select("versioned_symbol_id", "fqn")
+    found = graph.references(rows, calls(spark, sf_dir), "v7").withColumn("symbol", F.lit("v7"))
+    return graph.shown_calls(found).select("ordinal", "direction", "node_shown", "edge_shown")
+
+
+@query(
+    f"""WITH {SYM}, {CAL}, p AS (SELECT source_symbol_id, target_symbol_id, arg_min(start_line, ordinal) AS start_line FROM cal GROUP BY ALL)
+SELECT a.fqn AS source_fqn, b.fqn AS target_fqn, source_symbol_id, target_symbol_id, CASE WHEN target_symbol_id = 'v3' THEN 'incoming' ELSE 'outgoing' END AS direction, 'medium' AS confidence, 'tree_sitter_call_name' AS evidence, start_line::INTEGER AS start_line
+FROM p JOIN sym a ON a.versioned_symbol_id = source_symbol_id JOIN sym b ON b.versioned_symbol_id = target_symbol_id WHERE target_symbol_id = 'v3' OR source_symbol_id = 'v3'"""
+)
+def graph_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = symbols(spark, sf_dir)
+    found = graph.graph_references(rows.select("versioned_symbol_id", "fqn"), graph.call_edges(calls(spark, sf_dir)).drop("evidence"), graph.nodes(rows), "v3")
+    return found.select("source_fqn", "target_fqn", "source_symbol_id", "target_symbol_id", "direction", "confidence", "evidence", "start_line")
+
+
+@query(
+    f"""WITH {SYM} SELECT q, arg_min(versioned_symbol_id, ordinal) AS by_list, arg_min(versioned_symbol_id, struct_pack(a := file_path, b := start_line, c := fqn, d := ordinal)) AS by_graph
+FROM (SELECT unnest(['red bolt', 'ECONOMY::blue ring', 'no such']) AS q) JOIN sym ON fqn = q OR name = q GROUP BY q"""
+)
+def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, out = symbols(spark, sf_dir), None
+    for q in ("red bolt", "ECONOMY::blue ring", "no such"):
+        one = graph.find_symbol(rows, q).select(F.lit(q).alias("q"), F.col("versioned_symbol_id").alias("by_list"))
+        two = graph.find_symbol(rows, q, "graph").select(F.lit(q).alias("q"), F.col("versioned_symbol_id").alias("by_graph"))
+        both = one.join(two, "q")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@query(
+    f"""WITH {SYM}, target AS (SELECT * FROM sym WHERE fqn = 'red bolt' OR name = 'red bolt' ORDER BY ordinal LIMIT 1),
+t AS (SELECT s.fqn, s.name, s.file_path, s.ordinal, CASE WHEN contains({_NORM.format('s.fqn')}, {_NORM.format('g.name')}) THEN 'medium' ELSE 'low' END AS confidence FROM sym s, target g
+  WHERE s.kind = 'test_case' AND (contains({_NORM.format('s.fqn')}, {_NORM.format('g.name')}) OR s.file_path = g.file_path))
+SELECT fqn, arg_min(name, ordinal) AS name, arg_min(file_path, ordinal) AS file_path, arg_min(confidence, ordinal) AS confidence FROM t GROUP BY fqn"""
+)
+def test_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = symbols(spark, sf_dir)
+    none = spark.createDataFrame([], "test_symbol_id string, target_symbol_id string, confidence double")
+    segments = spark.createDataFrame([], "file_path string, segment_start int, segment_end int")
+    return graph.test_context(rows, none, segments, "red bolt")[0]
+
+
+@query(f"WITH {SYM}, {CAL} SELECT (SELECT count(DISTINCT file_path) FROM sym)::BIGINT AS files, (SELECT count(*) FROM sym)::BIGINT AS symbols, (SELECT count(*) FROM cal)::BIGINT AS calls, ((SELECT count(DISTINCT file_path) FROM sym) + (SELECT count(*) FROM sym))::BIGINT AS nodes, ((SELECT count(*) FROM sym) + (SELECT count(*) FROM cal))::BIGINT AS edges, (SELECT count(*) FROM sym)::BIGINT AS chunks")
+def local_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.local_summary(symbols(spark, sf_dir), calls(spark, sf_dir))
+
+
+@query(f"WITH {SYM}, {CAL}, p AS (SELECT DISTINCT source_symbol_id, target_symbol_id FROM cal JOIN sym a ON a.versioned_symbol_id = source_symbol_id JOIN sym b ON b.versioned_symbol_id = target_symbol_id) SELECT 'calls' AS edge_type, count(*)::BIGINT AS edges FROM p UNION ALL SELECT 'contains', count(*)::BIGINT FROM sym")
+def local_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.local_graph(symbols(spark, sf_dir), calls(spark, sf_dir))[1].groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query(
+    f"""{_IMPACT}, hits AS (SELECT * FROM ({_LEX.format(q='red bolt economy', n=8).replace(f'WITH {SYM}, scored AS', 'WITH scored AS')})),
+first AS (SELECT q, arg_min(versioned_symbol_id, struct_pack(a := file_path, b := start_line, c := fqn, d := ordinal)) AS impact_id FROM (SELECT DISTINCT fqn AS q FROM hits) h JOIN sym ON sym.fqn = q OR sym.name = q GROUP BY q)
+SELECT hits.ordinal, hits.fqn, hits.score, impact_id, impact_score FROM hits LEFT JOIN first ON first.q = hits.fqn LEFT JOIN scored ON scored.versioned_symbol_id = impact_id"""
+)
+def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = search.context_pack(symbols(spark, sf_dir), calls(spark, sf_dir), "red bolt economy", 8)
+    return pack.select("ordinal", "fqn", "score", "impact_id", "impact_score")
+
+
+# --- snapshots --------------------------------------------------------------------------------
+
+_GENERATIONS = "o_custkey AS repo_id, o_orderkey AS generation_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'started' ELSE 'failed' END AS status, o_orderdate AS started_at, CASE WHEN o_orderkey % 3 = 0 THEN 'coverage' ELSE 'file_manifest' END AS index_kind"
+
+
+def _generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS repo_id",
+        "o_orderkey AS generation_id",
+        "CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'started' ELSE 'failed' END AS status",
+        "o_orderdate AS started_at",
+        "CASE WHEN o_orderkey % 3 = 0 THEN 'coverage' ELSE 'file_manifest' END AS index_kind",
+    )
+
+
+@query(f"WITH g AS (SELECT {_GENERATIONS} FROM orders) SELECT repo_id, arg_max(generation_id, struct_pack(a := started_at, b := generation_id)) FILTER (WHERE status = 'succeeded') AS latest, arg_max(generation_id, struct_pack(a := started_at, b := generation_id)) FILTER (WHERE status = 'succeeded' AND index_kind = 'file_manifest') AS latest_manifest FROM g GROUP BY repo_id HAVING latest IS NOT NULL")
+def latest_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _generations(spark, sf_dir)
+    kind = snapshot.latest_generations(rows, index_kind="file_manifest").withColumnRenamed("generation_id", "latest_manifest")
+    return snapshot.latest_generations(rows).withColumnRenamed("generation_id", "latest").join(kind, "repo_id", "left").select("repo_id", "latest", "latest_manifest")
+
+
+@query(
+    f"""WITH g AS (SELECT {_GENERATIONS} FROM orders), l AS (SELECT repo_id, arg_max(generation_id, struct_pack(a := started_at, b := generation_id)) AS generation_id FROM g WHERE status = 'succeeded' GROUP BY repo_id)
+SELECT repo_id, generation_id, count(*)::BIGINT AS active_rows, sum(CAST(l_quantity AS BIGINT))::BIGINT AS quantity FROM l JOIN lineitem ON l_orderkey = generation_id WHERE l_returnflag <> 'R' GROUP BY ALL"""
+)
+def latest_generation_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _generations(spark, sf_dir)
+    owner = rows.select("repo_id", "generation_id")
+    items = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS generation_id", "CAST(l_quantity AS BIGINT) AS q", "CASE WHEN l_returnflag = 'R' THEN l_shipdate END AS stale_at").join(owner, "generation_id")
+    live = snapshot.active(items, rows)
+    return live.groupBy("repo_id", "generation_id").agg(F.count(F.lit(1)).alias("active_rows"), F.sum("q").alias("quantity"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, max(event_id) % 2 = 0 AS stale FROM events GROUP BY user_id")
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr("user_id", "event_type", "event_id", "CAST('2024-01-01' AS timestamp) AS stale_at")
+    merged = snapshot.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1").withColumn("stale_at", F.lit(None).cast("timestamp")), ["user_id"], "event_id")
+    # A user without a later odd event keeps the even row; any odd event at all lifts staleness.
+    return merged.select("user_id", "event_type", "event_id", (F.col("event_id") % 2 == 0).alias("stale"))
+
+
+@query("SELECT o_orderstatus, (o_orderkey % 4 <> 1 AND o_custkey % 3 = 0) AS is_stale, count(*)::BIGINT AS n FROM orders GROUP BY ALL")
+def stale_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderstatus", "o_custkey % 3 AS repo_id", "o_orderkey % 4 AS generation_id", "CAST(NULL AS timestamp) AS stale_at")
+    aged = snapshot.stale_out(rows, F.lit(1), F.lit("2024-01-01").cast("timestamp"), repo_id=F.lit(0))
+    return aged.groupBy("o_orderstatus", F.col("stale_at").isNotNull().alias("is_stale")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source, (source IN ('src0', 'src1') AND doc_id % 2 = 0) AS is_stale, count(*)::BIGINT AS n FROM documents GROUP BY ALL")
+def manifest_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even documents are the old manifest, odd ones of two sources the new one, other odd ones old too."""
+    rows = table(spark, sf_dir, "documents").selectExpr("source AS repo_id", "'c0' AS commit_sha", "doc_id", "CAST(NULL AS timestamp) AS stale_at")
+    fresh = rows.where("repo_id IN ('src0', 'src1') AND doc_id % 2 = 1")
+    old = rows.where("NOT (repo_id IN ('src0', 'src1') AND doc_id % 2 = 1)")
+    after = snapshot.replace_manifest(old, fresh, F.lit("2024-01-01").cast("timestamp"))
+    return after.groupBy(F.col("repo_id").alias("source"), F.col("stale_at").isNotNull().alias("is_stale")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id % 10 AS scope, count(*)::BIGINT AS n, count(*) FILTER (WHERE page_id % 10 < 3)::BIGINT AS fresh FROM pages WHERE page_id % 10 >= 3 OR page_id % 20 < 10 GROUP BY ALL")
+def overlay_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scopes are replaced by half of their pages, the others stay."""
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id % 10 AS scope", "page_id", "false AS fresh")
+    new = rows.where("scope < 3 AND page_id % 20 < 10").withColumn("fresh", F.lit(True))
+    return snapshot.replace_scope(rows, new, ["scope"]).groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("fresh"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey = 5 AND o_orderstatus = 'O' THEN 'succeeded' WHEN o_orderstatus = 'O' THEN 'started' WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'failed' END AS status FROM orders WHERE o_orderkey < 100")
+def generation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _generations(spark, sf_dir).where("generation_id < 100").selectExpr("generation_id", "status", "CAST(NULL AS timestamp) AS finished_at", "CAST(NULL AS timestamp) AS failed_at", "CAST(NULL AS string) AS error")
+    rows = rows.withColumn("generation_id", F.col("generation_id").cast("string"))
+    after, _ = snapshot.end_generation(rows, "5", "succeeded", F.lit("2024-01-01").cast("timestamp"))
+    return after.select(F.col("generation_id").cast("long").alias("o_orderkey"), "status")
+
+
+@query(f"WITH {SYM} SELECT ordinal, CASE WHEN start_line - 5 < 1 THEN 'start_line' WHEN end_line - 20 < start_line - 5 THEN 'end_line' WHEN start_col - 3 < 0 THEN 'start_col' END AS violation FROM sym WHERE start_line - 5 < 1 OR end_line - 20 < start_line - 5 OR start_col - 3 < 0")
+def range_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = symbols(spark, sf_dir).withColumns({"start_line": F.col("start_line") - 5, "end_line": F.col("end_line") - 20, "start_col": F.col("start_col") - 3})
+    return snapshot.violations(rows, snapshot.range_rules()).select("ordinal", "violation")
+
+
+# --- overlays and diffs -----------------------------------------------------------------------
+
+_STATUS = "CASE doc_id % 6 WHEN 0 THEN 'modified' WHEN 1 THEN 'deleted' WHEN 2 THEN 'renamed' WHEN 3 THEN 'mode_only' WHEN 4 THEN 'added' ELSE 'mode_only' END"
+
+
+@query(
+    """WITH b AS (SELECT doc_id, 'p' || doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 6 <> 4)
+SELECT source AS file_source, file_path, content_sha256, origin AS source FROM (
+  SELECT d.source, CASE WHEN d.doc_id % 6 = 2 THEN 'new' || d.doc_id ELSE 'p' || d.doc_id END AS file_path,
+    CASE WHEN d.doc_id % 6 IN (3, 5) THEN md5(text) ELSE 'head' || d.doc_id END AS content_sha256, 'head' AS origin
+  FROM documents d WHERE d.doc_id % 6 <> 1)"""
+)
+def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source is a repository: its documents are the base but for every sixth, which the head adds."""
+    docs = table(spark, sf_dir, "documents")
+    base = docs.where("doc_id % 6 <> 4").selectExpr("source AS file_source", "concat('p', doc_id) AS file_path", "md5(text) AS content_sha256")
+    entries = docs.selectExpr(
+        "source AS file_source",
+        "CASE WHEN doc_id % 6 = 2 THEN concat('new', doc_id) ELSE concat('p', doc_id) END AS file_path",
+        "CASE WHEN doc_id % 6 = 2 THEN concat('p', doc_id) END AS previous_file_path",
+        f"{_STATUS} AS status",
+        "CASE WHEN doc_id % 6 IN (3, 5, 1) THEN NULL ELSE concat('head', doc_id) END AS content_sha256",
+        "doc_id AS ordinal",
+    )
+    return overlay.merge(base, entries, ["file_source"])
+
+
+@query(
+    """SELECT doc_id AS ordinal, 'p' || doc_id AS file_path, CASE WHEN doc_id % 5 = 1 OR doc_id % 2 = 1 THEN 'unknown' ELSE 'rust' END AS language,
+  CASE WHEN doc_id % 5 = 1 OR doc_id % 2 = 1 THEN NULL ELSE md5(text) END AS content_sha256, CASE WHEN doc_id % 5 = 1 OR doc_id % 2 = 1 THEN NULL ELSE n_chars END AS size_bytes FROM documents"""
+)
+def overlay_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    head = docs.where("doc_id % 2 = 0").selectExpr("concat('p', doc_id) AS file_path", "'rust' AS language", "md5(text) AS content_sha256", "n_chars AS size_bytes")
+    changed = docs.selectExpr("concat('p', doc_id) AS file_path", "CAST(NULL AS string) AS previous_file_path", "CASE WHEN doc_id % 5 = 1 THEN 'deleted' ELSE 'modified' END AS status", "doc_id AS ordinal")
+    return overlay.inputs(changed, head).select("ordinal", "file_path", "language", "content_sha256", "size_bytes")
+
+
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i FROM d)
+SELECT doc_id, 'dir/f' || doc_id || '.rs' AS file_path, (10 + i - 1 - i // 3)::BIGINT AS line, (i + 3)::BIGINT AS pos FROM l WHERE i % 3 = 1"""
+)
+def diff_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as one-hunk diffs: of three lines the first is added, the second stays, the third goes."""
+    parts = F.split(F.regexp_replace("text", r"\r?\n\z", ""), "\n", -1)
+    body = F.array_join(F.transform(parts, lambda x, i: F.concat(F.when(i % 3 == 0, "+").when(i % 3 == 1, " ").otherwise("-"), F.lit("x"))), "\n")
+    head = F.concat(F.lit("diff --git a/x b/x\n--- a/old.rs\n+++ b/dir/f"), "doc_id", F.lit(".rs\n@@ -1,3 +10,7 @@ fn\n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, body).alias("text"))
+    return diffs.changed_lines(rows, "doc_id").select("doc_id", "file_path", "line", F.col("pos").cast("long").alias("pos"))
+
+
+@query(
+    """SELECT page_id, b AS block, CASE b WHEN 0 THEN 'src/a' || page_id || '.rs' WHEN 1 THEN 'src/new.rs' WHEN 2 THEN 'gone.rs' WHEN 3 THEN 'to/x.rs' WHEN 4 THEN 'run.sh' END AS file_path,
+  CASE b WHEN 3 THEN 'from/x.rs' END AS previous_file_path, CASE b WHEN 0 THEN 'modified' WHEN 1 THEN 'added' WHEN 2 THEN 'deleted' WHEN 3 THEN 'renamed' WHEN 4 THEN 'mode_only' END AS status
+FROM pages, (SELECT unnest([0, 1, 2, 3, 4]) AS b) WHERE b <= page_id % 5"""
+)
+def diff_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = [
+        ("concat('diff --git a/src/a', page_id, '.rs b/src/a', page_id, '.rs\\nindex 1..2\\nold mode 100644\\n--- a/src/a', page_id, '.rs\\n+++ b/src/a', page_id, '.rs\\n@@ -1 +1 @@\\n-x\\n+y\\n')"),
+        "'diff --git a/src/new.rs b/src/new.rs\\nnew file mode 100644\\n--- /dev/null\\n+++ b/src/new.rs\\n@@ -0,0 +1 @@\\n+y\\n'",
+        "'diff --git a/gone.rs b/gone.rs\\ndeleted file mode 100644\\n--- a/gone.rs\\n+++ /dev/null\\n@@ -1 +0,0 @@\\n-y\\n'",
+        "'diff --git a/from/x.rs b/to/x.rs\\nsimilarity index 90%\\nrename from from/x.rs\\nrename to to/x.rs\\n@@ -1 +1 @@\\n-x\\n+y\\n'",
+        "'diff --git a/run.sh b/run.sh\\nold mode 100644\\nnew mode 100755\\n'",
+    ]
+    body = "concat(" + ", ".join(f"IF(page_id % 5 >= {i}, {b}, '')" for i, b in enumerate(blocks)) + ")"
+    rows = table(spark, sf_dir, "pages").select("page_id", F.expr(body).alias("text"))
+    found = diffs.changed_files(rows, "page_id")
+    place = F.element_at(F.create_map(*[F.lit(x) for p in (("modified", 0), ("added", 1), ("deleted", 2), ("renamed", 3), ("mode_only", 4)) for x in p]), F.col("status"))
+    return found.select("page_id", place.alias("block"), "file_path", "previous_file_path", "status")
+
+
+# --- reports ----------------------------------------------------------------------------------
+
+_OUTCOME = "CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'passed' END"
+
+
+@query(f"SELECT user_id AS report_id, event_id, {_OUTCOME} AS status, CASE WHEN event_type IN ('error', 'click', 'view') THEN event_type || '&' || event_id END AS message, event_id * 1000 + 250 AS duration_ms, 'C' || (event_id % 3) || '::t' || event_id AS fqn FROM events")
+def junit_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = "CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'failure' WHEN 'view' THEN 'skipped' END"
+    case = f"""concat('<testcase name="t', event_id, '" classname="C', event_id % 3, '" time="', event_id, '.2509">', coalesce(concat('<', {tag}, ' message="', event_type, '&amp;', event_id, '"/>'), ''), '</testcase>')"""
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("report_id")).agg(F.array_join(F.collect_list(F.expr(case)), "").alias("body"))
+    rows = rows.select("report_id", F.concat(F.lit('<testsuites><testsuite name="s">'), "body", F.lit("</testsuite></testsuites>")).alias("text"))
+    found = reports.junit(rows)
+    return found.select("report_id", F.substring("name", 2, 20).cast("long").alias("event_id"), "status", "message", "duration_ms", "fqn")
+
+
+@query(
+    f"""SELECT user_id AS report_id, count(*)::BIGINT AS total, count(*) FILTER (WHERE s = 'passed')::BIGINT AS passed, count(*) FILTER (WHERE s = 'failed')::BIGINT AS failed, count(*) FILTER (WHERE s = 'error')::BIGINT AS error, count(*) FILTER (WHERE s = 'skipped')::BIGINT AS skipped,
+  CASE WHEN count(*) FILTER (WHERE s = 'error') > 0 THEN 'error' WHEN count(*) FILTER (WHERE s = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (WHERE s = 'skipped') = count(*) THEN 'skipped' ELSE 'passed' END AS status
+FROM (SELECT user_id * 100 + event_id % 100 AS user_id, {_OUTCOME} AS s FROM events) GROUP BY user_id UNION ALL SELECT -r_regionkey - 1, 0, 0, 0, 0, 0, 'passed' FROM region"""
+)
+def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "events").selectExpr("user_id * 100 + event_id % 100 AS report_id", f"{_OUTCOME} AS status")
+    empty = table(spark, sf_dir, "region").selectExpr("CAST(-r_regionkey - 1 AS bigint) AS report_id")
+    return reports.status_counts(results, results.select("report_id").unionByName(empty))
+
+
+@query("SELECT user_id AS report_id, event_id, 'tests/t_' || user_id || '.py::Suite::test_' || event_id AS fqn, 'Suite' AS class_name, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'failed' WHEN 'view' THEN 'skipped' WHEN 'signup' THEN 'skipped' ELSE 'passed' END AS status, CASE WHEN event_type = 'click' THEN 'boom ' || event_id END AS message FROM events")
+def pytest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = "CASE event_type WHEN 'error' THEN 'oops' WHEN 'click' THEN 'failed' WHEN 'view' THEN 'skipped' WHEN 'signup' THEN 'xfailed' ELSE 'passed' END"
+    case = f"""named_struct('nodeid', concat('tests/t_', user_id, '.py::Suite::test_', event_id), 'outcome', {outcome}, 'call', IF(event_type = 'click', named_struct('crash', named_struct('message', concat('boom ', event_id))), NULL))"""
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("report_id")).agg(F.to_json(F.struct(F.collect_list(F.expr(case)).alias("tests"))).alias("text"))
+    found = reports.pytest_json(rows)
+    return found.select("report_id", F.regexp_extract("name", "([0-9]+)$", 1).cast("long").alias("event_id"), "fqn", "class_name", "status", "message")
+
+
+@query("SELECT user_id AS report_id, event_id, 'f.spec.ts::' || user_id || '::inner::' || event_id || '::chrome' AS fqn, CASE WHEN event_type IN ('error', 'click') THEN 'failed' WHEN event_type = 'view' THEN 'skipped' ELSE 'passed' END AS status, (event_id + 3)::BIGINT AS duration_ms FROM events")
+def playwright_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = "CASE WHEN event_type IN ('error', 'click') THEN 'unexpected' WHEN event_type = 'view' THEN 'skipped' ELSE 'passed' END"
+    spec = f"named_struct('title', CAST(event_id AS string), 'tests', array(named_struct('projectName', 'chrome', 'status', 'expected', 'results', array(named_struct('status', 'passed', 'duration', 3), named_struct('status', {state}, 'duration', event_id)))))"
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("report_id")).agg(F.collect_list(F.expr(spec)).alias("specs"))
+    inner = F.array(F.struct(F.lit("inner").alias("title"), "specs"))
+    text_ = F.to_json(F.struct(F.array(F.struct(F.col("report_id").cast("string").alias("title"), F.lit("f.spec.ts").alias("file"), inner.alias("suites"))).alias("suites")))
+    found = reports.playwright_json(rows.select("report_id", text_.alias("text")))
+    return found.select("report_id", F.col("name").cast("long").alias("event_id"), "fqn", "status", "duration_ms")
+
+
+@query(
+    """WITH e AS (SELECT user_id % 40 AS report_id, 'pkg' || (event_id % 7) AS package, 'T' || (event_id % 3) AS test, event_id, event_type FROM events)
+SELECT report_id, package || '::' || test AS fqn, CASE arg_max(event_type, event_id) FILTER (WHERE event_type IN ('error', 'click', 'purchase')) WHEN 'error' THEN 'failed' WHEN 'click' THEN 'skipped' ELSE 'passed' END AS status,
+  (max(event_id) FILTER (WHERE event_type IN ('error', 'click', 'purchase'))) * 1000 + 500 AS duration_ms, string_agg('o' || event_id, '' ORDER BY event_id) FILTER (WHERE event_type = 'view') AS message
+FROM e GROUP BY report_id, package, test HAVING count(*) FILTER (WHERE event_type IN ('error', 'click', 'purchase')) > 0"""
+)
+def last_terminal_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as test events of a line-by-line JSON report."""
+    action = "CASE event_type WHEN 'error' THEN 'fail' WHEN 'click' THEN 'skip' WHEN 'purchase' THEN 'pass' WHEN 'view' THEN 'output' ELSE 'run' END"
+    line = f"""concat('{{"Action":"', {action}, '","Package":"pkg', event_id % 7, '","Test":"T', event_id % 3, '"', CASE WHEN event_type IN ('error', 'click', 'purchase') THEN concat(',"Elapsed":', event_id, '.5') WHEN event_type = 'view' THEN concat(',"Output":"o', event_id, '"') ELSE '' END, '}}')"""
+    rows = table(spark, sf_dir, "events").withColumn("line", F.expr(line)).groupBy((F.col("user_id") % 40).alias("report_id"))
+    rows = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return reports.go_test_json(rows).where("error IS NULL").select("report_id", "fqn", "status", "duration_ms", "message")
+
+
+_COVERAGE = "SELECT l_orderkey AS report_id, 'f' || l_suppkey || '.rs' AS file_path, l_linenumber AS start_line, l_linenumber AS end_line, CAST(l_quantity AS BIGINT) AS hit_count, count(*)::BIGINT AS copies FROM lineitem WHERE l_orderkey % 25 = 4 GROUP BY ALL"
+
+
+def _coverage_rows(spark: SparkSession, sf_dir: str, line: str, around: tuple[str, str], ends: tuple[str, str] = ("", "")) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 25 = 4").withColumn("q", F.col("l_quantity").cast("long"))
+    files = rows.groupBy("l_orderkey", "l_suppkey").agg(F.array_join(F.collect_list(F.expr(line)), "").alias("lines"))
+    body = F.concat(F.lit(around[0].split("|")[0]), F.concat(F.lit("f"), "l_suppkey", F.lit(".rs")), F.lit(around[0].split("|")[1]), "lines", F.lit(around[1]))
+    whole = files.groupBy(F.col("l_orderkey").alias("report_id")).agg(F.array_join(F.collect_list(body), "").alias("b"))
+    return whole.select("report_id", F.concat(F.lit(ends[0]), "b", F.lit(ends[1])).alias("text"))
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    columns = ["report_id", "file_path", "start_line", "end_line", "hit_count"]
+    return found.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query(_COVERAGE)
+def lcov_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _coverage_rows(spark, sf_dir, "concat('DA:', l_linenumber, ',', q, '\\n')", ("SF:|\n", "LH:1\nend_of_record\n"), ("TN:\nDA:1,1\n", ""))
+    return _counted(reports.lcov(rows).where("error IS NULL"))
+
+
+@query(_COVERAGE)
+def cobertura_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = """concat('<line number="', l_linenumber, '" hits="', q, '"/>')"""
+    rows = _coverage_rows(spark, sf_dir, line, ('<class name="c" filename="|"><lines>', "</lines></class>"), ('<coverage><packages><package name="p"><classes>', "</classes></package></packages></coverage>"))
+    return _counted(reports.cobertura(rows))
+
+
+@query(_COVERAGE.replace("'f' || l_suppkey", "'com/x/f' || l_suppkey"))
+def jacoco_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = """concat('<line nr="', l_linenumber, '" mi="0" ci="', q - 1, '" mb="0" cb="1"/>')"""
+    rows = _coverage_rows(spark, sf_dir, line, ('<sourcefile name="|">', "</sourcefile>"), ('<?xml version="1.0"?><!DOCTYPE report PUBLIC "x" "y"><report name="r"><package name="com/x">', "</package></report>"))
+    return _counted(reports.jacoco(rows))
+
+
+@query("SELECT o_orderkey AS test_run_id, count(l_orderkey)::BIGINT AS results, coalesce(string_agg(l_suppkey || '/' || l_partkey || '/' || l_linenumber, ',' ORDER BY 's' || l_suppkey, 'f' || l_partkey, l_linenumber), '') AS listed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 30 = 2 GROUP BY o_orderkey")
+def runs_with_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").where("o_orderkey % 30 = 2").selectExpr("o_orderkey AS test_run_id", "o_orderdate AS created_at", "o_orderpriority AS source_path")
+    results = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS test_run_id", "concat('s', l_suppkey) AS suite_name", "concat('f', l_partkey) AS fqn", "l_linenumber")
+    full = aggregates.runs_with_results(runs, results)
+    show = F.array_join(F.transform("results", lambda r: F.concat_ws("/", F.substring(r["suite_name"], 2, 20), F.substring(r["fqn"], 2, 20), r["l_linenumber"])), ",")
+    return full.select("test_run_id", F.size("results").cast("long").alias("results"), show.alias("listed"))
+
+
+@query(f"WITH g AS (SELECT {_GENERATIONS} FROM orders) SELECT generation_id, status FROM g ORDER BY started_at DESC, generation_id DESC LIMIT 20")
+def newest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.newest_runs(_generations(spark, sf_dir)).select("generation_id", "status")
+
+
+# --- counts -----------------------------------------------------------------------------------
+
+
+@query("SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F')::BIGINT AS F, count(*) FILTER (WHERE o_orderstatus = 'O')::BIGINT AS O, count(*) FILTER (WHERE o_orderstatus = 'P')::BIGINT AS P, count(*)::BIGINT AS total FROM orders GROUP BY o_custkey")
+def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.state_counts(table(spark, sf_dir, "orders"), ["o_custkey"], ("F", "O", "P"), "o_orderstatus")
+
+
+@query("SELECT n_nationkey AS generation_id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey)::BIGINT AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey)::BIGINT AS suppliers, (SELECT count(*) FROM region WHERE r_regionkey = n_nationkey)::BIGINT AS regions FROM nation")
+def evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda name, column: table(spark, sf_dir, name).select(F.col(column).alias("generation_id"))
+    return aggregates.evidence_counts(
+        key("nation", "n_nationkey"), "generation_id", customers=key("customer", "c_nationkey"), suppliers=key("supplier", "s_nationkey"), regions=key("region", "r_regionkey")
+    )
+
+
+@query("SELECT event_type, count(DISTINCT user_id)::BIGINT AS entities FROM events GROUP BY event_type")
+def distinct_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("entities"))
+
+
+@query("SELECT CASE WHEN bool_or(event_type = 'error') THEN 'unhealthy' WHEN bool_or(event_type = 'view') THEN 'degraded' ELSE 'ok' END AS status FROM events WHERE user_id = 3")
+def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "events").where("user_id = 3").selectExpr("CASE event_type WHEN 'error' THEN 'unhealthy' WHEN 'view' THEN 'degraded' ELSE 'ok' END AS status")
+    return aggregates.health(parts)
+
+
+@query(
+    """WITH e AS (SELECT source, lang, count(DISTINCT doc_id)::BIGINT AS expected FROM documents WHERE doc_id % 10 <> 0 GROUP BY ALL), a AS (SELECT source, lang, count(*)::BIGINT AS actual FROM labels JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT coalesce(e.source, a.source) AS source, coalesce(e.lang, a.lang) AS lang, coalesce(expected, 0) AS expected, coalesce(actual, 0) AS actual, coalesce(expected, 0) <> coalesce(actual, 0) AS has_drift FROM e FULL JOIN a ON e.source = a.source AND e.lang = a.lang"""
+)
+def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").selectExpr("source", "lang", "doc_id AS entity_id", "'upsert' AS operation", "IF(doc_id % 10 = 0, 'cancelled', 'queued') AS state")
+    index = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity_id")).join(docs.select("entity_id", "source", "lang"), "entity_id")
+    return search.drift(docs, index, ["source", "lang"])
+
+
+@query("SELECT user_id AS entity_id, arg_max(props, event_id) AS payload FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr("user_id AS entity_id", "props AS payload", "ts AS created_at", "event_id AS outbox_id", "'upsert' AS operation", "IF(event_type = 'error', 'cancelled', 'queued') AS state", "'i' AS target_index")
+    return search.rebuild(rows).select("entity_id", "payload")
+
+
+@query("SELECT user_id AS entity_id, arg_max(props, event_id) AS payload FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the first half of the events, then the second half's changes; errors delete."""
+    rows = table(spark, sf_dir, "events").selectExpr("user_id AS entity_id", "props AS payload", "ts AS created_at", "event_id AS outbox_id", "IF(event_type = 'error', 'delete', 'upsert') AS operation")
+    half = rows.agg(F.max("outbox_id")).first()[0] // 2
+    empty = rows.select("entity_id", "payload").limit(0)
+    first = search.sync_index(empty, rows.where(F.col("outbox_id") <= half))
+    return search.sync_index(first, rows.where(F.col("outbox_id") > half))
+
+
+@query(
+    f"""WITH {SYM}, c AS (SELECT ordinal, 'chunk:symbol:' || versioned_symbol_id || ':' || kind || ':' || start_line || ':' || start_col || ':' || end_line || ':' || end_col AS chunk_id, fqn || ' ' || kind || ' type_script ' || file_path AS text, * EXCLUDE (ordinal) FROM sym)
+SELECT chunk_id, text, 'sha256:' || sha256('{{"chunk_id":"' || chunk_id || '","repo_id":"repo","symbol":{{"file_path":"' || file_path || '","fqn":"' || fqn || '","kind":"' || kind || '","language":"type_script","name":"' || name || '","range":{{"end_column":' || end_col || ',"end_line":' || end_line || ',"start_column":' || start_col || ',"start_line":' || start_line || '}},"stable_symbol_id":"' || stable_symbol_id || '","versioned_symbol_id":"' || versioned_symbol_id || '"}},"text":"' || text || '"}}') AS payload_hash FROM c"""
+)
+def chunk_payload_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.chunks(symbols(spark, sf_dir), F.lit("repo"), F.lit("g1")).select("chunk_id", "text", "payload_hash")
+
+
+@query("SELECT count(DISTINCT user_id)::BIGINT AS chunks FROM events WHERE event_type <> 'error' AND event_id % 2 = 0")
+def active_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr("'r' AS repo_id", "CAST(event_id % 2 AS string) AS generation_id", "user_id AS entity_id", "'upsert' AS operation", "IF(event_type = 'error', 'cancelled', 'queued') AS state")
+    return search.active_chunk_count(rows, "r", "0")
+
+
+# --- queue ------------------------------------------------------------------------------------
+
+_NOW = "2024-01-05 00:00:00"
+_READY = f"(state IN ('queued', 'failed') AND run_after <= TIMESTAMP '{_NOW}')"
+
+
+def _now():
+    return F.lit(_NOW).cast("timestamp_ntz")
+
+
+def _leased_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs(spark, sf_dir)
+    more = {
+        "lease_owner": F.when(F.col("state") == "leased", "w0"),
+        "lease_expires_at": F.when(F.col("state") == "leased", F.col("run_after") + F.expr("INTERVAL 1 DAY")),
+        "completed_at": F.when(F.col("state").isin("succeeded", "dead_lettered"), F.col("run_after")),
+        "last_error": F.lit(None).cast("string"),
+        "idempotency_key": F.col("job_id").cast("string"),
+        "kind": F.lit("sync"),
+    }
+    return rows.withColumns(more)
+
+
+_JOB_CTE = f"j AS (SELECT *, CASE WHEN state = 'leased' THEN run_after + INTERVAL 1 DAY END AS lease_expires_at FROM (SELECT {JOBS} FROM events))"
+_DUE = f"({_READY} OR (state = 'leased' AND lease_expires_at <= TIMESTAMP '{_NOW}'))"
+
+
+@query(f"WITH {_JOB_CTE} SELECT queue, job_id, priority FROM (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY priority DESC, run_after, created_at, job_id) AS rn FROM j WHERE {_DUE}) WHERE rn = 1")
+def queue_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.heads(_leased_jobs(spark, sf_dir), _now(), ["queue"]).select("queue", "job_id", "priority")
+
+
+@query(
+    f"""WITH {_JOB_CTE}, h AS (SELECT job_id FROM (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY priority DESC, run_after, created_at, job_id) AS rn FROM j WHERE {_DUE}) WHERE rn = 1)
+SELECT job_id, CASE WHEN job_id IN (SELECT job_id FROM h) THEN 'leased' ELSE state END AS state, attempts + CASE WHEN job_id IN (SELECT job_id FROM h) THEN 1 ELSE 0 END AS attempts,
+  CASE WHEN job_id IN (SELECT job_id FROM h) THEN 'w1' WHEN state = 'leased' THEN 'w0' END AS lease_owner FROM j"""
+)
+def lease_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after, _ = queue.lease(_leased_jobs(spark, sf_dir), _now(), "w1")
+    return after.select("job_id", "state", "attempts", "lease_owner")
+
+
+@query(
+    f"""WITH {_JOB_CTE}, o AS (SELECT event_id AS job_id, event_id % 4 AS no, event_type <> 'error' AS ok FROM events WHERE event_id % 2 = 0)
+SELECT j.job_id, CASE WHEN mine AND NOT ok AND attempts >= 3 THEN 'dead_lettered' WHEN mine AND NOT ok THEN 'failed' WHEN mine THEN 'succeeded' WHEN state IN ('queued', 'leased', 'failed') AND j.job_id % 5 = 0 THEN 'cancelled' ELSE state END AS state,
+  (mine AND NOT ok AND attempts < 3) AS waits
+FROM (SELECT j.*, coalesce(state = 'leased' AND o.no = attempts, FALSE) AS mine, o.ok FROM j LEFT JOIN o USING (job_id)) j"""
+)
+def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of even jobs, then a cancellation of every fifth that is still open or failed before."""
+    before = _leased_jobs(spark, sf_dir)
+    outcomes = table(spark, sf_dir, "events").where("event_id % 2 = 0").selectExpr("event_id AS job_id", "CAST(event_id % 4 AS int) AS attempt_no", "event_type <> 'error' AS ok", "'e' AS error")
+    done = queue.finish(before, outcomes, _now())
+    moved = done.select("job_id", "run_after", F.col("lease_owner").isNull().alias("free")).join(before.select("job_id", F.col("run_after").alias("was"), F.col("lease_owner").isNotNull().alias("held")), "job_id")
+    untouched = moved.where("NOT (free AND held)").select("job_id")
+    asked = untouched.where("job_id % 5 = 0")
+    final = queue.cancel(done, asked, _now())
+    waits = moved.select("job_id", (F.col("run_after") != F.col("was")).alias("waits"))
+    return final.join(waits, "job_id").select("job_id", "state", "waits")
+
+
+@query("SELECT event_type AS queue, count(*)::BIGINT AS jobs, min(event_id) AS first_job FROM (SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY ALL) GROUP BY event_type")
+def job_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as jobs whose key is the user: the first of each queue and key is there, later ones change nothing."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id AS job_id", "event_type AS queue", "'k' AS kind", "user_id AS idempotency_key")
+    cut = rows.agg(F.max("job_id")).first()[0] // 3
+    first = queue.enqueue(rows.limit(0), rows.where(F.col("job_id") <= cut))
+    return queue.enqueue(first, rows.where(F.col("job_id") > cut)).groupBy("queue").agg(F.count(F.lit(1)).alias("jobs"), F.min("job_id").alias("first_job"))
+
+
+@query(
+    """WITH o AS (SELECT user_id AS outbox_id, arg_max(event_id, event_id) AS event_id FROM events GROUP BY user_id)
+SELECT outbox_id, event_id AS generation_id, CASE WHEN event_id % 2 = 1 OR event_id % 3 = 0 THEN 'queued' WHEN event_id % 3 = 1 THEN 'failed' ELSE 'succeeded' END AS state, (CASE WHEN event_id % 2 = 1 THEN 0 ELSE 2 END)::INTEGER AS attempts FROM o"""
+)
+def outbox_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("outbox_id")).agg(F.max("event_id").alias("generation_id"))
+    state = "CASE generation_id % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'failed' ELSE 'succeeded' END"
+    old = newest.selectExpr("outbox_id", "generation_id", f"{state} AS state", "2 AS attempts", "CAST(NULL AS timestamp) AS lease_expires_at", "'e' AS last_error")
+    return queue.outbox_enqueue(old, newest.where("generation_id % 2 = 1")).select("outbox_id", "generation_id", "state", "attempts")
+
+
+@query(
+    f"""WITH {_JOB_CTE}, n AS (SELECT queue, arg_min(job_id, struct_pack(a := created_at, b := job_id)) AS narrow FROM j WHERE state = 'queued' AND run_after <= TIMESTAMP '{_NOW}' GROUP BY queue),
+b AS (SELECT queue, arg_min(job_id, struct_pack(a := created_at, b := job_id)) AS broad FROM j WHERE {_DUE} GROUP BY queue) SELECT queue, narrow, broad FROM n JOIN b USING (queue)"""
+)
+def outbox_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _leased_jobs(spark, sf_dir).withColumnRenamed("job_id", "outbox_id")
+    taken = lambda broad, name: queue.outbox_lease(rows, _now(), ["queue"], broad).withColumnRenamed("attempts", "now").join(rows.select("outbox_id", "attempts"), "outbox_id").where("now > attempts").select("queue", F.col("outbox_id").alias(name))
+    return taken(False, "narrow").join(taken(True, "broad"), "queue")
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN 'succeeded' WHEN event_id % 5 >= 3 THEN 'dead_lettered' ELSE 'failed' END AS state FROM events")
+def outbox_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "event_id % 5 AS attempts", "3 AS max_attempts")
+    return rows.select("event_id", queue.outbox_outcome(F.col("event_type") != "error").alias("state"))
+
+
+@query(
+    """SELECT e.event_id AS job_id, c_mktsegment AS segment, (SELECT count(*) FROM lineitem WHERE l_orderkey = e.event_id)::BIGINT AS attempts FROM events e JOIN customer ON c_custkey = user_id
+WHERE event_type = 'error' ORDER BY CASE WHEN e.event_id % 3 = 0 THEN NULL ELSE e.event_id % 100 END DESC NULLS LAST, ts DESC, e.event_id LIMIT 50"""
+)
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("event_id AS job_id", "'dead_lettered' AS state", "IF(event_id % 3 = 0, NULL, event_id % 100) AS completed_at", "ts AS updated_at", "user_id AS generation_id")
+    owners = table(spark, sf_dir, "customer").selectExpr("c_custkey AS generation_id", "c_mktsegment AS segment")
+    tries = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS job_id", "l_linenumber AS attempt_no", "'w' AS worker_id", "'failed' AS status", "CAST(NULL AS string) AS error")
+    found = queue.dead_letters(rows, owners, tries)
+    return found.select("job_id", "segment", F.coalesce(F.size("attempts_made"), F.lit(0)).cast("long").alias("attempts"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
+w AS (SELECT user_id, event_id, i, t AS since, 1 AS n, TRUE AS allowed FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.t - since >= 86400000000 THEN e.t ELSE since END,
+    CASE WHEN e.t - since >= 86400000000 THEN 1 WHEN n < 2 THEN n + 1 ELSE n END, e.t - since >= 86400000000 OR n < 2
+  FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT user_id, event_id, allowed FROM w"""
+)
+def rate_limit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", budget=2, seconds=86400, order="event_id")
+
+
+# --- review and embeddings --------------------------------------------------------------------
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS ordinal",
+        "concat(' ', p_name, ' token=', p_size, ' ') AS title",
+        "CASE p_partkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS severity",
+        "IF(p_partkey % 11 = 0, NULL, p_brand) AS file_path",
+        "CAST(p_partkey % 13 AS int) AS start_line",
+        "CAST(IF(p_partkey % 17 = 0, 1, p_partkey % 13 + p_size) AS int) AS end_line",
+        "IF(p_partkey % 19 = 0, array(), array(named_struct('file_path', p_brand, 'start_line', 1, 'end_line', 2, 'summary', p_type))) AS evidence",
+        "IF(p_partkey % 23 = 0, array(), array(named_struct('source', p_name, 'relation', 'calls', 'target', IF(p_partkey % 29 = 0, ' ', p_type)))) AS impact_path",
+        "IF(p_partkey % 31 = 0, ' ', 'fix it') AS recommendation",
+    )
+
+
+_FINDING = """CASE WHEN p_partkey % 11 = 0 THEN 'missing:file_path' WHEN p_partkey % 13 = 0 THEN 'range:start_line' WHEN p_partkey % 17 = 0 AND 1 < p_partkey % 13 THEN 'range:location'
+  WHEN p_partkey % 19 = 0 THEN 'missing:evidence' WHEN p_partkey % 23 = 0 THEN 'missing:impact_path' WHEN p_partkey % 29 = 0 THEN 'empty:impact_path.target' WHEN p_partkey % 31 = 0 THEN 'empty:recommendation' END"""
+
+
+@query(f"SELECT p_partkey AS ordinal, {_FINDING} AS error FROM part")
+def finding_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).select("ordinal", review.finding_error().alias("error"))
+
+
+@query(
+    f"""WITH ok AS (SELECT * FROM part WHERE ({_FINDING}) IS NULL)
+SELECT p_partkey AS ordinal, p_name || ' token=[redacted]' AS title, CASE p_partkey % 4 WHEN 0 THEN 'notice' WHEN 1 THEN 'warning' ELSE 'failure' END AS annotation, CASE p_partkey % 4 WHEN 0 THEN 'note' WHEN 1 THEN 'warning' ELSE 'error' END AS sarif,
+  CASE p_partkey % 4 WHEN 0 THEN 'minor' WHEN 1 THEN 'major' WHEN 2 THEN 'critical' ELSE 'blocker' END AS quality, 'lodestrata:' || p_brand || ':' || (p_partkey % 13) || ':' || lower(regexp_replace(p_name || ' token=[redacted]', '[^A-Za-z0-9]', '-', 'g')) AS fingerprint,
+  p_brand || ':1-2 ' || p_type AS details FROM ok"""
+)
+def review_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = review.verify(_findings(spark, sf_dir))
+    notes = review.annotations(good).select("ordinal", "title", F.col("annotation_level").alias("annotation"), F.col("raw_details").alias("details"))
+    results = review.sarif_results(good).select("ordinal", F.col("result.level").alias("sarif"))
+    quality = review.code_quality(good).select("ordinal", F.col("severity").alias("quality"), "fingerprint")
+    return notes.join(results, "ordinal").join(quality, "ordinal")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, array_to_string(embedding, ', ') || CASE vec_id % 5 WHEN 1 THEN ',' WHEN 2 THEN ', x' WHEN 3 THEN ', NaN' ELSE '' END AS t, len(embedding) AS n FROM embeddings)
+SELECT vec_id, CASE WHEN vec_id % 5 IN (1, 2, 3) THEN NULL ELSE n END::INTEGER AS dimensions, CASE WHEN vec_id % 7 = 0 THEN 'empty:model' WHEN vec_id % 7 = 1 THEN 'range:dimensions' END AS error FROM v"""
+)
+def embedding_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.array_join(F.col("embedding").cast("array<string>"), ", "), F.expr("CASE vec_id % 5 WHEN 1 THEN ',' WHEN 2 THEN ', x' WHEN 3 THEN ', NaN' ELSE '' END")).alias("t"))
+    rows = rows.withColumns({"provider": F.lit("p"), "model": F.expr("IF(vec_id % 7 = 0, ' ', 'm')"), "input_kind": F.lit("k"), "input": F.lit("x"), "dimensions": F.expr("IF(vec_id % 7 = 1, 0, 64)")})
+    found = rows.withColumn("v", embeddings.parse_vector(F.col("t"))).withColumn("error", embeddings.input_error())
+    return found.select("vec_id", F.when(F.col("v").isNotNull(), F.size("v")).alias("dimensions"), "error")
+
+
+@query("SELECT vec_id, 4 * len(embedding)::INTEGER AS bytes, TRUE AS same FROM embeddings")
+def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", embeddings.encode(F.col("embedding")).alias("blob"))
+    return rows.select("vec_id", F.octet_length("blob").alias("bytes"), (embeddings.decode(F.col("blob")) == F.col("embedding")).alias("same"))
+
+
+@query("SELECT vec_id, vec_id % 3 = 0 AS cache_hit, CASE WHEN vec_id % 10 = 1 THEN 'dimensions differ' END AS error FROM embeddings WHERE NOT (vec_id % 3 = 0 AND vec_id % 10 = 1)")
+def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third vector is cached already; every tenth is asked for with a wrong size."""
+    rows = table(spark, sf_dir, "embeddings").where("NOT (vec_id % 3 = 0 AND vec_id % 10 = 1)")
+    rows = rows.selectExpr("vec_id", "'p' AS provider", "'m' AS model", "CAST(vec_id AS string) AS input", "IF(vec_id % 10 = 1, 7, 64) AS dimensions", "embedding")
+    empty = spark.createDataFrame([], "cache_key string, embedding array<float>, touched_at timestamp_ntz")
+    cache, _ = embeddings.put_or_touch(empty, rows.where("vec_id % 3 = 0"), _now())
+    _, answers = embeddings.put_or_touch(cache, rows, _now())
+    return answers.select("vec_id", "cache_hit", "error")
+
+
+@query()
+def syntax_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files generated from parts, one class with a method and a test for each, in four languages."""
+    rust = "concat('struct P', p_partkey, ' { x: i32 }\\nimpl P', p_partkey, ' { fn go(&self) -> i32 { helper(1) } }\\n#[test]\\nfn works() { }\\n')"
+    python = "concat('class P', p_partkey, ':\\n    def go(self):\\n        return helper(1)\\n\\ndef test_works():\\n    pass\\n')"
+    go = "concat('package p\\nfunc (p *P', p_partkey, ') Go() int { return helper(1) }\\nfunc TestWorks(t *T) { }\\n')"
+    web = "concat('class P', p_partkey, ' { go() { return helper(1); } }\\nfunction testWorks() { }\\n')"
+    files = table(spark, sf_dir, "part").selectExpr(
+        "concat('src/p', p_partkey) AS file_path",
+        "CASE p_partkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'python' WHEN 2 THEN 'go' ELSE 'typescript' END AS language",
+        f"CASE p_partkey % 4 WHEN 0 THEN {rust} WHEN 1 THEN {python} WHEN 2 THEN {go} ELSE {web} END AS body",
+    )
+    return syntax.symbols(files)
+
+
+@query()
+def syntax_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "part").selectExpr("concat('src/p', p_partkey, '.rs') AS file_path", "'rust' AS language", "concat('fn a() { lib::f', p_size, '(1); x.y(); check!(m::g(1)); }') AS body")
+    return syntax.calls(files)
