@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.functions import ids
 from lodestrata.functions.text import trim
@@ -25,13 +26,13 @@ def parse_vector(text: Column) -> Column:
     return F.when((F.coalesce(text, F.lit("")) != "") & F.forall(parts, finite), parts)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode(vectors: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode(blobs: pd.Series) -> pd.Series:
     """The floats of a blob; null where its length is no multiple of four."""
     return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))

@@ -148,9 +148,11 @@ def test_covers(symbols: DataFrame) -> DataFrame:
     targets = symbols.where("kind <> 'test_case'").select(F.col("versioned_symbol_id").alias("target_id"), normalized(F.col("name")).alias("needle")).where("needle <> ''")
     needles = targets.select("needle").distinct().withColumn("gram", F.substring("needle", 1, 3))
     hays = tests.select("hay").distinct()
-    windows = F.array_distinct(
-        F.flatten(F.array(*[F.when(F.length("hay") >= n, F.transform(F.sequence(F.lit(1), F.length("hay") - (n - 1)), lambda i, n=n: F.substring("hay", i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
-    )
+    def grams(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length("hay") - (n - 1)), lambda i: F.substring("hay", i, F.lit(n)))
+        return F.when(F.length("hay") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    windows = F.array_distinct(F.flatten(F.array(grams(1), grams(2), grams(3))))
     pairs = hays.select("hay", F.explode(windows).alias("gram")).join(needles, "gram").where(F.contains("hay", "needle")).select("hay", "needle").distinct()
     return tests.join(pairs, "hay").join(targets, "needle").select("test_id", "target_id")
 

@@ -63,7 +63,8 @@ def bm25(docs: DataFrame, query: str, id_column: str = "doc_id", text: str = "te
         return docs.select(id_column, F.lit(0.0).alias("score")).limit(0)
     words = docs.select(id_column, tokens(F.col(text)).alias("w"))
     # Counting a term as a change of size keeps the words inside one expression.
-    counts = words.select(id_column, F.size("w").alias("len"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    times = lambda term: F.size(F.filter("w", lambda x: x == F.lit(term)))
+    counts = words.select(id_column, F.size("w").alias("len"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     total = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     scored = counts.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).withColumn("k", F.lit(1)).join(F.broadcast(total.withColumn("k", F.lit(1))), "k")  # one row
     part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))

@@ -438,7 +438,7 @@ def ui_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {SYM}, {CAL}, p AS (SELECT source_symbol_id, target_symbol_id, arg_min(start_line, ordinal) AS start_line FROM cal GROUP BY ALL)
-SELECT a.fqn AS source_fqn, b.fqn AS target_fqn, source_symbol_id, target_symbol_id, CASE WHEN target_symbol_id = 'v3' THEN 'incoming' ELSE 'outgoing' END AS direction, 'medium' AS confidence, 'tree_sitter_call_name' AS evidence, start_line::INTEGER AS start_line
+SELECT a.fqn AS source_fqn, b.fqn AS target_fqn, source_symbol_id, target_symbol_id, CASE WHEN target_symbol_id = 'v3' THEN 'incoming' ELSE 'outgoing' END AS direction, 'medium' AS confidence, 'tree_sitter_call_name' AS evidence, p.start_line::INTEGER AS start_line
 FROM p JOIN sym a ON a.versioned_symbol_id = source_symbol_id JOIN sym b ON b.versioned_symbol_id = target_symbol_id WHERE target_symbol_id = 'v3' OR source_symbol_id = 'v3'"""
 )
 def graph_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,7 +543,7 @@ def stale_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aged.groupBy("o_orderstatus", F.col("stale_at").isNotNull().alias("is_stale")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT source, (source IN ('src0', 'src1') AND doc_id % 2 = 0) AS is_stale, count(*)::BIGINT AS n FROM documents GROUP BY ALL")
+@query("SELECT source, (source IN ('src0', 'src1') AND doc_id % 2 = 0 AND fresh) AS is_stale, count(*)::BIGINT AS n FROM (SELECT *, bool_or(doc_id % 2 = 1) OVER (PARTITION BY source) AS fresh FROM documents) GROUP BY ALL")
 def manifest_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even documents are the old manifest, odd ones of two sources the new one, other odd ones old too."""
     rows = table(spark, sf_dir, "documents").selectExpr("source AS repo_id", "'c0' AS commit_sha", "doc_id", "CAST(NULL AS timestamp) AS stale_at")
