@@ -53,6 +53,7 @@ SPOKEN = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", *L
 
 _PART = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
 #: Typed alternatives, in order. Every repeated group is bounded, so no text can exhaust the stack.
 PATTERN = "|".join(
     (
@@ -67,9 +68,11 @@ PATTERN = "|".join(
         r"(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
         r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z]{0,4}[0-9]{10,26}(?![A-Za-z0-9])",
-        rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,40}}(?: \p{{Lu}}\p{{Ll}}{{1,40}})?",
+        rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,40}}(?: \p{{Lu}}\p{{Ll}}{{1,40}})?",
     )
 )
+#: What every match holds: a digit, an at sign, or a title. Texts without one are not searched further.
+NEEDED = rf"[0-9@]|(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def _text(s: str) -> str:
@@ -176,7 +179,8 @@ def surrogate_sql(x: str, kind: str, tweak: str) -> str:
 
 
 def matches(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    return F.when(text.rlike(NEEDED), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def entities(docs: DataFrame) -> DataFrame:
