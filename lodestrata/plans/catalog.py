@@ -224,7 +224,7 @@ def normalized_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "k").select("c_custkey", "n_nationkey", text.normalized_contains(F.col("hay"), F.col("raw")).alias("hit"), text.normalized(F.col("raw")).alias("needle"))
 
 
-_SECONDS = "CASE event_id % 6 WHEN 0 THEN CAST(value AS STRING) WHEN 1 THEN concat('-', CAST(CAST(value AS BIGINT) AS STRING), '.25') WHEN 2 THEN '-0.5' WHEN 3 THEN '1e-3' WHEN 4 THEN CAST(event_id AS STRING) ELSE concat(CAST(event_id AS STRING), '.1239') END"
+_SECONDS = "CASE event_id % 6 WHEN 0 THEN CAST(value AS STRING) WHEN 1 THEN concat('-', CAST(CAST(floor(value) AS BIGINT) AS STRING), '.25') WHEN 2 THEN '-0.5' WHEN 3 THEN '1e-3' WHEN 4 THEN CAST(event_id AS STRING) ELSE concat(CAST(event_id AS STRING), '.1239') END"
 
 
 @query(
