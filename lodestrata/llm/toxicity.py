@@ -27,6 +27,8 @@ from lodestrata.llm.common import cut, held_out, ship
 ship(__name__)
 
 TRAIN_ROWS, FOLDS, TERMS, THRESHOLD = 12_000, 3, 4000, 0.3
+#: Standard deviations by which a term's toxic texts exceed chance; fewer make the lexicon noise.
+SURE = 4.2
 #: Lengths of the beginnings of words that count as terms.
 STEMS = (4, 5, 6, 7)
 
@@ -76,8 +78,11 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     you = [i for i, w in enumerate(words) if w in SECOND_PERSON] if not kinds.isdisjoint(SECOND_PERSON) else []
     near = 0
     if at and you:
-        gap = np.abs(np.subtract.outer(np.array(at[:2000]), np.array(you))).min(axis=1) if len(you) < 2000 else np.zeros(1)
-        near = int((gap <= 5).sum())
+        hits, others = np.array(at), np.array(you)
+        right = np.searchsorted(others, hits)
+        after = np.abs(others[np.minimum(right, len(you) - 1)] - hits)
+        before = np.abs(hits - others[np.maximum(right - 1, 0)])
+        near = int((np.minimum(after, before) <= 5).sum())
     masked = MASKED.findall(low)
     hidden = 0
     for m in masked:
@@ -143,8 +148,9 @@ def _lexicons(sample: DataFrame) -> list[dict[str, float]]:
     )
     sizes = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
     share = sum(v for (_, t), v in sizes.items() if t) / max(sum(sizes.values()), 1)
-    lift = (F.col("bad") - 3 * share * F.col("n")) / F.sqrt(F.col("n"))
-    rows = counted.where((F.col("bad") >= 2) & (F.col("bad") > 3 * share * F.col("n"))).orderBy(F.desc(lift), "term").limit(TERMS).collect()
+    lift = (F.col("bad") - share * F.col("n")) / F.sqrt(F.col("n") * (share * (1 - share) + 1e-3))
+    often = F.col("bad") > 4 * share / (1 - share + 1e-3) * (F.col("n") - F.col("bad") + 0.5)
+    rows = counted.where((F.col("bad") >= 2) & often & (lift > SURE)).orderBy(F.desc(lift), "term").limit(TERMS).collect()
     out = []
     for without in [*range(FOLDS), None]:
         weights = {}
