@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.boosting import Trees
 from lodestrata.llm.common import ascii_lower
 
-TRAIN_ROWS, SUFFIXES = 20_000, 500
+TRAIN_ROWS, SUFFIXES, SUFFIX_ROWS = 20_000, 500, 20
 
 
 class Rule(NamedTuple):
@@ -130,8 +130,8 @@ def labelled(urls: DataFrame, rules: tuple[Rule, ...] = RULES, unwanted: tuple[s
 def train(known: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Trees over the features of at most about ``train_rows`` labelled URLs, taken by a hash of the URL.
 
-    Suffix statistics come from the labelled URLs of that sample, each row's without itself, so that they
-    say of a URL only what its neighbours say.
+    A suffix has a block rate of its own where the sample holds ``SUFFIX_ROWS`` of its URLs or more, else the
+    overall rate: one number for all its URLs, which tells nothing of a single row's label.
     """
     count = known.count()
     chosen = known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1e6 * min(1.0, train_rows / max(count, 1))))
@@ -145,11 +145,12 @@ def train(known: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         s = held.setdefault(r["suffix"], [0.0, 0.0])
         s[0] += r["bad"]
         s[1] += 1
-    own = np.array([(held[r["suffix"]][0] - r["bad"] + 10 * rate) / (held[r["suffix"]][1] - 1 + 10) for r in rows])
+    common = sorted((k for k, v in held.items() if v[1] >= SUFFIX_ROWS), key=lambda k: (-held[k][1], k))[:SUFFIXES]
+    rates = {k: float((held[k][0] + 10 * rate) / (held[k][1] + 10)) for k in common}
+    own = np.array([rates.get(r["suffix"], rate) for r in rows])
     x = np.column_stack([*(np.array([r[n] for r in rows], dtype=np.float64) for n in names), own]) if rows else np.zeros((0, len(names) + 1))
     trees = Trees(rounds=40, depth=3, rate=0.2).fit(x, y)
-    common = sorted(held, key=lambda s: (-held[s][1], s))[:SUFFIXES]
-    return Model([*names, "suffix_rate"], trees, {s: float((held[s][0] + 10 * rate) / (held[s][1] + 10)) for s in common}, rate)
+    return Model([*names, "suffix_rate"], trees, rates, rate)
 
 
 def judge(pages: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES) -> DataFrame:
