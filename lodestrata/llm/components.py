@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut
+from lodestrata.llm.common import cut, stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -42,9 +42,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
         .distinct()
     )
-    mark = _mark(now)
+    mark, rounds = _mark(now), 0
     while mark[0]:
-        after = cut(_stars(now))
+        rounds += 1
+        # A checkpoint keeps its plan's statistics; a table every few rounds ends their chain.
+        after = (stored if rounds % 4 == 0 else cut)(_stars(now))
         old, mark = mark, _mark(after)
         now = after
         if mark == old:

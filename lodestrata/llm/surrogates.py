@@ -21,9 +21,11 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut
+from lodestrata.llm.common import cut, stored
 
 KEY, REKEYED, ROUNDS, MOST_TWEAKS = "lodestrata-surrogates-1", 2000, 6, 64
+#: Tweaks from which on a given name is a double one, and from which on it is permuted letter by letter.
+DOUBLE, SPELT = 3, 16
 
 # Titles by gender, given names by gender and script, letters by class.
 TITLES = {
@@ -148,7 +150,10 @@ def _name_sql(x: str, tweak: str) -> str:
         fits = f"{right_script} AND (array_contains({titled}, {plain_title}) OR (array_contains({free}, {plain_title}) AND " + (f"array_contains({held}, {given})" if gender == "f" else "true") + "))"
         spot = f"if(array_contains({held}, {given}), array_position({held}, {given}), cast(conv(substr(sha2(concat({_text(KEY)}, '|given|', lower({given})), 256), 1, 8), 16, 10) AS bigint))"
         turn = f"cast(conv(substr(sha2(concat({_text(KEY)}, '|{gender}{script}|', cast({tweak} AS string)), 256), 1, 8), 16, 10) AS bigint) % {len(names) - 1} + 1"
-        lists.append((f"{fits}", f"element_at({held}, cast(pmod({spot} - 1 + {turn}, {len(names)}) AS int) + 1)", gender))
+        one = f"element_at({held}, cast(pmod({spot} - 1 + {turn}, {len(names)}) AS int) + 1)"
+        more = f"element_at({held}, cast(pmod(cast(conv(substr(sha2(concat({_text(KEY)}, '|second|', lower({given}), cast({tweak} AS string)), 256), 1, 8), 16, 10) AS bigint), {len(names)}) AS int) + 1)"
+        lists.append((f"{tweak} < {DOUBLE} AND {fits}", one, gender))
+        lists.append((f"{tweak} < {SPELT} AND {fits}", f"concat({one}, '-', {more})", gender))
     order = [p for p in lists if p[2] == "f"] + [p for p in lists if p[2] == "m"]
     moved_given = "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v, _ in order) + f" ELSE {_moved(given, tweak, 'given', SPOKEN)} END"
     alone = _moved(family, tweak, "family", SPOKEN)
@@ -208,7 +213,7 @@ def rekeyed(docs: DataFrame) -> DataFrame:
         clash = cut(taken.unionByName(shared).distinct().withColumn("again", F.lit(1)))
         if not clash.count():
             break
-        known = cut(
+        known = stored(
             known.join(clash, ["kind", "norm"], "left").select("kind", "norm", "entity", (F.col("tweak") + F.coalesce("again", F.lit(0))).alias("tweak"))
         )
     return known.where("tweak > 0").select("kind", "norm", "tweak")
