@@ -47,7 +47,7 @@ SIBLINGS = {
 #: Open elements deeper than this are treated as inline text of the deepest, so depth never costs a stack.
 DEEPEST = 200
 
-TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*)(?:>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?P<shut>>|\Z))", re.S)
+TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*)(?:>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?P<shut>>|\Z)|(?P<bad_end>/)?(?P<bad_name>[A-Za-z][^\s/>]*)(?P<bad_rest>[^>]*)(?P<bad_shut>>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
@@ -88,10 +88,12 @@ def parse(source: str) -> Node:
             return root
         text(source[at : m.start()])
         at = m.end()
-        if not m["name"]:
+        # A quote that never closes does not hide the rest of the page: such a tag ends at the next bracket.
+        found, ends, rest, shut = (m["name"], m["end"], m["rest"], m["shut"]) if m["name"] else (m["bad_name"], m["bad_end"], m["bad_rest"], m["bad_shut"])
+        if not found:
             continue
-        name = m["name"].lower()
-        if m["end"]:
+        name = found.lower()
+        if ends:
             if name == "br":
                 stack[-1].parts.append(Node("br", {}))
             elif name == "p" and not any(x.name == "p" for x in stack):
@@ -105,7 +107,7 @@ def parse(source: str) -> Node:
                     if stack[i].name in bounds and name not in SIBLINGS:
                         break
             continue
-        if not m["shut"]:
+        if not shut:
             return root  # a tag that the end of the text cuts off
         if name in CLOSES_P:
             close_to({"p"}, {"table", "td", "th", "caption", "button", "object"})
@@ -118,8 +120,8 @@ def parse(source: str) -> Node:
             stack[-1].parts.append(row)
             stack.append(row)
         attributes = {}
-        if m["rest"].strip():
-            for a in ATTRIBUTE.finditer(m["rest"]):
+        if rest.strip():
+            for a in ATTRIBUTE.finditer(rest):
                 value = next((v for v in a.groups()[1:] if v is not None), "")
                 attributes.setdefault(a[1].lower(), html.unescape(value) if "&" in value else value)
         node = Node(name, attributes)
