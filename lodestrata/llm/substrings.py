@@ -39,7 +39,7 @@ BANDS, ROWS = 8, 3
 CHUNK = 4096
 #: Words that are worked on at once.
 AT_ONCE = 100_000
-LINE, BLOCK = 0, 1
+LINE, BLOCK, BLOCK_IDS = 0, 1, np.int64(0x5BF03635D1F2A9C7)
 
 _MULTIPLY = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
 
@@ -93,65 +93,80 @@ def _units(docs: DataFrame, with_text: bool) -> DataFrame:
 
     def of(batches):
         for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            for name, text in zip(batch.column(0), batch.column(1), strict=True):
+            names, texts, size = [], [], 0
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words, lines = paragraphs(text.as_py() or "")
                 if len(words) < LEAST:
                     continue
-                h = _hashes(words)
-                spans = [(LINE, s, n) for s, n in lines]
-                cuts = block_starts(h)
-                spans += [(BLOCK, int(a), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                if not spans:
-                    continue
-                kind, start, n = (np.array(c, dtype=np.int64) for c in zip(*spans, strict=True))
-                uid = _spans(h, start, n)
-                columns = [np.full(len(spans), name.as_py()), kind.astype(np.int32), start.astype(np.int32), n.astype(np.int32), uid]
-                texts = [b" ".join(words[s : s + m]).decode() if k == LINE else None for k, s, m in spans] if with_text else None
-                out.append((columns, texts))
+                names.append(name)
+                texts.append((words, lines))
                 size += len(words)
                 if size > AT_ONCE:
-                    yield _rows(out, with_text)
-                    out, size = [], 0
-            if out:
-                yield _rows(out, with_text)
+                    yield _rows(names, texts, with_text)
+                    names, texts, size = [], [], 0
+            if names:
+                yield _rows(names, texts, with_text)
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(of, fields)
 
 
-def _rows(out: list[tuple], with_text: bool) -> pa.RecordBatch:
-    columns = [pa.array(np.concatenate(c)) for c in zip(*(c for c, _ in out), strict=True)]
-    names = ["doc_id", "kind", "start", "n", "uid"]
+def _rows(names: list[int], texts: list[tuple], with_text: bool) -> pa.RecordBatch:
+    """The paragraphs of some documents, worked out together."""
+    every = [w for words, _ in texts for w in words]
+    h = _hashes(every)
+    sizes = np.array([len(words) for words, _ in texts])
+    begins = np.cumsum(sizes) - sizes
+    cuts = block_starts(h)
+    owner = np.searchsorted(begins, cuts, side="right") - 1
+    inside = (cuts - begins[owner] >= REACH) & (begins[owner] + sizes[owner] - cuts > REACH)  # no window reaches another document
+    cuts, owner = cuts[inside], owner[inside]
+    same = owner[1:] == owner[:-1]
+    lines = np.array([(d, begins[d] + s, n) for d, (_, found) in enumerate(texts) for s, n in found], dtype=np.int64).reshape(-1, 3)
+    who = np.concatenate([lines[:, 0], owner[:-1][same]])
+    start = np.concatenate([lines[:, 1], cuts[:-1][same]])
+    n = np.concatenate([lines[:, 2], np.diff(cuts)[same]])
+    kind = np.concatenate([np.full(len(lines), LINE, dtype=np.int32), np.full(len(who) - len(lines), BLOCK, dtype=np.int32)])
+    uid = _spans(h, start, n) if len(n) else np.zeros(0, dtype=np.int64)
+    uid = np.where(kind == BLOCK, uid ^ BLOCK_IDS, uid)  # ids of blocks and lines never meet
+    columns = [np.array(names, dtype=np.int64)[who], kind, (start - begins[who]).astype(np.int32), n.astype(np.int32), uid]
+    fields = ["doc_id", "kind", "start", "n", "uid"]
+    made = [pa.array(c) for c in columns]
     if with_text:
-        columns.append(pa.array([t for _, ts in out for t in ts], pa.string()))
-        names.append("text")
-    return pa.RecordBatch.from_arrays(columns, names)
+        bodies = [b" ".join(every[a : a + m]).decode() for _, a, m in lines.tolist()]
+        made.append(pa.array([*bodies, *[None] * (len(who) - len(lines))], pa.string()))
+        fields.append("text")
+    return pa.RecordBatch.from_arrays(made, fields)
+
+
+def _shingles(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of all texts in a row, and where each text's begin. A short text is one shingle."""
+    split = [t.encode().split() or [b""] for t in texts]
+    sizes = np.array([len(w) for w in split])
+    begins = np.cumsum(sizes) - sizes
+    h = _hashes([w for words in split for w in words])
+    padded = np.concatenate([h, np.zeros(SHINGLE, dtype=np.uint64)])
+    left = np.repeat(begins + sizes, sizes) - np.arange(len(h))  # words from each one to its text's end
+    made = np.zeros(len(h), dtype=np.uint64)
+    for i in range(SHINGLE):
+        made = _mix(made * _MULTIPLY[2] + np.where(left > i, padded[i : i + len(h)], np.uint64(0)))
+    counts = np.maximum(sizes - SHINGLE + 1, 1)
+    keep = (left >= SHINGLE) | (np.arange(len(h)) == np.repeat(begins, sizes))
+    return made[keep], np.cumsum(counts) - counts
 
 
 def shingles(text: str) -> np.ndarray:
-    """Sorted distinct hashes of a paragraph's shingles; a short paragraph is one shingle."""
-    words = text.encode().split()
-    h = _hashes(words)
-    if len(h) <= SHINGLE:
-        return _spans(h, np.array([0]), np.array([len(h)])).view(np.uint64) if len(h) else np.zeros(0, dtype=np.uint64)
-    n = len(h) - SHINGLE + 1
-    made = np.zeros(n, dtype=np.uint64)
-    for i in range(SHINGLE):
-        made = _mix(made * _MULTIPLY[2] + h[i : i + n])
-    return np.unique(made)
+    """Sorted distinct hashes of a paragraph's shingles."""
+    return np.unique(_shingles([text])[0])
 
 
 def _bands(texts) -> np.ndarray:
     """(paragraphs, BANDS) band values."""
-    sets = [shingles(t) for t in texts]
-    at = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    every = np.concatenate(sets)
+    every, at = _shingles(texts)
     salt = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MULTIPLY[2])
-    out = np.zeros((len(sets), BANDS), dtype=np.uint64)
+    out = np.zeros((len(at), BANDS), dtype=np.uint64)
     for b in range(BANDS):
-        key = np.full(len(sets), b, dtype=np.uint64)
+        key = np.full(len(at), b, dtype=np.uint64)
         for r in range(ROWS):
             key = _mix(key * _MULTIPLY[2] + np.minimum.reduceat(_mix(every ^ salt[b * ROWS + r]), at))
         out[:, b] = key
@@ -188,6 +203,54 @@ def _links(ids: np.ndarray, texts: list[str], left: np.ndarray, right: np.ndarra
     return out
 
 
+def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A forest of the links inside the band groups of ``pdf``, whose rows lie together.
+
+    All rows are first compared with the head of their group at once, which settles pairs and groups of
+    one kind; a group where some row is unlike its head is then compared in full.
+    """
+    part = pdf[["key", "lo", "hi"]].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]).any(axis=1)])
+    sizes = np.diff(np.r_[starts, len(pdf)])
+    group = np.repeat(np.arange(len(starts)), sizes)
+    head = starts[group]
+    uid, own, texts = pdf["uid"].to_numpy(), pdf["own"].to_numpy(), pdf["text"].tolist()
+    every, at = _shingles(texts)
+    row = np.repeat(np.arange(len(pdf)), np.diff(np.r_[at, len(every)]))
+    order = np.lexsort((every, row))
+    every, row = every[order], row[order]
+    new = np.r_[True, (every[1:] != every[:-1]) | (row[1:] != row[:-1])]
+    every, row = every[new], row[new]
+    in_group = _mix(every ^ _mix(group[row].astype(np.uint64) * _MULTIPLY[2]))
+    shared = np.bincount(row, np.isin(in_group, in_group[row == head[row]]), minlength=len(pdf))
+    count = np.bincount(row, minlength=len(pdf))
+    near = shared >= SIMILAR * (count + count[head] - shared)
+    crossed = (pdf["lo"] != pdf["hi"]).to_numpy()
+    alike = near & ~crossed & (head != np.arange(len(pdf)))
+    out = list(zip(uid[alike].tolist(), uid[head[alike]].tolist(), strict=True))
+    open_ = np.flatnonzero((np.add.reduceat((~near).astype(np.int64), starts) > 0) & (sizes > 2) | crossed[starts])
+    for g in open_:
+        rows = np.arange(starts[g], starts[g] + sizes[g])
+        inside = np.arange(len(rows))
+        sides = (inside[own[rows] == pdf["lo"].iat[rows[0]]], inside[own[rows] == pdf["hi"].iat[rows[0]]]) if crossed[rows[0]] else (inside, inside)
+        out += _links(uid[rows], [texts[i] for i in rows], *sides)
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _groups(batches):
+    """Whole band groups from batches of sorted rows; a group that a batch cuts waits for the next one."""
+    waiting = None
+    for pdf in batches:
+        pdf = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
+        last = pdf[["key", "lo", "hi"]].to_numpy()
+        cut_at = len(pdf) - int((last == last[-1]).all(axis=1)[::-1].cumprod().sum()) if len(pdf) else 0
+        waiting = pdf.iloc[cut_at:]
+        if cut_at:
+            yield _linked(pdf.iloc[:cut_at].reset_index(drop=True))
+    if waiting is not None and len(waiting):
+        yield _linked(waiting.reset_index(drop=True))
+
+
 def _line_components(distinct: DataFrame) -> DataFrame:
     """(uid, cluster) of the lines that have a near-duplicate. ``distinct`` has rows (uid, text)."""
 
@@ -200,25 +263,20 @@ def _line_components(distinct: DataFrame) -> DataFrame:
                     [part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), BANDS))), pa.array(made.reshape(-1))], ["uid", "key"]
                 )
 
-    keyed = distinct.mapInArrow(keys, "uid long, key long")
+    keyed = stored(distinct.mapInArrow(keys, "uid long, key long"))
     shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     candidates = cut(keyed.join(broadcast_if_small(shared, shared.count()), "key"))
+    asked = cut(candidates.select("uid").distinct())
+    texts = distinct.join(broadcast_if_small(asked, asked.count()), "uid", "left_semi")
     members = (
-        distinct.join(broadcast_if_small(candidates, candidates.count()), "uid")
+        texts.join(candidates, "uid")
         .withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("uid"), F.col("c")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         .select("uid", "text", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("uid", ignore_index=True)
-        own, at = pdf["own"].to_numpy(), np.arange(len(pdf))
-        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
-        left, right = (at, at) if lo == hi else (at[own == lo], at[own == hi])
-        return pd.DataFrame(_links(pdf["uid"].to_numpy(), pdf["text"].tolist(), left, right), columns=["a", "b"], dtype="int64")
-
-    found = members.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
+    placed = members.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "uid")
+    found = placed.mapInPandas(_groups, "a long, b long")
     return connected_components(found).select(F.col("node").alias("uid"), F.col("component").alias("cluster"))
 
 
@@ -239,11 +297,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     across = classed.groupBy("cluster").agg(F.min("d0").alias("keeper"), F.max("d1").alias("last")).where("keeper <> last")
     chosen = cut(
         classed.join(across, "cluster")
-        .select(F.lit(LINE).alias("kind"), "uid", "cluster", "keeper")
+        .select("uid", "cluster", "keeper")
         .distinct()
-        .unionByName(blocks.select(F.lit(BLOCK).alias("kind"), "uid", F.col("uid").alias("cluster"), F.col("d0").alias("keeper")))
+        .unionByName(blocks.select("uid", F.col("uid").alias("cluster"), F.col("d0").alias("keeper")))
     )
-    held = _units(docs, False).join(broadcast_if_small(chosen, chosen.count()), ["kind", "uid"])
+    held = _units(docs, False).drop("kind").join(broadcast_if_small(chosen, chosen.count()), "uid")
     held = held.withColumn("removed", F.col("doc_id") != F.col("keeper"))
     mine = Window.partitionBy("doc_id", "removed").orderBy("start", "n", "cluster")
     before = mine.rowsBetween(Window.unboundedPreceding, -1)
