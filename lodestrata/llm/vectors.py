@@ -155,6 +155,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 TABLES, PROJECTIONS, BUCKET, THRESHOLD = 28, 12, 2.0, 0.9
 #: Vectors of a bucket compared in one task; larger buckets are compared chunk by chunk.
 CHUNK = 2048
+#: Buckets up to this size are compared many at a time; pairs that are worked on at once.
+SMALL, PAIRS = 48, 1 << 16
 GRID = 1 << 20
 
 
@@ -178,35 +180,73 @@ def _table_keys(unit: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _compare(ids: np.ndarray, unit: np.ndarray, left: np.ndarray, right: np.ndarray, t: int) -> pd.DataFrame:
-    """Links of ``left`` with later rows of ``right`` that meet first in table t: counts, and a forest of edges."""
-    keys = _table_keys(unit)[:, : t + 1]
-    count = np.zeros(len(ids), dtype=np.int64)
-    root = np.arange(len(ids))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for at in range(0, len(left), 256):
-        some = left[at : at + 256]
-        i, j = np.nonzero(unit[some] @ unit[right].T >= THRESHOLD)
-        i, j = some[i], right[j]
-        later = ids[i] < ids[j]
-        i, j = i[later], j[later]
-        for s in range(0, len(i), 1 << 16):
-            a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-            first = (keys[a] == keys[b]).argmax(axis=1) == t
+def _candidates(starts: np.ndarray, sizes: np.ndarray):
+    """Pairs (i, j), i before j, of rows of one bucket, some at a time. Buckets up to SMALL go together by size."""
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+        i, j = np.triu_indices(size, 1)
+        of_size = starts[sizes == size]
+        step = max(1, PAIRS // len(i))
+        for at in range(0, len(of_size), step):
+            base = of_size[at : at + step, None]
+            yield (base + i).ravel(), (base + j).ravel(), None
+    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+        for at in range(0, size, 256):
+            yield np.arange(start + at, start + min(at + 256, size)), np.arange(start + at, start + size), "block"
+
+
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links inside the buckets of ``pdf``, whose rows lie together, each in its pair's first table: counts, and a forest."""
+    part = pdf[["t", "key", "lo", "hi"]].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]).any(axis=1)])
+    sizes = np.diff(np.r_[starts, len(pdf)])
+    ids, own, crossed = pdf["vec_id"].to_numpy(), pdf["own"].to_numpy(), (pdf["lo"] != pdf["hi"]).to_numpy()
+    table, unit = pdf["t"].to_numpy(), _unit(pdf["embedding"])
+    count, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+    for i, j, block in _candidates(starts, sizes):
+        if block:
+            a, b = np.nonzero(unit[i] @ unit[j].T >= THRESHOLD)
+            i, j = i[a], j[b]
+            i, j = i[i < j], j[i < j]
+        else:
+            near = np.einsum("ij,ij->i", unit[i], unit[j]) >= THRESHOLD
+            i, j = i[near], j[near]
+        apart = ~crossed[i] | (own[i] != own[j])  # a chunk's own pairs are counted where it meets itself
+        i, j = i[apart], j[apart]
+        for s in range(0, len(i), PAIRS):
+            a, b = i[s : s + PAIRS], j[s : s + PAIRS]
+            rows, back = np.unique(np.r_[a, b], return_inverse=True)
+            keys = _table_keys(unit[rows])
+            first = (keys[back[: len(a)]] == keys[back[len(a) :]]).argmax(axis=1) == table[a]
             a, b = a[first], b[first]
             count += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
-            for x, y in {(find(p), q) for p, q in zip(a.tolist(), b.tolist(), strict=True)}:
-                x, y = find(x), find(y)
-                root[max(x, y)] = min(x, y)
-    head = np.array([find(x) for x in range(len(ids))], dtype=np.int64)
-    keep = (count > 0) | (head != np.arange(len(ids)))
-    return pd.DataFrame({"vec_id": ids[keep], "n": count[keep], "root": ids[head[keep]]})
+            while len(a):  # join the roots of linked rows until each pair has one
+                x, y = root[a], root[b]
+                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                while (root != root[root]).any():
+                    root = root[root]
+                open_ = root[a] != root[b]
+                a, b = a[open_], b[open_]
+    keep = count > 0
+    return pd.DataFrame({"vec_id": ids[keep], "n": count[keep], "root": ids[root[keep]]})
+
+
+def _buckets(batches):
+    """Whole buckets from batches of sorted rows; a bucket that a batch cuts waits for the next one."""
+    waiting = None
+    for pdf in batches:
+        pdf = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
+        last = pdf[["t", "width", "key", "lo", "hi"]].to_numpy()
+        cut_at = len(pdf) - int((last == last[-1]).all(axis=1)[::-1].cumprod().sum()) if len(pdf) else 0
+        waiting = pdf.iloc[cut_at:]
+        if cut_at:
+            yield from _by_width(pdf.iloc[:cut_at])
+    if waiting is not None and len(waiting):
+        yield from _by_width(waiting)
+
+
+def _by_width(pdf: pd.DataFrame):
+    for _, same in pdf.groupby("width", sort=False):
+        yield _compare(same.reset_index(drop=True))
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -245,18 +285,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         .select("vec_id", "embedding", "t", "width", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
 
-    def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", ignore_index=True)
-        at, own = np.arange(len(pdf)), pdf["own"].to_numpy()
-        lo, hi, names = pdf["lo"].iat[0], pdf["hi"].iat[0], pdf["vec_id"].to_numpy()
-        unit, t = _unit(pdf["embedding"]), int(pdf["t"].iat[0])
-        if lo == hi:
-            return _compare(names, unit, at, at, t)
-        a, b = at[own == lo], at[own == hi]
-        both = pd.concat([_compare(names, unit, a, b, t), _compare(names, unit, b, a, t)])
-        return both
-
-    found = cut(members.groupBy("t", "width", "key", "lo", "hi").applyInPandas(bucket, "vec_id long, n long, root long"))
+    bucket = ["t", "width", "key", "lo", "hi"]
+    placed = members.repartition(*bucket).sortWithinPartitions(*bucket, "vec_id")
+    found = cut(placed.mapInPandas(_buckets, "vec_id long, n long, root long"))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     whole = connected_components(found, "vec_id", "root")
     return (
