@@ -126,7 +126,7 @@ def architecture_kind(path: Column) -> Column:
 
 def line_count(body: Column) -> Column:
     """Lines of a text, a final line break not counted; at least one."""
-    plain = F.regexp_replace(body, r"\r?\n$", "")
+    plain = F.regexp_replace(body, r"\r?\n\z", "")
     return F.greatest(F.when(body == "", 1).otherwise(F.size(F.split(plain, "\n", -1))), F.lit(1)).cast("int")
 
 

@@ -1033,3 +1033,85 @@ def syntax_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def syntax_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "part").selectExpr("concat('src/p', p_partkey, '.rs') AS file_path", "'rust' AS language", "concat('fn a() { lib::f', p_size, '(1); x.y(); check!(m::g(1)); }') AS body")
     return syntax.calls(files)
+
+
+# --- more of the graph and the stores ---------------------------------------------------------
+
+
+@query(
+    f"""WITH {SYM}, g AS (SELECT {_GENERATIONS} FROM orders WHERE o_custkey < 25), l AS (SELECT repo_id, arg_max(generation_id, struct_pack(a := started_at, b := generation_id)) AS generation_id FROM g WHERE status = 'succeeded' GROUP BY repo_id)
+SELECT l.repo_id, generation_id, {_node('versioned_symbol_id')} AS graph_node_id, fqn AS display_name FROM l JOIN sym ON ordinal % 25 = l.repo_id WHERE ordinal % 3 <> 0"""
+)
+def active_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the latest generation of each repository; every third symbol is stale, others are of all generations."""
+    gens = _generations(spark, sf_dir).where("repo_id < 25")
+    nodes = graph.symbol_nodes(symbols(spark, sf_dir)).withColumn("ordinal", F.substring("subject_id", 2, 20).cast("long"))
+    stored = nodes.withColumn("repo_id", F.col("ordinal") % 25).join(gens.select("repo_id", "generation_id"), "repo_id").withColumn("stale_at", F.when(F.col("ordinal") % 3 == 0, "x"))
+    return snapshot.active(stored, gens).select("repo_id", "generation_id", "graph_node_id", "display_name")
+
+
+@query("SELECT o_orderpriority AS framework, (o_custkey % 2 = 0 AND o_orderkey % 10 <> 7) AS is_stale, count(*)::BIGINT AS n FROM orders WHERE o_orderkey % 4 = 0 AND o_orderpriority = '1-URGENT' GROUP BY ALL UNION ALL SELECT o_orderpriority, FALSE, count(*)::BIGINT FROM orders WHERE o_orderkey % 4 = 0 AND o_orderpriority <> '1-URGENT' GROUP BY ALL")
+def scoped_stale_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one source and framework go stale when a new generation brings theirs; others stay."""
+    rows = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").selectExpr("o_orderkey % 10 AS generation_id", "o_custkey % 2 AS source_path", "o_orderpriority AS framework", "CAST(NULL AS timestamp) AS stale_at")
+    aged = snapshot.stale_out(rows, F.lit(7), F.lit("2024-01-01").cast("timestamp"), source_path=F.lit(0), framework=F.lit("1-URGENT"))
+    return aged.groupBy("framework", F.col("stale_at").isNotNull().alias("is_stale")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey, n_name, (SELECT count(*) > 0 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AS has_rich FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < 0) AND NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_nationkey)")
+def existence_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semi and anti joins: repositories that exist, and rows not seen yet."""
+    nations = table(spark, sf_dir, "nation")
+    poor = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("n_nationkey"))
+    seen = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_nationkey"))
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")).distinct().withColumn("has_rich", F.lit(True))
+    kept = nations.join(poor, "n_nationkey", "left_semi").join(seen, "n_nationkey", "left_anti").join(rich, "n_nationkey", "left")
+    return kept.select("n_nationkey", "n_name", F.coalesce("has_rich", F.lit(False)).alias("has_rich"))
+
+
+@query("""SELECT s_suppkey, '{"s_suppkey":' || s_suppkey || ',"name":"' || s_name || '","note":' || CASE WHEN s_suppkey % 3 = 0 THEN 'null' ELSE '"n' || s_nationkey || '"' END || '}' AS json FROM supplier""")
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_name AS name", "IF(s_suppkey % 3 = 0, NULL, concat('n', s_nationkey)) AS note")
+    return rows.select("s_suppkey", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+@query(
+    f"""WITH {SYM}, {CAL}, e AS (SELECT 'calls' AS edge_type, source_symbol_id, target_symbol_id FROM cal UNION ALL SELECT 'contains', NULL, versioned_symbol_id FROM sym UNION ALL SELECT 'test_covers', 'v' || (ordinal + 1), versioned_symbol_id FROM sym WHERE ordinal % 9 = 0)
+SELECT s.versioned_symbol_id, count(DISTINCT source_symbol_id) FILTER (WHERE edge_type = 'calls')::BIGINT AS callers, count(*) FILTER (WHERE edge_type = 'test_covers')::BIGINT AS tests FROM sym s JOIN e ON e.target_symbol_id = s.versioned_symbol_id WHERE edge_type IN ('calls', 'test_covers') AND source_symbol_id IN (SELECT versioned_symbol_id FROM sym) GROUP BY 1"""
+)
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of two kinds between symbols, from the stored graph; contains edges start at files and drop."""
+    rows = symbols(spark, sf_dir)
+    made = graph.call_edges(calls(spark, sf_dir)).unionByName(graph.contains_edges(rows))
+    covers = rows.where("ordinal % 9 = 0").select(
+        ids.symbol_node(F.concat(F.lit("v"), (F.col("ordinal") + 1).cast("string"))).alias("source_node_id"), ids.symbol_node(F.col("versioned_symbol_id")).alias("target_node_id"), F.lit("test_covers").alias("edge_type")
+    )
+    edges = made.select("source_node_id", "target_node_id", "edge_type").unionByName(covers)
+    found = graph.symbol_edges(edges, graph.nodes(rows), ("calls", "test_covers"))
+    return found.groupBy(F.col("target_symbol_id").alias("versioned_symbol_id")).agg(
+        F.count_distinct(F.when(F.col("edge_type") == "calls", F.col("source_symbol_id"))).alias("callers"), F.count_if(F.col("edge_type") == "test_covers").alias("tests")
+    )
+
+
+@query("SELECT user_id, count(*)::BIGINT AS attempts, max(event_id) AS last_id, string_agg(event_type, '>' ORDER BY event_id) AS history FROM events WHERE user_id < 40 GROUP BY user_id")
+def attempt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts nested in order under their job, as the dead-letter listing shows them."""
+    tries = table(spark, sf_dir, "events").where("user_id < 40")
+    listed = tries.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("made"))
+    return listed.select("user_id", F.size("made").cast("long").alias("attempts"), F.array_max(F.transform("made", lambda x: x["event_id"])).alias("last_id"), F.array_join(F.transform("made", lambda x: x["event_type"]), ">").alias("history"))
+
+
+@query()
+def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived index kept by a stream of outbox rows, one micro-batch for each source file."""
+    import tempfile
+
+    from lodestrata.streaming import worker
+
+    rows = "user_id AS entity_id", "IF(event_type = 'error', 'delete', 'upsert') AS operation", "props AS payload", "ts AS created_at", "event_id AS outbox_id"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet").selectExpr(*rows)
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = f"{base.rstrip('/')}/index-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    index = worker.StoredTable(spark, f"{root}/table", "entity_id bigint, payload string")
+    worker.sync_stream(stream, index, f"{root}/log").awaitTermination()
+    return index.at(0)

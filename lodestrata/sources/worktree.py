@@ -17,6 +17,11 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     not followed into folders outside the root.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    empty = [(p,) for p in _empty_files(spark, root)]  # the reader passes over files without content
+    if empty:
+        files = files.select("path", "content", "length").unionByName(
+            spark.createDataFrame(empty, "path string").select("path", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("length"))
+        )
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", ""), "^" + _quoted(base) + "/", "")
     rows = files.select(path.alias("file_path"), "content", F.col("length").alias("size_bytes"))
@@ -24,6 +29,18 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     return with_flags(kept.withColumn("content_sha256", F.sha2("content", 256)))
 
 
+def _empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of files without content, listed by the file system of the root."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return out
+
+
 def _quoted(literal: str) -> str:
     return "\\Q" + literal + "\\E"
 
