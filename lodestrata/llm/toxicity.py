@@ -38,7 +38,7 @@ LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 
 WORDS = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"[^\W\d_]+[0-9@$!|*]+[^\W\d_]+")
-CAPITALS = re.compile(r"\b[^\W\d_a-zß-ÿ]{2,}\b")
+MASKS = re.compile(r"[0-9@$!|*]")
 MARKS = re.compile(r"[^\w\s]")
 NAMES = (
     "words_share words_log stems_share stems_log kinds_log weight_mean weight_max weight_sum you_share you_near you_hits capitals "
@@ -51,6 +51,13 @@ def terms(words: set[str]) -> set[str]:
     return words | {f"{w[:n]}-" for w in words for n in STEMS if len(w) > n}
 
 
+def _changed(text: str, low: str) -> int:
+    """Characters that lower case changes."""
+    if len(text) != len(low):
+        return sum(map(str.isupper, text))
+    return int(np.count_nonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") != np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")))
+
+
 def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     """One number for each of NAMES; an empty or null text gives zeros."""
     text = text or ""
@@ -83,13 +90,13 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         after = np.abs(others[np.minimum(right, len(you) - 1)] - hits)
         before = np.abs(hits - others[np.maximum(right - 1, 0)])
         near = int((np.minimum(after, before) <= 5).sum())
-    masked = MASKED.findall(low)
+    masked = MASKED.findall(low) if MASKS.search(low) else []
     hidden = 0
     for m in masked:
         for w in {m.translate(LOOKALIKE), m.replace("*", "")}:
             hidden += w in lexicon or any(f"{w[:k]}-" in lexicon for k in STEMS if len(w) > k)
     size = len(text)
-    upper = sum(map(str.isupper, text)) if not text.islower() else 0
+    upper = _changed(text, low)
     return [
         exact / n,
         float(np.log1p(exact)),
@@ -103,7 +110,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         near / max(len(at), 1),
         float(min(near, 20)),
         upper / size,
-        len(CAPITALS.findall(text)) / n if upper else 0.0,
+        sum(len(w) > 1 and w.isupper() for w in text.split()) / n if upper > 1 else 0.0,
         text.count("!") / n,
         text.count("?") / n,
         len(MARKS.findall(text)) / size,
