@@ -33,7 +33,7 @@ from lodestrata.llm.components import connected_components
 
 ship(__name__)
 
-SHINGLE, SIMILAR, LEAST, REACH = 5, 0.8, 16, 6
+SHINGLE, SIMILAR, LEAST, REACH = 5, 0.8, 16, 4
 BANDS, ROWS = 8, 3
 #: Paragraphs of one band value that one task compares; more are compared chunk against chunk.
 CHUNK = 4096
