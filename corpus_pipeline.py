@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import mixing, packing, simhash, surrogates, toxicity
-from lodestrata.llm.common import stored, table
+from lodestrata.llm.common import broadcast_if_small, cut, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,10 +23,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates keep the document of smallest id, once."""
+    docs = docs.select(COLUMNS)
     groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    kept = docs.select(COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    gone = cut(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti")
+    # Texts are moved only where an id is there more than once.
+    again = cut(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
+    count = again.count()
+    if not count:
+        return kept.select(COLUMNS)
+    more, same = broadcast_if_small(again, count), F.col("doc_id").eqNullSafe(F.col("again"))
+    return kept.join(more, same, "left_anti").unionByName(kept.join(more, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +43,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents so that sources, languages and topics meet their target shares of tokens."""
-    chosen = mixing.mix(docs).where("selected").select(F.col("doc_id").alias("chosen")).distinct()
-    return docs.select(COLUMNS).join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
+    return mixing.mix(docs.select(COLUMNS), carry=True).where("selected").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,10 +50,11 @@ def place_of(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens); a null source or language is a value called unknown."""
+def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens[, row]); a null source or language is a value called unknown."""
     text = F.col("text").cast("string")
     return docs.select(
+        *[F.struct(*docs.columns).alias("row")] * carry,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("unknown")).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("lang"),
@@ -139,15 +140,19 @@ def mix(
     temperature: float = TEMPERATURE,
     sweeps: int = SWEEPS,
     cells_on_driver: int = CELLS,
+    carry: bool = False,
 ) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, probability, selected), one row for each row of ``docs``.
+    """(doc_id, source, lang, topic, n_tokens, probability, selected[, row]), one row for each row of ``docs``.
+
+    With ``carry`` the whole input row comes along as a struct, so that keeping the selected rows takes no
+    join; up to ``cells_on_driver`` cells no document is shuffled at all.
 
     ``targets`` gives the shares wanted for the values of source, lang and topic; by default each value's
     token share raised to ``temperature``, which lifts small ones. ``budget`` is the share of all tokens to
     keep. Values without a target, and texts without tokens in cells without tokens, have probability
     zero; a cell that can't give enough is kept whole. No documents give no rows.
     """
-    marked = measured(docs)
+    marked = measured(docs, carry)
     cells = cut(marked.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     if cells.count() <= cells_on_driver:
         rows = sorted(cells.collect(), key=lambda r: tuple(r[a] for a in AXES))
@@ -159,7 +164,7 @@ def mix(
     else:
         chance = marked.join(_raked_in_place(cells, budget, temperature, sweeps, targets), list(AXES), "left")
     p = F.coalesce("p", F.lit(0.0))
-    return chance.select("doc_id", *AXES, "n_tokens", F.round(p, 6).alias("probability"), (place_of(F.col("doc_id")) < p).alias("selected"))
+    return chance.select(*["row"] * carry, "doc_id", *AXES, "n_tokens", F.round(p, 6).alias("probability"), (place_of(F.col("doc_id")) < p).alias("selected"))
 
 
 def oracle_sql(budget: float = BUDGET, temperature: float = TEMPERATURE, sweeps: int = SWEEPS) -> str:
