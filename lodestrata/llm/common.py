@@ -54,8 +54,11 @@ def stored(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a compressed table in the same folder: for wide rows, and to read single columns."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    saved = context._jvm.org.apache.hadoop.fs.Path(path)
+    saved.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(saved)  # it goes with the application
     return spark.read.parquet(path)
 
 
