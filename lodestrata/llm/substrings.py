@@ -33,7 +33,9 @@ from lodestrata.llm.components import connected_components
 
 ship(__name__)
 
-SHINGLE, SIMILAR, LEAST, REACH = 5, 0.8, 16, 4
+SHINGLE, SIMILAR, LEAST, REACH = 5, 0.8, 16, 6
+#: Words from which on a run of repeated paragraphs is reported. Bounds lie some words inside a pasted passage.
+RUN = 12
 BANDS, ROWS = 8, 3
 #: Paragraphs of one band value that one task compares; more are compared chunk against chunk.
 CHUNK = 4096
@@ -283,7 +285,7 @@ def _line_components(distinct: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, n, cluster_id, removed, units): passages that other documents repeat.
 
-    A row is a longest run of repeated paragraphs of a document, of ``LEAST`` words or more: its first
+    A row is a longest run of repeated paragraphs of a document, of ``RUN`` words or more: its first
     word (from 0), its words, the smallest cluster in it, and how many paragraphs it joins. The document
     of smallest id keeps a cluster; ``removed`` is true in the others. Null and empty texts and short
     ones give no row; rows without a doc_id are left out; rows that repeat a doc_id are one document.
@@ -313,4 +315,4 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         F.min("cluster").alias("cluster_id"),
         F.count(F.lit(1)).alias("units"),
     )
-    return joined.where(F.col("n") >= LEAST).select("doc_id", "start", "n", "cluster_id", "removed", "units")
+    return joined.where(F.col("n") >= RUN).select("doc_id", "start", "n", "cluster_id", "removed", "units")

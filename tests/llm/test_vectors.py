@@ -109,3 +109,22 @@ def test_query_recall_on_the_tables(spark):
     want, _ = brute_links([r.vec_id for r in rows], [r.embedding for r in rows])
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op8_vectors"](spark, path).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["op3_topk", "op8_vectors"])
+def test_sql_twins_on_linked_vectors(spark, tmp_path, name):
+    import duckdb
+
+    from lodestrata.llm.queries import ORACLE_SQL
+
+    rng = np.random.default_rng(11)
+    e = np.concatenate([c + 0.04 * rng.standard_normal((8, 24)) for c in rng.standard_normal((12, 24))])
+    rows = [(int(i), [float(x) for x in v], None) for i, v in enumerate(e)] + [(500, None, 1), (501, [0.0] * 24, 1), (502, [float("nan")] * 24, 1), (None, [1.0] * 24, 1), (3, [float(x) for x in e[3]], 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    cursor = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
+    want = sorted(cursor.fetchall())
+    got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*names).collect())
+    assert got == want and len(got) > 9
