@@ -46,12 +46,21 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     sources = innermost(lines, symbols, ["call_id", "target_name"], ["versioned_symbol_id"]).select(
         "call_id", "target_name", F.col("file_path").alias("call_path"), F.col("versioned_symbol_id").alias("source_symbol_id")
     )
-    named = symbols.select(
-        F.col("name").alias("target_name"), F.col("file_path").alias("target_path"), "fqn", "ordinal", F.col("versioned_symbol_id").alias("target_symbol_id")
-    )
-    other = sources.join(named, "target_name").where("source_symbol_id <> target_symbol_id")
-    order = F.struct((F.col("target_path") != F.col("call_path")).alias("away"), "target_path", "fqn", "ordinal")
-    best = other.groupBy("call_id", "source_symbol_id").agg(F.min_by("target_symbol_id", order).alias("target_symbol_id"))
+    # Of a name's symbols only the first two can be chosen, in the call's file or in all files: one may be the source.
+    own = symbols.groupBy(F.col("name").alias("target_name"), F.col("file_path").alias("call_path"), F.col("versioned_symbol_id").alias("id")).agg(F.min(F.struct("fqn", "ordinal")).alias("o"))
+
+    def first_two(order: list, *keys: str) -> DataFrame:
+        ranked = own.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("n <= 2")
+        return ranked.groupBy(*keys).agg(F.min_by("id", "n").alias("one"), F.max_by("id", F.when(F.col("n") == 2, 1)).alias("two"))
+
+    def other(ends: DataFrame, name: str, *keys: str) -> DataFrame:
+        chosen = F.when(F.col("one") != F.col("source_symbol_id"), F.col("one")).otherwise(F.col("two"))
+        return sources_with.join(ends, list(keys), "left").withColumn(name, chosen).drop("one", "two")
+
+    sources_with = sources
+    sources_with = other(first_two(["o", "id"], "target_name", "call_path"), "near", "target_name", "call_path")
+    sources_with = other(first_two(["call_path", "o", "id"], "target_name"), "far", "target_name")
+    best = sources_with.select("call_id", "source_symbol_id", F.coalesce("near", "far").alias("target_symbol_id")).where("target_symbol_id IS NOT NULL")
     return best.join(calls.select("call_id", "file_path", *SPAN), "call_id")
 
 
@@ -185,8 +194,13 @@ def related_symbols(symbols: DataFrame, chosen: DataFrame) -> DataFrame:
     """(versioned_symbol_id, related_id, place): the first symbols of the same file but itself and modules."""
     mine = chosen.select("versioned_symbol_id", "file_path")
     others = symbols.where("kind <> 'module'").select("file_path", F.col("versioned_symbol_id").alias("related_id"), "start_line", "fqn", "ordinal")
-    order = Window.partitionBy("versioned_symbol_id").orderBy("file_path", "start_line", "fqn", "ordinal")
-    pairs = mine.join(others, "file_path").where("related_id <> versioned_symbol_id")
+    # Only the first of a file can be related to anything: sixteen, and as many as one id has rows.
+    in_file = Window.partitionBy("file_path").orderBy("start_line", "fqn", "ordinal")
+    twins = F.count(F.lit(1)).over(Window.partitionBy("file_path", "related_id"))
+    leading = others.withColumns({"rank": F.row_number().over(in_file), "twins": twins})
+    leading = leading.withColumn("most", F.max("twins").over(Window.partitionBy("file_path"))).where(F.col("rank") <= RELATED + F.col("most"))
+    order = Window.partitionBy("versioned_symbol_id").orderBy("start_line", "fqn", "ordinal")
+    pairs = mine.join(leading, "file_path").where("related_id <> versioned_symbol_id")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= RELATED).select("versioned_symbol_id", "related_id", "place")
 
 

@@ -18,19 +18,17 @@ def innermost(lines: DataFrame, ranges: DataFrame, line_keys: list[str], keep: l
     column span, then the first in order. Lines outside all ranges drop.
 
     Ranges are put in bins as wide as a power of two near their own length, so a line meets only the
-    ranges near it, not all of its file: a line has one bin for each width in use.
+    ranges near it, not all of its file. A line that many rows name is looked up once.
     """
     width = F.pow(F.lit(2), F.ceil(F.log2((F.col("end_line") - F.col("start_line") + 1).cast("double")))).cast("long")
     sized = ranges.where("end_line >= start_line").withColumn("w", width)
     binned = sized.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_line") / F.col("w")), F.floor(F.col("end_line") / F.col("w")))))
-    widths = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
-    probes = lines.withColumn("w", F.explode(widths)).withColumn("bin", F.floor(F.col("line") / F.col("w")))
-    used = sized.select("file_path", "w").distinct()
-    probes = probes.join(used, ["file_path", "w"], "left_semi")
-    hits = probes.join(binned, ["file_path", "w", "bin"]).where("line BETWEEN start_line AND end_line")
+    used = sized.select("file_path", "w").distinct()  # a few widths for each file
+    points = lines.select("file_path", "line").distinct().join(used, "file_path").withColumn("bin", F.floor(F.col("line") / F.col("w")))
+    hits = points.join(binned, ["file_path", "w", "bin"]).where("line BETWEEN start_line AND end_line")
     order = F.struct((F.col("end_line") - F.col("start_line")).alias("a"), _saturating("end_col", "start_col").alias("b"), F.col("ordinal").alias("c"))
-    best = hits.groupBy("file_path", "line", *line_keys).agg(F.min_by(F.struct(*keep), order).alias("best"))
-    return best.select("file_path", "line", *line_keys, "best.*")
+    best = hits.groupBy("file_path", "line").agg(F.min_by(F.struct(*keep), order).alias("best"))
+    return lines.select("file_path", "line", *line_keys).join(best, ["file_path", "line"]).select("file_path", "line", *line_keys, "best.*")
 
 
 def changed_symbols(changed_lines: DataFrame, symbols: DataFrame, keep: list[str]) -> DataFrame:
