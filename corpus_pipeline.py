@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import mixing, packing, simhash, surrogates, toxicity
+from lodestrata.llm import copies, mixing, packing, surrogates, toxicity
 from lodestrata.llm.common import broadcast_if_small, cut, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates keep the document of smallest id, once."""
+    """Of every group of near-duplicates, at a similarity of 0.8 over five-word shingles, keep the document of smallest id, once."""
     docs = docs.select(COLUMNS)
-    groups = simhash.near_duplicates(docs)
+    groups = copies.near_copies(docs)
     gone = cut(groups.where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti")
     # Texts are moved only where an id is there more than once.
