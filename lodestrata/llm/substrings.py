@@ -7,10 +7,12 @@ compared across the whole corpus:
   of ``SHINGLE`` words. MinHash signatures are cut into ``BANDS`` bands of ``ROWS`` rows, which finds a
   pair of similarity 0.8 with probability 0.997; pairs that share a band are verified exactly on their
   shingle sets, and the verified links are joined into components.
-* blocks inside lines, for passages pasted into other text. Block bounds depend on the words near them
-  only (a word whose hash is the smallest within ``REACH`` words), so that a pasted passage is cut alike
-  wherever it stands. A block's band is its whole hash: only equal blocks collide, and each set of equal
-  blocks is a component.
+* blocks inside lines, for passages pasted into other text. Bounds are the smallest hashes of ``GRAM``
+  words in every window of ``WINDOW`` such hashes, the rightmost of equal ones. A window that lies inside a
+  pasted passage gives the same bound wherever the passage stands, and between two such bounds stands no
+  other, so that every passage of 51 words or more holds blocks of 13 words or more together. A block
+  reaches to the end of the words of its last bound. A block's band is its whole hash: only equal blocks
+  collide, and each set of equal blocks is a component.
 
 Equal paragraphs are merged by their 64-bit hash before anything is compared; a hash is one row for each
 task and value, however common the paragraph is.
@@ -34,7 +36,9 @@ from lodestrata.llm.components import connected_components
 ship(__name__)
 
 SHINGLE, SIMILAR, LEAST, REACH = 5, 0.8, 16, 6
-#: Words from which on a run of repeated paragraphs is reported. Bounds lie some words inside a pasted passage.
+#: Words of a bound and bounds of a window. 51 words hold two windows apart, and 51 - 2 * WINDOW + 2 words of blocks.
+GRAM, WINDOW = 8, 20
+#: Words from which on a run of repeated paragraphs is reported. Bounds lie up to 19 words inside a pasted passage.
 RUN = 12
 BANDS, ROWS = 8, 3
 #: Paragraphs of one band value that one task compares; more are compared chunk against chunk.
@@ -77,6 +81,24 @@ def block_starts(h: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.flatnonzero(low) + reach
 
 
+def bounds(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of the bounds of texts in a row, of ``sizes`` words each; no window reaches another text."""
+    n = len(h) - GRAM - WINDOW + 2
+    if n < 1:
+        return np.zeros(0, dtype=np.int64)
+    grams = np.zeros(len(h) - GRAM + 1, dtype=np.uint64)
+    for i in range(GRAM):
+        grams = _mix(grams * _MULTIPLY[2] + h[i : i + len(grams)])
+    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+    left = np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n)  # words from each window to its text's end
+    chosen = []
+    for at in range(0, n, 65536):
+        some = windows[at : at + 65536]
+        last = at + np.arange(len(some)) + WINDOW - 1 - np.argmin(some[:, ::-1], axis=1)
+        chosen.append(last[left[at : at + 65536] >= GRAM + WINDOW - 1])
+    return np.unique(np.concatenate(chosen))
+
+
 def paragraphs(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
     """The words of a text, and (start, length) of each line of ``LEAST`` words or more."""
     words: list[bytes] = []
@@ -119,15 +141,13 @@ def _rows(names: list[int], texts: list[tuple], with_text: bool) -> pa.RecordBat
     h = _hashes(every)
     sizes = np.array([len(words) for words, _ in texts])
     begins = np.cumsum(sizes) - sizes
-    cuts = block_starts(h)
+    cuts = bounds(h, sizes)
     owner = np.searchsorted(begins, cuts, side="right") - 1
-    inside = (cuts - begins[owner] >= REACH) & (begins[owner] + sizes[owner] - cuts > REACH)  # no window reaches another document
-    cuts, owner = cuts[inside], owner[inside]
     same = owner[1:] == owner[:-1]
     lines = np.array([(d, begins[d] + s, n) for d, (_, found) in enumerate(texts) for s, n in found], dtype=np.int64).reshape(-1, 3)
     who = np.concatenate([lines[:, 0], owner[:-1][same]])
     start = np.concatenate([lines[:, 1], cuts[:-1][same]])
-    n = np.concatenate([lines[:, 2], np.diff(cuts)[same]])
+    n = np.concatenate([lines[:, 2], np.diff(cuts)[same] + GRAM])
     kind = np.concatenate([np.full(len(lines), LINE, dtype=np.int32), np.full(len(who) - len(lines), BLOCK, dtype=np.int32)])
     uid = _spans(h, start, n) if len(n) else np.zeros(0, dtype=np.int64)
     uid = np.where(kind == BLOCK, uid ^ BLOCK_IDS, uid)  # ids of blocks and lines never meet

@@ -93,3 +93,34 @@ def test_signatures_do_not_depend_on_the_batch():
     rng = random.Random(6)
     texts = [" ".join(words(rng, rng.randrange(16, 60))) for _ in range(50)]
     assert (substrings._bands(texts) == np.concatenate([substrings._bands([t]) for t in texts])).all()
+
+
+def blocks(text):
+    """(words, first word) of every block of a text."""
+    h = substrings._hashes(text)
+    cuts = substrings.bounds(h, np.array([len(h)]))
+    return {(tuple(text[a : b + substrings.GRAM]), int(a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+
+
+@pytest.mark.parametrize("vocabulary", [3, 40, 4000])
+def test_every_passage_of_51_words_holds_a_run(vocabulary):
+    """Also where words repeat so often that the smallest one recurs within a few words."""
+    rng = random.Random(vocabulary)
+    some = lambda n: [b"w%d" % rng.randrange(vocabulary) for _ in range(n)]
+    for _ in range(300):
+        passage, heads = some(51), [some(rng.randrange(60)) for _ in range(2)]
+        one, two = (blocks(head + passage + some(rng.randrange(60))) for head in heads)
+        alike = {(w, a - len(heads[0])) for w, a in one} & {(w, a - len(heads[1])) for w, a in two}
+        inside = {i for w, a in alike for i in range(a, a + len(w)) if 0 <= a and a + len(w) <= 51}
+        assert len(inside) >= substrings.RUN
+
+
+def test_passages_of_few_words_are_found(spark):
+    rng = random.Random(13)
+    docs = []
+    for k in range(40):
+        passage = [f"p{k}x{rng.randrange(4)}" for _ in range(51)]
+        docs += [(2 * k + j, " ".join(words(rng, rng.randrange(20, 90)) + passage + words(rng, 50))) for j in range(2)]
+    got = substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.removed} == set(range(1, 80, 2))
+    assert {r.doc_id for r in got if not r.removed} == set(range(0, 80, 2))
