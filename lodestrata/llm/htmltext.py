@@ -44,6 +44,9 @@ SIBLINGS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+#: Where only PARTS of a table may stand; text and other elements go before the table.
+ROWS = frozenset("table thead tbody tfoot tr colgroup".split())
+PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 #: Open elements deeper than this are treated as inline text of the deepest, so depth never costs a stack.
 DEEPEST = 200
 
@@ -65,9 +68,34 @@ def parse(source: str) -> Node:
     root = Node("#document", {})
     stack = [root]
 
+    def add(part: Node | str) -> None:
+        """Put a part into the deepest open element, or before the table that has no place for it."""
+        if stack[-1].name in ROWS and (part.strip(" \t\n\r\f") if isinstance(part, str) else part.name not in PARTS):
+            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "table"), 0)
+            if at:
+                stack[at - 1].parts.insert(-1, part)  # an open table is the last part of its parent
+                return
+        stack[-1].parts.append(part)
+
     def text(s: str) -> None:
         if s:
-            stack[-1].parts.append(html.unescape(s))
+            add(html.unescape(s))
+
+    def back_to_table(name: str) -> None:
+        """Close what stands before an open table, as its next part or another table comes."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in ROWS:
+                del stack[i + 1 :]
+                break
+            if stack[i].name in ("td", "th", "caption"):
+                return
+        else:
+            return
+        if name in ("caption", "colgroup", "col", "table"):
+            while len(stack) > 1 and stack[-1].name in ROWS - {"table"}:
+                stack.pop()
+        if name == "table" and stack[-1].name == "table":
+            stack.pop()
 
     def close_to(names: set[str], stops: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -95,9 +123,9 @@ def parse(source: str) -> Node:
         name = found.lower()
         if ends:
             if name == "br":
-                stack[-1].parts.append(Node("br", {}))
+                add(Node("br", {}))
             elif name == "p" and not any(x.name == "p" for x in stack):
-                stack[-1].parts.append(Node("p", {}))
+                add(Node("p", {}))
             else:
                 bounds = {"table"} if name not in ("table", "body", "html") else set()
                 for i in range(len(stack) - 1, 0, -1):
@@ -109,6 +137,8 @@ def parse(source: str) -> Node:
             continue
         if not shut:
             return root  # a tag that the end of the text cuts off
+        if name in PARTS or (name == "table" and stack[-1].name in ROWS):
+            back_to_table(name)
         if name in CLOSES_P:
             close_to({"p"}, {"table", "td", "th", "caption", "button", "object"})
         if name in SIBLINGS:
@@ -125,7 +155,7 @@ def parse(source: str) -> Node:
                 value = next((v for v in a.groups()[1:] if v is not None), "")
                 attributes.setdefault(a[1].lower(), html.unescape(value) if "&" in value else value)
         node = Node(name, attributes)
-        stack[-1].parts.append(node)
+        add(node)
         if name in VOID:
             continue
         if name in RAW:
@@ -277,25 +307,37 @@ def _span(value: str, most: int) -> int:
 
 
 def _table(table: Node, page: Page) -> None:
-    """Rows on lines, columns padded to their widest cell; spans take the columns that they cover."""
+    """Rows on lines, columns padded to their widest cell; spans take the columns that they cover.
+
+    What may not stand in a table, a row group or a row comes before the table, in its order.
+    """
     captions: list[Node] = []
     groups: dict[str, list[Node]] = {"thead": [], "": [], "tfoot": []}
 
+    loose = Node("div", {})
+
     def gather(node: Node, group: str) -> None:
         for part in node.parts:
-            if isinstance(part, str) or not visible(part):
-                continue
-            if part.name == "tr":
-                groups[group].append(part)
-            elif part.name in ("thead", "tbody", "tfoot"):
-                gather(part, part.name if part.name in groups else "")
-            elif part.name == "caption":
-                captions.append(part)
+            if isinstance(part, str):
+                if part.strip():
+                    loose.parts.append(part)
+            elif part.name in ("tr", "thead", "tbody", "tfoot", "caption"):
+                if not visible(part):
+                    continue
+                if part.name == "tr":
+                    groups[group].append(part)
+                    loose.parts += [p for p in part.parts if (p.strip() if isinstance(p, str) else p.name not in ("td", "th"))]
+                elif part.name == "caption":
+                    captions.append(part)
+                else:
+                    gather(part, part.name if part.name in groups else "")
+            elif part.name == "colgroup":
+                gather(part, group)
+            elif part.name != "col":
+                loose.parts.append(part)
 
     gather(table, "")
-    loose = Node("div", {})
-    loose.parts = [p for p in table.parts if (p.strip() if isinstance(p, str) else p.name not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col"))]
-    for part in [*captions, loose]:
+    for part in [loose, *captions]:
         _render(part, page, False, table)
         page.block(False)
     grid: list[dict[int, tuple[list[str], int]]] = []
@@ -306,13 +348,6 @@ def _table(table: Node, page: Page) -> None:
         taken = {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in row.parts:
             if isinstance(cell, str) or cell.name not in ("td", "th") or not visible(cell):
-                if not isinstance(cell, str) and visible(cell) and cell.name not in ("td", "th"):
-                    inner = Page()
-                    _render(cell, inner, False, row)
-                    inner.end()
-                    if inner.lines:
-                        cells[column] = (inner.lines, 1)
-                        column += 1
                 continue
             while column in covered:
                 column += 1

@@ -55,3 +55,22 @@ def test_edges(spark):
     got = htmltext.extract(df).collect()
     assert sorted((r.page_id or 0, len(r.text)) for r in got) == [(0, 1), (1, 0), (1, 1), (2, 249999)]
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+STRAY = [
+    ("<table><tr>Total<td>5</table>", "Total\n\n5"),
+    ("<table><tbody><p>note</p><tr><td>1</table>", "note\n\n1"),
+    ("<table>a<thead>b<tr>c<th>h</th>d</tr></thead><tfoot>e<tr><td>f</table>", "abcde\n\nh\nf"),
+    ("<table><caption>cap</caption><tr><b>x</b><td>1<td>2</tr>y</table>", "xy\n\ncap\n1  2"),
+    ("<table><colgroup><col>z</colgroup><tr hidden>y<td>no</tr><tr><i hidden>no</i><td>1</table>", "zy\n\n1"),
+    ("<table hidden><tr>seen<td>no</table>", "seen"),
+    ("<table><tr><b>x<td>1<td>2</table>", "x\n\n1  2"),
+    ("<table><form><tr><td>1<td>2</form></table>z", "1  2\n\nz"),
+    ("<table><tr>a<table><tr><td>1</table>b", "a\n\n1\n\nb"),
+    ("<table><tr><td>a<table>b<tr><td>1</table>c</table>", "ab\n\n1\n\nc"),
+]
+
+
+@pytest.mark.parametrize("source,want", STRAY)
+def test_stray_parts_of_tables_come_before_them(source, want):
+    assert htmltext.render(source).strip() == want
