@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,9 +48,6 @@ SIBLINGS = {
 #: Where only PARTS of a table may stand; text and other elements go before the table.
 ROWS = frozenset("table thead tbody tfoot tr colgroup".split())
 PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
-#: Open elements deeper than this are treated as inline text of the deepest, so depth never costs a stack.
-DEEPEST = 200
-
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*)(?:>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?P<shut>>|\Z)|(?P<bad_end>/)?(?P<bad_name>[A-Za-z][^\s/>]*)(?P<bad_rest>[^>]*)(?P<bad_shut>>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -67,11 +65,24 @@ def parse(source: str) -> Node:
     """The tree of a document; its parts are nodes and strings with entities resolved."""
     root = Node("#document", {})
     stack = [root]
+    where: dict[str, list[int]] = {}  # name: places of its open elements in the stack
+
+    def deepest(names) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=0)
+
+    def push(node: Node) -> None:
+        where.setdefault(node.name, []).append(len(stack))
+        stack.append(node)
+
+    def cut(at: int) -> None:
+        """Close the elements from a place in the stack on."""
+        while len(stack) > at:
+            where[stack.pop().name].pop()
 
     def add(part: Node | str) -> None:
         """Put a part into the deepest open element, or before the table that has no place for it."""
         if stack[-1].name in ROWS and (part.strip(" \t\n\r\f") if isinstance(part, str) else part.name not in PARTS):
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "table"), 0)
+            at = deepest(("table",))
             if at:
                 stack[at - 1].parts.insert(-1, part)  # an open table is the last part of its parent
                 return
@@ -83,30 +94,22 @@ def parse(source: str) -> Node:
 
     def back_to_table(name: str) -> None:
         """Close what stands before an open table, as its next part or another table comes."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in ROWS:
-                del stack[i + 1 :]
-                break
-            if stack[i].name in ("td", "th", "caption"):
-                return
-        else:
+        row = deepest(ROWS)
+        if row <= deepest(("td", "th", "caption")):
             return
+        cut(row + 1)
         if name in ("caption", "colgroup", "col", "table"):
             while len(stack) > 1 and stack[-1].name in ROWS - {"table"}:
-                stack.pop()
+                cut(len(stack) - 1)
         if name == "table" and stack[-1].name == "table":
-            stack.pop()
+            cut(len(stack) - 1)
 
     def close_to(names: set[str], stops: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                first = i
-                while first > 1 and stack[first - 1].name in names:
-                    first -= 1
-                del stack[first:]
-                return
-            if stack[i].name in stops:
-                return
+        first = deepest(names)
+        if first and first >= deepest(stops):
+            while first > 1 and stack[first - 1].name in names:
+                first -= 1
+            cut(first)
 
     at = 0
     while True:
@@ -124,16 +127,13 @@ def parse(source: str) -> Node:
         if ends:
             if name == "br":
                 add(Node("br", {}))
-            elif name == "p" and not any(x.name == "p" for x in stack):
+            elif name == "p" and not where.get("p"):
                 add(Node("p", {}))
             else:
-                bounds = {"table"} if name not in ("table", "body", "html") else set()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name == name:
-                        del stack[i:]
-                        break
-                    if stack[i].name in bounds and name not in SIBLINGS:
-                        break
+                bounds = {"table"} if name not in ("table", "body", "html", *SIBLINGS) else set()
+                first = deepest((name,))
+                if first and first >= deepest(bounds):
+                    cut(first)
             continue
         if not shut:
             return root  # a tag that the end of the text cuts off
@@ -144,11 +144,11 @@ def parse(source: str) -> Node:
         if name in SIBLINGS:
             close_to(*SIBLINGS[name])
         if re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", stack[-1].name):
-            stack.pop()
+            cut(len(stack) - 1)
         if name in ("td", "th") and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr", {})
             stack[-1].parts.append(row)
-            stack.append(row)
+            push(row)
         attributes = {}
         if rest.strip():
             for a in ATTRIBUTE.finditer(rest):
@@ -167,8 +167,7 @@ def parse(source: str) -> Node:
         if name == "plaintext":
             node.parts.append(source[at:])
             return root
-        if len(stack) < DEEPEST:
-            stack.append(node)
+        push(node)
 
 
 def visible(node: Node) -> bool:
@@ -241,7 +240,18 @@ def _list_mark(node: Node, parent: Node, number: int) -> str:
     return f"{number}. " if parent.name == "ol" else "* "
 
 
-def _render(node: Node, page: Page, kept: bool, parent: Node) -> None:
+def _walk(steps: Iterator) -> None:
+    """Run steps that yield the steps to run before them, on a stack of their own: depth costs no recursion."""
+    stack = [steps]
+    while stack:
+        below = next(stack[-1], None)
+        if below is None:
+            stack.pop()
+        else:
+            stack.append(below)
+
+
+def _render(node: Node, page: Page, kept: bool, parent: Node) -> Iterator:
     number = 1
     if node.name == "ol":
         start = node.attributes.get("start", "")
@@ -267,7 +277,7 @@ def _render(node: Node, page: Page, kept: bool, parent: Node) -> None:
                 page.word(f" {part.attributes.get('value', '')} ")
         elif name == "table":
             page.block(True)
-            _table(part, page)
+            yield _table(part, page)
             page.block(True)
         elif name == "li":
             page.block(False)
@@ -279,7 +289,7 @@ def _render(node: Node, page: Page, kept: bool, parent: Node) -> None:
             number += 1
             old = page.indent
             page.indent, page.mark = old + " " * len(mark), mark
-            _render(part, page, kept, node)
+            yield _render(part, page, kept, node)
             page.block(False)
             page.indent, page.mark = old, ""
         elif name in BLOCK:
@@ -287,26 +297,26 @@ def _render(node: Node, page: Page, kept: bool, parent: Node) -> None:
             old = page.indent
             if name in ("blockquote", "dd"):
                 page.indent = old + "    "
-            _render(part, page, kept or name == "pre", node)
+            yield _render(part, page, kept or name == "pre", node)
             page.indent = old
             page.block(name in SPACED and not (name in ("ul", "ol", "menu", "dir") and node.name == "li"))
         elif name == "q":
             page.word('"')
-            _render(part, page, kept, node)
+            yield _render(part, page, kept, node)
             page.word('"')
         elif name in ("option", "textarea", "xmp", "plaintext", "tr", "td", "th", "optgroup"):
             page.block(False)
-            _render(part, page, kept or name in ("textarea", "xmp", "plaintext"), node)
+            yield _render(part, page, kept or name in ("textarea", "xmp", "plaintext"), node)
             page.block(False)
         else:
-            _render(part, page, kept, node)
+            yield _render(part, page, kept, node)
 
 
 def _span(value: str, most: int) -> int:
     return min(max(int(value), 1), most) if re.fullmatch(r"\d{1,6}", value) else 1
 
 
-def _table(table: Node, page: Page) -> None:
+def _table(table: Node, page: Page) -> Iterator:
     """Rows on lines, columns padded to their widest cell; spans take the columns that they cover.
 
     What may not stand in a table, a row group or a row comes before the table, in its order.
@@ -338,7 +348,7 @@ def _table(table: Node, page: Page) -> None:
 
     gather(table, "")
     for part in [loose, *captions]:
-        _render(part, page, False, table)
+        yield _render(part, page, False, table)
         page.block(False)
     grid: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[int, int] = {}  # column: rows below that a cell still covers
@@ -352,7 +362,7 @@ def _table(table: Node, page: Page) -> None:
             while column in covered:
                 column += 1
             inner = Page()
-            _render(cell, inner, False, row)
+            yield _render(cell, inner, False, row)
             inner.end()
             wide = _span(cell.attributes.get("colspan", ""), 1000)
             deep = _span(cell.attributes.get("rowspan", ""), 1000)
@@ -395,7 +405,7 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     page = Page()
-    _render(parse(source), page, False, Node("#none", {}))
+    _walk(_render(parse(source), page, False, Node("#none", {})))
     page.end()
     return "\n".join(page.lines).replace("\x00", "")
 

@@ -74,3 +74,12 @@ STRAY = [
 @pytest.mark.parametrize("source,want", STRAY)
 def test_stray_parts_of_tables_come_before_them(source, want):
     assert htmltext.render(source).strip() == want
+
+
+@pytest.mark.parametrize("deep", [300, 20000])
+def test_depth_changes_nothing(deep):
+    a, b = "<div>" * deep, "</div>" * deep
+    inside = "<ul><li>a<li>b</ul><noscript><b>no</b></noscript><div hidden><p>no</p></div><table><tr><td>1<td>2</table><p>c</p>"
+    assert htmltext.render(a + inside + b + "z").strip() == "* a\n* b\n\n1  2\n\nc\n\nz"
+    assert htmltext.render("<span>" * deep + "x<div>y</div>" + "</span>" * deep + "z").strip() == "x\ny\nz"
+    assert htmltext.render("<table><tr><td>" * 300 + "x" + "</table>" * 300).strip() == "x"
