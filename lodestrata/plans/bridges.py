@@ -33,7 +33,7 @@ CAL = f"""cal AS (SELECT {CALLS} FROM (
 RAW = """raw AS (SELECT call_id, p_brand AS file_path, line, t_name AS target_name FROM (
   SELECT l_orderkey * 10 + l_linenumber AS call_id, l_partkey, CAST(l_quantity AS INT) AS line, l_suppkey AS t_key FROM (
     SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS twin FROM lineitem)
-  WHERE twin = 1 AND l_orderkey % 10 = 3) l
+  WHERE twin = 1) l
   JOIN part p ON p.p_partkey = l.l_partkey JOIN (SELECT p_partkey AS t_key2, p_name AS t_name FROM part) t ON t.t_key2 = l.t_key)"""
 
 #: Events as jobs of a queue named by their type.
@@ -54,7 +54,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 3")
+    rows = table(spark, sf_dir, "lineitem")
     rows = rows.selectExpr("*", "row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS twin").where("twin = 1")
     part = table(spark, sf_dir, "part")
     own = part.selectExpr("p_partkey AS l_partkey", "p_brand AS file_path")
