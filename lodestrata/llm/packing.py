@@ -31,6 +31,8 @@ CAPACITY, FILL, END = 2048, 0.97, 1
 #: Pieces left over that one worker packs again.
 AGAIN = 200_000
 VOCABULARY = "byte_bpe_50k"
+#: White space from this length on overflows the stack of the faster reader's expressions.
+BLANKS = 10_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -44,27 +46,35 @@ def _encoder(path: str):
     """The ids of the vocabulary file, by the faster of the two libraries that read it.
 
     The file is a byte-level BPE, so tiktoken gives the ids that tokenizers gives; tests compare both.
+    tokenizers reads texts that hold ``BLANKS`` characters of white space in a row.
     """
     import json
+    import re
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
+    whole = Tokenizer.from_file(path)
+    safe = lambda text: whole.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         saved = json.load(f)
     known = (saved.get("normalizer"), saved["pre_tokenizer"].get("type"), saved["pre_tokenizer"].get("add_prefix_space"), saved["pre_tokenizer"].get("use_regex"))
     if known != (None, "ByteLevel", False, True) or saved["model"]["type"] != "BPE":
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        return lambda text: whole.encode(text, add_special_tokens=False).ids
+        return safe
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     special = {t["content"]: t["id"] for t in saved["added_tokens"]}
     ranks = {bytes(letter[c] for c in word): i for word, i in saved["model"]["vocab"].items() if word not in special}
     made = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    names = set(special)
-    return lambda text: made.encode(text, allowed_special=names, disallowed_special=()) if any(s in text for s in names) else made.encode_ordinary(text)
+    names, blanks = set(special), re.compile(rf"\s{{{BLANKS}}}")
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= BLANKS and blanks.search(text):
+            return safe(text)
+        return made.encode(text, allowed_special=names, disallowed_special=()) if any(s in text for s in names) else made.encode_ordinary(text)
+
+    return encode
 
 
 def encode(text: str | None, path: str) -> np.ndarray:
@@ -126,7 +136,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, fil
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one for each piece.
 
     A null text counts as empty and gives its end id. Rows that repeat a doc_id, or have none, are packed
-    as documents of their own. Only doc_id and text are read.
+    as documents of their own. A text may have any length and hold anything. No rows give no pieces. Only
+    doc_id and text are read, so other columns may have any name.
     """
     path = path or vocabulary_path()
 

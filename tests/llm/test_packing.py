@@ -60,3 +60,16 @@ def test_edges_and_many_workers(spark, monkeypatch, again):
     rows = packing.pack(df.repartition(6)).collect()
     check(rows, docs)
     assert packing.pack(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "7" * 300_000, " " * 50_000, "x" + " " * 9_999 + "y", (" " * 10_000 + "x") * 20, "a" + "\t \n" * 40_000 + "<|endoftext|>b"])
+def test_texts_of_any_length_and_kind(text):
+    path = packing.vocabulary_path()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.encode(text, path).tolist() == [*want, 1]
+
+
+def test_very_long_blank_texts_pack(spark):
+    docs = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "a" * 1_000_000), (4, "plain words")]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    check(rows, docs)
