@@ -35,7 +35,9 @@ def sound_vectors(vectors: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 
 #: Rows of a block of candidates and of a block of queries; a task holds one of each.
-CANDIDATES, QUERIES_AT_ONCE, SLICE, SEGMENTS = 8192, 8192, 256, 2
+CANDIDATES, QUERIES_AT_ONCE, SLICE, SEGMENTS = 8192, 8192, 256, 4
+#: Share of entries above the bound up to which they are resolved one by one, not by whole rows.
+FEW = 0.1
 LONG = float(1 << 53)
 
 
@@ -43,14 +45,6 @@ def _grid(column: pd.Series) -> np.ndarray:
     return np.floor(256 * np.stack(column.to_numpy()).astype(np.float64))
 
 
-def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products: by doubles where these are exact, else by Python's integers, held to long."""
-    if not q.size or not x.size or float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < LONG:
-        return q @ x.T
-    whole = lambda m: np.array([[int(v) for v in row] for row in m], dtype=object)
-    return np.clip(whole(q) @ whole(x).T, -(1 << 63), (1 << 63) - 1)
-
-
 def _segments(width: int) -> list[slice]:
     cuts = np.linspace(0, width, min(SEGMENTS, width) + 1).astype(int)
     return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -66,15 +60,113 @@ def _highest(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))][:k]
 
 
-def _blocks(pdf: pd.DataFrame):
-    """For each slice of the block's queries: their rows, and the score matrix of every segment."""
+def _rest(m: np.ndarray, cuts: list[slice]) -> np.ndarray:
+    """(rows, segments): the norm of what lies beyond each segment, rounded up."""
+    squares = np.stack([(m[:, c] ** 2).sum(axis=1) for c in cuts], axis=1)
+    beyond = np.cumsum(squares[:, ::-1], axis=1)[:, ::-1] - squares
+    return np.sqrt(np.maximum(beyond, 0.0)) * (1 + 1e-9) + 1e-3
+
+
+class Block:
+    """The candidates of a block, as integers in doubles, their heaviest components first.
+
+    Rows with a component too large for exact sums of doubles are left to Python's integers (``huge``).
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.limit = np.sqrt(LONG / x.shape[1]) / 2
+        plain = np.abs(x).max(axis=1) <= self.limit
+        self.huge_ids, self.huge = ids[~plain], x[~plain]
+        self.order = np.argsort(-(x[plain] ** 2).sum(axis=0), kind="stable")
+        self.ids, self.x = ids[plain], x[plain][:, self.order]
+        self.cuts = _segments(x.shape[1])
+        self.beyond = _rest(self.x, self.cuts)
+        self.scored = self.skipped = 0  # parts of entries that were worked out, and that were not
+
+    def _whole(self, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> list[tuple[int, int]]:
+        """(score, id) of every row, by Python's integers, held to long."""
+        mine = [int(v) for v in q]
+        return [(min(max(sum(a * int(b) for a, b in zip(mine, row, strict=True)), -(1 << 63)), (1 << 63) - 1), int(i)) for row, i in zip(x, ids, strict=True)]
+
+    def _odd(self, q: np.ndarray, me: int, k: int, plain: bool) -> list[tuple[int, int]]:
+        """The k best of the entries that doubles can't score: huge rows, and all rows of a huge query."""
+        found = self._whole(q, self.huge_ids, self.huge)
+        if not plain:
+            back = np.argsort(self.order)
+            found += self._whole(q, self.ids, self.x[:, back])
+        return sorted(((s, i) for s, i in found if i != me), key=lambda e: (-e[0], e[1]))[:k]
+
+    def first(self, mine: np.ndarray, q: np.ndarray, k: int):
+        """Phase one: the k best entries of each query in the list of the first segment, with their whole scores."""
+        plain = np.abs(q).max(axis=1) <= self.limit
+        p = q[:, self.order]
+        part = p[plain][:, self.cuts[0]] @ self.x[:, self.cuts[0]].T
+        row = iter(part)
+        for i, me in enumerate(mine):
+            out = self._odd(q[i], me, k, plain[i])
+            if plain[i] and len(self.ids):
+                at = next(row)
+                at = np.where(self.ids == me, -np.inf, at)
+                best = np.argpartition(at, len(at) - k - 1)[-k - 1 :] if len(at) > k + 1 else np.arange(len(at))
+                best = best[self.ids[best] != me]
+                out += [(int(s), int(j)) for s, j in zip(self.x[best] @ p[i], self.ids[best], strict=True)]
+            yield me, sorted(out, key=lambda e: (-e[0], e[1]))[:k]
+
+    def best(self, mine: np.ndarray, q: np.ndarray, cutoff: np.ndarray, k: int):
+        """Phases two and three: the k best entries of each query among all that can reach its cutoff.
+
+        Segments are scored in turn. What the parts still open can add is at most the product of the norms
+        beyond, so an entry whose sum and that bound stay under the cutoff is dropped; the rest are resolved
+        to the end. No entry whose parts all stay under their uniform share of the cutoff outlives this test.
+        """
+        plain = np.abs(q).max(axis=1) <= self.limit
+        p, rows = q[plain][:, self.order], np.flatnonzero(plain)
+        beyond, limits, own = _rest(p, self.cuts), cutoff[plain], mine[plain]
+        found: dict[int, list[tuple[int, int]]] = {int(i): [] for i in range(len(mine))}
+        if len(p) and len(self.ids):
+            whole = np.zeros((len(p), len(self.ids)))
+            pairs = None
+            for s, c in enumerate(self.cuts):
+                if pairs is None:
+                    whole += p[:, c] @ self.x[:, c].T
+                    self.scored += whole.size
+                    open_ = whole + beyond[:, s, None] * self.beyond[None, :, s] >= limits[:, None]
+                    if open_.mean() <= FEW or s == len(self.cuts) - 1:
+                        a, b = np.nonzero(open_)
+                        pairs, sums = (a, b), whole[a, b]
+                        self.skipped += (whole.size - len(a)) * (len(self.cuts) - 1 - s)
+                else:
+                    a, b = pairs
+                    sums = sums + np.einsum("ij,ij->i", p[a][:, c], self.x[b][:, c])
+                    self.scored += len(a)
+                    keep = sums + beyond[a, s] * self.beyond[b, s] >= limits[a]
+                    self.skipped += int((~keep).sum()) * (len(self.cuts) - 1 - s)
+                    pairs, sums = (a[keep], b[keep]), sums[keep]
+            a, b = pairs
+            other = self.ids[b] != own[a]
+            a, b, sums = a[other], b[other], sums[other]
+            edges = np.searchsorted(a, np.arange(len(p) + 1))  # pairs come by query
+            for i in range(len(p)):
+                at = slice(edges[i], edges[i + 1])
+                top = _highest(sums[at], self.ids[b[at]], k)
+                found[int(rows[i])] = [(int(sums[at][j]), int(self.ids[b[at]][j])) for j in top]
+        for i, me in enumerate(mine):
+            out = found[i] + self._odd(q[i], me, k, plain[i])
+            yield me, sorted(out, key=lambda e: (-e[0], e[1]))[:k]
+
+
+def _entries(pdf: pd.DataFrame, cutoffs: pd.DataFrame | None, k: int) -> pd.DataFrame:
+    """The entries of one block of queries in one block of candidates: of phase one, or with cutoffs of phase three."""
     ask, have = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    out = []
     if len(ask) and len(have):
-        x, ids = _grid(have["embedding"]), have["vec_id"].to_numpy()
+        block = Block(have["vec_id"].to_numpy(), _grid(have["embedding"]))
+        limits = None if cutoffs is None else ask["vec_id"].map(cutoffs.set_index("of")["cutoff"]).astype(np.float64).fillna(-np.inf).to_numpy()
         for at in range(0, len(ask), SLICE):
-            some = ask.iloc[at : at + SLICE]
-            q = _grid(some["embedding"])
-            yield some, ids, [_product(q[:, s], x[:, s]) for s in _segments(q.shape[1])]
+            mine, q = ask["vec_id"].to_numpy()[at : at + SLICE], _grid(ask["embedding"].iloc[at : at + SLICE])
+            found = block.first(mine, q, k) if limits is None else block.best(mine, q, limits[at : at + SLICE], k)
+            out += [(int(me), j, s) for me, entries in found for s, j in entries]
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -82,67 +174,38 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
     Components count as floor(256 * x); queries are the ids divisible by ``every``; candidates are all
     other vectors of the same length; ties go to the smaller vec_id; a query with fewer candidates gets
-    all. A score outside the range of long is held to it.
+    all. A whole score outside the range of long is held to it, and ranks as such.
 
-    The components are cut into ``SEGMENTS`` segments, each of which ranks the candidates by its own
-    part of the score. (1) Every block gives the k best entries of each segment's list, with their whole
-    scores; the k-th best of a query's is a cutoff that k candidates reach. (2) The cutoff goes back to
-    the blocks; a whole score reaches it only if some segment's part reaches its uniform share, so those
-    entries suffice. (3) Their remaining parts are resolved exactly, and each block keeps its k best.
+    The components are cut into ``SEGMENTS`` segments, heaviest first, each a list of partial scores.
+    (1) Every block of candidates scores the first segment and gives each query's k best of that list, with
+    their whole scores; the k-th best of all blocks' is a cutoff that k candidates reach. (2) The cutoffs go
+    back to the blocks, which drop every entry whose partial sum and bound stay under them. (3) The parts
+    still open are resolved for the entries left, and each block keeps its k best.
 
-    Queries and candidates meet in blocks of bounded size, one task for each pair of blocks; no matrix,
-    list or block reaches the driver.
+    Queries and candidates meet in blocks of bounded size, one task for each pair of blocks. The blocks are
+    placed once, for both passes; only entries and cutoffs move between them, and none reaches the driver.
     """
     clean = cut(sound_vectors(vectors))
     asks = F.col("vec_id") % every == 0
     size = clean.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(asks, 1)).alias("q")).first()
     parts, asked = -(-size["n"] // CANDIDATES) or 1, -(-size["q"] // QUERIES_AT_ONCE) or 1
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     width = F.size("embedding").alias("width")
-    have = clean.select(
-        "vec_id", "embedding", width, block(parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("group"), F.lit(False).alias("asks")
-    )
-    questions = clean.where(asks)
-
-    def spread(df: DataFrame) -> DataFrame:
-        return df.select(
-            "vec_id", "embedding", width, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), block(asked).alias("group"), F.lit(True).alias("asks"), "cutoff"
-        )
-
-    def meet(df: DataFrame, f) -> DataFrame:
-        both = have.withColumn("cutoff", F.lit(None).cast("long")).unionByName(spread(df))
-        return both.groupBy("part", "group", "width").applyInPandas(f, "query_id long, vec_id long, score long")
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for some, ids, scores in _blocks(pdf):
-            whole = sum(scores)
-            for i, me in enumerate(some["vec_id"].to_numpy()):
-                other = np.flatnonzero(ids != me)
-                lists = [other[_highest(s[i][other], ids[other], k)] for s in scores]
-                for j in np.unique(np.concatenate(lists)):
-                    out.append((me, ids[j], int(whole[i, j])))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for some, ids, scores in _blocks(pdf):
-            limits = some["cutoff"].to_numpy()
-            for i, me in enumerate(some["vec_id"].to_numpy()):
-                enough = ids != me
-                if not pd.isna(limits[i]):
-                    share = float(limits[i]) / len(scores)
-                    enough &= np.logical_or.reduce([s[i] >= share for s in scores])
-                at = np.flatnonzero(enough)
-                whole = sum(s[i][at] for s in scores)
-                for j in _highest(whole, ids[at], k):
-                    out.append((me, ids[at[j]], int(whole[j])))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+    have = clean.select("vec_id", "embedding", width, block(parts).alias("part"), to_all(asked).alias("group"), F.lit(False).alias("asks"))
+    questions = clean.where(asks).select("vec_id", "embedding", width, to_all(parts).alias("part"), block(asked).alias("group"), F.lit(True).alias("asks"))
+    keys = ["part", "group", "width"]
+    placed = cut(have.unionByName(questions).repartition(max(parts * asked, 1), *keys))
+    fields = "query_id long, vec_id long, score long"
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    local = meet(questions.withColumn("cutoff", F.lit(None).cast("long")), gather)
-    cutoff = local.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
-    entries = meet(questions.join(cut(cutoff), "vec_id", "left"), resolve)
+    local = placed.groupBy(*keys).applyInPandas(lambda pdf: _entries(pdf, None, k), fields)
+    cutoff = cut(
+        local.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
+    )
+    sent = clean.where(asks).select("vec_id", width).join(cutoff, "vec_id")
+    sent = sent.select(F.col("vec_id").alias("of"), "cutoff", to_all(parts).alias("to_part"), block(asked).alias("to_group"), F.col("width").alias("to_width"))
+    entries = placed.groupBy(*keys).cogroup(sent.groupBy("to_part", "to_group", "to_width")).applyInPandas(lambda pdf, cutoffs: _entries(pdf, cutoffs, k), fields)
     return entries.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -60,6 +60,43 @@ def test_top_k_blocks_match_brute_force(spark, monkeypatch):
     assert got == brute_top(rows, 10, 4)
 
 
+def test_scores_beyond_long_are_held_to_it(spark):
+    big = float(np.float32(3e38))
+    rows = [(0, [big, big, 1.0]), (1, [big, big, 0.0]), (2, [-big, -big, 2.0]), (3, [1.0, 2.0, 3.0]), (4, [big, -big, 0.5]), (50, [1.0, 1.0, 1.0]), (51, [1e6, 1e6, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in vectors.top_k(df).select("query_id", "rank", "vec_id", "score").collect()]
+    most = (1 << 63) - 1
+    grid = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in rows}
+    want = set()
+    for q in (0, 50):
+        scored = sorted((-min(max(sum(a * b for a, b in zip(grid[q], grid[c])), -most - 1), most), c) for c in grid if c != q)
+        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:5])}
+    assert set(got) == want and {most} <= {r[3] for r in got}
+
+
+def test_the_cutoff_spares_most_of_the_work():
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.standard_normal((4000, 64)) * np.linspace(2, 0.05, 64))
+    x[100:140] = x[100] + np.floor(10 * rng.standard_normal((40, 64)))
+    block = vectors.Block(np.arange(len(x)), x)
+    mine, q = np.arange(90, 150), x[90:150]
+    first = dict(block.first(mine, q, 5))
+    cutoff = np.array([first[i][4][0] for i in mine], dtype=float)
+    got = dict(block.best(mine, q, cutoff, 5))
+    whole = q @ x.T
+    for i, me in enumerate(mine):
+        want = sorted(((-s, j) for j, s in enumerate(whole[i]) if j != me))[:5]
+        assert got[me] == [(int(-s), j) for s, j in want]
+        assert first[me][4][0] <= got[me][4][0], "a cutoff that five entries reach"
+    assert block.scored + block.skipped == 4 * whole.size and block.skipped > 0.4 * 4 * whole.size
+
+
+def test_blocks_are_placed_once(spark, sf_dir):
+    plan = vectors.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))._jdf.queryExecution().executedPlan().toString()
+    cogroup = plan[plan.index("CoGroup") :]
+    assert cogroup.count("Exchange hashpartitioning(part") <= 1, "only the cutoffs move"
+
+
 def brute_links(ids, e, t=0.9):
     u = np.asarray(e, dtype=np.float32).astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
