@@ -7,6 +7,9 @@ smallest of their sound embeddings; rows without a vec_id are left out.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -213,9 +216,11 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 # Near-duplicates by p-stable projections
 # ---------------------------------------------------------------------------------------------
 
-#: Tables, projections of a key, bucket width. At cosine 0.9 a pair meets in some table with
-#: probability 0.94, at 0.95 with 0.998; two unrelated vectors meet in one table with 0.0002.
-TABLES, PROJECTIONS, BUCKET, THRESHOLD = 28, 12, 2.0, 0.9
+#: Cosine of a link, the probability with which a pair at just that cosine meets in some table, the bucket
+#: width, and the number of unrelated vectors that a vector meets in one table on average.
+THRESHOLD, RECALL, BUCKET, STRANGERS = 0.9, 0.95, 2.0, 6.0
+#: Projections of a key, at least.
+LEAST_PROJECTIONS = 10
 #: Vectors of a bucket compared in one task; larger buckets are compared chunk by chunk.
 CHUNK = 2048
 #: Buckets up to this size are compared many at a time; pairs that are worked on at once.
@@ -229,18 +234,47 @@ def _unit(column: pd.Series) -> np.ndarray:
     return e / np.sqrt((e * e).sum(axis=1, keepdims=True))
 
 
-def _table_keys(unit: np.ndarray) -> np.ndarray:
-    """(rows, TABLES) keys. Integer projections of a grid: sums are exact, so a key never depends on the batch."""
-    rng = np.random.default_rng(unit.shape[1])
-    lines = np.rint(rng.standard_normal((unit.shape[1], TABLES * PROJECTIONS)) * 4096)
-    shift = rng.integers(0, int(BUCKET * GRID * 4096), TABLES * PROJECTIONS)
-    cell = np.floor((np.rint(unit * GRID) @ lines + shift) / (BUCKET * GRID * 4096)).astype(np.int64).astype(np.uint64)
-    cell = cell.reshape(len(unit), TABLES, PROJECTIONS)
-    key = np.zeros((len(unit), TABLES), dtype=np.uint64)
-    for p in range(PROJECTIONS):
-        key = (key ^ cell[:, :, p]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def chance(distance: float) -> float:
+    """The probability that two vectors at this distance fall in one bucket of one projection."""
+    r = BUCKET / distance
+    below = 0.5 * (1 + math.erf(-r / math.sqrt(2)))
+    return 1 - 2 * below - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def settings(rows: int) -> tuple[int, int]:
+    """(tables, projections of a key) for so many different vectors.
+
+    Projections grow with the logarithm of the rows, so that a bucket holds ``STRANGERS`` unrelated vectors
+    at most on average, whatever the size; tables make up for what that costs of ``RECALL`` (they grow with
+    the rows to the power of 0.27). Neither has a cap.
+    """
+    far, near = chance(math.sqrt(2.0)), chance(math.sqrt(2 * (1 - THRESHOLD)))
+    projections = max(LEAST_PROJECTIONS, math.ceil(math.log(max(rows, 1) / STRANGERS) / -math.log(far)))
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - near**projections)), projections
+
+
+@lru_cache(maxsize=4)
+def _lines(width: int, tables: int, projections: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(width)
+    lines = np.rint(rng.standard_normal((width, tables * projections)) * 4096)
+    return lines, rng.integers(0, int(BUCKET * GRID * 4096), tables * projections)
+
+
+def _table_keys(unit: np.ndarray, tables: int, projections: int) -> np.ndarray:
+    """(rows, tables) keys. Integer projections of a grid: sums are exact, so a key never depends on the batch."""
+    lines, shift = _lines(unit.shape[1], tables, projections)
+    keys = []
+    step = max(1, (1 << 22) // (tables * projections))
+    for at in range(0, len(unit), step):
+        some = np.rint(unit[at : at + step] * GRID)
+        cell = np.floor((some @ lines + shift) / (BUCKET * GRID * 4096)).astype(np.int64).astype(np.uint64)
+        cell = cell.reshape(len(some), tables, projections)
+        key = np.zeros((len(some), tables), dtype=np.uint64)
+        for p in range(projections):
+            key = (key ^ cell[:, :, p]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys.append(key)
+    return np.concatenate(keys).view(np.int64) if keys else np.zeros((0, tables), dtype=np.int64)
 
 
 def _candidates(starts: np.ndarray, sizes: np.ndarray):
@@ -257,13 +291,13 @@ def _candidates(starts: np.ndarray, sizes: np.ndarray):
             yield np.arange(start + at, start + min(at + 256, size)), np.arange(start + at, start + size), "block"
 
 
-def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+def _compare(pdf: pd.DataFrame, made: tuple[int, int]) -> pd.DataFrame:
     """Links inside the buckets of ``pdf``, whose rows lie together, each in its pair's first table: counts, and a forest."""
     part = pdf[["t", "key", "lo", "hi"]].to_numpy()
     starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]).any(axis=1)])
     sizes = np.diff(np.r_[starts, len(pdf)])
     ids, own, crossed = pdf["vec_id"].to_numpy(), pdf["own"].to_numpy(), (pdf["lo"] != pdf["hi"]).to_numpy()
-    table, unit = pdf["t"].to_numpy(), _unit(pdf["embedding"])
+    table, unit, copies = pdf["t"].to_numpy(), _unit(pdf["embedding"]), pdf["copies"].to_numpy()
     count, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
     for i, j, block in _candidates(starts, sizes):
         if block:
@@ -278,10 +312,11 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
         for s in range(0, len(i), PAIRS):
             a, b = i[s : s + PAIRS], j[s : s + PAIRS]
             rows, back = np.unique(np.r_[a, b], return_inverse=True)
-            keys = _table_keys(unit[rows])
+            keys = _table_keys(unit[rows], *made)
             first = (keys[back[: len(a)]] == keys[back[len(a) :]]).argmax(axis=1) == table[a]
             a, b = a[first], b[first]
-            count += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+            np.add.at(count, a, copies[b])
+            np.add.at(count, b, copies[a])
             while len(a):  # join the roots of linked rows until each pair has one
                 x, y = root[a], root[b]
                 np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
@@ -293,7 +328,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids[keep], "n": count[keep], "root": ids[root[keep]]})
 
 
-def _buckets(batches):
+def _buckets(batches, made: tuple[int, int]):
     """Whole buckets from batches of sorted rows; a bucket that a batch cuts waits for the next one."""
     waiting = None
     for pdf in batches:
@@ -302,38 +337,46 @@ def _buckets(batches):
         cut_at = len(pdf) - int((last == last[-1]).all(axis=1)[::-1].cumprod().sum()) if len(pdf) else 0
         waiting = pdf.iloc[cut_at:]
         if cut_at:
-            yield from _by_width(pdf.iloc[:cut_at])
+            yield from _by_width(pdf.iloc[:cut_at], made)
     if waiting is not None and len(waiting):
-        yield from _by_width(waiting)
+        yield from _by_width(waiting, made)
 
 
-def _by_width(pdf: pd.DataFrame):
+def _by_width(pdf: pd.DataFrame, made: tuple[int, int]):
     for _, same in pdf.groupby("width", sort=False):
-        yield _compare(same.reset_index(drop=True))
+        yield _compare(same.reset_index(drop=True), made)
 
 
-def near_duplicates(vectors: DataFrame) -> DataFrame:
+def near_duplicates(vectors: DataFrame, made: tuple[int, int] | None = None) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each distinct vec_id that is not null.
 
-    Vectors that are not sound, or zero, have no links. Vectors of unequal length never link.
-
-    Normalised vectors are projected on random lines, quantised, and bucketed in ``TABLES`` tables.
-    Keys that one vector holds alone go first; only vectors of shared buckets move, once for each such
-    bucket. Inside a bucket cosines are taken in doubles, and a pair counts only in the first table where
-    it meets, so link counts add up without a list of pairs; what leaves a task is a count and a forest.
-    A bucket beyond ``CHUNK`` vectors is compared chunk against chunk in separate tasks, all of it.
+    Vectors that are not sound, or zero, have no links. Vectors of unequal length never link. Equal vectors
+    link with each other, and are one vector with a number of copies from then on: a group of copies of any
+    size meets nothing twice.
+
+    Normalised vectors are projected on random lines, quantised, and bucketed in as many tables as their
+    number asks for (``settings``, or ``made``). Keys that one vector holds alone go first; only vectors of
+    shared buckets move, once for each such bucket. Inside a bucket cosines are taken in doubles, and a pair
+    counts only in the first table where it meets, so link counts add up without a list of pairs; what
+    leaves a task is a count and a forest. A bucket beyond ``CHUNK`` vectors is compared chunk against chunk
+    in separate tasks, all of it. A pair at a cosine of just 0.9 is found with probability ``RECALL``; every
+    link returned is exact.
     """
     ids = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     clean = cut(sound_vectors(vectors).where(F.exists("embedding", lambda x: x != 0)))
+    # A group of copies is known by a hash of its vector and by the vector itself.
+    classes = clean.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(classes.select(F.col("rep").alias("vec_id"), "embedding", "copies"))
+    made = made or settings(classes.count())
 
     def keys_of(batches):
         for pdf in batches:
             for _, same in pdf.groupby(pdf["embedding"].map(len)):
-                made = _table_keys(_unit(same["embedding"]))
-                yield pd.DataFrame({"vec_id": same["vec_id"], "width": same["embedding"].map(len), "keys": list(made)})
+                found = _table_keys(_unit(same["embedding"]), *made)
+                yield pd.DataFrame({"vec_id": same["vec_id"], "width": same["embedding"].map(len), "keys": list(found)})
 
     keyed = (
-        clean.mapInPandas(keys_of, "vec_id long, width int, keys array<long>").select("vec_id", "width", F.posexplode("keys").alias("t", "key"))
+        classes.select("vec_id", "embedding").mapInPandas(keys_of, "vec_id long, width int, keys array<long>").select("vec_id", "width", F.posexplode("keys").alias("t", "key"))
     )
     keyed = cut(keyed)
     shared = cut(keyed.groupBy("t", "width", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
@@ -341,25 +384,25 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("vec_id"), F.col("c")).cast("int")
     members = (
         keyed.join(shared, ["t", "width", "key"])
-        .join(clean, "vec_id")
+        .join(classes, "vec_id")
         .withColumn("c", chunks)
         .withColumn("own", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        .select("vec_id", "embedding", "t", "width", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .select("vec_id", "embedding", "copies", "t", "width", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
 
     bucket = ["t", "width", "key", "lo", "hi"]
     placed = members.repartition(*bucket).sortWithinPartitions(*bucket, "vec_id")
-    found = cut(placed.mapInPandas(_buckets, "vec_id long, n long, root long"))
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    whole = connected_components(found, "vec_id", "root")
-    return (
-        ids.join(counts, "vec_id", "left")
-        .join(whole.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-        .select(
-            "vec_id",
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component", "vec_id").alias("component_id"),
-            (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"),
-        )
+    found = cut(placed.mapInPandas(lambda batches: _buckets(batches, made), "vec_id long, n long, root long"))
+    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    whole = connected_components(found, "vec_id", "root").withColumnRenamed("node", "vec_id")
+    told = classes.join(counts, "vec_id", "left").join(whole, "vec_id", "left")
+    told = told.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    linked = told.where("n_links > 0")
+    members_of = clean.join(linked, "embedding").select("vec_id", "n_links", "component")
+    return ids.join(members_of, "vec_id", "left").select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component", "vec_id").alias("component_id"),
+        (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"),
     )

@@ -131,6 +131,36 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, chunk):
     assert sum(got[i] == want[i] for i in ids) >= 0.9 * len(ids)
 
 
+def test_settings_keep_recall_and_buckets_at_any_size():
+    for rows in (1, 1000, 10**6, 10**9, 10**11):
+        tables, projections = vectors.settings(rows)
+        far, near = vectors.chance(np.sqrt(2)), vectors.chance(np.sqrt(0.2))
+        assert rows * far**projections <= vectors.STRANGERS + 1e-9
+        assert 1 - (1 - near**projections) ** tables >= vectors.RECALL
+
+
+def test_recall_at_the_settings_of_a_large_table(spark):
+    rng = np.random.default_rng(4)
+    e = rng.standard_normal((120, 48))
+    noise = rng.standard_normal((120, 48))
+    noise -= (noise * e).sum(1, keepdims=True) / (e * e).sum(1, keepdims=True) * e
+    noise *= np.linalg.norm(e, axis=1, keepdims=True) / np.linalg.norm(noise, axis=1, keepdims=True)
+    both = np.concatenate([e, 0.905 * e + np.sqrt(1 - 0.905**2) * noise])  # pairs just above the threshold
+    ids = list(range(len(both)))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, both)], "vec_id long, embedding array<float>")
+    want, hit = brute_links(ids, both)
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df, vectors.settings(10**8)).collect()}
+    assert hit.sum() >= 240 and sum(got.values()) >= 0.9 * hit.sum()
+
+
+def test_equal_vectors_count_as_copies(spark):
+    rows = [(i, [1.0, 0.0, 0.2]) for i in range(300)] + [(1000 + i, [1.0, 0.1, 0.2]) for i in range(200)] + [(2000, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
+    assert got[2000] == (0, 2000, True) and got[0] == (499, 0, True)
+    assert all(got[i] == (499, 0, False) for i in [*range(1, 300), *range(1000, 1200)])
+
+
 def test_near_duplicate_edges(spark):
     df = spark.createDataFrame(odd_rows(), SCHEMA)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
