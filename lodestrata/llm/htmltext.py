@@ -31,10 +31,12 @@ BLOCK = frozenset(
 )
 SPACED = frozenset("p blockquote h1 h2 h3 h4 h5 h6 ul ol dl pre table figure menu dir".split())
 CLOSES_P = BLOCK - frozenset("body caption html legend li dd dt summary".split()) | {"hr", "xmp"}
+#: Elements that keep an item or a term from closing one around them.
+SCOPES = (BLOCK - frozenset("address div p li dd dt".split())) | frozenset("table td th tr tbody thead tfoot select object".split())
 SIBLINGS = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
+    "li": ({"li"}, SCOPES),
+    "dt": ({"dt", "dd"}, SCOPES),
+    "dd": ({"dt", "dd"}, SCOPES),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
@@ -51,7 +53,7 @@ PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*)(?:>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?P<shut>>|\Z)|(?P<bad_end>/)?(?P<bad_name>[A-Za-z][^\s/>]*)(?P<bad_rest>[^>]*)(?P<bad_shut>>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility|content-visibility)\s*:\s*([a-z-]+)", re.I)
 
 
 class Node:
@@ -68,7 +70,9 @@ def parse(source: str) -> Node:
     where: dict[str, list[int]] = {}  # name: places of its open elements in the stack
 
     def deepest(names) -> int:
-        return max((where[n][-1] for n in names if where.get(n)), default=0)
+        """The place of the innermost open element of these names; a template hides what is around it."""
+        found = max((where[n][-1] for n in names if where.get(n)), default=0)
+        return found if found and not (where.get("template") and found < where["template"][-1]) else 0
 
     def push(node: Node) -> None:
         where.setdefault(node.name, []).append(len(stack))
@@ -104,7 +108,7 @@ def parse(source: str) -> Node:
         if name == "table" and stack[-1].name == "table":
             cut(len(stack) - 1)
 
-    def close_to(names: set[str], stops: set[str]) -> None:
+    def close_to(names: set[str], stops: set[str] | frozenset[str]) -> None:
         first = deepest(names)
         if first and first >= deepest(stops):
             while first > 1 and stack[first - 1].name in names:
@@ -170,11 +174,24 @@ def parse(source: str) -> Node:
         push(node)
 
 
-def visible(node: Node) -> bool:
-    a = node.attributes
+def style(node: Node) -> dict[str, str]:
+    """The declarations of a style attribute that bear on what is seen; the last one of a name counts."""
+    text = node.attributes.get("style", "")
+    return {k.lower(): v.lower() for k, v in STYLE.findall(text)} if text else {}
+
+
+def displayed(node: Node) -> bool:
+    """Whether an element is laid out at all; what it holds can't undo a no."""
+    a, said = node.attributes, style(node)
     if node.name in HIDDEN or "hidden" in a or (node.name == "input" and a.get("type", "").lower() == "hidden"):
         return False
-    return not ("style" in a and UNSEEN.search(a["style"])) and not (node.name == "dialog" and "open" not in a)
+    return said.get("display") != "none" and said.get("content-visibility") != "hidden" and not (node.name == "dialog" and "open" not in a)
+
+
+def seen(node: Node, around: bool) -> bool:
+    """Whether the text of an element shows: its own visibility, else that of what is around it."""
+    said = style(node).get("visibility")
+    return around if said not in ("visible", "hidden", "collapse") else said == "visible"
 
 
 def _width(s: str) -> int:
@@ -251,18 +268,21 @@ def _walk(steps: Iterator) -> None:
             stack.append(below)
 
 
-def _render(node: Node, page: Page, kept: bool, parent: Node) -> Iterator:
+def _render(node: Node, page: Page, kept: bool, parent: Node, shown: bool = True) -> Iterator:
     number = 1
     if node.name == "ol":
         start = node.attributes.get("start", "")
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     for part in node.parts:
         if isinstance(part, str):
-            page.word(part, kept)
+            if shown:
+                page.word(part, kept)
+            continue
+        if not displayed(part):
             continue
-        if not visible(part):
+        name, mine = part.name, seen(part, shown)
+        if name in ("br", "hr", "img", "input") and not mine:
             continue
-        name = part.name
         if name == "br":
             page.end(True)
         elif name == "hr":
@@ -277,7 +297,7 @@ def _render(node: Node, page: Page, kept: bool, parent: Node) -> Iterator:
                 page.word(f" {part.attributes.get('value', '')} ")
         elif name == "table":
             page.block(True)
-            yield _table(part, page)
+            yield _table(part, page, mine)
             page.block(True)
         elif name == "li":
             page.block(False)
@@ -288,8 +308,8 @@ def _render(node: Node, page: Page, kept: bool, parent: Node) -> Iterator:
                 mark = f"{number}. "
             number += 1
             old = page.indent
-            page.indent, page.mark = old + " " * len(mark), mark
-            yield _render(part, page, kept, node)
+            page.indent, page.mark = old + " " * len(mark), mark if mine else ""
+            yield _render(part, page, kept, node, mine)
             page.block(False)
             page.indent, page.mark = old, ""
         elif name in BLOCK:
@@ -297,72 +317,74 @@ def _render(node: Node, page: Page, kept: bool, parent: Node) -> Iterator:
             old = page.indent
             if name in ("blockquote", "dd"):
                 page.indent = old + "    "
-            yield _render(part, page, kept or name == "pre", node)
+            yield _render(part, page, kept or name == "pre", node, mine)
             page.indent = old
             page.block(name in SPACED and not (name in ("ul", "ol", "menu", "dir") and node.name == "li"))
         elif name == "q":
-            page.word('"')
-            yield _render(part, page, kept, node)
-            page.word('"')
+            if mine:
+                page.word('"')
+            yield _render(part, page, kept, node, mine)
+            if mine:
+                page.word('"')
         elif name in ("option", "textarea", "xmp", "plaintext", "tr", "td", "th", "optgroup"):
             page.block(False)
-            yield _render(part, page, kept or name in ("textarea", "xmp", "plaintext"), node)
+            yield _render(part, page, kept or name in ("textarea", "xmp", "plaintext"), node, mine)
             page.block(False)
         else:
-            yield _render(part, page, kept, node)
+            yield _render(part, page, kept, node, mine)
 
 
 def _span(value: str, most: int) -> int:
     return min(max(int(value), 1), most) if re.fullmatch(r"\d{1,6}", value) else 1
 
 
-def _table(table: Node, page: Page) -> Iterator:
+def _table(table: Node, page: Page, shown: bool) -> Iterator:
     """Rows on lines, columns padded to their widest cell; spans take the columns that they cover.
 
     What may not stand in a table, a row group or a row comes before the table, in its order.
     """
     captions: list[Node] = []
-    groups: dict[str, list[Node]] = {"thead": [], "": [], "tfoot": []}
+    groups: dict[str, list[tuple[Node, bool]]] = {"thead": [], "": [], "tfoot": []}
 
     loose = Node("div", {})
 
-    def gather(node: Node, group: str) -> None:
+    def gather(node: Node, group: str, around: bool) -> None:
         for part in node.parts:
             if isinstance(part, str):
                 if part.strip():
                     loose.parts.append(part)
             elif part.name in ("tr", "thead", "tbody", "tfoot", "caption"):
-                if not visible(part):
+                if not displayed(part):
                     continue
                 if part.name == "tr":
-                    groups[group].append(part)
+                    groups[group].append((part, seen(part, around)))
                     loose.parts += [p for p in part.parts if (p.strip() if isinstance(p, str) else p.name not in ("td", "th"))]
                 elif part.name == "caption":
                     captions.append(part)
                 else:
-                    gather(part, part.name if part.name in groups else "")
+                    gather(part, part.name if part.name in groups else "", seen(part, around))
             elif part.name == "colgroup":
-                gather(part, group)
+                gather(part, group, around)
             elif part.name != "col":
                 loose.parts.append(part)
 
-    gather(table, "")
+    gather(table, "", shown)
     for part in [loose, *captions]:
-        yield _render(part, page, False, table)
+        yield _render(part, page, False, table, seen(part, shown))
         page.block(False)
     grid: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[int, int] = {}  # column: rows below that a cell still covers
-    for row in [*groups["thead"], *groups[""], *groups["tfoot"]]:
+    for row, around in [*groups["thead"], *groups[""], *groups["tfoot"]]:
         cells: dict[int, tuple[list[str], int]] = {}
         column, covered = 0, dict(taken)
         taken = {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in row.parts:
-            if isinstance(cell, str) or cell.name not in ("td", "th") or not visible(cell):
+            if isinstance(cell, str) or cell.name not in ("td", "th") or not displayed(cell):
                 continue
             while column in covered:
                 column += 1
             inner = Page()
-            yield _render(cell, inner, False, row)
+            yield _render(cell, inner, False, row, seen(cell, around))
             inner.end()
             wide = _span(cell.attributes.get("colspan", ""), 1000)
             deep = _span(cell.attributes.get("rowspan", ""), 1000)
@@ -413,7 +435,9 @@ def render(source: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, text), one row for each page, in place and without a shuffle.
 
-    A null document gives an empty text. Rows that repeat a page_id, or have none, keep a row each.
+    A null document gives an empty text; so does one without visible text. A document may have any length
+    and depth, and break any rule of the language. Rows that repeat a page_id, or have none, keep a row
+    each, in no order. Only page_id and html are read, so other columns may have any name.
     """
 
     @F.pandas_udf("string")

@@ -83,3 +83,48 @@ def test_depth_changes_nothing(deep):
     assert htmltext.render(a + inside + b + "z").strip() == "* a\n* b\n\n1  2\n\nc\n\nz"
     assert htmltext.render("<span>" * deep + "x<div>y</div>" + "</span>" * deep + "z").strip() == "x\ny\nz"
     assert htmltext.render("<table><tr><td>" * 300 + "x" + "</table>" * 300).strip() == "x"
+
+
+VISIBILITY = [
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes<b>and</b></p>no</div>", "yesand"),
+    ("<div style='visibility:hidden'><div style='display:none'><b style='visibility:visible'>no</b></div>x</div>y", "y"),
+    ("<p style='display:none;display:block'>last one counts</p>", "last one counts"),
+    ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "* yes"),
+    ("<table style='visibility:collapse'><tr><td>no<td style='visibility:visible'>1<tr style='visibility:visible'><td>2</table>", "1\n2"),
+    ("<div hidden style='visibility:visible'>no</div>a<img alt=no style='visibility:hidden'>b", "ab"),
+]
+
+
+@pytest.mark.parametrize("source,want", VISIBILITY)
+def test_visibility_is_inherited_and_can_be_undone(source, want):
+    assert re.sub(r"  +", "", htmltext.render(source)).strip() == want
+
+
+def test_random_broken_pages_show_just_the_visible_words():
+    """Tags opened and closed at random, tables among them; hidden parts are closed properly, so their words are known."""
+    import random
+
+    tags = "div p b i span ul li ol table tr td th tbody thead caption blockquote h1 pre a dl dt dd".split()
+    for seed in range(400):
+        rng, parts, want, hidden, n = random.Random(seed), [], [], [], 0
+        for _ in range(rng.randint(5, 120)):
+            n += 1
+            kind = rng.random()
+            if kind < 0.45:
+                parts.append(f" w{n} ")
+                want.append(f"w{n}")
+            elif kind < 0.75:
+                parts.append(f"<{rng.choice(tags)}>")
+            elif kind < 0.92:
+                parts.append(f"</{rng.choice(tags)}>")
+            else:
+                inside = rng.choice(["<b>x{0}</b>", "x{0}", "<ul><li>x{0}</ul>", "<li>x{0}"]).format(n)
+                if rng.random() < 0.3:
+                    inside = f"<table><tr>x{n}<td>x{n}</table>"
+                    parts.append(f"<template>{inside}</template>")
+                else:
+                    parts.append(rng.choice(["<section hidden>{}</section>", "<section style='display:none'>{}</section>", "<script>x{1}</script>", "<template>{}</template>"]).format(inside, n))
+                hidden.append(f"x{n}")
+        text = htmltext.render("".join(parts))
+        assert sorted(re.findall(r"w\d+", text)) == sorted(want), seed
+        assert not re.search(r"x\d", text), seed
