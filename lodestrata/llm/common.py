@@ -62,8 +62,8 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-#: Rows of a few numbers that may be broadcast, some tens of megabytes.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers that may be broadcast, some ten megabytes.
+BROADCAST_ROWS = 200_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

@@ -14,29 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ascii_lower, broadcast_if_small, cut, ship, stored
+from lodestrata.llm.common import ascii_lower, broadcast_if_small, ship, stored
 from lodestrata.llm.components import connected_components
-from lodestrata.llm.substrings import _MULTIPLY, _groups, _mix, _shingles
+from lodestrata.llm.shingles import _MULTIPLY, _mix, _shingles, _slices, bands, linked
 
 ship(__name__)
 
 BANDS, ROWS = 16, 4
 #: Texts of one band value that one task compares; more are compared chunk against chunk.
 CHUNK = 1024
-#: Characters that are worked on at once.
-AT_ONCE = 1_000_000
-
-
-def _slices(sizes: list[int]):
-    """(from, to) of consecutive rows of about ``AT_ONCE`` characters, one row at least."""
-    at, total = 0, 0
-    for i, size in enumerate(sizes):
-        if i > at and total + size > AT_ONCE:
-            yield at, i
-            at, total = i, 0
-        total += size
-    if at < len(sizes):
-        yield at, len(sizes)
 
 
 def marks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,14 +31,7 @@ def marks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.r_[at, len(every)])
     inside = (np.arange(len(every)) - np.repeat(at, counts)).astype(np.uint64)
     whole = _mix(np.add.reduceat(_mix(every + _mix(inside + _MULTIPLY[2])), at) + counts.astype(np.uint64))
-    bands = np.zeros((len(at), BANDS), dtype=np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(at), b, dtype=np.uint64)
-        for r in range(ROWS):
-            salt = _mix(np.array([b * ROWS + r + 1], dtype=np.uint64) * _MULTIPLY[2])
-            key = _mix(key * _MULTIPLY[2] + np.minimum.reduceat(_mix(every ^ salt), at))
-        bands[:, b] = key
-    return whole.view(np.int64), bands.view(np.int64)
+    return whole.view(np.int64), bands(every, at, counts, BANDS, ROWS)
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -63,8 +42,8 @@ def _marked(docs: DataFrame) -> DataFrame:
             sizes = [len(t.as_py()) for t in batch.column(1)]
             for a, b in _slices(sizes):
                 part = batch.slice(a, b - a)
-                uid, bands = marks(part.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
+                uid, made = marks(part.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(made.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(uid), lists], ["doc_id", "uid", "bands"])
 
     return _lowered(docs).mapInArrow(of, "doc_id long, uid long, bands array<long>")
@@ -87,11 +66,6 @@ def _with_uid(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(of, "uid long, text string")
 
 
-def _verified(batches):
-    """A forest of the links in band groups, whose rows lie together; memory is bounded by slices."""
-    return _groups(pdf.iloc[a:b] for pdf in batches for a, b in _slices(pdf["text"].str.len().tolist()))
-
-
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every document that has a near copy, once; component_id is its group's smallest doc_id.
 
@@ -101,24 +75,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     marked = stored(_marked(docs))
     reps = marked.groupBy("uid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     keyed = stored(reps.select("uid", "rep", F.posexplode("bands").alias("band", "key")).drop("band"))
-    hashed = F.xxhash64("uid")
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("uid").alias("x"), F.bit_xor(hashed).alias("y"))
-    # Bands that hold the same texts are one group.
-    shared = cut(groups.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"))
-    candidates = cut(keyed.join(broadcast_if_small(shared, shared.count()), "key"))
-    asked = cut(candidates.select("uid", "rep").distinct())
-    count = asked.count()
-    texts = _lowered(docs).join(broadcast_if_small(asked.select(F.col("rep").alias("doc_id")).distinct(), count), "doc_id", "left_semi")
-    members = (
-        _with_uid(texts)
-        .join(candidates.select("uid", "key", "m"), "uid")
-        .withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("uid"), F.col("c")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        .select("uid", "text", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    )
-    placed = members.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "uid")
-    found = placed.mapInPandas(_verified, "a long, b long")
+
+    def texts(asked: DataFrame, count: int) -> DataFrame:
+        """The texts of the representatives; what else their documents hold is known by its uid and drops."""
+        ids = asked.select(F.col("rep").alias("doc_id")).distinct()
+        return _with_uid(_lowered(docs).join(broadcast_if_small(ids, count), "doc_id", "left_semi"))
+
+    found = linked(keyed, texts, CHUNK)
     # A document of several texts joins them.
     ids = marked.groupBy("doc_id").agg(F.min("uid").alias("b"), F.max("uid").alias("z")).where("b <> z").select("doc_id", "b")
     several = marked.join(ids, "doc_id").select(F.col("uid").alias("a"), "b")

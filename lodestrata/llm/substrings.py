@@ -1,88 +1,58 @@
 """Repeated passages: paragraph MinHash banding, exact verification, and removals by components.
 
-Texts are lower-cased (A-Z) and split into words at ASCII white space. Two kinds of paragraph are
-compared across the whole corpus:
-
-* lines of ``LEAST`` words or more, near-duplicates at a Jaccard similarity of ``SIMILAR`` over shingles
-  of ``SHINGLE`` words. MinHash signatures are cut into ``BANDS`` bands of ``ROWS`` rows, which finds a
-  pair of similarity 0.8 with probability 0.997; pairs that share a band are verified exactly on their
-  shingle sets, and the verified links are joined into components.
-* blocks inside lines, for passages pasted into other text. Bounds are the smallest hashes of ``GRAM``
-  words in every window of ``WINDOW`` such hashes, the rightmost of equal ones. A window that lies inside a
-  pasted passage gives the same bound wherever the passage stands, and between two such bounds stands no
-  other, so that every passage of 51 words or more holds blocks of 13 words or more together. A block
-  reaches to the end of the words of its last bound. A block's band is its whole hash: only equal blocks
-  collide, and each set of equal blocks is a component.
-
-Equal paragraphs are merged by their 64-bit hash before anything is compared; a hash is one row for each
-task and value, however common the paragraph is.
+Texts are lower-cased (A-Z) and split into words at ASCII white space. Three kinds of paragraph are compared
+across the whole corpus, all of them by MinHash bands over shingles of ``SHINGLE`` words:
+
+* lines of ``LEAST`` words or more, and the lines between two blank lines joined, where they are several.
+  ``BANDS`` bands of ``ROWS`` rows find a pair of similarity 0.8 with probability 0.998. Pairs that share a
+  band are verified on their shingle sets, exactly, and linked at a Jaccard similarity of ``SIMILAR`` or
+  more; links are joined into components.
+* windows inside texts, for passages pasted into other text. A window reaches from one bound to the next, and
+  ``GRAM`` words beyond. Bounds are the smallest hashes of ``GRAM`` words in every ``WINDOW`` such hashes in a
+  row, the rightmost of equal ones, so that a pasted passage has the same windows wherever it stands, and
+  every passage of 51 words holds one whole. Windows are banded by one band of ``WINDOW_ROWS`` rows, which
+  equal ones always share, and those of one band are one where all their words are, by a hash of them.
+
+Windows that other documents hold too are joined to runs. A run of ``RUN`` words or more is a repeated
+passage. Around the windows of shorter runs every span of ``RUN`` words is compared, by 128 bits of its words:
+where another document holds the span too, it is a repeated passage; else the run was too short for one.
+
+Equal paragraphs are merged by their hashes before anything is compared; they cost one row for each task and
+value, however common they are. Texts move only to be verified: those of lines that share a band with an
+unlike line, and of the documents with short runs.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.llm.common import broadcast_if_small, cut, ship, stored
 from lodestrata.llm.components import connected_components
+from lodestrata.llm.shingles import _MULTIPLY, SHINGLE, _hashes, _mix, _spans, bands, linked
 
 ship(__name__)
 
-SHINGLE, SIMILAR, LEAST, REACH = 5, 0.8, 16, 6
-#: Words of a bound and bounds of a window. 51 words hold two windows apart, and 51 - 2 * WINDOW + 2 words of blocks.
+#: Words of a line, and of lines joined, from which on they are compared.
+LEAST = 16
+#: Words of a bound and bounds in a row. 51 words hold two such rows apart, and 51 - 2 * WINDOW + 2 words of windows.
 GRAM, WINDOW = 8, 20
-#: Words from which on a run of repeated paragraphs is reported. Bounds lie up to 19 words inside a pasted passage.
-RUN = 12
-BANDS, ROWS = 8, 3
+#: Words from which on a passage inside other text is reported.
+RUN = 51
+BANDS, ROWS, WINDOW_ROWS = 6, 2, 3
 #: Paragraphs of one band value that one task compares; more are compared chunk against chunk.
 CHUNK = 4096
 #: Words that are worked on at once.
 AT_ONCE = 100_000
-LINE, BLOCK, BLOCK_IDS = 0, 1, np.int64(0x5BF03635D1F2A9C7)
-
-_MULTIPLY = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MULTIPLY[0]
-    x = (x ^ (x >> np.uint64(27))) * _MULTIPLY[1]
-    return x ^ (x >> np.uint64(31))
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), dtype=np.uint64, count=len(words))
-
-
-def _spans(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each span of word hashes; its words and their order count. Lengths are positive."""
-    at = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    inside = np.arange(int(lengths.sum()), dtype=np.int64) - at
-    words = h[np.repeat(starts, lengths) + inside]
-    mixed = _mix(words + _mix(inside.astype(np.uint64) + _MULTIPLY[2]))
-    return _mix(np.add.reduceat(mixed, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64)).view(np.int64)
-
-
-def block_starts(h: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Positions whose hash is smaller than every other within ``reach`` words on both sides."""
-    if len(h) < 2 * reach + 1:
-        return np.zeros(0, dtype=np.int64)
-    n = len(h) - 2 * reach
-    middle = h[reach : reach + n]
-    low = np.ones(n, dtype=bool)
-    for d in range(1, reach + 1):
-        low &= (middle < h[reach - d : reach - d + n]) & (middle < h[reach + d : reach + d + n])
-    return np.flatnonzero(low) + reach
+PARAGRAPH, INSIDE = 0, 1
+KEYS = [f"k{b}" for b in range(BANDS)]
 
 
 def bounds(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions of the bounds of texts in a row, of ``sizes`` words each; no window reaches another text."""
+    """Positions of the bounds of texts in a row, of ``sizes`` words each; no row of hashes reaches another text."""
     n = len(h) - GRAM - WINDOW + 2
     if n < 1:
         return np.zeros(0, dtype=np.int64)
@@ -100,239 +70,217 @@ def bounds(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """The words of a text, and (start, length) of each line of ``LEAST`` words or more."""
+    """The words of a text, and (start, length) of each line, and of lines joined, of ``LEAST`` words or more."""
     words: list[bytes] = []
-    lines = []
+    found, begin, lines = [], 0, 0
+
+    def end() -> None:
+        if lines > 1 and len(words) - begin >= LEAST:
+            found.append((begin, len(words) - begin))
+
     for line in text.encode().lower().split(b"\n"):
         some = line.split()
+        if not some:
+            end()
+            begin, lines = len(words), 0
+            continue
         if len(some) >= LEAST:
-            lines.append((len(words), len(some)))
+            found.append((len(words), len(some)))
         words += some
-    return words, lines
-
+        lines += 1
+    end()
+    return words, found
 
-def _units(docs: DataFrame, with_text: bool) -> DataFrame:
-    """(doc_id, kind, start, n, uid[, text]): every paragraph of every document. start and n count words."""
-    fields = "doc_id long, kind int, start int, n int, uid long" + (", text string" if with_text else "")
 
-    def of(batches):
-        for batch in batches:
-            names, texts, size = [], [], 0
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, lines = paragraphs(text.as_py() or "")
-                if len(words) < LEAST:
-                    continue
-                names.append(name)
-                texts.append((words, lines))
-                size += len(words)
-                if size > AT_ONCE:
-                    yield _rows(names, texts, with_text)
-                    names, texts, size = [], [], 0
-            if names:
-                yield _rows(names, texts, with_text)
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(of, fields)
-
-
-def _rows(names: list[int], texts: list[tuple], with_text: bool) -> pa.RecordBatch:
-    """The paragraphs of some documents, worked out together."""
-    every = [w for words, _ in texts for w in words]
-    h = _hashes(every)
-    sizes = np.array([len(words) for words, _ in texts])
+def _measured(texts: list[tuple], inside: bool = True) -> dict[str, np.ndarray]:
+    """Columns (at, kind, start, n, u1, u2, keys) of the paragraphs of some texts; at is the text's place among them."""
+    h = _hashes([w for words, _ in texts for w in words])
+    sizes = np.array([len(words) for words, _ in texts], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
-    cuts = bounds(h, sizes)
+    lines = np.array([(d, begins[d] + s, n) for d, (_, found) in enumerate(texts) for s, n in found], dtype=np.int64).reshape(-1, 3)
+    cuts = bounds(h, sizes) if inside else np.zeros(0, dtype=np.int64)
     owner = np.searchsorted(begins, cuts, side="right") - 1
     same = owner[1:] == owner[:-1]
-    lines = np.array([(d, begins[d] + s, n) for d, (_, found) in enumerate(texts) for s, n in found], dtype=np.int64).reshape(-1, 3)
     who = np.concatenate([lines[:, 0], owner[:-1][same]])
     start = np.concatenate([lines[:, 1], cuts[:-1][same]])
     n = np.concatenate([lines[:, 2], np.diff(cuts)[same] + GRAM])
-    kind = np.concatenate([np.full(len(lines), LINE, dtype=np.int32), np.full(len(who) - len(lines), BLOCK, dtype=np.int32)])
-    uid = _spans(h, start, n) if len(n) else np.zeros(0, dtype=np.int64)
-    uid = np.where(kind == BLOCK, uid ^ BLOCK_IDS, uid)  # ids of blocks and lines never meet
-    columns = [np.array(names, dtype=np.int64)[who], kind, (start - begins[who]).astype(np.int32), n.astype(np.int32), uid]
-    fields = ["doc_id", "kind", "start", "n", "uid"]
-    made = [pa.array(c) for c in columns]
-    if with_text:
-        bodies = [b" ".join(every[a : a + m]).decode() for _, a, m in lines.tolist()]
-        made.append(pa.array([*bodies, *[None] * (len(who) - len(lines))], pa.string()))
-        fields.append("text")
-    return pa.RecordBatch.from_arrays(made, fields)
-
-
-def _shingles(texts) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle hashes of all texts in a row, and where each text's begin. A short text is one shingle."""
-    split = [t.encode().split() or [b""] for t in texts]
-    sizes = np.array([len(w) for w in split])
-    begins = np.cumsum(sizes) - sizes
-    h = _hashes([w for words in split for w in words])
-    padded = np.concatenate([h, np.zeros(SHINGLE, dtype=np.uint64)])
-    left = np.repeat(begins + sizes, sizes) - np.arange(len(h))  # words from each one to its text's end
-    made = np.zeros(len(h), dtype=np.uint64)
+    kind = np.repeat([PARAGRAPH, INSIDE], [len(lines), len(who) - len(lines)])
+    grams = np.zeros(max(len(h) - SHINGLE + 1, 0), dtype=np.uint64)
     for i in range(SHINGLE):
-        made = _mix(made * _MULTIPLY[2] + np.where(left > i, padded[i : i + len(h)], np.uint64(0)))
-    counts = np.maximum(sizes - SHINGLE + 1, 1)
-    keep = (left >= SHINGLE) | (np.arange(len(h)) == np.repeat(begins, sizes))
-    return made[keep], np.cumsum(counts) - counts
+        grams = _mix(grams * _MULTIPLY[2] + h[i : i + len(grams)])
+    m, size = len(lines), n - SHINGLE + 1
+    keys = bands(grams, start[:m], size[:m], BANDS, ROWS)
+    second = np.zeros(len(who), dtype=np.uint64)
+    for b in range(BANDS):
+        second[:m] = _mix(second[:m] * _MULTIPLY[2] + keys[:, b].view(np.uint64))
+    second[m:] = bands(grams, start[m:], size[m:], 1, WINDOW_ROWS)[:, 0].view(np.uint64)
+    first = _spans(h, start, n) if len(n) else np.zeros(0, dtype=np.int64)
+    return {"at": who, "kind": kind, "start": start - begins[who], "n": n, "u1": first, "u2": second.view(np.int64), "keys": keys}
+
+
+def _batches(rows, some):
+    """Calls ``some(names, texts)`` for (name, words, lines), about ``AT_ONCE`` words at a time."""
+    names, texts, size = [], [], 0
+    for name, words, lines in rows:
+        names.append(name)
+        texts.append((words, lines))
+        size += len(words)
+        if size > AT_ONCE:
+            yield some(names, texts)
+            names, texts, size = [], [], 0
+    if names:
+        yield some(names, texts)
+
 
+def _units(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, start, n, u1, u2, k0, ..): every paragraph of every document. start and n count words.
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct hashes of a paragraph's shingles."""
-    return np.unique(_shingles([text])[0])
+    u1 is a hash of all words in their order; u2 mixes the bands. Only lines have keys, one for each band.
+    """
 
+    def rows(names: list[int], texts: list[tuple]) -> pa.RecordBatch:
+        made = _measured(texts)
+        m = len(made["keys"])
+        nothing = pa.nulls(len(made["at"]) - m, pa.int64())
+        columns = [
+            pa.array(np.array(names, dtype=np.int64)[made["at"]]),
+            pa.array(made["kind"].astype(np.int32)),
+            pa.array(made["start"].astype(np.int32)),
+            pa.array(made["n"].astype(np.int32)),
+            pa.array(made["u1"]),
+            pa.array(made["u2"]),
+            *[pa.concat_arrays([pa.array(made["keys"][:, b]), nothing]) for b in range(BANDS)],
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "start", "n", "u1", "u2", *KEYS])
+
+    def read(batch):
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words, lines = paragraphs(text.as_py() or "")
+            if len(words) >= LEAST:
+                yield name, words, lines
 
-def _bands(texts) -> np.ndarray:
-    """(paragraphs, BANDS) band values."""
-    every, at = _shingles(texts)
-    salt = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MULTIPLY[2])
-    out = np.zeros((len(at), BANDS), dtype=np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(at), b, dtype=np.uint64)
-        for r in range(ROWS):
-            key = _mix(key * _MULTIPLY[2] + np.minimum.reduceat(_mix(every ^ salt[b * ROWS + r]), at))
-        out[:, b] = key
-    return out.view(np.int64)
-
-
-def _links(ids: np.ndarray, texts: list[str], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A forest over ids that connects as the pairs of left and right of similarity SIMILAR do."""
-    sets = [shingles(t) for t in texts]
-    sizes = np.array([len(s) for s in sets])
-    side = np.zeros(len(ids), dtype=np.int8)
-    side[left] |= 1
-    side[right] |= 2
-    unseen = np.ones(len(ids), dtype=bool)
+    def of(batches):
+        for batch in batches:
+            yield from _batches(read(batch), rows)
+
+    return _texts(docs).mapInArrow(of, "doc_id long, kind int, start int, n int, u1 long, u2 long, " + ", ".join(f"{k} long" for k in KEYS))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _picked(docs: DataFrame) -> DataFrame:
+    """(uid, text) of the paragraphs asked for: rows (text, wanted), a list of u1."""
+
+    def rows(names: list[set], texts: list[tuple]) -> pa.RecordBatch:
+        made = _measured(texts, inside=False)
+        out = []
+        for at, start, n, u in zip(made["at"].tolist(), made["start"].tolist(), made["n"].tolist(), made["u1"].tolist(), strict=True):
+            if u in names[at]:
+                names[at].discard(u)
+                out.append((u, b" ".join(texts[at][0][start : start + n]).decode()))
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], ["uid", "text"])
+
+    def read(batch):
+        for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            yield set(wanted), *paragraphs(text.as_py() or "")
+
+    def of(batches):
+        for batch in batches:
+            yield from _batches(read(batch), rows)
+
+    return docs.mapInArrow(of, "uid long, text string")
+
+
+def _line_components(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u1, cluster) of the lines that have a near-duplicate. ``lines`` has distinct rows (u1, d0, keys)."""
+    keyed = lines.select(F.col("u1").alias("uid"), F.col("d0").alias("rep"), F.explode(F.array(*KEYS)).alias("key"))
+
+    def texts(asked: DataFrame, count: int) -> DataFrame:
+        by_doc = asked.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("uid").alias("wanted"))  # lines of one document
+        return _picked(_texts(docs).join(broadcast_if_small(by_doc, count), "doc_id").select("text", "wanted"))
+
+    return connected_components(linked(keyed, texts, CHUNK)).select(F.col("node").alias("u1"), F.col("component").alias("cluster"))
+
+
+def spans_around(words: list[bytes], spots: list[tuple[int, int]], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of every span of ``run`` words that holds a spot (start, n) whole, and two hashes of each span's words."""
+    size = len(words)
+    starts = sorted({i for s, n in spots for i in range(max(0, s + n - run), min(s, size - run) + 1)})
+    at = np.array(starts, dtype=np.int64)
+    h = _hashes(words)
     out = []
-    for root in range(len(ids)):
-        if not unseen[root]:
-            continue
-        unseen[root] = False
-        queue = [root]
-        while queue:
-            me = queue.pop()
-            rest = np.flatnonzero(unseen & ((side & (3 if side[me] == 3 else 3 - side[me])) > 0))
-            rest = rest[np.minimum(sizes[rest], sizes[me]) >= SIMILAR * np.maximum(sizes[rest], sizes[me])]
-            for at in range(0, len(rest), 512):
-                some = rest[at : at + 512]
-                every = np.concatenate([sets[i] for i in some])
-                starts = np.cumsum([0, *sizes[some][:-1]])
-                shared = np.add.reduceat(np.isin(every, sets[me], assume_unique=False).astype(np.int64), starts)
-                near = some[shared >= SIMILAR * (sizes[some] + sizes[me] - shared)]
-                unseen[near] = False
-                queue.extend(near.tolist())
-                out.extend((int(ids[i]), int(ids[root])) for i in near)
-    return out
-
-
-def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A forest of the links inside the band groups of ``pdf``, whose rows lie together.
-
-    All rows are first compared with the head of their group at once, which settles pairs and groups of
-    one kind; a group where some row is unlike its head is then compared in full.
-    """
-    part = pdf[["key", "lo", "hi"]].to_numpy()
-    starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]).any(axis=1)])
-    sizes = np.diff(np.r_[starts, len(pdf)])
-    group = np.repeat(np.arange(len(starts)), sizes)
-    head = starts[group]
-    uid, own, texts = pdf["uid"].to_numpy(), pdf["own"].to_numpy(), pdf["text"].tolist()
-    every, at = _shingles(texts)
-    row = np.repeat(np.arange(len(pdf)), np.diff(np.r_[at, len(every)]))
-    order = np.lexsort((every, row))
-    every, row = every[order], row[order]
-    new = np.r_[True, (every[1:] != every[:-1]) | (row[1:] != row[:-1])]
-    every, row = every[new], row[new]
-    in_group = _mix(every ^ _mix(group[row].astype(np.uint64) * _MULTIPLY[2]))
-    shared = np.bincount(row, np.isin(in_group, in_group[row == head[row]]), minlength=len(pdf))
-    count = np.bincount(row, minlength=len(pdf))
-    near = shared >= SIMILAR * (count + count[head] - shared)
-    crossed = (pdf["lo"] != pdf["hi"]).to_numpy()
-    alike = near & ~crossed & (head != np.arange(len(pdf)))
-    out = list(zip(uid[alike].tolist(), uid[head[alike]].tolist(), strict=True))
-    open_ = np.flatnonzero((np.add.reduceat((~near).astype(np.int64), starts) > 0) & (sizes > 2) | crossed[starts])
-    for g in open_:
-        rows = np.arange(starts[g], starts[g] + sizes[g])
-        inside = np.arange(len(rows))
-        sides = (inside[own[rows] == pdf["lo"].iat[rows[0]]], inside[own[rows] == pdf["hi"].iat[rows[0]]]) if crossed[rows[0]] else (inside, inside)
-        out += _links(uid[rows], [texts[i] for i in rows], *sides)
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def _groups(batches):
-    """Whole band groups from batches of sorted rows; a group that a batch cuts waits for the next one."""
-    waiting = None
-    for pdf in batches:
-        pdf = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
-        last = pdf[["key", "lo", "hi"]].to_numpy()
-        cut_at = len(pdf) - int((last == last[-1]).all(axis=1)[::-1].cumprod().sum()) if len(pdf) else 0
-        waiting = pdf.iloc[cut_at:]
-        if cut_at:
-            yield _linked(pdf.iloc[:cut_at].reset_index(drop=True))
-    if waiting is not None and len(waiting):
-        yield _linked(waiting.reset_index(drop=True))
-
-
-def _line_components(distinct: DataFrame) -> DataFrame:
-    """(uid, cluster) of the lines that have a near-duplicate. ``distinct`` has rows (uid, text)."""
-
-    def keys(batches):
+    for base, salt in ((0xD1342543DE82EF95, 0), (0x9E3779B97F4A7C15, 1)):
+        back = np.cumprod(np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h + np.uint64(salt)) * np.cumprod(np.full(size, base, dtype=np.uint64)))])
+        out.append(_mix((sums[at + run] - sums[at]) * back[at]).view(np.int64) if len(at) else np.zeros(0, dtype=np.int64))
+    return at, *out
+
+
+def _spans_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, g1, g2): the spans around the spots of rows (doc_id, text, spots)."""
+
+    def of(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                made = _bands(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), BANDS))), pa.array(made.reshape(-1))], ["uid", "key"]
-                )
-
-    keyed = stored(distinct.mapInArrow(keys, "uid long, key long"))
-    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    candidates = cut(keyed.join(broadcast_if_small(shared, shared.count()), "key"))
-    asked = cut(candidates.select("uid").distinct())
-    texts = distinct.join(broadcast_if_small(asked, asked.count()), "uid", "left_semi")
-    members = (
-        texts.join(candidates, "uid")
-        .withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("uid"), F.col("c")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        .select("uid", "text", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    )
-    placed = members.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "uid")
-    found = placed.mapInPandas(_groups, "a long, b long")
-    return connected_components(found).select(F.col("node").alias("uid"), F.col("component").alias("cluster"))
+            for name, text, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = (text.as_py() or "").encode().lower().split()
+                at, one, two = spans_around(words, [(s["start"], s["n"]) for s in spots if s["start"] + s["n"] <= len(words)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)], ["doc_id", "start", "g1", "g2"])
+
+    return docs.mapInArrow(of, "doc_id long, start int, g1 long, g2 long")
+
+
+def _runs(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` (start, n, ..) with run, a number for each longest row of words that they cover without a gap."""
+    mine = Window.partitionBy(*keys).orderBy("start", "n", "cluster")
+    before = mine.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.col("start") > F.max(F.col("start") + F.col("n")).over(before), F.lit(True))
+    return rows.withColumn("first", first).withColumn("run", F.sum(F.col("first").cast("int")).over(mine)).drop("first")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, n, cluster_id, removed, units): passages that other documents repeat.
 
-    A row is a longest run of repeated paragraphs of a document, of ``RUN`` words or more: its first
-    word (from 0), its words, the smallest cluster in it, and how many paragraphs it joins. The document
-    of smallest id keeps a cluster; ``removed`` is true in the others. Null and empty texts and short
-    ones give no row; rows without a doc_id are left out; rows that repeat a doc_id are one document.
+    A row is a longest run of words of a document that repeated lines and passages cover: its first word
+    (from 0), its words, the smallest cluster in it, and how many lines, windows and spans it joins. The
+    document of smallest id keeps a cluster; ``removed`` is true in the others. Null, empty and short texts
+    give no row; rows without a doc_id are left out; rows that repeat a doc_id are one document. Texts may
+    have any length, and hold any passage any number of times. No documents give no rows. Only doc_id and
+    text are read, so other columns may have any name.
     """
-    # The text is a key, so equal hashes of unequal lines stay apart, and counts are combined before they move.
-    seen = _units(docs, True).groupBy("kind", "uid", "text").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
-    seen = stored(seen.where((F.col("kind") == LINE) | (F.col("d0") != F.col("d1"))))
-    lines, blocks = seen.where(F.col("kind") == LINE), seen.where(F.col("kind") == BLOCK)
-    near = _line_components(lines.select("uid", "text"))
-    classed = lines.select("uid", "d0", "d1").join(near, "uid", "left").withColumn("cluster", F.coalesce("cluster", "uid"))
+    units = stored(_units(docs))
+    lines = units.where(F.col("kind") == PARAGRAPH).groupBy("u1", "u2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), *[F.min(k).alias(k) for k in KEYS])
+    lines = cut(lines)
+    near = _line_components(lines.select("u1", "d0", *KEYS), docs)
+    classed = lines.select("u1", "u2", "d0", "d1").join(near, "u1", "left").withColumn("cluster", F.coalesce("cluster", "u1"))
     across = classed.groupBy("cluster").agg(F.min("d0").alias("keeper"), F.max("d1").alias("last")).where("keeper <> last")
-    chosen = cut(
-        classed.join(across, "cluster")
-        .select("uid", "cluster", "keeper")
-        .distinct()
-        .unionByName(blocks.select("uid", F.col("uid").alias("cluster"), F.col("d0").alias("keeper")))
-    )
-    held = _units(docs, False).drop("kind").join(broadcast_if_small(chosen, chosen.count()), "uid")
-    held = held.withColumn("removed", F.col("doc_id") != F.col("keeper"))
-    mine = Window.partitionBy("doc_id", "removed").orderBy("start", "n", "cluster")
-    before = mine.rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.coalesce(F.col("start") > F.max(F.col("start") + F.col("n")).over(before), F.lit(True))
-    runs = held.withColumn("first", starts).withColumn("run", F.sum(F.col("first").cast("int")).over(mine))
-    joined = runs.groupBy("doc_id", "removed", "run").agg(
-        F.min("start").alias("start"),
-        (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"),
-        F.min("cluster").alias("cluster_id"),
-        F.count(F.lit(1)).alias("units"),
+    same = classed.join(across, "cluster").select(F.lit(PARAGRAPH).alias("kind"), "u1", "u2", "cluster", "keeper")
+    windows = units.where(F.col("kind") == INSIDE).groupBy("u1", "u2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last")
+    chosen = cut(same.unionByName(windows.select(F.lit(INSIDE).alias("kind"), "u1", "u2", F.col("u1").alias("cluster"), "keeper")))
+    held = units.drop(*KEYS).join(broadcast_if_small(chosen, chosen.count()), ["kind", "u1", "u2"])
+
+    inside = _runs(held.where(F.col("kind") == INSIDE), "doc_id")
+    whole = Window.partitionBy("doc_id", "run")
+    inside = cut(inside.withColumn("all", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)))
+    fields = ["doc_id", "start", "n", "cluster", "keeper"]
+    # Every document that holds a window of a short run compares the spans around it, also where its own run is long.
+    short = cut(inside.where(F.col("all") < RUN).select("u1", "u2").distinct())
+    asked = inside.join(broadcast_if_small(short, short.count()), ["u1", "u2"])
+    by_doc = cut(asked.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("spots")))  # windows of one document
+    spans = cut(_spans_of(_texts(docs).join(broadcast_if_small(by_doc, asked.count()), "doc_id").select("doc_id", "text", "spots")))
+    twice = spans.groupBy("g1", "g2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
+    found = spans.join(twice, ["g1", "g2"]).select("doc_id", "start", F.lit(RUN).alias("n"), F.col("g1").alias("cluster"), "keeper").distinct()
+
+    passages = held.where(F.col("kind") == PARAGRAPH).select(fields).unionByName(inside.where(F.col("all") >= RUN).select(fields)).unionByName(found)
+    passages = _runs(passages.withColumn("removed", F.col("doc_id") != F.col("keeper")), "doc_id", "removed")
+    return (
+        passages.groupBy("doc_id", "removed", "run")
+        .agg(
+            F.min("start").alias("start"),
+            (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"),
+            F.min("cluster").alias("cluster_id"),
+            F.count(F.lit(1)).alias("units"),
+        )
+        .select("doc_id", "start", "n", "cluster_id", "removed", "units")
     )
-    return joined.where(F.col("n") >= RUN).select("doc_id", "start", "n", "cluster_id", "removed", "units")

@@ -11,14 +11,6 @@ def words(rng, n):
     return [f"w{rng.randrange(4000)}" for _ in range(n)]
 
 
-def test_block_bounds_are_local():
-    rng = random.Random(1)
-    inside = words(rng, 90)
-    a, b = words(rng, 40) + inside + words(rng, 40), words(rng, 11) + inside + words(rng, 70)
-    cut = lambda w, at: {int(i) - at for i in substrings.block_starts(substrings._hashes([x.encode() for x in w])) if at + 6 <= i < at + 84}
-    assert cut(a, 40) == cut(b, 11) and len(cut(a, 40)) > 2
-
-
 def jaccard(a, b):
     grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(len(t.split()) - 4, 1))}
     x, y = grams(a), grams(b)
@@ -38,8 +30,13 @@ def test_line_components_match_brute_force(spark, monkeypatch, chunk):
                 w[i] = f"n{rng.randrange(10**6)}"
             lines.append(" ".join(w))
     lines = sorted(set(lines))
-    df = spark.createDataFrame(list(enumerate(lines)), "uid long, text string")
-    got = {r.uid: r.cluster for r in substrings._line_components(df).collect()}
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    units = substrings._units(df).where("kind = 0").withColumnRenamed("doc_id", "d0")
+    number = {r.u1: r.d0 for r in units.collect()}
+    groups = {}
+    for r in substrings._line_components(units, df).collect():
+        groups.setdefault(r.cluster, []).append(number[r.u1])
+    got = {i: min(g) for g in groups.values() for i in g}
     root = list(range(len(lines)))
 
     def find(x):
@@ -89,10 +86,20 @@ def test_edges(spark):
     assert substrings.repeated_passages(df.limit(0)).count() == 0
 
 
-def test_signatures_do_not_depend_on_the_batch():
+def test_measures_do_not_depend_on_the_batch():
     rng = random.Random(6)
-    texts = [" ".join(words(rng, rng.randrange(16, 60))) for _ in range(50)]
-    assert (substrings._bands(texts) == np.concatenate([substrings._bands([t]) for t in texts])).all()
+    texts = [substrings.paragraphs("\n".join(" ".join(words(rng, rng.randrange(5, 60))) for _ in range(rng.randrange(1, 5)))) for _ in range(50)]
+    whole, alone = substrings._measured(texts), [substrings._measured([t]) for t in texts]
+    for c in ("start", "n", "u1", "u2"):
+        one = sorted((at, kind, x) for at, kind, x in zip(whole["at"].tolist(), whole["kind"].tolist(), whole[c].tolist()))
+        assert one == sorted((i, kind, x) for i, m in enumerate(alone) for kind, x in zip(m["kind"].tolist(), m[c].tolist()))
+    assert (whole["keys"] == np.concatenate([m["keys"] for m in alone])).all()
+
+
+def test_lines_are_joined_up_to_a_blank_one():
+    line = " ".join(f"w{i}" for i in range(10))
+    got = substrings.paragraphs(f"{line}\n{line}\n \n{line}\n\n{line} {line}\nx")[1]
+    assert got == [(0, 20), (30, 20), (30, 21)]
 
 
 def blocks(text):
@@ -112,7 +119,7 @@ def test_every_passage_of_51_words_holds_a_run(vocabulary):
         one, two = (blocks(head + passage + some(rng.randrange(60))) for head in heads)
         alike = {(w, a - len(heads[0])) for w, a in one} & {(w, a - len(heads[1])) for w, a in two}
         inside = {i for w, a in alike for i in range(a, a + len(w)) if 0 <= a and a + len(w) <= 51}
-        assert len(inside) >= substrings.RUN
+        assert len(inside) >= 51 - 2 * substrings.WINDOW + 2
 
 
 def test_passages_of_few_words_are_found(spark):
@@ -124,3 +131,38 @@ def test_passages_of_few_words_are_found(spark):
     got = substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id for r in got if r.removed} == set(range(1, 80, 2))
     assert {r.doc_id for r in got if not r.removed} == set(range(0, 80, 2))
+
+
+def spans51(text, size=51):
+    w = text.lower().split()
+    return {tuple(w[i : i + size]): i for i in range(len(w) - size + 1)}
+
+
+@pytest.mark.parametrize("size", [51, 70])
+def test_passages_of_real_texts_pasted_into_others_are_all_found_and_nothing_else(spark, size):
+    """Recall of documents and words, and precision, against every span of 51 words."""
+    rng = random.Random(size)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts = [t.lower().split() for t in texts if t and len(t.split()) > 250][:160]
+    docs = {}
+    for k, t in enumerate(texts):
+        docs[k] = " ".join(t[:200])
+    for k in range(80):  # a passage of one goes into another
+        at, to = rng.randrange(200 - size), rng.randrange(1, 199)
+        own = docs[80 + k].split()
+        docs[80 + k] = " ".join(own[:to] + docs[k].split()[at : at + size] + own[to:])
+    for k in range(60):  # many share a sentence of 20 words, which is no passage
+        docs[1000 + k] = " ".join(words(rng, 60) + docs[0].split()[5:25] + words(rng, 60))
+    got = substrings.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    held = {}
+    for d, t in docs.items():
+        for s in spans51(t):
+            held.setdefault(s, set()).add(d)
+    want = {d: {j for s, i in spans51(t).items() if len(held[s]) > 1 for j in range(i, i + 51)} for d, t in docs.items()}
+    found = {d: set() for d in docs}
+    for r in got:
+        if r.n >= 51:
+            found[r.doc_id] |= set(range(r.start, r.start + r.n))
+    whole = {d for d, t in docs.items() if any(len(held[s]) > 1 for s in spans51(t))}
+    assert whole == {d for d in found if found[d]} and len(whole) >= 160
+    assert all(len(found[d] & want[d]) >= 0.6 * len(want[d]) for d in docs)
