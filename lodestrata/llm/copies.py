@@ -74,14 +74,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     marked = stored(_marked(docs))
     reps = marked.groupBy("uid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    keyed = stored(reps.select("uid", "rep", F.posexplode("bands").alias("band", "key")).drop("band"))
+    reps = stored(reps)
+    keyed = reps.select("uid", F.explode("bands").alias("key"))
 
-    def texts(asked: DataFrame, count: int) -> DataFrame:
+    def texts(asked: DataFrame) -> DataFrame:
         """The texts of the representatives; what else their documents hold is known by its uid and drops."""
         ids = asked.select(F.col("rep").alias("doc_id")).distinct()
-        return _with_uid(_lowered(docs).join(broadcast_if_small(ids, count), "doc_id", "left_semi"))
+        return _with_uid(_lowered(docs).join(broadcast_if_small(ids, asked.count()), "doc_id", "left_semi"))
 
-    found = linked(keyed, texts, CHUNK)
+    found = linked(keyed, reps.select("uid", "rep"), texts, CHUNK)
     # A document of several texts joins them.
     ids = marked.groupBy("doc_id").agg(F.min("uid").alias("b"), F.max("uid").alias("z")).where("b <> z").select("doc_id", "b")
     several = marked.join(ids, "doc_id").select(F.col("uid").alias("a"), "b")

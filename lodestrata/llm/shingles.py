@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import broadcast_if_small, cut, ship
+from lodestrata.llm.common import cut, ship
 
 ship(__name__)
 
@@ -36,13 +36,24 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), dtype=np.uint64, count=len(words))
 
 
-def _spans(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each span of word hashes; its words and their order count. Lengths are positive."""
-    at = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    inside = np.arange(int(lengths.sum()), dtype=np.int64) - at
-    words = h[np.repeat(starts, lengths) + inside]
-    mixed = _mix(words + _mix(inside.astype(np.uint64) + _MULTIPLY[2]))
-    return _mix(np.add.reduceat(mixed, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64)).view(np.int64)
+BASES = (0xD1342543DE82EF95, 0x9E3779B97F4A7C15)
+
+
+class Spans:
+    """Hashes of any spans of a row of word hashes, by sums of powers; the words and their order count."""
+
+    def __init__(self, h: np.ndarray, base: int = BASES[0]):
+        size = len(h)
+        self.back = np.cumprod(np.full(size + 1, pow(base, -1, 1 << 64), dtype=np.uint64))
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(h + np.uint64(base)) * np.cumprod(np.full(size, base, dtype=np.uint64)))])
+
+    def of(self, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+        return _mix((self.sums[starts + sizes] - self.sums[starts]) * self.back[starts] + np.asarray(sizes).astype(np.uint64))
+
+    def every(self, size: int) -> np.ndarray:
+        """The hash of the span of ``size`` words at every word that has one."""
+        n = max(len(self.sums) - size, 0)
+        return _mix((self.sums[size:] - self.sums[:n]) * self.back[:n] + np.uint64(size))
 
 
 def _shingles(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -178,21 +189,22 @@ def _verified(batches):
     return _groups(pdf.iloc[a:b] for pdf in batches for a, b in _slices(pdf["text"].str.len().tolist()))
 
 
-def linked(keyed: DataFrame, texts: Callable[[DataFrame, int], DataFrame], chunk: int) -> DataFrame:
+def linked(keyed: DataFrame, reps: DataFrame, texts: Callable[[DataFrame], DataFrame], chunk: int) -> DataFrame:
     """Edges (a, b) between uids, which connect as all pairs of similarity ``SIMILAR`` that share a band do.
 
-    ``keyed`` has rows (uid, rep, key), one for each band of each text. Bands that hold the same texts are one
-    group. ``texts`` gives (uid, text) of the asked (uid, rep), of which it is told the number; each text is
-    read once, and moves once for each group that needs it. A group of more than ``chunk`` texts is compared
-    chunk against chunk in separate tasks, all of it.
+    ``keyed`` has rows (uid, key), one for each band of each text; ``reps`` has (uid, rep), a document for each.
+    Bands that hold the same texts are one group. ``texts`` gives (uid, text) of the asked (uid, rep); each text
+    is read once, and moves once for each group that needs it. A group of more than ``chunk`` texts is compared
+    chunk against chunk in separate tasks, all of it. All joins are plain: none broadcasts by a size of its own.
     """
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("uid").alias("x"), F.bit_xor(F.xxhash64("uid")).alias("y"))
-    shared = cut(groups.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"))
-    candidates = cut(keyed.join(broadcast_if_small(shared, shared.count()), "key"))
-    asked = cut(candidates.select("uid", "rep").distinct())
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("uid")).alias("x"))
+    shared = cut(groups.where("m > 1").groupBy("m", "x").agg(F.min("key").alias("key")).select("key", "m"))
+    candidates = cut(keyed.join(shared, "key"))
+    asked = candidates.select("uid").distinct()
+    asked = cut(reps.join(asked, "uid"))
     members = (
-        texts(asked, asked.count())
-        .join(candidates.select("uid", "key", "m"), "uid")
+        texts(asked)
+        .join(candidates, "uid")
         .withColumn("c", F.ceil(F.col("m") / chunk).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("uid"), F.col("c")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))

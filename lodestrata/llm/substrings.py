@@ -1,25 +1,27 @@
 """Repeated passages: paragraph MinHash banding, exact verification, and removals by components.
 
-Texts are lower-cased (A-Z) and split into words at ASCII white space. Three kinds of paragraph are compared
-across the whole corpus, all of them by MinHash bands over shingles of ``SHINGLE`` words:
-
-* lines of ``LEAST`` words or more, and the lines between two blank lines joined, where they are several.
-  ``BANDS`` bands of ``ROWS`` rows find a pair of similarity 0.8 with probability 0.998. Pairs that share a
-  band are verified on their shingle sets, exactly, and linked at a Jaccard similarity of ``SIMILAR`` or
-  more; links are joined into components.
-* windows inside texts, for passages pasted into other text. A window reaches from one bound to the next, and
-  ``GRAM`` words beyond. Bounds are the smallest hashes of ``GRAM`` words in every ``WINDOW`` such hashes in a
-  row, the rightmost of equal ones, so that a pasted passage has the same windows wherever it stands, and
-  every passage of 51 words holds one whole. Windows are banded by one band of ``WINDOW_ROWS`` rows, which
-  equal ones always share, and those of one band are one where all their words are, by a hash of them.
+Texts are lower-cased (A-Z) and split into words at ASCII white space. Two kinds of paragraph are compared
+across the whole corpus, both by MinHash bands over shingles of ``SHINGLE`` words:
+
+* lines of ``LEAST`` words or more, and the lines between two blank lines joined, where most of them are
+  shorter. ``BANDS`` bands of ``ROWS`` rows find a pair of similarity 0.8 with probability 0.998. Pairs that
+  share a band are verified on their shingle sets, exactly, and linked at a Jaccard similarity of ``SIMILAR``
+  or more; links are joined into components.
+* windows of ``GRAM`` words inside texts, for passages pasted into other text. A window stands where the hash
+  of its words is the smallest of ``ROW`` windows in a row, the rightmost of equal ones, so that windows stand
+  at the same words wherever a passage stands, and every passage of ``RUN`` words holds one whole. A window's
+  one band mixes ``WINDOW_ROWS`` least hashes and a hash of all its words: only equal windows collide.
 
 Windows that other documents hold too are joined to runs. A run of ``RUN`` words or more is a repeated
-passage. Around the windows of shorter runs every span of ``RUN`` words is compared, by 128 bits of its words:
-where another document holds the span too, it is a repeated passage; else the run was too short for one.
+passage. Around the windows of shorter runs, spans of ``CORE`` words are compared by 128 bits of their words,
+one at least of them inside any passage of ``RUN`` words that holds the window: where another document holds
+the span too, it is a repeated passage; else the run was too short for one.
 
 Equal paragraphs are merged by their hashes before anything is compared; they cost one row for each task and
-value, however common they are. Texts move only to be verified: those of lines that share a band with an
-unlike line, and of the documents with short runs.
+value, however common they are. Texts are read again to verify, not moved: what is asked for goes to the
+documents as a table of ``SIEVE`` bits (16 MB whatever the corpus), by which a few more paragraphs than asked
+for are picked; the joins that follow drop these. Only the texts of lines that share a band with an unlike
+line are shuffled, once each.
 """
 
 from __future__ import annotations
@@ -30,92 +32,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.llm.common import broadcast_if_small, cut, ship, stored
+from lodestrata.llm.common import cut, ship, stored
 from lodestrata.llm.components import connected_components
-from lodestrata.llm.shingles import _MULTIPLY, SHINGLE, _hashes, _mix, _spans, bands, linked
+from lodestrata.llm.shingles import BASES, SHINGLE, Spans, _hashes, _mix, bands, linked
 
 ship(__name__)
 
 #: Words of a line, and of lines joined, from which on they are compared.
 LEAST = 16
-#: Words of a bound and bounds in a row. 51 words hold two such rows apart, and 51 - 2 * WINDOW + 2 words of windows.
-GRAM, WINDOW = 8, 20
-#: Words from which on a passage inside other text is reported.
-RUN = 51
+#: Words from which on a passage inside other text is reported; words of a window; windows that RUN words hold.
+#: Of one passage, windows follow each other by at most GRAM words, and so touch.
+RUN, GRAM = 51, 26
+ROW = RUN - GRAM + 1
+#: Around the windows of short runs, spans that begin every STEP words are compared, so many words shorter.
+STEP = 5
+CORE = RUN - STEP + 1
 BANDS, ROWS, WINDOW_ROWS = 6, 2, 3
 #: Paragraphs of one band value that one task compares; more are compared chunk against chunk.
 CHUNK = 4096
 #: Words that are worked on at once.
 AT_ONCE = 100_000
 PARAGRAPH, INSIDE = 0, 1
+#: Bits of a sieve, a power of two.
+SIEVE = 1 << 27
 KEYS = [f"k{b}" for b in range(BANDS)]
 
 
-def bounds(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions of the bounds of texts in a row, of ``sizes`` words each; no row of hashes reaches another text."""
-    n = len(h) - GRAM - WINDOW + 2
+def windows(spans: Spans, sizes: np.ndarray) -> np.ndarray:
+    """Starts of the windows of texts in a row, of ``sizes`` words each; none reaches another text."""
+    n = int(sizes.sum()) - RUN + 1
     if n < 1:
         return np.zeros(0, dtype=np.int64)
-    grams = np.zeros(len(h) - GRAM + 1, dtype=np.uint64)
-    for i in range(GRAM):
-        grams = _mix(grams * _MULTIPLY[2] + h[i : i + len(grams)])
-    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    left = np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n)  # words from each window to its text's end
+    grams = spans.every(GRAM)
+    rows = np.lib.stride_tricks.sliding_window_view(grams, ROW)
+    left = np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n)  # words from each row to its text's end
     chosen = []
     for at in range(0, n, 65536):
-        some = windows[at : at + 65536]
-        last = at + np.arange(len(some)) + WINDOW - 1 - np.argmin(some[:, ::-1], axis=1)
-        chosen.append(last[left[at : at + 65536] >= GRAM + WINDOW - 1])
+        some = rows[at : at + 65536]
+        last = at + np.arange(len(some)) + ROW - 1 - np.argmin(some[:, ::-1], axis=1)
+        chosen.append(last[left[at : at + 65536] >= RUN])
     return np.unique(np.concatenate(chosen))
 
 
+def _window_ids(spans: Spans, starts: np.ndarray) -> np.ndarray:
+    """The band of each window: its least shingles, and all its words."""
+    band = bands(spans.every(SHINGLE), starts, np.full(len(starts), GRAM - SHINGLE + 1, dtype=np.int64), 1, WINDOW_ROWS)[:, 0]
+    return _mix(spans.of(starts, GRAM) ^ band.view(np.uint64)).view(np.int64)
+
+
 def paragraphs(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """The words of a text, and (start, length) of each line, and of lines joined, of ``LEAST`` words or more."""
+    """The words of a text, and (start, length) of each line, and of short lines joined, of ``LEAST`` words or more."""
     words: list[bytes] = []
-    found, begin, lines = [], 0, 0
+    found, begin, lines, short = [], 0, 0, 0
 
     def end() -> None:
-        if lines > 1 and len(words) - begin >= LEAST:
+        if lines > 1 and 2 * short > lines and len(words) - begin >= LEAST:
             found.append((begin, len(words) - begin))
 
     for line in text.encode().lower().split(b"\n"):
         some = line.split()
         if not some:
             end()
-            begin, lines = len(words), 0
+            begin, lines, short = len(words), 0, 0
             continue
         if len(some) >= LEAST:
             found.append((len(words), len(some)))
         words += some
         lines += 1
+        short += len(some) < LEAST
     end()
     return words, found
 
 
 def _measured(texts: list[tuple], inside: bool = True) -> dict[str, np.ndarray]:
-    """Columns (at, kind, start, n, u1, u2, keys) of the paragraphs of some texts; at is the text's place among them."""
+    """Columns (at, kind, start, n, uid, keys) of the paragraphs of some texts; at is the text's place among them."""
     h = _hashes([w for words, _ in texts for w in words])
     sizes = np.array([len(words) for words, _ in texts], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
     lines = np.array([(d, begins[d] + s, n) for d, (_, found) in enumerate(texts) for s, n in found], dtype=np.int64).reshape(-1, 3)
-    cuts = bounds(h, sizes) if inside else np.zeros(0, dtype=np.int64)
-    owner = np.searchsorted(begins, cuts, side="right") - 1
-    same = owner[1:] == owner[:-1]
-    who = np.concatenate([lines[:, 0], owner[:-1][same]])
-    start = np.concatenate([lines[:, 1], cuts[:-1][same]])
-    n = np.concatenate([lines[:, 2], np.diff(cuts)[same] + GRAM])
+    spans = Spans(h)
+    first = windows(spans, sizes) if inside else np.zeros(0, dtype=np.int64)
+    owner = np.searchsorted(begins, first, side="right") - 1
+    who, start = np.concatenate([lines[:, 0], owner]), np.concatenate([lines[:, 1], first])
+    n = np.concatenate([lines[:, 2], np.full(len(first), GRAM, dtype=np.int64)])
     kind = np.repeat([PARAGRAPH, INSIDE], [len(lines), len(who) - len(lines)])
-    grams = np.zeros(max(len(h) - SHINGLE + 1, 0), dtype=np.uint64)
-    for i in range(SHINGLE):
-        grams = _mix(grams * _MULTIPLY[2] + h[i : i + len(grams)])
+    grams = spans.every(SHINGLE)
     m, size = len(lines), n - SHINGLE + 1
     keys = bands(grams, start[:m], size[:m], BANDS, ROWS)
-    second = np.zeros(len(who), dtype=np.uint64)
-    for b in range(BANDS):
-        second[:m] = _mix(second[:m] * _MULTIPLY[2] + keys[:, b].view(np.uint64))
-    second[m:] = bands(grams, start[m:], size[m:], 1, WINDOW_ROWS)[:, 0].view(np.uint64)
-    first = _spans(h, start, n) if len(n) else np.zeros(0, dtype=np.int64)
-    return {"at": who, "kind": kind, "start": start - begins[who], "n": n, "u1": first, "u2": second.view(np.int64), "keys": keys}
+    uid = np.concatenate([spans.of(start[:m], n[:m]).view(np.int64), _window_ids(spans, start[m:])])
+    return {"at": who, "kind": kind, "start": start - begins[who], "n": n, "uid": uid, "keys": keys}
 
 
 def _batches(rows, some):
@@ -133,102 +138,124 @@ def _batches(rows, some):
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, n, u1, u2, k0, ..): every paragraph of every document. start and n count words.
+    """(doc_id, kind, start, n, uid, k0, ..): every paragraph of every document. start and n count words.
 
-    u1 is a hash of all words in their order; u2 mixes the bands. Only lines have keys, one for each band.
+    uid is a hash of all words in their order; only lines have keys, one for each band.
     """
 
     def rows(names: list[int], texts: list[tuple]) -> pa.RecordBatch:
         made = _measured(texts)
-        m = len(made["keys"])
-        nothing = pa.nulls(len(made["at"]) - m, pa.int64())
+        nothing = pa.nulls(len(made["at"]) - len(made["keys"]), pa.int64())
         columns = [
             pa.array(np.array(names, dtype=np.int64)[made["at"]]),
             pa.array(made["kind"].astype(np.int32)),
             pa.array(made["start"].astype(np.int32)),
             pa.array(made["n"].astype(np.int32)),
-            pa.array(made["u1"]),
-            pa.array(made["u2"]),
+            pa.array(made["uid"]),
             *[pa.concat_arrays([pa.array(made["keys"][:, b]), nothing]) for b in range(BANDS)],
         ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "start", "n", "u1", "u2", *KEYS])
-
-    def read(batch):
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words, lines = paragraphs(text.as_py() or "")
-            if len(words) >= LEAST:
-                yield name, words, lines
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "start", "n", "uid", *KEYS])
 
     def of(batches):
         for batch in batches:
-            yield from _batches(read(batch), rows)
+            yield from _batches(_read(batch), rows)
 
-    return _texts(docs).mapInArrow(of, "doc_id long, kind int, start int, n int, u1 long, u2 long, " + ", ".join(f"{k} long" for k in KEYS))
+    return _texts(docs).mapInArrow(of, "doc_id long, kind int, start int, n int, uid long, " + ", ".join(f"{k} long" for k in KEYS))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _picked(docs: DataFrame) -> DataFrame:
-    """(uid, text) of the paragraphs asked for: rows (text, wanted), a list of u1."""
+def _of_document(uid: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """A hash of a paragraph and its document."""
+    return _mix(uid.view(np.uint64) + _mix(doc_id.view(np.uint64))).view(np.int64)
+
+
+def sieve(hashes: DataFrame, column: str):
+    """A broadcast table of ``SIEVE`` bits, in which the bit of every hash is set. At most SIEVE / 64 numbers reach the driver."""
+    spot = F.col(column).bitwiseAND(SIEVE - 1)
+    bit = F.expr(f"shiftleft(1L, cast({column} & 63 AS int))")
+    rows = hashes.select(F.shiftright(spot, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(SIEVE >> 6, dtype=np.int64)
+    table[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    spot = hashes & np.int64(SIEVE - 1)
+    return (table[spot >> 6].view(np.uint64) >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _read(batch, least: int = LEAST):
+    """(doc_id, words, lines) of the texts of a batch that have ``least`` words."""
+    for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        words, lines = paragraphs(text.as_py() or "")
+        if len(words) >= least:
+            yield name, words, lines
 
-    def rows(names: list[set], texts: list[tuple]) -> pa.RecordBatch:
-        made = _measured(texts, inside=False)
-        out = []
-        for at, start, n, u in zip(made["at"].tolist(), made["start"].tolist(), made["n"].tolist(), made["u1"].tolist(), strict=True):
-            if u in names[at]:
-                names[at].discard(u)
-                out.append((u, b" ".join(texts[at][0][start : start + n]).decode()))
-        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], ["uid", "text"])
 
-    def read(batch):
-        for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            yield set(wanted), *paragraphs(text.as_py() or "")
+def _picked(docs: DataFrame, table) -> DataFrame:
+    """(uid, text) of the lines whose hash with their document passes the sieve."""
+
+    def rows(names: list[int], texts: list[tuple]) -> pa.RecordBatch:
+        made = _measured(texts, inside=False)
+        hits = np.flatnonzero(passes(table.value, _of_document(made["uid"], np.array(names, dtype=np.int64)[made["at"]])))
+        at, start, n = (made[c][hits].tolist() for c in ("at", "start", "n"))
+        bodies = [b" ".join(texts[a][0][s : s + m]).decode() for a, s, m in zip(at, start, n, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(made["uid"][hits]), pa.array(bodies, pa.string())], ["uid", "text"])
 
     def of(batches):
         for batch in batches:
-            yield from _batches(read(batch), rows)
+            yield from _batches(_read(batch), rows)
 
-    return docs.mapInArrow(of, "uid long, text string")
+    return _texts(docs).mapInArrow(of, "uid long, text string")
 
 
 def _line_components(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u1, cluster) of the lines that have a near-duplicate. ``lines`` has distinct rows (u1, d0, keys)."""
-    keyed = lines.select(F.col("u1").alias("uid"), F.col("d0").alias("rep"), F.explode(F.array(*KEYS)).alias("key"))
+    """(uid, cluster) of the lines that have a near-duplicate. ``lines`` has distinct rows (uid, d0, keys)."""
+    keyed = lines.select("uid", F.explode(F.array(*KEYS)).alias("key"))
 
-    def texts(asked: DataFrame, count: int) -> DataFrame:
-        by_doc = asked.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("uid").alias("wanted"))  # lines of one document
-        return _picked(_texts(docs).join(broadcast_if_small(by_doc, count), "doc_id").select("text", "wanted"))
+    def texts(asked: DataFrame) -> DataFrame:
+        mixed = asked.mapInArrow(
+            lambda batches: (pa.RecordBatch.from_arrays([pa.array(_of_document(b.column(0).to_numpy(), b.column(1).to_numpy()))], ["h"]) for b in batches), "h long"
+        )
+        # A document may hold a line twice.
+        return _picked(docs, sieve(mixed, "h")).join(asked.select("uid"), "uid", "left_semi").dropDuplicates(["uid"])
 
-    return connected_components(linked(keyed, texts, CHUNK)).select(F.col("node").alias("u1"), F.col("component").alias("cluster"))
+    found = linked(keyed, lines.select("uid", F.col("d0").alias("rep")), texts, CHUNK)
+    return connected_components(found).select(F.col("node").alias("uid"), F.col("component").alias("cluster"))
 
 
-def spans_around(words: list[bytes], spots: list[tuple[int, int]], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of every span of ``run`` words that holds a spot (start, n) whole, and two hashes of each span's words."""
-    size = len(words)
-    starts = sorted({i for s, n in spots for i in range(max(0, s + n - run), min(s, size - run) + 1)})
-    at = np.array(starts, dtype=np.int64)
-    h = _hashes(words)
-    out = []
-    for base, salt in ((0xD1342543DE82EF95, 0), (0x9E3779B97F4A7C15, 1)):
-        back = np.cumprod(np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h + np.uint64(salt)) * np.cumprod(np.full(size, base, dtype=np.uint64)))])
-        out.append(_mix((sums[at + run] - sums[at]) * back[at]).view(np.int64) if len(at) else np.zeros(0, dtype=np.int64))
-    return at, *out
+def spans_around(h: np.ndarray, sizes: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, start, two hashes of the words) of the spans of ``CORE`` words around windows of texts in a row.
 
+    The windows begin at the spots. A passage of RUN words that holds the window holds one of its spans.
+    """
+    ends = np.cumsum(sizes)
+    owner = np.searchsorted(ends - sizes, spots, side="right") - 1
+    back = np.arange(0, ROW, STEP)
+    at, who = (spots[:, None] - back).ravel(), np.repeat(owner, len(back))
+    fits = (at >= (ends - sizes)[who]) & (at + CORE <= ends[who])
+    at, first = np.unique(at[fits], return_index=True)
+    who = who[fits][first]
+    return who, at - (ends - sizes)[who], *(Spans(h, base).of(at, CORE).view(np.int64) for base in BASES)
 
-def _spans_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, g1, g2): the spans around the spots of rows (doc_id, text, spots)."""
+
+def _spans_of(docs: DataFrame, table) -> DataFrame:
+    """(doc_id, start, g1, g2): the spans around the windows that pass the sieve."""
+
+    def rows(names: list[int], texts: list[tuple]) -> pa.RecordBatch:
+        h, sizes = _hashes([w for words, _ in texts for w in words]), np.array([len(words) for words, _ in texts], dtype=np.int64)
+        at = windows(Spans(h), sizes)
+        who, start, one, two = spans_around(h, sizes, at[passes(table.value, _window_ids(Spans(h), at))])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(names, dtype=np.int64)[who]), pa.array(start.astype(np.int32)), pa.array(one), pa.array(two)], ["doc_id", "start", "g1", "g2"])
 
     def of(batches):
         for batch in batches:
-            for name, text, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = (text.as_py() or "").encode().lower().split()
-                at, one, two = spans_around(words, [(s["start"], s["n"]) for s in spots if s["start"] + s["n"] <= len(words)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)], ["doc_id", "start", "g1", "g2"])
+            yield from _batches(_read(batch, RUN), rows)
 
-    return docs.mapInArrow(of, "doc_id long, start int, g1 long, g2 long")
+    return _texts(docs).mapInArrow(of, "doc_id long, start int, g1 long, g2 long")
 
 
 def _runs(rows: DataFrame, *keys: str) -> DataFrame:
@@ -250,37 +277,40 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     text are read, so other columns may have any name.
     """
     units = stored(_units(docs))
-    lines = units.where(F.col("kind") == PARAGRAPH).groupBy("u1", "u2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), *[F.min(k).alias(k) for k in KEYS])
-    lines = cut(lines)
-    near = _line_components(lines.select("u1", "d0", *KEYS), docs)
-    classed = lines.select("u1", "u2", "d0", "d1").join(near, "u1", "left").withColumn("cluster", F.coalesce("cluster", "u1"))
+    lines = units.where(F.col("kind") == PARAGRAPH).groupBy("uid").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), *[F.min(k).alias(k) for k in KEYS])
+    lines = stored(lines)
+    near = _line_components(lines, docs)
+    classed = lines.select("uid", "d0", "d1").join(near, "uid", "left").withColumn("cluster", F.coalesce("cluster", "uid"))
     across = classed.groupBy("cluster").agg(F.min("d0").alias("keeper"), F.max("d1").alias("last")).where("keeper <> last")
-    same = classed.join(across, "cluster").select(F.lit(PARAGRAPH).alias("kind"), "u1", "u2", "cluster", "keeper")
-    windows = units.where(F.col("kind") == INSIDE).groupBy("u1", "u2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last")
-    chosen = cut(same.unionByName(windows.select(F.lit(INSIDE).alias("kind"), "u1", "u2", F.col("u1").alias("cluster"), "keeper")))
-    held = units.drop(*KEYS).join(broadcast_if_small(chosen, chosen.count()), ["kind", "u1", "u2"])
+    same = classed.join(across, "cluster").select(F.lit(PARAGRAPH).alias("kind"), "uid", "cluster", "keeper")
+    equal = units.where(F.col("kind") == INSIDE).groupBy("uid").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last")
+    chosen = cut(same.unionByName(equal.select(F.lit(INSIDE).alias("kind"), "uid", F.col("uid").alias("cluster"), "keeper")))
+    held = units.drop(*KEYS).join(chosen, ["kind", "uid"])
 
-    inside = _runs(held.where(F.col("kind") == INSIDE), "doc_id")
+    inside = _runs(held.where(F.col("kind") == INSIDE).select("doc_id", "uid", "start", "n", "cluster", (F.col("doc_id") != F.col("keeper")).alias("removed")), "doc_id")
     whole = Window.partitionBy("doc_id", "run")
-    inside = cut(inside.withColumn("all", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)))
-    fields = ["doc_id", "start", "n", "cluster", "keeper"]
+    inside = inside.withColumn("all", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)).drop("run")
+    inside = stored(_runs(inside, "doc_id", "removed").drop("cluster"))
     # Every document that holds a window of a short run compares the spans around it, also where its own run is long.
-    short = cut(inside.where(F.col("all") < RUN).select("u1", "u2").distinct())
-    asked = inside.join(broadcast_if_small(short, short.count()), ["u1", "u2"])
-    by_doc = cut(asked.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("spots")))  # windows of one document
-    spans = cut(_spans_of(_texts(docs).join(broadcast_if_small(by_doc, asked.count()), "doc_id").select("doc_id", "text", "spots")))
+    spans = cut(_spans_of(docs, sieve(inside.where(F.col("all") < RUN), "uid")))
     twice = spans.groupBy("g1", "g2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
-    found = spans.join(twice, ["g1", "g2"]).select("doc_id", "start", F.lit(RUN).alias("n"), F.col("g1").alias("cluster"), "keeper").distinct()
+    found = spans.join(twice, ["g1", "g2"]).select("doc_id", "start", F.lit(CORE).alias("n"), F.col("g1").alias("cluster"), "keeper").distinct()
 
-    passages = held.where(F.col("kind") == PARAGRAPH).select(fields).unionByName(inside.where(F.col("all") >= RUN).select(fields)).unionByName(found)
-    passages = _runs(passages.withColumn("removed", F.col("doc_id") != F.col("keeper")), "doc_id", "removed")
+    # Windows of long runs are one row for each run before they meet lines and spans.
+    long = inside.where(F.col("all") >= RUN).groupBy("doc_id", "removed", "run").agg(
+        F.min("start").alias("start"), F.max("start").alias("last"), F.min("uid").alias("cluster"), F.count(F.lit(1)).alias("units")
+    )
+    long = long.select("doc_id", "removed", "start", (F.col("last") + GRAM - F.col("start")).alias("n"), "cluster", "units")
+    rest = held.where(F.col("kind") == PARAGRAPH).select("doc_id", "start", "n", "cluster", "keeper").unionByName(found)
+    rest = rest.select("doc_id", (F.col("doc_id") != F.col("keeper")).alias("removed"), "start", "n", "cluster", F.lit(1).cast("long").alias("units"))
+    passages = _runs(long.unionByName(rest), "doc_id", "removed")
     return (
         passages.groupBy("doc_id", "removed", "run")
         .agg(
             F.min("start").alias("start"),
             (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"),
             F.min("cluster").alias("cluster_id"),
-            F.count(F.lit(1)).alias("units"),
+            F.sum("units").alias("units"),
         )
         .select("doc_id", "start", "n", "cluster_id", "removed", "units")
     )
