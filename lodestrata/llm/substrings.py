@@ -287,17 +287,18 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     chosen = cut(same.unionByName(equal.select(F.lit(INSIDE).alias("kind"), "uid", F.col("uid").alias("cluster"), "keeper")))
     held = units.drop(*KEYS).join(chosen, ["kind", "uid"])
 
-    inside = _runs(held.where(F.col("kind") == INSIDE).select("doc_id", "uid", "start", "n", "cluster", (F.col("doc_id") != F.col("keeper")).alias("removed")), "doc_id")
-    whole = Window.partitionBy("doc_id", "run")
-    inside = inside.withColumn("all", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)).drop("run")
-    inside = stored(_runs(inside, "doc_id", "removed").drop("cluster"))
+    inside = held.where(F.col("kind") == INSIDE).select("doc_id", "uid", "start", "n", "cluster", (F.col("doc_id") != F.col("keeper")).alias("removed"))
+    run = ["doc_id", "removed", "run"]
+    inside = _runs(inside, *run[:2])
+    whole = Window.partitionBy(*run)
+    inside = stored(inside.withColumn("all", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)).drop("cluster"))
     # Every document that holds a window of a short run compares the spans around it, also where its own run is long.
     spans = cut(_spans_of(docs, sieve(inside.where(F.col("all") < RUN), "uid")))
     twice = spans.groupBy("g1", "g2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
     found = spans.join(twice, ["g1", "g2"]).select("doc_id", "start", F.lit(CORE).alias("n"), F.col("g1").alias("cluster"), "keeper").distinct()
 
     # Windows of long runs are one row for each run before they meet lines and spans.
-    long = inside.where(F.col("all") >= RUN).groupBy("doc_id", "removed", "run").agg(
+    long = inside.where(F.col("all") >= RUN).groupBy(*run).agg(
         F.min("start").alias("start"), F.max("start").alias("last"), F.min("uid").alias("cluster"), F.count(F.lit(1)).alias("units")
     )
     long = long.select("doc_id", "removed", "start", (F.col("last") + GRAM - F.col("start")).alias("n"), "cluster", "units")
@@ -305,7 +306,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rest = rest.select("doc_id", (F.col("doc_id") != F.col("keeper")).alias("removed"), "start", "n", "cluster", F.lit(1).cast("long").alias("units"))
     passages = _runs(long.unionByName(rest), "doc_id", "removed")
     return (
-        passages.groupBy("doc_id", "removed", "run")
+        passages.groupBy(*run)
         .agg(
             F.min("start").alias("start"),
             (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"),
