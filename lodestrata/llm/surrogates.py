@@ -7,11 +7,16 @@ the same surrogate in every document, two entities of one format never meet, and
 stay. Cards keep a valid check digit, addresses stay in the range of their parts, country codes and top
 domains stay, and given names move within the names of their gender and script.
 
+A name is two entities: its family name, and its given name with that family. So a family keeps one
+surrogate with and without given names and titles, and a person has one gender: what any of the titles of
+that name says, else what the given name says.
+
 What a permutation cannot promise is checked over the whole corpus: a surrogate that equals its own or
 another real entity, or two entities with one surrogate (given names are drawn from short lists). Such
-entities get the next tweak of the key until none is left. Texts are never shuffled for that: the
-re-keyed entities are few and travel as a literal map up to ``REKEYED`` of them, and beyond that as a
-table joined to the documents that hold them.
+entities, and only they, get the next tweak of the key until none is left; names grow by some letters after
+many, so that they never run out, and a format without a free value left raises an error. Entities are what is
+shuffled for that, not texts: up to ``REKEYED`` re-keyed entities go to the documents as a literal map. Only
+beyond that a map for each text is joined to the documents.
 """
 
 from __future__ import annotations
@@ -23,9 +28,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import cut, stored
 
-KEY, REKEYED, ROUNDS, MOST_TWEAKS = "lodestrata-surrogates-1", 2000, 6, 64
-#: Tweaks from which on a given name is a double one, and from which on it is permuted letter by letter.
-DOUBLE, SPELT = 3, 16
+KEY, REKEYED, ROUNDS = "lodestrata-surrogates-1", 50_000, 6
+#: Parts of the literal map; an entity looks into one of them.
+PARTS = 512
+#: Tweaks after which an entity without a free surrogate is an error.
+MOST = 400
+#: Tweaks from which on a given name is a double one, is permuted letter by letter, and any name grows.
+DOUBLE, SPELT, LONGER = 3, 16, 32
 
 # Titles by gender, given names by gender and script, letters by class.
 TITLES = {
@@ -53,15 +62,27 @@ LETTERS = (
 HEX = ("0123456789", "abcdef", "ABCDEF")
 SPOKEN = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", *LETTERS[3:5], "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "АЕИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ", *LETTERS[7:])
 
+# Words between given and family name, and what keys of known services begin with.
+PARTICLES = "von van der den de del della di da dos du la le ter zu bin al".split()
+PREFIXES = "AKIA|ASIA|AIza|gh[a-z]_|github_pat_|glpat-|xox[a-z]-|(?:sk|pk|rk)_(?:live|test)_|sk-|eyJ"
+
 _PART = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_GIVEN = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=len, reverse=True))
 _FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
+_FIRST_GIVEN = "".join(sorted({n[0] for names in GIVEN.values() for n in names}))
+_WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}++(?:['’-]\p{Lu}?\p{Ll}++){0,3}"
+_BETWEEN = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}"
+_H = "[0-9A-Fa-f]{1,4}"
+_TOKEN = r"[A-Za-z0-9_+/=.~-]"
 #: Typed alternatives, in order. Every repeated group is bounded, so no text can exhaust the stack.
 PATTERN = "|".join(
     (
-        r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
-        r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+        r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|(?:gh[a-z]_|github_pat_|glpat-)[A-Za-z0-9_-]{20,}+|xox[a-z]-[A-Za-z0-9-]{10,}+|(?:sk|pk|rk)_(?:live|test)_[0-9A-Za-z]{16,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9_-])",
+        r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
+        r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}",
         rf"(?<![0-9.])(?:{_PART}\.){{3}}{_PART}(?![0-9]|\.[0-9])",
+        rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|(?:{_H}:){{2,7}}:|::(?:{_H}:){{0,6}}{_H})(?![0-9A-Za-z:])",
         r"(?<![0-9])[0-9]{13,19}(?![0-9])",
         r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])",
         r"(?<![0-9A-Za-z+])\+1 ?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -70,11 +91,13 @@ PATTERN = "|".join(
         r"(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
         r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z]{0,4}[0-9]{10,26}(?![A-Za-z0-9])",
-        rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,40}}(?: \p{{Lu}}\p{{Ll}}{{1,40}})?",
+        rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE})\.? (?:{_WORD} {_BETWEEN}{_WORD}|{_BETWEEN}{_WORD})",
+        rf"(?=[{_FIRST_GIVEN}])(?<![\p{{L}}'’-])(?:{_GIVEN}) {_BETWEEN}{_WORD}",
+        rf"(?<=[=:\"' ])(?<=(?i:token|secret|password|passwd|api[_-]?key) {{0,2}}[=:] {{0,2}}[\"']?)(?=[A-Za-z_+/=.~-]*+[0-9]){_TOKEN}{{8,}}+",
     )
 )
-#: What every match holds: a digit, an at sign, or a title. Texts without one are not searched further.
-NEEDED = rf"[0-9@]|(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
+#: What every match holds: a digit, an at sign, a title or a given name. Texts without one are not searched further.
+NEEDED = rf"[0-9@]|(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE})\.? [\p{{Lu}}\p{{Ll}}]|(?=[{_FIRST_GIVEN}])(?<![\p{{L}}'’-])(?:{_GIVEN}) [\p{{Lu}}\p{{Ll}}]"
 
 
 def _text(s: str) -> str:
@@ -123,41 +146,68 @@ def kind_sql(x: str) -> str:
       WHEN {x} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN 'ip'
       WHEN {x} rlike '^[0-9]{{13,19}}$' OR {x} rlike '^[0-9]{{4}}([ -][0-9]{{4}}){{3}}$' THEN if({valid}, 'card', NULL)
       WHEN {x} rlike '^[0-9A-Fa-f]{{32,}}$' THEN 'secret'
+      WHEN {x} rlike '^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$' THEN 'ip6'
       WHEN {x} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn'
-      WHEN {x} rlike '^[A-Z]{{2}}[0-9]{{2}}' THEN 'iban'
-      WHEN {x} rlike '^[+(0-9]' THEN 'phone'
-      ELSE 'name' END"""
+      WHEN {x} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z]{{0,4}}[0-9]{{10,26}}$' THEN 'iban'
+      WHEN {x} rlike '^[+(]' OR {x} rlike '^[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}$' THEN 'phone'
+      WHEN {x} rlike {_text(f"^(?:(?:{_TITLE})[.]? |(?:{_GIVEN}) )")} THEN 'name'
+      ELSE 'token' END"""
 
 
 def norm_sql(x: str, kind: str) -> str:
-    """What makes two spellings one entity; a name's title and spacing don't count."""
+    """What makes two spellings one entity. Case and separators don't count, but for a plus before a number."""
     plain = f"lower({_core(x)})"
-    return f"CASE {kind} WHEN 'name' THEN lower(regexp_replace({x}, '^[^ ]+ ', '')) WHEN 'ip' THEN lower({x}) WHEN 'email' THEN lower({x}) ELSE {plain} END"
+    return f"CASE WHEN {kind} IN ('ip', 'ip6', 'email', 'token') THEN lower({x}) WHEN {kind} = 'phone' THEN concat(if({x} LIKE '+%', '+', ''), {plain}) ELSE {plain} END"
+
+
+def name_parts(x: str) -> dict[str, str]:
+    """The title (or nothing), the given name (or nothing), the words between, and the family name of a name."""
+    title = f"regexp_extract({x}, {_text(f'^((?:{_TITLE})[.]?) ')}, 1)"
+    words = f"split(if({title} = '', {x}, substr({x}, length({title}) + 2)), ' ')"
+    given = f"if(size({words}) > 1 AND element_at({words}, 1) rlike '^[\\\\p{{Lu}}]', element_at({words}, 1), '')"
+    between = f"filter({words}, (w, i) -> i < size({words}) - 1 AND NOT (i = 0 AND w rlike '^[\\\\p{{Lu}}]'))"
+    return {"title": title, "given": given, "between": between, "family": f"element_at({words}, -1)"}
+
+
+def gender_sql(title: str, given: str) -> str:
+    """m or f by the title, else by the given name; else n."""
+    among = lambda x, values: f"array_contains(array({', '.join(map(_text, values))}), {x})"
+    known = {g: [n for (of, _), names in GIVEN.items() if of == g for n in names] for g in "mf"}
+    plain = f"regexp_replace({title}, '[.]$', '')"
+    return f"CASE WHEN {among(plain, TITLES['m'])} THEN 'm' WHEN {among(plain, TITLES['f'])} THEN 'f' WHEN {among(given, known['f'])} THEN 'f' WHEN {among(given, known['m'])} THEN 'm' ELSE 'n' END"
+
+
+def _number(text: str, digits: int = 8) -> str:
+    return f"cast(conv(substr(sha2({text}, 256), 1, {digits}), 16, 10) AS bigint)"
+
+
+def _grown(x: str, name: str, tweak: str) -> str:
+    """x, and from a tweak on the tweak spelt in letters of the script of ``name``."""
+    letters = f"CASE WHEN {name} rlike '[\\\\p{{IsCyrillic}}]' THEN 'абвгдежзик' WHEN {name} rlike '[\\\\p{{IsGreek}}]' THEN 'αβγδεζηθικ' ELSE 'aeioumnrst' END"
+    return f"if({tweak} < {LONGER}, {x}, concat({x}, translate(cast({tweak} AS string), '0123456789', {letters})))"
+
 
+def _family_sql(family: str, tweak: str) -> str:
+    return _grown(_refill(family, _moved(_core(family), tweak, "family", SPOKEN)), family, tweak)
 
-def _name_sql(x: str, tweak: str) -> str:
-    parts = f"split({x}, ' ')"
-    title, family = f"element_at({parts}, 1)", f"element_at({parts}, -1)"
-    moved_family = _moved(family, "0", "family", SPOKEN)
-    given = f"element_at({parts}, 2)"
-    plain_title = f"regexp_replace({title}, '[.]$', '')"
-    lists = []
-    for (gender, script), names in GIVEN.items():
+
+def _given_sql(given: str, gender: str, tweak: str) -> str:
+    """A given name of the gender and script: another of the list, then two of them, then permuted letters."""
+    choices = []
+    for (of, script), names in GIVEN.items():
         held = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
-        right_script = f"{given} rlike '^[\\\\p{{IsCyrillic}}]+$'" if script == "cyrillic" else f"NOT {given} rlike '[\\\\p{{IsCyrillic}}]'"
-        titled = "array(" + ", ".join(_text(t) for t in TITLES[gender]) + ")"
-        free = "array(" + ", ".join(_text(t) for t in TITLES["n"]) + ")"
-        fits = f"{right_script} AND (array_contains({titled}, {plain_title}) OR (array_contains({free}, {plain_title}) AND " + (f"array_contains({held}, {given})" if gender == "f" else "true") + "))"
-        spot = f"if(array_contains({held}, {given}), array_position({held}, {given}), cast(conv(substr(sha2(concat({_text(KEY)}, '|given|', lower({given})), 256), 1, 8), 16, 10) AS bigint))"
-        turn = f"cast(conv(substr(sha2(concat({_text(KEY)}, '|{gender}{script}|', cast({tweak} AS string)), 256), 1, 8), 16, 10) AS bigint) % {len(names) - 1} + 1"
+        right_script = f"{given} rlike '^[\\\\p{{IsCyrillic}}]'" if script == "cyrillic" else f"{given} rlike '^[\\\\p{{IsLatin}}]'"
+        parity = _number(f"lower({given})", 2) + f" % 2 = {int(of == 'f')}"
+        fits = f"{right_script} AND ({gender} = '{of}' OR ({gender} = 'n' AND {parity}))"
+        own = _number(f"concat({_text(KEY)}, '|given|', lower({given}))")
+        spot = f"if(array_contains({held}, {given}), array_position({held}, {given}), {own})"
+        turn = _number(f"concat({_text(KEY)}, '|{of}{script}|', cast({tweak} AS string))") + f" % {len(names) - 1} + 1"
         one = f"element_at({held}, cast(pmod({spot} - 1 + {turn}, {len(names)}) AS int) + 1)"
-        more = f"element_at({held}, cast(pmod(cast(conv(substr(sha2(concat({_text(KEY)}, '|second|', lower({given}), cast({tweak} AS string)), 256), 1, 8), 16, 10) AS bigint), {len(names)}) AS int) + 1)"
-        lists.append((f"{tweak} < {DOUBLE} AND {fits}", one, gender))
-        lists.append((f"{tweak} < {SPELT} AND {fits}", f"concat({one}, '-', {more})", gender))
-    order = [p for p in lists if p[2] == "f"] + [p for p in lists if p[2] == "m"]
-    moved_given = "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v, _ in order) + f" ELSE {_moved(given, tweak, 'given', SPOKEN)} END"
-    alone = _moved(family, tweak, "family", SPOKEN)
-    return f"if(size({parts}) > 2, concat_ws(' ', {title}, {moved_given}, {moved_family}), concat_ws(' ', {title}, {alone}))"
+        second = _number(f"concat({_text(KEY)}, '|second|', lower({given}), cast({tweak} AS string))")
+        more = f"element_at({held}, cast(pmod({second}, {len(names)}) AS int) + 1)"
+        choices += [(f"{tweak} < {DOUBLE} AND {fits}", one), (f"{tweak} < {SPELT} AND {fits}", f"concat({one}, '-', {more})")]
+    spelt = _grown(_refill(given, _moved(_core(given), tweak, "given", SPOKEN)), given, tweak)
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in choices) + f" ELSE {spelt} END"
 
 
 def _address_sql(x: str, tweak: str) -> str:
@@ -178,9 +228,11 @@ def surrogate_sql(x: str, kind: str, tweak: str) -> str:
     led = f"regexp_extract({x}, '^[+][0-9]', 0)"
     phone = f"concat({led}, {whole(f'substr({x}, length({led}) + 1)', 'phone', LETTERS[:1])})"
     iban = f"concat(substr({x}, 1, 2), {whole(f'substr({x}, 3)', 'iban', LETTERS[:3])})"
+    prefix = f"regexp_extract({x}, '^(?:{PREFIXES})', 0)"
+    token = f"concat({prefix}, {whole(f'substr({x}, length({prefix}) + 1)', 'token', LETTERS[:3])})"
     return f"""CASE {kind} WHEN 'email' THEN {email} WHEN 'ip' THEN {_address_sql(x, tweak)} WHEN 'card' THEN {card}
       WHEN 'secret' THEN {_moved(x, tweak, 'secret', HEX)} WHEN 'ssn' THEN {whole(x, 'ssn', LETTERS[:1])}
-      WHEN 'iban' THEN {iban} WHEN 'phone' THEN {phone} WHEN 'name' THEN {_name_sql(x, tweak)} ELSE {x} END"""
+      WHEN 'iban' THEN {iban} WHEN 'phone' THEN {phone} WHEN 'ip6' THEN {whole(x, 'ip6', HEX)} WHEN 'token' THEN {token} ELSE {x} END"""
 
 
 def matches(text: Column) -> Column:
@@ -188,65 +240,114 @@ def matches(text: Column) -> Column:
     return F.when(text.rlike(NEEDED), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
+def mentions(found: DataFrame) -> DataFrame:
+    """``found`` (entity, ..) with kind, norm, spelling, gender and scope: a row for each entity that a match names.
+
+    A name gives its family, and with a given name the two together, whose scope is the family.
+    """
+    rest = [c for c in found.columns if c != "entity"]
+    typed = found.withColumn("kind", F.expr(kind_sql("entity"))).where("kind is not null")
+    plain = f"named_struct('kind', kind, 'norm', {norm_sql('entity', 'kind')}, 'spelling', entity, 'gender', 'n', 'scope', '')"
+    low, both = "lower(p.family)", "lower(concat(p.given, ' ', p.family))"
+    families = f"named_struct('kind', 'family', 'norm', {low}, 'spelling', p.family, 'gender', 'n', 'scope', '')"
+    people = f"named_struct('kind', 'name', 'norm', {both}, 'spelling', p.given, 'gender', {gender_sql('p.title', 'p.given')}, 'scope', {low})"
+    split = _let("p", _struct(name_parts("entity")), f"if(p.given = '', array({families}), array({families}, {people}))")
+    return typed.select(*rest, F.explode(F.expr(f"if(kind = 'name', {split}, array({plain}))")).alias("m")).select(*rest, "m.*")
+
+
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{c}', {x}" for c, x in fields.items()) + ")"
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, norm, entity): the entities of the corpus, each with one spelling."""
-    found = docs.select(F.explode(matches(F.col("text").cast("string"))).alias("entity")).withColumn("kind", F.expr(kind_sql("entity")))
-    found = found.where("kind is not null").withColumn("norm", F.expr(norm_sql("entity", "kind")))
-    return found.groupBy("kind", "norm").agg(F.min("entity").alias("entity"))
+    """(kind, norm, scope, spelling, gender, mixed): the entities of the corpus, once; mixed where spellings differ in gender."""
+    found = docs.select(F.explode(matches(F.col("text").cast("string"))).alias("entity")).distinct()
+    gender = F.when(F.count_if(F.col("gender") == "f") > 0, "f").when(F.count_if(F.col("gender") == "m") > 0, "m").otherwise("n")
+    return mentions(found).groupBy("kind", "norm", "scope").agg(F.min("spelling").alias("spelling"), gender.alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed"))
+
+
+def _made(known: DataFrame) -> DataFrame:
+    """``known`` with made, the surrogate under its tweak as it is compared."""
+    family, given = f"lower({_family_sql('spelling', 'tweak')})", f"lower({_given_sql('spelling', 'gender', 'tweak')})"
+    other = _let("y", surrogate_sql("spelling", "kind", "tweak"), norm_sql("y", "kind"))
+    return known.withColumn("made", F.expr(f"CASE kind WHEN 'family' THEN {family} WHEN 'name' THEN {given} ELSE {other} END"))
 
 
 def rekeyed(docs: DataFrame) -> DataFrame:
-    """(kind, norm, tweak) of the entities whose surrogate under tweak 0 would clash; usually a few rows.
+    """(kind, norm, tweak, gender) of the entities that need more than tweak 0 and their own spelling's gender.
 
-    Each round gives the next tweak to entities whose surrogate is a real entity, and to all but the first
-    of those that share one, until no clash is left or ``MOST_TWEAKS`` is reached.
+    An entity whose surrogate is real, or which shares one, gets the next tweak: of those that share one, all
+    but the first by norm; those that are settled stay as they are.
     """
-    known = cut(entities(docs).withColumn("tweak", F.lit(0)))
-    real = known.select("kind", F.col("norm").alias("made"))
-    for _ in range(MOST_TWEAKS):
-        made = cut(
-            known.withColumn("made", F.expr(surrogate_sql("entity", "kind", "tweak"))).withColumn("made", F.expr(norm_sql("made", "kind")))
-        )
-        taken = made.join(real, ["kind", "made"], "left_semi").select("kind", "norm")
-        first = made.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tweak", "norm")).alias("first")).where("n > 1")
-        shared = made.join(first, ["kind", "made"]).where(F.struct("tweak", "norm") != F.col("first")).select("kind", "norm")
-        clash = cut(taken.unionByName(shared).distinct().withColumn("again", F.lit(1)))
+    known = cut(_made(entities(docs).withColumn("tweak", F.lit(0))))
+    real = known.where("kind <> 'name'").select("kind", F.col("norm").alias("made"))
+    key, place = ["kind", "norm", "scope"], ["kind", "scope", "made"]
+    settled, open_, rounds = [], known, 0
+    while True:
+        own = open_.where("kind = 'name' AND made = lower(spelling)").select(*key)
+        taken = open_.join(real, ["kind", "made"], "left_semi").select(*key)
+        first = open_.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("first")).where("n > 1")
+        clash = own.unionByName(taken).unionByName(open_.join(first, place).where("norm <> first").select(*key))
+        for done in settled:
+            clash = clash.unionByName(open_.join(done.select(*place), place, "left_semi").select(*key))
+        clash = cut(clash.distinct())
         if not clash.count():
             break
-        known = stored(
-            known.join(clash, ["kind", "norm"], "left").select("kind", "norm", "entity", (F.col("tweak") + F.coalesce("again", F.lit(0))).alias("tweak"))
-        )
-    return known.where("tweak > 0").select("kind", "norm", "tweak")
+        rounds += 1
+        if rounds > MOST:
+            raise ValueError(f"no free surrogate is left for some entities, of kind {clash.first()['kind']}")
+        settled.append(cut(open_.join(clash, key, "left_anti")))
+        open_ = cut(_made(open_.join(clash, key, "left_semi").drop("made").withColumn("tweak", F.col("tweak") + 1)))
+        if len(settled) > 6:
+            whole = settled[0]
+            for more in settled[1:]:
+                whole = whole.unionByName(more)
+            settled = [stored(whole)]
+    for more in settled:
+        open_ = open_.unionByName(more)
+    return open_.where("tweak > 0 OR mixed").select("kind", "norm", "tweak", F.when(F.col("mixed"), F.col("gender")).otherwise("").alias("gender"))
 
 
 def replace(docs: DataFrame) -> DataFrame:
     """``docs`` with every column kept, ``text`` rewritten, and ``n_entities``, the number of replacements.
 
-    An input column called n_entities is replaced. Null texts stay null, empty texts empty; texts without
-    an entity come back byte for byte. Repeated rows are rewritten alike.
+    An input column called n_entities is replaced; others may have any name. Null texts stay null, empty texts
+    empty; texts without an entity come back byte for byte. Repeated rows are rewritten alike. Entities of a
+    text of any length are found; a number of a card's length that fails its check digit is none.
     """
-    few = cut(rekeyed(docs))
+    few = cut(rekeyed(docs).select(F.concat_ws("|", "kind", "norm").alias("key"), F.concat_ws("|", F.col("tweak").cast("string"), "gender").alias("value")))
     count = few.count()
     text = docs.withColumn("text", F.col("text").cast("string"))
-    if count <= REKEYED:  # a literal of at most REKEYED entries
-        tweaks = {f"{r['kind']}|{r['norm']}": r["tweak"] for r in few.collect()} if count else {}
-        given = text.withColumn("__tweaks", F.from_json(F.lit(json.dumps(tweaks)), "map<string, int>"))
+    tweaks, found, gaps, at = (f"{c}_{len(docs.columns)}_{'_'.join(docs.columns)}" for c in ("tweaks", "found", "gaps", "at"))  # no column's name
+    if count <= REKEYED:  # a literal of at most REKEYED entries, in parts
+        parts: list[dict[str, str]] = [{} for _ in range(PARTS if count > PARTS else 1)]
+        for r in few.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(len(parts)))).collect() if count else []:
+            parts[r["part"]][r["key"]] = r["value"]
+        given = text.withColumn(tweaks, F.from_json(F.lit(json.dumps(parts)), "array<map<string, string>>"))
     else:
-        held = text.select(F.xxhash64("text").alias("__at"), "text").distinct().withColumn("entity", F.explode(matches(F.col("text"))))
-        held = held.withColumn("kind", F.expr(kind_sql("entity"))).where("kind is not null").withColumn("norm", F.expr(norm_sql("entity", "kind")))
-        maps = held.select("__at", "kind", "norm").distinct().join(few, ["kind", "norm"]).groupBy("__at").agg(
-            F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "tweak"))).alias("__tweaks")
+        held = mentions(text.select(F.xxhash64("text").alias("at"), F.explode(matches(F.col("text"))).alias("entity")).distinct())
+        maps = held.select("at", F.concat_ws("|", "kind", "norm").alias("key")).distinct().join(few, "key").groupBy("at").agg(
+            F.array(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias(tweaks)  # the entities of one text
         )
-        given = text.withColumn("__at", F.xxhash64("text")).join(maps, "__at", "left").drop("__at")
-    kind, norm = kind_sql("e"), norm_sql("e", "k")
-    tweak = f"coalesce(try_element_at(__tweaks, concat_ws('|', k, {norm})), 0)"
-    each = _let("k", kind, f"if(k IS NULL, e, {_let('w', tweak, surrogate_sql('e', 'k', 'w'))})")
-    new = f"array_join(flatten(zip_with(__gaps, __found, (g, e) -> array(coalesce(g, ''), if(e IS NULL, '', {each})))), '')"
-    split_up = given.withColumn("__found", matches(F.col("text")))
-    split_up = split_up.withColumn("__gaps", F.when(F.size("__found") > 0, F.split("text", PATTERN, -1)))
+        given = text.withColumn(at, F.xxhash64("text")).join(maps.withColumnRenamed("at", at), at, "left").drop(at)
+
+    def look(key: str) -> str:
+        part = f"element_at(`{tweaks}`, cast(pmod(xxhash64(y), size(`{tweaks}`)) AS int) + 1)"
+        return _let("y", key, f"if(`{tweaks}` IS NULL, '0|', coalesce(try_element_at({part}, y), '0|'))")
+
+    tweak_of = lambda v: f"cast(substring_index({v}, '|', 1) AS int)"
+    gender = f"if(substring_index(v, '|', -1) = '', {gender_sql('p.title', 'p.given')}, substring_index(v, '|', -1))"
+    person = _let("v", look("concat('name|', lower(concat(p.given, ' ', p.family)))"), _let("h", gender, _let("w", tweak_of("v"), _given_sql("p.given", "h", "w"))))
+    family = _let("w", tweak_of(look("concat('family|', lower(p.family))")), _family_sql("p.family", "w"))
+    name = _let("p", _struct(name_parts("e")), f"concat_ws(' ', nullif(p.title, ''), if(p.given = '', NULL, {person}), p.between, {family})")
+    other = _let("w", tweak_of(look(f"concat_ws('|', k, {norm_sql('e', 'k')})")), surrogate_sql("e", "k", "w"))
+    each = _let("k", kind_sql("e"), f"CASE WHEN k IS NULL THEN e WHEN k = 'name' THEN {name} ELSE {other} END")
+    new = f"array_join(flatten(zip_with(`{gaps}`, `{found}`, (g, e) -> array(coalesce(g, ''), if(e IS NULL, '', {each})))), '')"
+    split_up = given.withColumn(found, matches(F.col("text")))
+    split_up = split_up.withColumn(gaps, F.when(F.size(found) > 0, F.split("text", PATTERN, -1)))
     return split_up.withColumns(
         {
-            "text": F.when(F.size("__found") > 0, F.expr(new)).otherwise(F.col("text")),
-            "n_entities": F.expr(f"coalesce(size(filter(__found, e -> ({kind_sql('e')}) IS NOT NULL)), 0)"),
+            "text": F.when(F.size(found) > 0, F.expr(new)).otherwise(F.col("text")),
+            "n_entities": F.expr(f"coalesce(size(filter(`{found}`, e -> ({kind_sql('e')}) IS NOT NULL)), 0)"),
         }
-    ).drop("__tweaks", "__found", "__gaps")
+    ).drop(tweaks, found, gaps)
