@@ -1,9 +1,10 @@
-"""Near copies of whole documents: MinHash banding, then exact similarity.
+"""Near copies of whole documents: candidates by SimHash groups and MinHash bands, then exact similarity.
 
 Texts are lower-cased (A-Z) and split into words at ASCII white space. Two texts are linked at a Jaccard
 similarity of ``SIMILAR`` or more over shingles of ``SHINGLE`` words; a shorter text is one shingle.
 ``BANDS`` bands of ``ROWS`` rows find a pair of similarity 0.8 with probability 0.9998, and every pair found
-is verified on its shingle sets. Texts of equal words are merged by their 64-bit hash before anything is
+is verified on its shingle sets. Groups of SimHash fingerprints are candidates like those of a band: their
+few bits find the nearest copies, whatever the bands miss, and are verified too. Texts of equal words are merged by their 64-bit hash before anything is
 compared, and bands that hold the same texts are verified once.
 """
 
@@ -66,16 +67,20 @@ def _with_uid(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(of, "uid long, text string")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id) of every document that has a near copy, once; component_id is its group's smallest doc_id.
 
-    Rows that repeat a doc_id link their texts. Rows without one take part in no link. Null and wordless
-    texts are copies of each other.
+    ``groups`` has (doc_id, component_id) of more candidates, such as ``simhash.near_duplicates`` gives. Rows
+    that repeat a doc_id link their texts. Rows without one take part in no link. Null and wordless texts are
+    copies of each other. No documents give no rows. Only doc_id and text are read.
     """
     marked = stored(_marked(docs))
     reps = marked.groupBy("uid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     reps = stored(reps)
     keyed = reps.select("uid", F.explode("bands").alias("key"))
+    if groups is not None:
+        named = groups.where("component_id is not null").select("doc_id", F.xxhash64(F.lit("group"), "component_id").alias("key"))
+        keyed = keyed.unionByName(marked.select("doc_id", "uid").join(named, "doc_id").select("uid", "key").distinct())
 
     def texts(asked: DataFrame) -> DataFrame:
         """The texts of the representatives; what else their documents hold is known by its uid and drops."""
