@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm import shingles
 from lodestrata.llm.common import ascii_lower, broadcast_if_small, ship, stored
 from lodestrata.llm.components import connected_components
 from lodestrata.llm.shingles import _MULTIPLY, _mix, _shingles, _slices, bands, linked
 
 ship(__name__)
 
+SHINGLE, SIMILAR = shingles.SHINGLE, shingles.SIMILAR
 BANDS, ROWS = 16, 4
 #: Texts of one band value that one task compares; more are compared chunk against chunk.
 CHUNK = 1024

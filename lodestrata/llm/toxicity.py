@@ -7,8 +7,7 @@ and obfuscation rates, and a few plain counts. Nothing but the text is an input.
 Learning uses labelled rows outside the held-out fold (see ``held_out``), at most about ``TRAIN_ROWS`` of
 them, taken by a hash of the id. Features of a training row come from a lexicon learnt without its own
 fold, as does the margin that calibrates the scores. The term counts, the lexicon and the matrix on the
-driver are bounded by ``TRAIN_ROWS``, ``TERMS`` and the number of features; the corpus itself is only
-scanned.
+driver are bounded by ``TRAIN_ROWS`` and the number of features; the corpus itself is only scanned.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from lodestrata.llm.common import cut, held_out, ship
 
 ship(__name__)
 
-TRAIN_ROWS, FOLDS, TERMS, THRESHOLD = 12_000, 3, 4000, 0.3
+TRAIN_ROWS, FOLDS, THRESHOLD = 12_000, 3, 0.3
 #: Standard deviations by which a term's toxic texts exceed chance; fewer make the lexicon noise.
 SURE = 4.2
 #: Lengths of the beginnings of words that count as terms.
@@ -108,14 +108,14 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         float(np.log1p(sum(weights))),
         len(you) / n,
         near / max(len(at), 1),
-        float(min(near, 20)),
+        float(np.log1p(near)),
         upper / size,
         sum(len(w) > 1 and w.isupper() for w in text.split()) / n if upper > 1 else 0.0,
         text.count("!") / n,
         text.count("?") / n,
         len(MARKS.findall(text)) / size,
         len(masked) / n,
-        float(min(hidden, 20)),
+        float(np.log1p(hidden)),
         float(np.log1p(n)),
         sum(map(len, words)) / n,
         len(kinds) / n,
@@ -123,7 +123,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, toxic, fold) to learn from, in the checkpoint folder."""
+    """Rows (doc_id, text, toxic, fold) to learn from, in the checkpoint folder; a repeated doc_id is one row."""
     known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -134,21 +134,25 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = known.where(spot < int(1e6 * min(1.0, TRAIN_ROWS / max(count, 1)))).select("doc_id", "toxic", (spot % FOLDS).cast("int").alias("fold"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most about TRAIN_ROWS rows of three numbers, whatever the corpus: a bounded broadcast.
-    return cut(texts.join(F.broadcast(chosen), "doc_id"))
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text"))
+    return cut(once.select("doc_id", "text", "toxic", "fold"))
 
 
 def _lexicons(sample: DataFrame) -> list[dict[str, float]]:
     """Term weights without each fold, and last those of all folds."""
 
     def count(batches):
-        for pdf in batches:
-            seen = {}
-            for text, toxic, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"], strict=True):
-                seen.setdefault((fold, toxic), Counter()).update(terms(set(WORDS.findall((text or "").lower()))))
-            for (fold, toxic), counter in seen.items():
-                yield pd.DataFrame({"term": list(counter), "fold": fold, "bad": [c * toxic for c in counter.values()], "n": list(counter.values())})
-
-    counted = sample.mapInPandas(count, "term string, fold int, bad long, n long").groupBy("term").agg(
+        for batch in batches:
+            text, toxic, fold = (batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))
+            seen: dict[tuple, Counter] = {}
+            for t, y, f in zip(text, toxic, fold, strict=True):
+                seen.setdefault((f, y), Counter()).update(terms(set(WORDS.findall((t or "").lower()))))
+            for (f, y), counter in seen.items():
+                n = np.fromiter(counter.values(), dtype=np.int64, count=len(counter))
+                columns = [pa.array(list(counter), pa.string()), pa.array(np.full(len(n), f, dtype=np.int32)), pa.array(n * int(y)), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "fold", "bad", "n"])
+
+    counted = sample.mapInArrow(count, "term string, fold int, bad long, n long").groupBy("term").agg(
         *[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("bad", "n")],
         F.sum("bad").alias("bad"),
         F.sum("n").alias("n"),
@@ -157,7 +161,7 @@ def _lexicons(sample: DataFrame) -> list[dict[str, float]]:
     share = sum(v for (_, t), v in sizes.items() if t) / max(sum(sizes.values()), 1)
     lift = (F.col("bad") - share * F.col("n")) / F.sqrt(F.col("n") * (share * (1 - share) + 1e-3))
     often = F.col("bad") > 4 * share / (1 - share + 1e-3) * (F.col("n") - F.col("bad") + 0.5)
-    rows = counted.where((F.col("bad") >= 2) & often & (lift > SURE)).orderBy(F.desc(lift), "term").limit(TERMS).collect()
+    rows = counted.where((F.col("bad") >= 2) & often & (lift > SURE)).orderBy(F.desc(lift), "term").collect()
     out = []
     for without in [*range(FOLDS), None]:
         weights = {}
@@ -217,6 +221,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted), one for each row of ``docs``."""
+    """Rows (doc_id, held_out, score, predicted), one for each row of ``docs``.
+
+    Null and empty texts are scored like texts without a word, and very long ones whole. A null doc_id is not
+    held out; rows that repeat a doc_id keep a row each. Without labels, or with labels of one kind, every
+    text has the same score. No documents give no rows. Only doc_id and text are read, and of labels doc_id
+    and toxic, so other columns may have any name.
+    """
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from lodestrata.llm.boosting import Trees
 from lodestrata.llm.common import ascii_lower
 
-TRAIN_ROWS, SUFFIXES, SUFFIX_ROWS = 20_000, 500, 20
+TRAIN_ROWS, FOLDS = 20_000, 4
+#: Rows of the overall rate that a suffix's own rate is smoothed with.
+SMOOTH = 10
 
 
 class Rule(NamedTuple):
@@ -119,45 +121,57 @@ class Model:
         return out
 
 
-def labelled(urls: DataFrame, rules: tuple[Rule, ...] = RULES, unwanted: tuple[str, ...] = UNWANTED) -> DataFrame:
-    """(url, host, path, bad): URLs that curation decides. A rule's verdict is a label; so is a host word of ``unwanted``."""
-    parsed = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    ruled = rule_for(F.col("host"), F.col("path"), rules)["verdict"]
+def labelled(urls: DataFrame, unwanted: tuple[str, ...] = UNWANTED) -> DataFrame:
+    """(url, host, path, bad): URLs with a host, labelled by a list of unwanted host words.
+
+    The rules of the query give no labels: they stand for themselves, and the trees judge what they leave.
+    """
+    parsed = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
     word = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, unwanted)))
-    return parsed.select("url", "host", "path", F.when(word, 1).when(ruled == "block", 1).when(ruled == "allow", 0).alias("bad")).where("bad is not null")
+    return parsed.select("url", "host", "path", word.cast("int").alias("bad"))
+
+
+def _rates(suffix: list[str], bad: np.ndarray, rate: float) -> dict[str, float]:
+    """The share of bad rows of each suffix, smoothed towards the overall one."""
+    held: dict[str, list[float]] = {}
+    for s, y in zip(suffix, bad, strict=True):
+        of = held.setdefault(s, [0.0, 0.0])
+        of[0] += y
+        of[1] += 1
+    return {s: float((y + SMOOTH * rate) / (n + SMOOTH)) for s, (y, n) in held.items()}
 
 
 def train(known: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Trees over the features of at most about ``train_rows`` labelled URLs, taken by a hash of the URL.
+    """Trees over the features of at most about ``train_rows`` different labelled URLs, taken by a hash of the URL.
 
-    A suffix has a block rate of its own where the sample holds ``SUFFIX_ROWS`` of its URLs or more, else the
-    overall rate: one number for all its URLs, which tells nothing of a single row's label.
+    A URL counts once, however many rows hold it. The suffix rate of a training row comes from the other
+    folds, so that it tells nothing of the row's own label; suffixes that none of the sample has get the
+    overall rate. Without labels, or with labels of one kind, every URL has the same score.
     """
-    count = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1e6 * min(1.0, train_rows / max(count, 1))))
+    count = known.agg(F.approx_count_distinct("url")).first()[0]
+    spot = F.pmod(F.xxhash64("url"), F.lit(1_000_000))
+    chosen = known.where(spot < int(1e6 * min(1.0, train_rows / max(count, 1)))).groupBy("url").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.max("bad").alias("bad"))
     made = lexical(F.col("url"), F.col("host"), F.col("path"))
-    rows = chosen.select(*[c.alias(n) for n, c in made.items()], suffix_of(F.col("host")).alias("suffix"), "bad").orderBy("url").collect()
+    rows = chosen.select(*[c.alias(n) for n, c in made.items()], suffix_of(F.col("host")).alias("suffix"), "bad", (spot % FOLDS).alias("fold"), "url").orderBy("url").collect()
     names = list(made)
-    y = np.array([r["bad"] for r in rows], dtype=np.float64)
+    y, fold, suffix = np.array([r["bad"] for r in rows], dtype=np.float64), np.array([r["fold"] for r in rows]), [r["suffix"] for r in rows]
     rate = float((y.sum() + 1) / (len(y) + 2))
-    held: dict[str, list[float]] = {}
-    for r in rows:
-        s = held.setdefault(r["suffix"], [0.0, 0.0])
-        s[0] += r["bad"]
-        s[1] += 1
-    common = sorted((k for k, v in held.items() if v[1] >= SUFFIX_ROWS), key=lambda k: (-held[k][1], k))[:SUFFIXES]
-    rates = {k: float((held[k][0] + 10 * rate) / (held[k][1] + 10)) for k in common}
-    own = np.array([rates.get(r["suffix"], rate) for r in rows])
+    own = np.full(len(rows), rate)
+    for f in range(FOLDS):
+        rest = np.flatnonzero(fold != f)
+        others = _rates([suffix[i] for i in rest], y[rest], rate)
+        for i in np.flatnonzero(fold == f):
+            own[i] = others.get(suffix[i], rate)
     x = np.column_stack([*(np.array([r[n] for r in rows], dtype=np.float64) for n in names), own]) if rows else np.zeros((0, len(names) + 1))
-    trees = Trees(rounds=40, depth=3, rate=0.2).fit(x, y)
-    return Model([*names, "suffix_rate"], trees, rates, rate)
+    return Model([*names, "suffix_rate"], Trees(rounds=40, depth=3, rate=0.2).fit(x, y), _rates(suffix, y, rate), rate)
 
 
 def judge(pages: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score), one row for each page; only page_id and url are read.
 
     The rule's verdict stands; else a URL is blocked where the trees give it more than even odds. A null
-    URL, or one without ``://``, has an empty host and path, fits no rule and is judged by the trees.
+    URL, or one without ``://``, has an empty host and path, fits no rule and is judged by the trees. URLs may
+    have any length; rows that repeat or lack a page_id keep a row each; no pages give no rows.
     """
     parsed = pages.select("page_id", F.col("url").cast("string").alias("url")).select(
         "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
