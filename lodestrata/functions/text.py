@@ -230,6 +230,21 @@ def redact(text: Column) -> Column:
     return F.when(~text.rlike(_SIGN), text).when(~text.rlike(_WAITS), F.array_join(F.transform(pieces, alone), "")).otherwise(walked)
 
 
+def as_json(rows, *keys: str):
+    """Rows as JSON objects, nulls kept, next to the columns named."""
+    return rows.select(*keys, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+# Characters that markup gives a meaning, in the order of their replacement.
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+
+
+def html_escape(text: Column) -> Column:
+    for plain, entity in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
 def query_terms(query: str) -> list[str]:
     """Lower-cased runs of ASCII letters, digits and underscores; repeats stay."""
     import re

@@ -148,21 +148,23 @@ def import_edges(symbols: DataFrame, files: DataFrame) -> DataFrame:
 def test_covers(symbols: DataFrame) -> DataFrame:
     """(test_id, target_id): tests whose normalised fqn holds a target's normalised name.
 
-    A containment join without a cross product: a name of three characters or more is looked up by its
-    rarest-looking window, its first three characters, among the windows of the fqn; shorter names by
-    the name itself among windows of their length. Each candidate is then verified. Names are compared
-    once each, however many symbols share them.
+    A containment join without a cross product: a name of three characters or more is looked up by that of
+    its windows of three that the fewest fqns hold, shorter names by the name itself among windows of their
+    length. Each candidate is then verified. Names are compared once each, however many symbols share them.
     """
     tests = symbols.where("kind = 'test_case'").select(F.col("versioned_symbol_id").alias("test_id"), normalized(F.col("fqn")).alias("hay"))
     targets = symbols.where("kind <> 'test_case'").select(F.col("versioned_symbol_id").alias("target_id"), normalized(F.col("name")).alias("needle")).where("needle <> ''")
-    needles = targets.select("needle").distinct().withColumn("gram", F.substring("needle", 1, 3))
-    hays = tests.select("hay").distinct()
-    def grams(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length("hay") - (n - 1)), lambda i: F.substring("hay", i, F.lit(n)))
-        return F.when(F.length("hay") >= n, every).otherwise(F.array().cast("array<string>"))
-
-    windows = F.array_distinct(F.flatten(F.array(grams(1), grams(2), grams(3))))
-    pairs = hays.select("hay", F.explode(windows).alias("gram")).join(needles, "gram").where(F.contains("hay", "needle")).select("hay", "needle").distinct()
+
+    def grams(of: str, n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(of) - (n - 1)), lambda i: F.substring(of, i, F.lit(n)))
+        return F.when(F.length(of) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    needles, hays = targets.select("needle").distinct(), tests.select("hay").distinct()
+    held = hays.select("hay", F.explode(F.array_distinct(F.flatten(F.array(grams("hay", 1), grams("hay", 2), grams("hay", 3))))).alias("gram"))
+    common = held.groupBy("gram").agg(F.count(F.lit(1)).alias("hays"))
+    asked = needles.select("needle", F.explode(F.when(F.length("needle") < 3, F.array("needle")).otherwise(F.array_distinct(grams("needle", 3)))).alias("gram"))
+    rarest = asked.join(common, "gram").groupBy("needle").agg(F.min_by("gram", F.struct("hays", "gram")).alias("gram"))
+    pairs = held.join(rarest, "gram").where(F.contains("hay", "needle")).select("hay", "needle")
     return tests.join(pairs, "hay").join(targets, "needle").select("test_id", "target_id")
 
 

@@ -118,33 +118,91 @@ def state_counts(rows: DataFrame, keys: list[str], states: tuple[str, ...], colu
     return rows.groupBy(*keys).agg(*[F.count_if(F.col(column) == s).alias(s) for s in states], F.count(F.lit(1)).alias("total"))
 
 
+def nested_attempts(attempts: DataFrame, key: str = "job_id", order: str = "attempt_no") -> DataFrame:
+    """(key, attempts_made): the attempts of each job as a list, in order."""
+    rest = [c for c in attempts.columns if c not in (key, order)]
+    return attempts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("attempts_made"))
+
+
 def dead_letters(jobs: DataFrame, generations: DataFrame, attempts: DataFrame, limit: int = 50) -> DataFrame:
     """Dead jobs with their generation and attempts in order: newest completion first, those without last."""
-    listed = attempts.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("attempt_no", "worker_id", "status", "error"))).alias("attempts_made"))
+    listed = nested_attempts(attempts.select("job_id", "attempt_no", "worker_id", "status", "error"))
     dead = jobs.where("state = 'dead_lettered'").join(generations, "generation_id").join(listed, "job_id", "left")
     return dead.orderBy(F.desc_nulls_last("completed_at"), F.desc("updated_at"), "job_id").limit(limit)
 
 
+def sync_generation(outbox: DataFrame, generation_id: str, now: Column, refused: Column, error: Column, broad: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(next outbox, rows applied to the index): the due rows of a generation in order, up to the first that the index refuses.
+
+    Rows before it succeed. The refused one has failed, or is dead at its last attempt, with its error; those
+    after it stay as they are. Each row that was tried counts an attempt and holds no lease afterwards.
+    """
+    due = (ready(now) if broad else (F.col("state") == "queued") & (F.col("run_after") <= now)) & (F.col("generation_id") == generation_id)
+    place, bad = F.struct("created_at", "outbox_id"), F.coalesce(refused, F.lit(False))
+    first = outbox.where(due & bad).agg(F.min(place).alias("__first")).withColumn("__k", F.lit(1))  # one row
+    both = outbox.withColumn("__k", F.lit(1)).join(F.broadcast(first), "__k")
+    tried = due & (F.col("__first").isNull() | (place <= F.col("__first")))
+    lost = tried & bad
+    dead = F.col("attempts") + 1 >= F.col("max_attempts")
+    after = both.withColumns(
+        {
+            "state": F.when(lost & dead, "dead_lettered").when(lost, "failed").when(tried, "succeeded").otherwise(F.col("state")),
+            "attempts": F.col("attempts") + F.coalesce(tried, F.lit(False)).cast("int"),
+            "lease_expires_at": F.when(tried, F.lit(None)).otherwise(F.col("lease_expires_at")),
+            "last_error": F.when(lost, error).when(tried, F.lit(None)).otherwise(F.col("last_error")),
+        }
+    )
+    return after.select(*outbox.columns), both.where(tried & ~bad).select(*outbox.columns)
+
+
+def run_once(jobs: DataFrame, now: Column, worker: str, synced: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(next jobs, attempts): one poll of a worker. The head of each queue is leased and done by its kind.
+
+    A noop succeeds. A search_sync_once has the outcome that ``synced`` (job_id, processed, error) tells: an
+    error or nothing processed fails it, as does no outcome at all. Any other kind fails as unsupported.
+    """
+    leased, attempts = lease(jobs, now, worker, keys=keys)
+    mine = attempts.select("job_id", "attempt_no").join(jobs.select("job_id", "kind"), "job_id").join(synced.select("job_id", "processed", "error"), "job_id", "left")
+    sync = F.col("kind") == "search_sync_once"
+    error = (
+        F.when(F.col("kind") == "noop", F.lit(None))
+        .when(~sync, "unsupported job kind")
+        .when(F.col("error").isNotNull(), F.col("error"))
+        .when(~F.coalesce("processed", F.lit(False)), "no search sync outbox was processed")
+    )
+    outcomes = mine.select("job_id", "attempt_no", error.isNull().alias("ok"), error.alias("error"))
+    told = attempts.drop("status", "error").join(outcomes.select("job_id", "ok", "error"), "job_id")
+    return finish(leased, outcomes, now), told.select("job_id", "attempt_no", "worker_id", F.when(F.col("ok"), "succeeded").otherwise("failed").alias("status"), "error")
+
+
 def rate_limited(requests: DataFrame, key: str, at: str, budget: int = 600, seconds: int = 60, order: str = "ordinal") -> DataFrame:
     """``requests`` with allowed: at most ``budget`` in a window that starts with the first request after the last one's end.
 
-    Windows hang on requests, so each key is walked in order: requests are gathered by the key's own
-    tumbling cells, whose state at entry is one timestamp and one count; the walk is a fold over sorted times.
+    A window hangs on the request that opens it, so each key is walked in order: its requests are sorted on
+    disk and go by in batches, and all that is kept of a key is the start of its window and a count.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    listed = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col(order).alias("o")))).alias("all"))
-    empty = F.array().cast("array<struct<o:bigint,allowed:boolean>>")
-    start = F.struct(F.lit(None).cast("long").alias("since"), F.lit(0).alias("n"), empty.alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        anew = s["since"].isNull() | (r["t"] - s["since"] >= seconds * 1_000_000)
-        n = F.when(anew, 0).otherwise(s["n"])
-        ok = n < budget
-        return F.struct(
-            F.when(anew, r["t"]).otherwise(s["since"]).alias("since"),
-            (n + ok.cast("int")).cast("int").alias("n"),
-            F.concat(s["out"], F.array(F.struct(r["o"].cast("long").alias("o"), ok.alias("allowed")))).alias("out"),
-        )
-
-    walked = listed.select(key, F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("r"))
-    return walked.select(key, F.col("r.o").alias(order), F.col("r.allowed").alias("allowed"))
+    import numpy as np
+    import pandas as pd
+
+    micros = F.unix_micros(F.col(at).cast("timestamp")).alias("__t")
+    rows = requests.select(key, F.col(order).cast("long").alias(order), micros)
+    width = seconds * 1_000_000
+
+    def walk(batches):
+        me, since, n = None, 0, 0
+        for pdf in batches:
+            names, t = pdf[key].to_numpy(), pdf["__t"].to_numpy()
+            allowed, i = np.zeros(len(t), dtype=bool), 0
+            while i < len(t):
+                if me is None or names[i] != me[0] or t[i] - since >= width:
+                    me, since, n = (names[i],), t[i], 0
+                end = i + 1
+                while end < len(t) and names[end] == me[0] and t[end] - since < width:
+                    end += 1
+                allowed[i : min(end, i + budget - n)] = True
+                n = min(budget, n + end - i)
+                i = end
+            yield pd.DataFrame({key: names, order: pdf[order], "allowed": allowed})
+
+    kind = requests.schema[key].dataType.simpleString()
+    return rows.repartition(key).sortWithinPartitions(key, "__t", order).mapInPandas(walk, f"`{key}` {kind}, `{order}` long, allowed boolean")

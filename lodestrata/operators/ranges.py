@@ -36,9 +36,23 @@ def changed_symbols(changed_lines: DataFrame, symbols: DataFrame, keep: list[str
     return innermost(changed_lines, symbols, ["ordinal_in_diff"], keep)
 
 
+def _inside(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """Pairs of points and ranges of one file, the point inside the range: by bins of each range's own size class."""
+    sized = ranges.where(F.col(end) >= F.col(start)).withColumn("__w", F.pow(F.lit(2), F.ceil(F.log2((F.col(end) - F.col(start) + 1).cast("double")))).cast("long"))
+    binned = sized.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("__w")), F.floor(F.col(end) / F.col("__w")))))
+    used = sized.select("file_path", "__w").distinct()  # a few widths for each file
+    spread = points.join(used, "file_path").withColumn("__bin", F.floor(F.col(at) / F.col("__w")))
+    return spread.join(binned, ["file_path", "__w", "__bin"]).where(F.col(at).between(F.col(start), F.col(end))).drop("__w", "__bin")
+
+
 def overlaps(segments: DataFrame, symbols: DataFrame) -> DataFrame:
     """Segments that share a line with a symbol of their file.
 
     ``segments`` has file_path, segment_start, segment_end; ``symbols`` has file_path, start_line, end_line.
+    Two ranges share a line if one of them begins inside the other, so both sides are looked up as points.
     """
-    return symbols.join(segments, "file_path").where("segment_end >= start_line AND segment_start <= end_line")
+    whole = segments.where("segment_end >= segment_start")
+    later = _inside(whole, symbols, "segment_start", "start_line", "end_line")
+    earlier = _inside(symbols.where("end_line >= start_line"), whole, "start_line", "segment_start", "segment_end").where("segment_start < start_line")
+    columns = [*symbols.columns, *[c for c in segments.columns if c != "file_path"]]
+    return later.select(*columns).unionByName(earlier.select(*columns))

@@ -48,24 +48,19 @@ def context_pack(symbols: DataFrame, calls: DataFrame, query: str, limit: int =
     return hits.join(first.withColumnRenamed("asked", "fqn"), "fqn", "left").join(reports, "impact_id", "left")
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-
-
 def bm25(docs: DataFrame, query: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score) of documents that hold a term of the query; repeated terms count once.
 
-    One pass counts the query's terms in each document, and one row of totals gives the averages; the
-    corpus is neither exploded into all its words nor shuffled.
+    Terms are runs of ASCII letters and digits. Counts are expressions over the lower-cased text: the corpus
+    is neither split into words nor shuffled, and one row of totals gives the averages.
     """
     terms = list(dict.fromkeys(query_terms(query.replace("_", " "))))
     if not terms:
         return docs.select(id_column, F.lit(0.0).alias("score")).limit(0)
-    words = docs.select(id_column, tokens(F.col(text)).alias("w"))
-    # Counting a term as a change of size keeps the words inside one expression.
-    times = lambda term: F.size(F.filter("w", lambda x: x == F.lit(term)))
-    counts = words.select(id_column, F.size("w").alias("len"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    total = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    low = docs.select(id_column, ascii_lower(F.col(text)).alias("low"))
+    times = lambda t: F.when(F.contains("low", F.lit(t)), F.regexp_count("low", F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])"))).otherwise(0)
+    counts = low.select(id_column, F.regexp_count("low", F.lit("[a-z0-9]+")).alias("len"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    total = counts.agg(F.count("len").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     scored = counts.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).withColumn("k", F.lit(1)).join(F.broadcast(total.withColumn("k", F.lit(1))), "k")  # one row
     part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     return scored.select(id_column, sum((part(i) for i in range(1, len(terms))), part(0)).alias("score"))
@@ -90,6 +85,17 @@ def chunks(symbols: DataFrame, repo_id: Column, generation_id: Column) -> DataFr
     return symbols.select(chunk_id.alias("chunk_id"), text.alias("text"), payload.alias("payload"), ids.payload_hash(hashed).alias("payload_hash"))
 
 
+def enqueue_chunks(symbols: DataFrame, repo_id: Column, generation_id: Column, target_index: str, now: Column) -> DataFrame:
+    """An outbox row for each symbol: an upsert of its chunk, queued, without attempts. The id depends on the payload's hash."""
+    made = chunks(symbols, repo_id, generation_id)
+    outbox_id = ids.outbox(F.lit(target_index), F.lit("symbol_chunk"), F.col("chunk_id"), F.lit("upsert"), F.col("payload_hash"))
+    fixed = {"target_index": target_index, "entity_type": "symbol_chunk", "operation": "upsert", "state": "queued"}
+    return made.select(
+        outbox_id.alias("outbox_id"), repo_id.alias("repo_id"), generation_id.alias("generation_id"), *[F.lit(v).alias(c) for c, v in fixed.items()],
+        F.col("chunk_id").alias("entity_id"), "payload", F.lit(0).alias("attempts"), now.alias("run_after"), now.alias("created_at"),
+    )
+
+
 def active_chunk_count(outbox: DataFrame, repo_id: str, generation_id: str) -> DataFrame:
     kept = outbox.where((F.col("repo_id") == repo_id) & (F.col("generation_id") == generation_id) & (F.col("operation") == "upsert") & (F.col("state") != "cancelled"))
     return kept.agg(F.count_distinct("entity_id").alias("chunks"))
@@ -104,6 +110,18 @@ def drift(outbox: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     return full.withColumn("has_drift", F.col("expected") != F.col("actual"))
 
 
+def remediation(report: DataFrame, generation_id: Column, rebuild: str = "search rebuild", check: str = "search drift-check") -> DataFrame:
+    """A drift report with remediation: a summary, the two commands and the steps; null where there is no drift."""
+    steps = ["Rebuild the index from the stored rows.", "Run the sync worker if queued rows remain.", "Check the same generation for drift again."]
+    told = F.struct(
+        F.lit("The index is out of sync with the stored rows.").alias("summary"),
+        F.concat(F.lit(f"{rebuild} --generation "), generation_id).alias("rebuild_command"),
+        F.concat(F.lit(f"{check} --generation "), generation_id).alias("verify_command"),
+        F.array(*map(F.lit, steps)).alias("steps"),
+    )
+    return report.withColumn("remediation", F.when(F.col("has_drift"), told))
+
+
 def rebuild(outbox: DataFrame, key: str = "entity_id", generation_id: str | None = None) -> DataFrame:
     """The whole index from live upserts, the newest payload of each entity."""
     live = outbox.where((F.col("operation") == "upsert") & (F.col("state") != "cancelled"))

@@ -92,3 +92,26 @@ def range_rules() -> dict[str, Column]:
         "start_col": F.col("start_col") >= 0,
         "end_col": F.col("end_col") >= 0,
     }
+
+
+def with_manifest(symbols: DataFrame, manifests: DataFrame) -> DataFrame:
+    """``symbols`` with file_manifest_id and content_hash of their file's active manifest row; a file without one has null and an empty hash."""
+    keys = ["repo_id", "commit_sha", "file_path"]
+    live = manifests.where("stale_at IS NULL").groupBy(*keys).agg(F.min_by(F.struct("file_manifest_id", "content_sha256"), "file_manifest_id").alias("__m"))
+    found = symbols.join(live, keys, "left")
+    return found.select(*symbols.columns, F.col("__m.file_manifest_id").alias("file_manifest_id"), F.coalesce("__m.content_sha256", F.lit("")).alias("content_hash"))
+
+
+def existing(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are among the others', such as generations that have runs, or repositories that exist."""
+    return rows.join(others.select(*keys), keys, "left_semi")
+
+
+def unseen(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not among the others'."""
+    return rows.join(others.select(*keys), keys, "left_anti")
+
+
+def flagged(rows: DataFrame, others: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """All rows, with a flag whether their keys are among the others'."""
+    return rows.join(others.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left").na.fill({name: False})

@@ -1064,15 +1064,16 @@ def existence_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
     poor = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("n_nationkey"))
     seen = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_nationkey"))
-    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")).distinct().withColumn("has_rich", F.lit(True))
-    kept = nations.join(poor, "n_nationkey", "left_semi").join(seen, "n_nationkey", "left_anti").join(rich, "n_nationkey", "left")
-    return kept.select("n_nationkey", "n_name", F.coalesce("has_rich", F.lit(False)).alias("has_rich"))
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey"))
+    key = ["n_nationkey"]
+    kept = snapshot.unseen(snapshot.existing(nations, poor, key), seen, key)
+    return snapshot.flagged(kept, rich, key, "has_rich").select("n_nationkey", "n_name", "has_rich")
 
 
 @query("""SELECT s_suppkey, '{"s_suppkey":' || s_suppkey || ',"name":"' || s_name || '","note":' || CASE WHEN s_suppkey % 3 = 0 THEN 'null' ELSE '"n' || s_nationkey || '"' END || '}' AS json FROM supplier""")
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_name AS name", "IF(s_suppkey % 3 = 0, NULL, concat('n', s_nationkey)) AS note")
-    return rows.select("s_suppkey", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    return text.as_json(rows, "s_suppkey")
 
 
 @query(
@@ -1097,21 +1098,122 @@ def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attempt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts nested in order under their job, as the dead-letter listing shows them."""
     tries = table(spark, sf_dir, "events")
-    listed = tries.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("made"))
+    listed = queue.nested_attempts(tries.select("user_id", "event_id", "event_type"), "user_id", "event_id").withColumnRenamed("attempts_made", "made")
     return listed.select("user_id", F.size("made").cast("long").alias("attempts"), F.array_max(F.transform("made", lambda x: x["event_id"])).alias("last_id"), F.array_join(F.transform("made", lambda x: x["event_type"]), ">").alias("history"))
 
 
 @query("SELECT user_id AS entity_id, arg_max(props, event_id) AS payload FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
 def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived index kept by a stream of outbox rows, one micro-batch for each source file."""
-    import tempfile
+    import uuid
 
     from lodestrata.streaming import worker
 
     rows = "user_id AS entity_id", "IF(event_type = 'error', 'delete', 'upsert') AS operation", "props AS payload", "ts AS created_at", "event_id AS outbox_id"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet").selectExpr(*rows)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    root = f"{base.rstrip('/')}/index-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     index = worker.StoredTable(spark, f"{root}/table", "entity_id bigint, payload string")
     worker.sync_stream(stream, index, f"{root}/log").awaitTermination()
-    return index.at(0)
+    return index.last()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a local session may do without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    import tempfile
+
+    return (folder or tempfile.gettempdir()).rstrip("/")
+
+
+# --- chunks, drift, edges and workers ---------------------------------------------------------
+
+
+@query(
+    f"""WITH {SYM}, c AS (SELECT ordinal, 'chunk:symbol:' || versioned_symbol_id || ':' || kind || ':' || start_line || ':' || start_col || ':' || end_line || ':' || end_col AS entity_id FROM sym)
+SELECT entity_id, 'r-symbols' AS target_index, 'symbol_chunk' AS entity_type, 'upsert' AS operation, 'queued' AS state, 0 AS attempts, 78::BIGINT AS id_length, count(*) OVER ()::BIGINT AS enqueued FROM c"""
+)
+def chunk_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outbox row for the chunk of every symbol; ids are a prefix and 64 hex digits, one for each."""
+    rows = search.enqueue_chunks(symbols(spark, sf_dir), F.lit("repo"), F.lit("g1"), "r-symbols", _now())
+    told = rows.agg(F.count_distinct("outbox_id").alias("enqueued")).withColumn("k", F.lit(1))
+    out = rows.select("entity_id", "target_index", "entity_type", "operation", "state", "attempts", F.length("outbox_id").cast("long").alias("id_length"), F.lit(1).alias("k"))
+    return out.join(F.broadcast(told), "k").drop("k")
+
+
+@query(
+    """WITH e AS (SELECT source, count(DISTINCT doc_id)::BIGINT AS expected FROM documents GROUP BY source), a AS (SELECT source, count(*)::BIGINT AS actual FROM documents JOIN labels USING (doc_id) GROUP BY source)
+SELECT source, expected, coalesce(actual, 0) AS actual, expected <> coalesce(actual, 0) AS has_drift, CASE WHEN expected <> coalesce(actual, 0) THEN 'search rebuild --generation ' || source END AS command,
+  CASE WHEN expected <> coalesce(actual, 0) THEN 3 END::INTEGER AS steps FROM e LEFT JOIN a USING (source)"""
+)
+def drift_remediation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").selectExpr("source", "doc_id AS entity_id", "'upsert' AS operation", "'queued' AS state")
+    index = table(spark, sf_dir, "documents").select("source", "doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    report = search.remediation(search.drift(docs, index, ["source"]), F.col("source"))
+    return report.select("source", "expected", "actual", "has_drift", F.col("remediation.rebuild_command").alias("command"), F.when(F.col("has_drift"), F.size("remediation.steps")).alias("steps"))
+
+
+@query(
+    f"""WITH {SYM}, p AS (SELECT t.*, o.versioned_symbol_id AS target_symbol_id FROM sym t JOIN sym o ON t.kind = 'test_case' AND o.kind <> 'test_case' AND {_NORM.format('o.name')} <> '' AND contains({_NORM.format('t.fqn')}, {_NORM.format('o.name')})),
+e AS (SELECT *, {_node('versioned_symbol_id')} AS source_node_id, {_node('target_symbol_id')} AS target_node_id FROM p)
+SELECT {_edge('test_covers')} AS edge_id, source_node_id, target_node_id, 'test_covers' AS edge_type, file_path, start_line, start_col, end_line, end_col FROM e"""
+)
+def test_cover_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.test_cover_edges(symbols(spark, sf_dir))
+    return found.select("edge_id", "source_node_id", "target_node_id", "edge_type", "file_path", "start_line", "start_col", "end_line", "end_col")
+
+
+_OUTBOX = """SELECT event_id AS outbox_id, user_id % 20 AS g, ts AS created_at, event_type = 'error' AS bad, CAST(event_id % 3 AS INT) AS attempts FROM events"""
+
+
+@query(
+    f"""WITH o AS ({_OUTBOX}), f AS (SELECT min(struct_pack(a := created_at, b := outbox_id)) AS first FROM o WHERE g = 7 AND bad)
+SELECT outbox_id, CASE WHEN g <> 7 OR struct_pack(a := created_at, b := outbox_id) > first THEN 'queued' WHEN bad AND attempts + 1 >= 3 THEN 'dead_lettered' WHEN bad THEN 'failed' ELSE 'succeeded' END AS state,
+  (attempts + CASE WHEN g <> 7 OR struct_pack(a := created_at, b := outbox_id) > first THEN 0 ELSE 1 END)::INTEGER AS attempts,
+  CASE WHEN g = 7 AND struct_pack(a := created_at, b := outbox_id) = first THEN 'refused' END AS last_error FROM o, f"""
+)
+def sync_until_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one generation go to the index in order, up to the first that it refuses."""
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id AS outbox_id", "CAST(user_id % 20 AS string) AS generation_id", "ts AS created_at", "ts AS run_after", "event_type", "'queued' AS state", "CAST(event_id % 3 AS int) AS attempts",
+        "3 AS max_attempts", "CAST(NULL AS timestamp) AS lease_expires_at", "CAST(NULL AS string) AS last_error",
+    )
+    after, _ = queue.sync_generation(rows, "7", F.lit("2100-01-01").cast("timestamp"), F.col("event_type") == "error", F.lit("refused"))
+    return after.select("outbox_id", "state", "attempts", "last_error")
+
+
+@query(
+    """WITH j AS (SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 'reindex' WHEN 'click' THEN 'search_sync_once' ELSE 'noop' END AS kind, event_type, ts FROM events),
+h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM j)
+SELECT event_id AS job_id, CASE WHEN place > 1 THEN 'queued' WHEN kind = 'noop' OR (kind = 'search_sync_once' AND event_id % 3 = 0) THEN 'succeeded' ELSE 'failed' END AS state,
+  CASE WHEN place > 1 THEN NULL WHEN kind = 'reindex' THEN 'unsupported job kind' WHEN kind = 'search_sync_once' AND event_id % 3 = 1 THEN 'no search sync outbox was processed'
+    WHEN kind = 'search_sync_once' AND event_id % 3 = 2 THEN 'refused' END AS last_error FROM h"""
+)
+def worker_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One poll over a queue for each user: no-ops succeed, syncs as their outcome says, unknown kinds fail."""
+    events = table(spark, sf_dir, "events")
+    rows = events.selectExpr(
+        "event_id AS job_id", "user_id AS queue", "CASE event_type WHEN 'error' THEN 'reindex' WHEN 'click' THEN 'search_sync_once' ELSE 'noop' END AS kind", "'queued' AS state", "0 AS priority",
+        "ts AS run_after", "ts AS created_at", "0 AS attempts", "3 AS max_attempts", "30 AS backoff_seconds", "CAST(NULL AS string) AS lease_owner", "CAST(NULL AS timestamp) AS lease_expires_at",
+        "CAST(NULL AS timestamp) AS completed_at", "CAST(NULL AS string) AS last_error",
+    )
+    synced = events.selectExpr("event_id AS job_id", "event_id % 3 = 0 AS processed", "IF(event_id % 3 = 2, 'refused', NULL) AS error")
+    after, _ = queue.run_once(rows, F.lit("2100-01-01").cast("timestamp"), "w", synced)
+    return after.select("job_id", "state", "last_error")
+
+
+@query(
+    f"""WITH {SYM}, m AS (SELECT DISTINCT p_brand AS file_path FROM part WHERE p_size > 40)
+SELECT ordinal, CASE WHEN m.file_path IS NULL THEN '' ELSE md5(sym.file_path) END AS content_hash, CASE WHEN m.file_path IS NOT NULL THEN 'm-' || sym.file_path END AS file_manifest_id FROM sym LEFT JOIN m ON m.file_path = sym.file_path"""
+)
+def manifest_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols with their file's manifest row; brands without a large part are files without one."""
+    files = table(spark, sf_dir, "part").where("p_size > 40").selectExpr("'repo' AS repo_id", "'c0' AS commit_sha", "p_brand AS file_path", "concat('m-', p_brand) AS file_manifest_id", "md5(p_brand) AS content_sha256", "CAST(NULL AS timestamp) AS stale_at")
+    return snapshot.with_manifest(symbols(spark, sf_dir), files).select("ordinal", "content_hash", "file_manifest_id")
+
+
+@query("""SELECT p_partkey, replace(replace(replace(replace(replace('<b class="x">' || p_name || ' & ' || p_type || chr(39) || '</b>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS shown FROM part""")
+def escaped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit('<b class="x">'), "p_name", F.lit(" & "), "p_type", F.lit("'</b>"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.html_escape(body).alias("shown"))

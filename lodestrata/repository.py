@@ -116,6 +116,4 @@ class Repository:
         return search.chunks(self.symbols, F.lit(self.repo_id), F.lit(generation_id))
 
 
-def as_json(rows: DataFrame) -> DataFrame:
-    """Rows as JSON objects, nulls kept."""
-    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+as_json = text.as_json

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestrata.operators import search
@@ -25,6 +26,13 @@ class StoredTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{version}")
 
+    def last(self) -> DataFrame:
+        """The newest version that a step has written; an empty table before the first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        return self.at(max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=-1))
+
     def put(self, version: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/v{version}")
 
@@ -39,6 +47,47 @@ def apply_batches(stream: DataFrame, table: StoredTable, step: Callable[[DataFra
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
+class SearchIndex:
+    """Derived search indexes as one stored table, partitioned by index name; each step writes the next version."""
+
+    COLUMNS = "target_index string, entity_id string, payload string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.table, self.version, self.names = StoredTable(spark, root, self.COLUMNS), -1, set()
+
+    def rows(self) -> DataFrame:
+        return self.table.at(self.version)
+
+    def _next(self, rows: DataFrame) -> None:
+        rows.select("target_index", "entity_id", "payload").write.mode("overwrite").partitionBy("target_index").parquet(f"{self.table.root}/v{self.version + 1}")
+        self.version += 1
+
+    def create(self, name: str) -> None:
+        """An index that is there already stays as it is."""
+        self.names.add(name)
+
+    def drop(self, name: str) -> None:
+        """The index and its documents go; one that is not there is no error."""
+        self.names.discard(name)
+        if self.version >= 0:
+            self._next(self.rows().where(f"target_index <> '{name}'"))
+
+    def apply(self, changes: DataFrame) -> None:
+        """Upserts and deletes (target_index, entity_id, operation, payload, created_at, outbox_id); the last one of a document counts."""
+        key = ["target_index", "entity_id"]
+        last = changes.groupBy(*key).agg(F.max_by(F.struct("operation", "payload"), F.struct("created_at", "outbox_id")).alias("x"))
+        kept = self.rows().join(last.select(*key), key, "left_anti")
+        self._next(kept.unionByName(last.where("x.operation = 'upsert'").select(*key, F.col("x.payload").alias("payload"))))
+
+    def refresh(self) -> DataFrame:
+        """The documents as of the last step; earlier readers keep the version that they read."""
+        return self.rows()
+
+    def count(self, name: str) -> int:
+        """Documents of an index; zero for one that is not there."""
+        return self.rows().where(f"target_index = '{name}'").count()
+
+
 def sync_stream(stream: DataFrame, index: StoredTable, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Keep the search index in step with outbox rows (entity_id, operation, payload, created_at, outbox_id)."""
     return apply_batches(stream, index, lambda old, batch: search.sync_index(old, batch), checkpoint, once)

@@ -45,14 +45,14 @@ def test_call_resolution(spark):
 
 
 def test_contains_and_imports_and_covers(spark):
-    rows = [sym(0, "src/lib.rs", "invoice", 1, 1, "module"), sym(1, "src/invoice.rs", "apply_tax"), sym(2, "src/invoice.rs", "apply_tax_adds_rate", 5, 6, "test_case")]
+    rows = [sym(0, "src/lib.rs", "trestle", 1, 1, "module"), sym(1, "src/trestle.rs", "load_beam"), sym(2, "src/trestle.rs", "load_beam_adds_mass", 5, 6, "test_case")]
     df = frame(spark, rows)
     assert graph.nodes(df).count() == 5 and graph.contains_edges(df).count() == 3
-    files = spark.createDataFrame([("src/invoice.rs",), ("src/lib.rs",)], "file_path string")
+    files = spark.createDataFrame([("src/trestle.rs",), ("src/lib.rs",)], "file_path string")
     edge = graph.import_edges(df, files).collect()
     assert len(edge) == 1 and edge[0].confidence == 0.85
     covers = graph.test_cover_edges(df).collect()
-    assert len(covers) == 1 and covers[0].file_path == "src/invoice.rs" and covers[0].start_line == 5
+    assert len(covers) == 1 and covers[0].file_path == "src/trestle.rs" and covers[0].start_line == 5
 
 
 def test_impact(spark):
@@ -73,18 +73,18 @@ def test_related_stops_at_sixteen(spark):
 
 
 def test_test_context(spark):
-    rows = [sym(0, "a", "apply_tax"), sym(1, "t", "test_applytax", kind="test_case"), sym(2, "a", "same_file", kind="test_case"), sym(3, "z", "linked", kind="test_case"), sym(4, "z", "unrelated", kind="test_case")]
+    rows = [sym(0, "a", "load_beam"), sym(1, "t", "test_loadbeam", kind="test_case"), sym(2, "a", "same_file", kind="test_case"), sym(3, "z", "linked", kind="test_case"), sym(4, "z", "unrelated", kind="test_case")]
     covers = spark.createDataFrame([("v3", "v0", 0.65)], "test_symbol_id string, target_symbol_id string, confidence double")
     segments = spark.createDataFrame([("a", 2, 3), ("a", 5, 6), ("b", 1, 2)], "file_path string, segment_start int, segment_end int")
-    tests, covered = graph.test_context(frame(spark, rows), covers, segments, "apply_tax")
-    assert [(r.fqn, r.confidence) for r in tests.collect()] == [("same_file", "low"), ("test_applytax", "medium"), ("linked", "medium")]
+    tests, covered = graph.test_context(frame(spark, rows), covers, segments, "load_beam")
+    assert [(r.fqn, r.confidence) for r in tests.collect()] == [("same_file", "low"), ("test_loadbeam", "medium"), ("linked", "medium")]
     assert [r.segment_start for r in covered.collect()] == [2]
 
 
 def test_lexical_order(spark):
-    rows = [sym(0, "src/invoice_total.rs", "other"), sym(1, "z.rs", "invoice_total")]
-    got = search.top(frame(spark, rows), "invoice_total", 5).collect()
-    assert [(r.name, r.exact, r.score) for r in got] == [("invoice_total", True, 110), ("other", False, 10)]
+    rows = [sym(0, "src/trestle_total.rs", "other"), sym(1, "z.rs", "trestle_total")]
+    got = search.top(frame(spark, rows), "trestle_total", 5).collect()
+    assert [(r.name, r.exact, r.score) for r in got] == [("trestle_total", True, 110), ("other", False, 10)]
     assert search.top(frame(spark, rows), "  ", 5).count() == 0
 
 

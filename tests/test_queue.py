@@ -72,3 +72,40 @@ def test_dead_letters_without_completion_come_last(spark):
     tries = spark.createDataFrame([("b", 2, "w", "failed", "e"), ("b", 1, "w", "failed", "e")], "job_id string, attempt_no int, worker_id string, status string, error string")
     got = queue.dead_letters(jobs, gens, tries).collect()
     assert [r.job_id for r in got] == ["b", "a"] and [x.attempt_no for x in got[0].attempts_made] == [1, 2]
+
+
+def test_a_poll_dispatches_by_kind(spark):
+    rows = [job(i)[:1] + (f"q{i}", kind) + job(i)[3:] for i, kind in (("a", "noop"), ("b", "search_sync_once"), ("c", "search_sync_once"), ("d", "paint"), ("e", "search_sync_once"))]
+    jobs = spark.createDataFrame(rows, SCHEMA)
+    synced = spark.createDataFrame([("b", True, None), ("c", False, None), ("e", True, "refused")], "job_id string, processed boolean, error string")
+    after, attempts = queue.run_once(jobs, now(1), "w", synced)
+    got = {r.job_id: (r.state, r.last_error) for r in after.collect()}
+    assert got == {"a": ("succeeded", None), "b": ("succeeded", None), "c": ("failed", "no search sync outbox was processed"), "d": ("failed", "unsupported job kind"), "e": ("failed", "refused")}
+    assert {(r.job_id, r.status) for r in attempts.collect()} == {("a", "succeeded"), ("b", "succeeded"), ("c", "failed"), ("d", "failed"), ("e", "failed")}
+
+
+def test_windows_of_requests_cross_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [("a", T0 + dt.timedelta(seconds=s), i) for i, s in enumerate([0, 1, 2, 59, 60, 61, 62, 119, 120, 121, 300, 301])] + [("b", T0, 90), (None, T0, 91)]
+        df = spark.createDataFrame(rows, "k string, t timestamp, ordinal long")
+        got = {r.ordinal: r.allowed for r in queue.rate_limited(df, "k", "t", 2, 60).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 7: False, 8: True, 9: True, 10: True, 11: True, 90: True, 91: True}
+
+
+def test_a_search_index_is_created_counted_and_dropped(spark, tmp_path):
+    from lodestrata.streaming.worker import SearchIndex
+
+    index = SearchIndex(spark, str(tmp_path / "index"))
+    index.create("one")
+    assert index.count("one") == 0 and index.count("absent") == 0
+    change = lambda *rows: spark.createDataFrame(rows, "target_index string, entity_id string, operation string, payload string, created_at int, outbox_id int")
+    index.apply(change(("one", "a", "upsert", "x", 1, 1), ("one", "a", "upsert", "y", 2, 2), ("two", "b", "upsert", "z", 1, 3)))
+    index.apply(change(("one", "c", "upsert", "w", 3, 4), ("two", "b", "delete", None, 3, 5)))
+    assert {(r.target_index, r.entity_id, r.payload) for r in index.refresh().collect()} == {("one", "a", "y"), ("one", "c", "w")}
+    assert index.count("one") == 2 and index.count("two") == 0
+    index.drop("one")
+    index.drop("absent")
+    assert index.count("one") == 0

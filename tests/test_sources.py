@@ -25,8 +25,8 @@ def test_env():
 
 
 RUST = """mod billing {
-    pub struct Invoice { total: i32 }
-    impl Invoice { pub fn total(&self) -> i32 { helper(1) } }
+    pub struct Trestle { total: i32 }
+    impl Trestle { pub fn total(&self) -> i32 { helper(1) } }
     enum Kind { A, B }
 }
 fn helper(v: i32) -> i32 { "not { a brace"; v }
@@ -39,7 +39,7 @@ def test_rust():
     found, error = syntax.symbols_of(RUST, "rust")
     assert error is None
     got = {(s.kind, s.fqn) for s in found}
-    assert got == {("module", "billing"), ("class", "billing::Invoice"), ("method", "billing::Invoice::total"), ("enum", "billing::Kind"), ("function", "helper"), ("test_case", "adds")}
+    assert got == {("module", "billing"), ("class", "billing::Trestle"), ("method", "billing::Trestle::total"), ("enum", "billing::Kind"), ("function", "helper"), ("test_case", "adds")}
     assert [c[0] for c in syntax.calls_of(RUST, "rust")] == ["helper", "assert_eq", "helper"][:1] + ["helper"]
 
 
