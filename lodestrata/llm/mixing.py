@@ -15,6 +15,9 @@ documents hold is part of the output.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +35,15 @@ CELLS = 200_000
 MOST, LEAST = 1e12, 1e-15
 AXES = ("source", "lang", "topic")
 
-# Kinds of text in the order of their tests, each with an expression that a text may match.
+# Kinds of text in the order of their tests, each with an expression that a text may match, and
+# strings of which every match holds one.
 TOPICS = (
-    ("contact", r"[A-Za-z0-9_.+-]@[A-Za-z0-9]|[+][0-9]{1,3} ?[(]"),
-    ("secret", r"(?:token|secret|passwd|password|api_key|apikey) ?[=:] ?[\"']"),
-    ("licence", r"[Ll]icen[cs]e|licensed|Copyright|CC BY"),
-    ("tabular", r" [|] "),
-    ("shouted", r"!! "),
-    ("marked", r"(?:###|%%%) "),
+    ("contact", r"[A-Za-z0-9_.+-]@[A-Za-z0-9]|[+][0-9]{1,3} ?[(]", ("@", "+")),
+    ("secret", r"(?:token|secret|passwd|password|api_key|apikey) ?[=:] ?[\"']", ("token", "secret", "passw", "api")),
+    ("licence", r"[Ll]icen[cs]e|Copyright|CC BY", ("icen", "Copyright", "CC BY")),
+    ("tabular", r" [|] ", (" | ",)),
+    ("shouted", r"!! ", ("!! ",)),
+    ("marked", r"(?:###|%%%) ", ("### ", "%%% ")),
 )
 REST = "prose"
 
@@ -47,8 +51,9 @@ REST = "prose"
 def topic_of(text: Column) -> Column:
     """The first kind whose expression the text matches; ``mix`` takes any other column instead."""
     out = None
-    for name, mark in TOPICS:
-        out = F.when(text.rlike(mark), name) if out is None else out.when(text.rlike(mark), name)
+    for name, mark, held in TOPICS:
+        hit = reduce(or_, [text.contains(h) for h in held]) & text.rlike(mark)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.coalesce(out.otherwise(REST), F.lit(REST))
 
 
@@ -237,7 +242,7 @@ def mix(
 def oracle_sql(budget: float = BUDGET, temperature: float = TEMPERATURE, tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> str:
     """DuckDB SQL of ``mix`` over the table documents, with targets by temperature."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    whens = " ".join(f"WHEN regexp_matches(text, {quoted(mark)}) THEN {quoted(name)}" for name, mark in TOPICS)
+    whens = " ".join(f"WHEN regexp_matches(text, {quoted(mark)}) THEN {quoted(name)}" for name, mark, _ in TOPICS)
     sums = " UNION ALL ".join(f"SELECT '{a}' AS axis, {a} AS v, sum(tokens)::DOUBLE AS s FROM cells GROUP BY {a}" for a in AXES)
     aims = ", ".join(f"{a}_aim.goal AS {a}_goal, {a}_aim.whole AS {a}_whole" for a in AXES)
     joins = " ".join(f"JOIN aim {a}_aim ON {a}_aim.b = t.b AND {a}_aim.axis = '{a}' AND {a}_aim.v = c.{a}" for a in AXES)
