@@ -40,3 +40,19 @@ def test_nothing_outside_imports_the_subpackage():
             if n.endswith(".py"):
                 with open(os.path.join(folder, n), encoding="utf-8") as f:
                     assert "lodestrata.llm" not in f.read(), n
+
+
+def test_the_rest_runs_where_both_folders_are_deleted(tmp_path):
+    import shutil
+
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    shutil.rmtree(copy / "lodestrata" / "llm", ignore_errors=True)
+    shutil.rmtree(copy / "tests" / "llm", ignore_errors=True)
+    (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    script = "import __spark_entry__ as e; names = set(e.queries()); assert names >= set(e.oracle_sql()) and 'lexical_topk' in names; assert not any(n.startswith('op1') or n == 'pipeline' for n in names); print(len(names))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=120, cwd=copy, env=env)
+    assert out.returncode == 0 and int(out.stdout) > 90, out.stderr
+    tests = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_text.py", "tests/test_diffs.py"], capture_output=True, text=True, timeout=280, cwd=copy, env=env)
+    assert tests.returncode == 0, tests.stdout[-2000:]
