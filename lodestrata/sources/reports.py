@@ -67,34 +67,41 @@ def pytest_json(reports: DataFrame, key: str = "report_id", text: str = "text")
     )
 
 
-#: Levels of nested suites that are read.
+#: Levels of nested suites that one schema reads; what lies deeper stays text, and is read by the next round.
 DEPTH = 8
 
 
-def _playwright_schema() -> str:
+def _playwright_suite() -> str:
     result = "struct<status:string,duration:bigint,error:struct<message:string>,errors:array<struct<message:string>>>"
     spec = f"struct<title:string,tests:array<struct<projectName:string,status:string,results:array<{result}>>>>"
-    suite = f"struct<title:string,file:string,specs:array<{spec}>>"
+    suite = f"struct<title:string,file:string,specs:array<{spec}>,suites:array<string>>"
     for _ in range(DEPTH - 1):
         suite = f"struct<title:string,file:string,specs:array<{spec}>,suites:array<{suite}>>"
-    return f"struct<suites:array<{suite}>>"
+    return suite
 
 
 def playwright_json(reports: DataFrame, key: str = "report_id", text: str = "text") -> DataFrame:
-    """One row for each test of each spec; suites may nest ``DEPTH`` deep and inherit their file.
+    """One row for each test of each spec; suites may nest to any depth and inherit their file.
 
-    The worst result gives the status, or the test's own where there is none; durations add up.
+    The worst result gives the status, or the test's own where there is none; durations add up. Whether any
+    suite lies deeper than ``DEPTH`` levels is looked up once for every so many levels.
     """
-    level = reports.select(key, F.explode(F.from_json(F.col(text), _playwright_schema())["suites"]).alias("s"))
+    suite = _playwright_suite()
+    level = reports.select(key, F.explode(F.from_json(F.col(text), f"struct<suites:array<{suite}>>")["suites"]).alias("s"))
     level = level.select(key, "s", F.col("s.file").alias("file"), F.array(F.col("s.title")).alias("titles"))
-    found = None
-    for depth in range(DEPTH):
-        here = level.select(key, "file", "titles", F.explode("s.specs").alias("spec"))
-        found = here if found is None else found.unionByName(here)
-        if depth < DEPTH - 1:
-            level = level.select(key, "file", "titles", F.explode("s.suites").alias("n")).select(
-                key, F.col("n").alias("s"), F.coalesce("n.file", "file").alias("file"), F.concat("titles", F.array("n.title")).alias("titles")
-            )
+    inner = lambda rows: rows.select(
+        key, F.col("n").alias("s"), F.coalesce("n.file", "file").alias("file"), F.concat("titles", F.array("n.title")).alias("titles")
+    )
+    found, left = None, True
+    while left:
+        for depth in range(DEPTH):
+            here = level.select(key, "file", "titles", F.explode("s.specs").alias("spec"))
+            found = here if found is None else found.unionByName(here)
+            below = level.select(key, "file", "titles", F.explode("s.suites").alias("n"))
+            if depth < DEPTH - 1:
+                level = inner(below)
+        left = not below.isEmpty()
+        level = inner(below.withColumn("n", F.from_json("n", suite)))
     rows = found.select(key, "file", "titles", F.col("spec.title").alias("name"), F.explode("spec.tests").alias("t"))
     worst = lambda kinds: F.exists("t.results", lambda r: r["status"].isin(*kinds))
     own = F.col("t.status")

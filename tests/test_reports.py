@@ -54,3 +54,15 @@ def test_empty_run_has_passed(spark):
     runs = one(spark, "")
     results = spark.createDataFrame([], "report_id int, status string")
     assert reports.status_counts(results, runs).first().status == "passed"
+
+
+def test_playwright_suites_of_any_depth(spark):
+    import json
+
+    suite = {"title": "t20", "specs": [{"title": "deep", "tests": [{"projectName": "p", "status": "expected", "results": [{"status": "passed", "duration": 5}]}]}]}
+    for level in range(19, -1, -1):
+        suite = {"title": f"t{level}", "suites": [suite], "specs": [{"title": f"s{level}", "tests": [{"projectName": "", "status": "expected", "results": []}]}]}
+    rows = reports.playwright_json(one(spark, json.dumps({"suites": [{**suite, "file": "a.ts"}]}))).collect()
+    assert {r.name for r in rows} == {"deep", *(f"s{i}" for i in range(20))}
+    deep = next(r for r in rows if r.name == "deep")
+    assert deep.class_name == "::".join(f"t{i}" for i in range(21)) and deep.file_path == "a.ts" and deep.duration_ms == 5
