@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import htmltext, mixing, packing, simhash, substrings, surrogates, toxicity, urls, vectors
+from lodestrata.llm import htmltext, manifest, mixing, packing, simhash, substrings, surrogates, toxicity, urls, vectors
 from lodestrata.llm.common import table
 
 QUERIES: dict = {}
@@ -106,3 +106,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audited(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_manifest"] = manifest.oracle_sql()
