@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import htmltext, manifest, mixing, packing, simhash, substrings, surrogates, toxicity, urls, vectors
+from lodestrata.llm import htmltext, langid, manifest, mixing, packing, ranking, simhash, substrings, surrogates, toxicity, urls, vectors
 from lodestrata.llm.common import table
 
 QUERIES: dict = {}
@@ -114,3 +114,16 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op11_manifest"] = manifest.oracle_sql()
+
+
+@query
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op12_ranking"] = ranking.oracle_sql()
+
+
+@query
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.judged(table(spark, sf_dir, "documents"))
