@@ -186,48 +186,42 @@ def _has_secret_prefix(token: Column) -> Column:
 
 
 _SIGN = "(?i)[=:]|" + "|".join((*SECRET_PREFIXES, SHORT_SECRET_PREFIX))
-_WAITS = r"(?U)[=:](?:\s|\z)"
+
+
+def _waiting_key() -> str:
+    """An expression for a token that is a secret key with its sign and nothing after it; characters that a key's plain form leaves out may stand between any two."""
+    other = r"[^A-Za-z0-9_\-=:\s]*+"
+    letters = lambda word: other.join(f"[{c.upper()}{c}]" if c.isalpha() else f"\\{c}" if c == "-" else c for c in word)
+    parts = "|".join(map(letters, SECRET_KEY_PARTS))
+    # The end is looked for first, so that only tokens that wait are searched.
+    return rf"(?<!\S)(?=[^=:\s]++[=:](?!\S))(?:{other}{letters('authorization')}{other}|[^=:\s]*?(?:{parts})[^=:\s]*+)[=:]"
 
 
 def redact(text: Column) -> Column:
     """Secrets in running text, hidden token by token; white space stays as it was.
 
     ``key=value`` or ``key:value`` with a secret key loses its value, or the next two tokens where the
-    value is empty. Tokens with a secret's prefix go whole.
+    value is empty; these two are no keys themselves. Tokens with a secret's prefix go whole.
+
+    One pass of an expression goes from key to key and hides what follows those without a value, a second one
+    works on each token alone, so the time is in proportion to the text.
     """
-    pieces = F.regexp_extract_all(text, F.lit(r"(?U)(\S*)(\s|\z)"), F.lit(0))
+    key = _waiting_key()
+    two = F.regexp_replace(text, rf"(?U)({key}\s++)\S++(\s++)\S++", "$1[redacted]$2[redacted]")
+    hidden = F.when(text.rlike(rf"(?U)[=:](?!\S)"), F.regexp_replace(two, rf"(?U)({key}\s++)\S++(\s*+)\z", "$1[redacted]$2")).otherwise(text)
+    pieces = F.regexp_extract_all(hidden, F.lit(r"(?U)(\S*)(\s|\z)"), F.lit(0))
 
-    def parts(piece: Column) -> tuple[Column, Column, Column, Column]:
-        """The token, the white space after it, its key with the sign if the key is secret, and its value."""
+    def alone(piece: Column) -> Column:
         token = F.regexp_replace(piece, r"(?U)\s$", "")
         space = F.substring(piece, F.length(token) + 1, F.lit(1))
         key = F.regexp_extract(token, "^([^=:]+)[=:]", 1)
         kept = F.when((key != "") & _key_is_secret(key), F.concat(key, F.substring(token, F.length(key) + 1, F.lit(1))))
-        return token, space, kept, F.substring(token, F.length(key) + 2, F.length(token))
+        waits = F.length(token) == F.length(key) + 1
+        shown = F.when(kept.isNotNull() & waits, kept).when(kept.isNotNull(), F.concat(kept, F.lit(REDACTED))).when(_has_secret_prefix(token), REDACTED).otherwise(token)
+        return F.when(piece.rlike(_SIGN), F.concat(shown, space)).otherwise(piece)
 
-    def alone(piece: Column) -> Column:
-        token, space, kept, _ = parts(piece)
-        shown = F.when(kept.isNotNull(), F.concat(kept, F.lit(REDACTED))).when(_has_secret_prefix(token), REDACTED).otherwise(token)
-        return F.concat(shown, space)
-
-    def step(state: Column, piece: Column) -> Column:
-        token, space, kept, value = parts(piece)
-        waits = kept.isNotNull() & (value == "")
-        shown = (
-            F.when(token == "", "")
-            .when(state["pending"] > 0, REDACTED)
-            .when(waits, kept)
-            .when(kept.isNotNull(), F.concat(kept, F.lit(REDACTED)))
-            .when(_has_secret_prefix(token), REDACTED)
-            .otherwise(token)
-        )
-        pending = F.when(token == "", state["pending"]).when(state["pending"] > 0, state["pending"] - 1).when(waits, 2).otherwise(0)
-        return F.struct(F.concat(state["out"], shown, space).alias("out"), pending.cast("int").alias("pending"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("pending"))
-    walked = F.aggregate(pieces, start, step, lambda s: s["out"])
-    # Most texts hold no sign of a secret, and most others none whose value follows: only those need the walk.
-    return F.when(~text.rlike(_SIGN), text).when(~text.rlike(_WAITS), F.array_join(F.transform(pieces, alone), "")).otherwise(walked)
+    # Most texts hold no sign of a secret.
+    return F.when(~text.rlike(_SIGN), text).otherwise(F.array_join(F.transform(pieces, alone), ""))
 
 
 def as_json(rows, *keys: str):

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.storage import before_parts, kept, ranged
+
 OPEN = ("queued", "failed")
 CANCELLABLE = ("queued", "leased", "failed")
 FINAL = ("succeeded", "dead_lettered", "cancelled")
@@ -175,34 +177,57 @@ def run_once(jobs: DataFrame, now: Column, worker: str, synced: DataFrame, keys:
     return finish(leased, outcomes, now), told.select("job_id", "attempt_no", "worker_id", F.when(F.col("ok"), "succeeded").otherwise("failed").alias("status"), "error")
 
 
-def rate_limited(requests: DataFrame, key: str, at: str, budget: int = 600, seconds: int = 60, order: str = "ordinal") -> DataFrame:
-    """``requests`` with allowed: at most ``budget`` in a window that starts with the first request after the last one's end.
+def _latest_mark(rows: DataFrame, mark: Column, name: str) -> DataFrame:
+    """``rows`` (part, pos, ..) with ``name``: the pos of the last marked row up to each one, over all parts."""
+    carried = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    tops = rows.groupBy("part").agg(F.max(F.when(mark, F.col("pos"))).alias("__top")).select("part", F.max("__top").over(carried).alias("__before"))
+    inside = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(tops, "part").withColumn(name, F.coalesce(F.max(F.when(mark, F.col("pos"))).over(inside), "__before")).drop("__before")
+
 
-    A window hangs on the request that opens it, so each key is walked in order: its requests are sorted on
-    disk and go by in batches, and all that is kept of a key is the start of its window and a count.
+def _next_windows(rows: DataFrame, width: int) -> DataFrame:
+    """(pos, to) of ``rows`` (__k, t, pos, session): the first request that is ``width`` later or more, in the same session.
+
+    Requests and the ends of their windows are sorted into one table. As many requests as come before an end, at
+    that place stands the request after it.
     """
-    import numpy as np
-    import pandas as pd
+    both = rows.select("__k", "t", F.lit(1).alias("kind"), "pos", "session").unionByName(rows.select("__k", (F.col("t") + width).alias("t"), F.lit(0).alias("kind"), "pos", "session"))
+    merged = ranged(both, ["__k", "t", "kind", "pos"], "ends")
+    earlier = before_parts(merged.groupBy("part").agg(F.sum("kind").alias("__sum")), [], ["__sum"])
+    inside = Window.partitionBy("part").orderBy("spot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = merged.join(earlier, "part").withColumn("to", F.sum("kind").over(inside) + F.col("__sum")).where("kind = 0")
+    there = rows.select(F.col("pos").alias("to"), F.col("session").alias("__there"))
+    return ends.join(there, "to").where("session = __there").select("pos", "to")
 
-    micros = F.unix_micros(F.col(at).cast("timestamp")).alias("__t")
-    rows = requests.select(key, F.col(order).cast("long").alias(order), micros)
-    width = seconds * 1_000_000
 
-    def walk(batches):
-        me, since, n = None, 0, 0
-        for pdf in batches:
-            names, t = pdf[key].to_numpy(), pdf["__t"].to_numpy()
-            allowed, i = np.zeros(len(t), dtype=bool), 0
-            while i < len(t):
-                if me is None or names[i] != me[0] or t[i] - since >= width:
-                    me, since, n = (names[i],), t[i], 0
-                end = i + 1
-                while end < len(t) and names[end] == me[0] and t[end] - since < width:
-                    end += 1
-                allowed[i : min(end, i + budget - n)] = True
-                n = min(budget, n + end - i)
-                i = end
-            yield pd.DataFrame({key: names, order: pdf[order], "allowed": allowed})
-
-    kind = requests.schema[key].dataType.simpleString()
-    return rows.repartition(key).sortWithinPartitions(key, "__t", order).mapInPandas(walk, f"`{key}` {kind}, `{order}` long, allowed boolean")
+def rate_limited(requests: DataFrame, key: str, at: str, budget: int = 600, seconds: int = 60, order: str = "ordinal") -> DataFrame:
+    """``requests`` (key, order) with allowed: at most ``budget`` in a window that starts with the first request after the last one's end.
+
+    All requests are sorted by ranges and numbered, so that a key of any size is spread over tasks. A request that
+    comes a window or more after the one before it surely opens a window; these cut a key into sessions. Every other
+    request knows the one that opens the next window if it opens one itself. Following these pointers from the
+    sessions' heads marks all openers: each round doubles the reach of the pointers, so a session of n windows
+    takes log n rounds, all sessions together. A request is allowed by its distance from the last opener.
+
+    A null key is a key. Requests of equal time go by ``order``; ``at`` is not null.
+    """
+    width = seconds * 1_000_000
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = ranged(requests.select(F.col(key).alias("__k"), F.col(order).cast("long").alias("__o"), micros.alias("t")), ["__k", "t", "__o"], "requests")
+    over_parts = Window.orderBy("part")  # a row for each part
+    parts = rows.groupBy("part").agg(F.min("spot").alias("__first"), F.count(F.lit(1)).alias("__n"), F.max_by(F.struct("__k", "t"), "spot").alias("__last"))
+    parts = parts.select("part", "__first", (F.sum("__n").over(over_parts) - F.col("__n")).alias("__before"), F.lag("__last").over(over_parts).alias("__prior"))
+    inside = Window.partitionBy("part").orderBy("spot")
+    prior = F.when(F.col("spot") == F.col("__first"), F.col("__prior")).otherwise(F.lag(F.struct("__k", "t")).over(inside))
+    numbered = rows.join(parts, "part").select("__k", "__o", "t", "part", (F.col("__before") + F.col("spot") - F.col("__first")).alias("pos"), prior.alias("prior"))
+    heads = F.col("prior").isNull() | ~F.col("prior.__k").eqNullSafe(F.col("__k")) | (F.col("t") - F.col("prior.t") >= width)
+    placed = kept(_latest_mark(numbered.withColumn("head", heads).drop("prior"), F.col("head"), "session"))
+    jumps = kept(_next_windows(placed, width), "jumps")
+    openers = placed.where("head").select("pos")
+    while not jumps.isEmpty():
+        reached = jumps.join(openers, "pos", "left_semi").select(F.col("to").alias("pos"))
+        openers = kept(openers.unionByName(reached).distinct(), "openers")
+        jumps = kept(jumps.join(jumps.select(F.col("pos").alias("to"), F.col("to").alias("__far")), "to").select("pos", F.col("__far").alias("to")), "jumps")
+    marked = placed.join(openers.withColumn("__opens", F.lit(True)), "pos", "left")
+    counted = _latest_mark(marked, F.col("__opens"), "__since")
+    return counted.select(F.col("__k").alias(key), F.col("__o").alias(order), (F.col("pos") - F.col("__since") < budget).alias("allowed"))

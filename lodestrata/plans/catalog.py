@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, text
-from lodestrata.operators import aggregates, embeddings, graph, overlay, queue, ranges, review, search, snapshot
-from lodestrata.plans.bridges import CAL, JOBS, RAW, SYM, calls, jobs, raw_calls, symbols, table
-from lodestrata.sources import diffs, reports, syntax
+from lodestrata.operators import aggregates, embeddings, graph, indexes, overlay, queue, ranges, review, search, snapshot, stored
+from lodestrata.plans.bridges import CAL, JOBS, RAW, SYM, _columns, calls, jobs, raw_calls, symbols, table
+from lodestrata.sources import diffs, reports, syntax, worktree
+from lodestrata.storage import scratch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -66,6 +67,41 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_top(table(spark, sf_dir, "documents"), "the worthless thing le the", 20)
 
 
+@query(_BM25)
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bm25_topk`` from stored postings of all documents."""
+    folder = scratch(spark, "postings")
+    indexes.add_documents(table(spark, sf_dir, "documents"), folder)
+    return indexes.bm25_top(spark, folder, "the worthless thing le the", 20)
+
+
+@query(
+    f"""SELECT term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS cf
+FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{A}', '{Z}'), '[a-z0-9]+')) AS term FROM documents) GROUP BY term"""
+)
+def indexed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the index, with its documents and occurrences; the documents are added in two parts."""
+    folder, docs = scratch(spark, "postings"), table(spark, sf_dir, "documents")
+    indexes.add_documents(docs.where("doc_id % 2 = 0"), folder)
+    indexes.add_documents(docs.where("doc_id % 2 <> 0"), folder)
+    return indexes.vocabulary(spark, folder)
+
+
+@query(_LEX.format(q="Red bolt RED economy", n=25))
+def lexical_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``lexical_topk`` from the stored letter windows of all symbols."""
+    folder = scratch(spark, "windows")
+    indexes.store_symbols(symbols(spark, sf_dir), folder)
+    return indexes.lexical_top(spark, folder, "Red bolt RED economy", 25).select(*_LEX_COLUMNS)
+
+
+@query(_LEX.format(q="blue bolt", n=40))
+def lexical_indexed_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "windows")
+    indexes.store_symbols(symbols(spark, sf_dir), folder)
+    return indexes.lexical_top(spark, folder, " Blue Bolt ", 40).select(*_LEX_COLUMNS)
+
+
 # --- identity ---------------------------------------------------------------------------------
 
 
@@ -272,13 +308,23 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", text.redact(F.concat(F.lit(_HEAD), "props", F.lit(_TAIL))).alias("shown"))
 
 
-@query(
-    """SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE contains(text, 'token = "'))::BIGINT AS with_spaced_token FROM documents"""
-)
+# Documents token by token: the state is the text so far and the tokens still to hide.
+_REDACT_WHOLE = f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS toks, regexp_extract_all(text, '[ \t\n\r\f\v]+') AS gaps, regexp_matches(text, '^[ \t\n\r\f\v]') AS led FROM documents),
+k AS (SELECT doc_id, led, gaps, list_transform(toks, lambda x: {{'x': x, 'key': regexp_extract(x, '^([^=:]+)[=:]', 1), 'low': translate(trim(x, '"''`,.;)([]{{}}'), '{A}', '{Z}')}}) AS toks FROM t),
+s AS (SELECT doc_id, led, gaps, list_transform(toks, lambda x: {{'out': x.x, 'n': 0,
+  'kept': CASE WHEN x.key <> '' AND ({_SECRET_SQL.replace('k = ', "regexp_replace(translate(x.key, '{A}', '{Z}'), '[^a-z0-9_-]', '', 'g') = ").replace('contains(k,', "contains(regexp_replace(translate(x.key, '{A}', '{Z}'), '[^a-z0-9_-]', '', 'g'),")}) THEN left(x.x, len(x.key) + 1) END,
+  'bare': len(x.x) = len(x.key) + 1,
+  'mark': starts_with(x.low, 'ghp_') OR starts_with(x.low, 'github_pat_') OR starts_with(x.low, 'glpat-') OR starts_with(x.low, 'glpat_') OR (starts_with(x.low, 'sk-') AND strlen(x.low) >= 12)}}) AS toks FROM k),
+w AS (SELECT doc_id, led, gaps, list_reduce(list_prepend({{'out': '', 'n': 0, 'kept': NULL, 'bare': false, 'mark': false}}, list_transform(toks, lambda x, i: {{'out': x.out, 'n': i::INTEGER, 'kept': x.kept, 'bare': x.bare, 'mark': x.mark}})),
+  lambda a, x: {{'out': a.out || chr(1) || CASE WHEN a.n > 0 THEN '[redacted]' WHEN x.kept IS NOT NULL THEN x.kept || CASE WHEN x.bare THEN '' ELSE '[redacted]' END WHEN x.mark THEN '[redacted]' ELSE x.out END,
+    'n': CASE WHEN a.n > 0 THEN a.n - 1 WHEN x.kept IS NOT NULL AND x.bare THEN 2 ELSE 0 END, 'kept': NULL, 'bare': false, 'mark': false}}) AS r FROM s)
+SELECT doc_id, md5(array_to_string(list_transform(string_split(r.out, chr(1)), lambda x, i: x || CASE WHEN i = 1 AND NOT led THEN '' ELSE coalesce(gaps[CASE WHEN led THEN i ELSE i - 1 END], '') END), '')) AS shown FROM w"""
+
+
+@query(_REDACT_WHOLE.replace("{A}", A).replace("{Z}", Z))
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents; a spaced ``token = "x"`` has an empty key after its name and stays as it is."""
-    rows = table(spark, sf_dir, "documents").select(text.redact(F.col("text")).alias("shown"))
-    return rows.agg(F.count("shown").alias("n"), F.count_if(F.contains("shown", F.lit('token = "'))).alias("with_spaced_token"))
+    """Whole documents, as the hash of what is shown."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(F.col("text")).cast("binary")).alias("shown"))
 
 
 # --- ranges -----------------------------------------------------------------------------------
@@ -460,17 +506,34 @@ def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Line items as stored test edges, and as coverage segments of their part's brand.
+_COVERS = "concat('v', l_partkey) AS test_symbol_id, concat('v', l_orderkey % 200 + 1) AS target_symbol_id, CAST(1 - l_discount * 6 AS DOUBLE) AS confidence"
+_SEGMENTS = "p_brand AS file_path, CAST(l_quantity AS INT) AS segment_start, CAST(l_quantity AS INT) + l_linenumber - 3 AS segment_end"
+
+
 @query(
     f"""WITH {SYM}, target AS (SELECT * FROM sym WHERE fqn = 'red bolt' OR name = 'red bolt' ORDER BY ordinal LIMIT 1),
+edges AS (SELECT c.* FROM (SELECT {_COVERS} FROM lineitem) c JOIN target ON target.versioned_symbol_id = target_symbol_id),
+linked AS (SELECT fqn, name, file_path, CASE WHEN confidence >= 0.95 THEN 'exact' WHEN confidence >= 0.80 THEN 'high' WHEN confidence >= 0.50 THEN 'medium' ELSE 'low' END AS confidence FROM edges JOIN sym ON sym.versioned_symbol_id = test_symbol_id),
 t AS (SELECT s.fqn, s.name, s.file_path, s.ordinal, CASE WHEN contains({_NORM.format('s.fqn')}, {_NORM.format('g.name')}) THEN 'medium' ELSE 'low' END AS confidence FROM sym s, target g
-  WHERE s.kind = 'test_case' AND (contains({_NORM.format('s.fqn')}, {_NORM.format('g.name')}) OR s.file_path = g.file_path))
-SELECT fqn, arg_min(name, ordinal) AS name, arg_min(file_path, ordinal) AS file_path, arg_min(confidence, ordinal) AS confidence FROM t GROUP BY fqn"""
+  WHERE s.kind = 'test_case' AND (contains({_NORM.format('s.fqn')}, {_NORM.format('g.name')}) OR s.file_path = g.file_path)
+    AND s.versioned_symbol_id NOT IN (SELECT test_symbol_id FROM edges) AND s.fqn NOT IN (SELECT fqn FROM linked)),
+segs AS (SELECT {_SEGMENTS} FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT 'linked' AS evidence, fqn, name, file_path, confidence, NULL::INT AS segment_start, NULL::INT AS segment_end FROM linked
+UNION ALL SELECT 'found', fqn, arg_min(name, ordinal), arg_min(file_path, ordinal), arg_min(confidence, ordinal), NULL, NULL FROM t GROUP BY fqn
+UNION ALL SELECT 'covered', NULL, NULL, s.file_path, NULL, segment_start, segment_end FROM segs s JOIN target g ON s.file_path = g.file_path AND segment_end >= segment_start AND segment_start <= g.end_line AND segment_end >= g.start_line"""
 )
 def test_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests of one symbol, by stored edges, by name and by file, and the segments that cover it."""
+    items = table(spark, sf_dir, "lineitem")
+    edges = items.selectExpr(*_columns(_COVERS))
+    segments = items.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).selectExpr(*_columns(_SEGMENTS))
     rows = symbols(spark, sf_dir)
-    none = spark.createDataFrame([], "test_symbol_id string, target_symbol_id string, confidence double")
-    segments = spark.createDataFrame([], "file_path string, segment_start int, segment_end int")
-    return graph.test_context(rows, none, segments, "red bolt")[0]
+    tests, covered = graph.test_context(rows, edges, segments, "red bolt")
+    mine = edges.join(graph.find_symbol(rows, "red bolt").select(F.col("versioned_symbol_id").alias("target_symbol_id")), "target_symbol_id")
+    linked = rows.join(mine, F.col("test_symbol_id") == F.col("versioned_symbol_id")).select("fqn").distinct().withColumn("evidence", F.lit("linked"))
+    told = tests.join(linked, "fqn", "left").select(F.coalesce("evidence", F.lit("found")).alias("evidence"), "fqn", "name", "file_path", "confidence")
+    return told.unionByName(covered.select(F.lit("covered").alias("evidence"), "file_path", "segment_start", "segment_end"), allowMissingColumns=True)
 
 
 @query(f"WITH {SYM}, {CAL} SELECT (SELECT count(DISTINCT file_path) FROM sym)::BIGINT AS files, (SELECT count(*) FROM sym)::BIGINT AS symbols, (SELECT count(*) FROM cal)::BIGINT AS calls, ((SELECT count(DISTINCT file_path) FROM sym) + (SELECT count(*) FROM sym))::BIGINT AS nodes, ((SELECT count(*) FROM sym) + (SELECT count(*) FROM cal))::BIGINT AS edges, (SELECT count(*) FROM sym)::BIGINT AS chunks")
@@ -560,6 +623,49 @@ def overlay_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.replace_scope(rows, new, ["scope"]).groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("fresh"))
 
 
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, max(event_id) % 2 = 0 AND count(*) FILTER (WHERE event_id % 2 = 1) = 0 AS stale FROM events GROUP BY user_id")
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even events are stored and stale, odd ones come in two changes; the later event of a user stays."""
+    rows = table(spark, sf_dir, "events").selectExpr("user_id", "event_type", "event_id", "CAST('2024-01-01' AS timestamp) AS stale_at")
+    last = rows.where("event_id % 2 = 0").groupBy("user_id").agg(F.max_by(F.struct("event_type", "event_id", "stale_at"), "event_id").alias("x")).select("user_id", "x.*")
+    held = stored.KeyedTable(spark, scratch(spark, "keyed"), "user_id bigint, event_type string, event_id bigint, stale_at timestamp", ["user_id"])
+    held.load(last)
+    for part in (1, 3):
+        held.upsert(rows.where(f"event_id % 4 = {part}").withColumn("stale_at", F.lit(None).cast("timestamp")), "event_id")
+    return held.rows().select("user_id", "event_type", "event_id", F.col("stale_at").isNotNull().alias("stale"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, (o_orderkey % 4 <> 1 AND o_custkey % 3 = 0) AS is_stale FROM orders")
+def stored_stale_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One repository's rows of other generations go stale; the folders of the others are not written."""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey % 3 AS repo_id", "o_orderkey", "o_orderstatus", "o_orderkey % 4 AS generation_id", "CAST(NULL AS timestamp) AS stale_at")
+    held = stored.KeyedTable(spark, scratch(spark, "keyed"), "repo_id bigint, o_orderkey bigint, o_orderstatus string, generation_id bigint, stale_at timestamp", ["repo_id", "o_orderkey"], place=["repo_id"])
+    held.load(rows)
+    held.stale_out(F.lit(1), F.lit("2024-01-01").cast("timestamp"), repo_id=F.lit(0))
+    return held.rows().select("o_orderkey", "o_orderstatus", F.col("stale_at").isNotNull().alias("is_stale"))
+
+
+@query("SELECT page_id % 10 AS scope, page_id, page_id % 10 < 3 AS fresh FROM pages WHERE page_id % 10 >= 3 OR page_id % 20 < 10")
+def stored_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scopes are replaced by half of their pages; the folders of the others are not written."""
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id % 10 AS scope", "page_id", "false AS fresh")
+    held = stored.KeyedTable(spark, scratch(spark, "keyed"), "scope bigint, page_id bigint, fresh boolean", ["scope", "page_id"], place=["scope"])
+    held.load(rows)
+    held.replace_scope(rows.where("scope < 3 AND page_id % 20 < 10").withColumn("fresh", F.lit(True)), ["scope"])
+    return held.rows()
+
+
+@query("SELECT source, doc_id, (source IN ('src0', 'src1') AND doc_id % 2 = 0 AND fresh) AS is_stale FROM (SELECT *, bool_or(doc_id % 2 = 1) OVER (PARTITION BY source) AS fresh FROM documents)")
+def stored_manifest_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even documents are the old manifest, odd ones of two sources the new one, other odd ones old too."""
+    rows = table(spark, sf_dir, "documents").selectExpr("source AS repo_id", "'c0' AS commit_sha", "doc_id", "CAST(NULL AS timestamp) AS stale_at")
+    fresh = rows.where("repo_id IN ('src0', 'src1') AND doc_id % 2 = 1")
+    held = stored.KeyedTable(spark, scratch(spark, "keyed"), "repo_id string, commit_sha string, doc_id bigint, stale_at timestamp", ["repo_id", "commit_sha", "doc_id"], place=["repo_id"])
+    held.load(rows.where("NOT (repo_id IN ('src0', 'src1') AND doc_id % 2 = 1)"))
+    held.replace_manifest(fresh, F.lit("2024-01-01").cast("timestamp"))
+    return held.rows().select(F.col("repo_id").alias("source"), "doc_id", F.col("stale_at").isNotNull().alias("is_stale"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey = 5 AND o_orderstatus = 'O' THEN 'succeeded' WHEN o_orderstatus = 'O' THEN 'started' WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'failed' END AS status FROM orders")
 def generation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _generations(spark, sf_dir).selectExpr("generation_id", "status", "CAST(NULL AS timestamp) AS finished_at", "CAST(NULL AS timestamp) AS failed_at", "CAST(NULL AS string) AS error")
@@ -1105,26 +1211,27 @@ def attempt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id AS entity_id, arg_max(props, event_id) AS payload FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
 def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived index kept by a stream of outbox rows, one micro-batch for each source file."""
-    import uuid
-
     from lodestrata.streaming import worker
 
     rows = "user_id AS entity_id", "IF(event_type = 'error', 'delete', 'upsert') AS operation", "props AS payload", "ts AS created_at", "event_id AS outbox_id"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet").selectExpr(*rows)
-    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    root = scratch(spark, "index")
     index = worker.StoredTable(spark, f"{root}/table", "entity_id bigint, payload string")
     worker.sync_stream(stream, index, f"{root}/log").awaitTermination()
     return index.last()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only a local session may do without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
-    import tempfile
-
-    return (folder or tempfile.gettempdir()).rstrip("/")
+@query(
+    """SELECT 'src/lang=' || lang || '/source=' || source AS folder, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes FROM documents WHERE doc_id % 5 <> 0 GROUP BY ALL
+UNION ALL SELECT 'src', 0"""
+)
+def worktree_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a tree of text files, walked again: a fifth of them lies in folders that are ignored."""
+    root, docs = scratch(spark, "tree"), table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    for folder, some in (("src", "doc_id % 5 <> 0"), ("target/debug", "doc_id % 10 = 0"), ("src/vendor/x", "doc_id % 10 = 5")):
+        docs.where(some).select("lang", "source", "text").write.partitionBy("lang", "source").text(f"{root}/{folder}")
+    files = worktree.manifest(spark, root, content=False).where("NOT file_path RLIKE '(^|/)[.]'")
+    return files.groupBy(F.regexp_replace("file_path", "/[^/]*$", "").alias("folder")).agg(F.sum("size_bytes").alias("bytes"))
 
 
 # --- chunks, drift, edges and workers ---------------------------------------------------------
