@@ -183,8 +183,12 @@ def train(docs: DataFrame) -> Model:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     idf = _weights(known)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = cut(known.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PER_LANG).select("doc_id", "lang").distinct())
+    # Twice the bound passes a threshold on the hash, whatever the language's size; of these the least are taken.
+    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)).alias("spot"))
+    sizes = cut(ids.groupBy("lang").agg((F.lit(float(1 << 62)) * F.least(F.lit(1.0), 2.0 * PER_LANG / F.count(F.lit(1)))).alias("below")))
+    few = ids.join(broadcast_if_small(sizes, sizes.count()), "lang").where("spot <= below")
+    first = Window.partitionBy("lang").orderBy("spot", "doc_id")
+    chosen = cut(few.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PER_LANG).select("doc_id", "lang").distinct())
     taken = known.join(broadcast_if_small(chosen, chosen.count()), ["doc_id", "lang"])
     # A repeated id gives one text, so a language holds PER_LANG vectors at most.
     once = taken.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
