@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,6 +53,8 @@ ROWS = frozenset("table thead tbody tfoot tr colgroup".split())
 PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*)(?:>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?P<shut>>|\Z)|(?P<bad_end>/)?(?P<bad_name>[A-Za-z][^\s/>]*)(?P<bad_rest>[^>]*)(?P<bad_shut>>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Spaces of indents and columns for each character of a page.
+ROOM = 4
 SPACE = re.compile(r"[ \t\n\r\f]+")
 STYLE = re.compile(r"(?:^|;)\s*(display|visibility|content-visibility)\s*:\s*([a-z-]+)", re.I)
 
@@ -198,13 +201,28 @@ def _width(s: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s) if not s.isascii() else len(s)
 
 
+class Room:
+    """Spaces that indents and columns of one document may still take: ``ROOM`` for each character of its source."""
+
+    def __init__(self, size: int):
+        self.left = ROOM * size
+
+    def spaces(self, n: int, least: int = 0) -> str:
+        """``n`` spaces, or ``least`` where there is no room for them."""
+        if n > self.left:
+            return " " * least
+        self.left -= n
+        return " " * n
+
+
 class Page:
     """Lines of text under construction. Space is collapsed; blank lines are owed until text comes."""
 
-    def __init__(self):
+    def __init__(self, room: Room):
+        self.room = room
         self.lines: list[str] = []
         self.parts: list[str] = []
-        self.gap, self.indent, self.mark, self.space = 0, "", "", False
+        self.gap, self.indent, self.mark, self.space = 0, 0, "", False
 
     def word(self, s: str, kept: bool = False) -> None:
         if kept:
@@ -232,7 +250,7 @@ class Page:
             if self.lines:
                 self.lines += [""] * self.gap
             self.gap = 0
-            self.parts.append(self.indent[: len(self.indent) - len(self.mark)] + self.mark if self.mark else self.indent)
+            self.parts.append(self.room.spaces(max(self.indent - len(self.mark), 0)) + self.mark)
             self.mark = ""
         elif self.space:
             self.parts.append(" ")
@@ -308,7 +326,7 @@ def _render(node: Node, page: Page, kept: bool, parent: Node, shown: bool = True
                 mark = f"{number}. "
             number += 1
             old = page.indent
-            page.indent, page.mark = old + " " * len(mark), mark if mine else ""
+            page.indent, page.mark = old + len(mark), mark if mine else ""
             yield _render(part, page, kept, node, mine)
             page.block(False)
             page.indent, page.mark = old, ""
@@ -316,7 +334,7 @@ def _render(node: Node, page: Page, kept: bool, parent: Node, shown: bool = True
             page.block(name in SPACED and not (name in ("ul", "ol", "menu", "dir") and node.name == "li"))
             old = page.indent
             if name in ("blockquote", "dd"):
-                page.indent = old + "    "
+                page.indent = old + 4
             yield _render(part, page, kept or name == "pre", node, mine)
             page.indent = old
             page.block(name in SPACED and not (name in ("ul", "ol", "menu", "dir") and node.name == "li"))
@@ -341,6 +359,8 @@ def _span(value: str, most: int) -> int:
 def _table(table: Node, page: Page, shown: bool) -> Iterator:
     """Rows on lines, columns padded to their widest cell; spans take the columns that they cover.
 
+    Where the padding would take more room than the document has left, cells stand two spaces apart.
+
     What may not stand in a table, a row group or a row comes before the table, in its order.
     """
     captions: list[Node] = []
@@ -373,51 +393,56 @@ def _table(table: Node, page: Page, shown: bool) -> Iterator:
         yield _render(part, page, False, table, seen(part, shown))
         page.block(False)
     grid: list[dict[int, tuple[list[str], int]]] = []
-    taken: dict[int, int] = {}  # column: rows below that a cell still covers
-    for row, around in [*groups["thead"], *groups[""], *groups["tfoot"]]:
+    taken: list[tuple[int, int, int]] = []  # from, to, and the last row: columns that cells above cover
+    for at, (row, around) in enumerate([*groups["thead"], *groups[""], *groups["tfoot"]]):
         cells: dict[int, tuple[list[str], int]] = {}
-        column, covered = 0, dict(taken)
-        taken = {c: n - 1 for c, n in taken.items() if n > 1}
+        taken = [t for t in taken if t[2] >= at]
+        column, passed, more = 0, 0, []
         for cell in row.parts:
             if isinstance(cell, str) or cell.name not in ("td", "th") or not displayed(cell):
                 continue
-            while column in covered:
-                column += 1
-            inner = Page()
+            while passed < len(taken) and taken[passed][0] <= column:
+                column, passed = max(column, taken[passed][1]), passed + 1
+            inner = Page(page.room)
             yield _render(cell, inner, False, row, seen(cell, around))
             inner.end()
             wide = _span(cell.attributes.get("colspan", ""), 1000)
-            deep = _span(cell.attributes.get("rowspan", ""), 1000)
+            deep = _span(cell.attributes.get("rowspan", ""), 65534)
             cells[column] = (inner.lines, wide)
             if deep > 1:
-                taken |= {c: deep - 1 for c in range(column, column + wide)}
+                more.append((column, column + wide, at + deep - 1))
             column += wide
+        if more:
+            taken = sorted([*taken, *more])
         if any(lines for lines, _ in cells.values()):
             grid.append(cells)
-    widths: dict[int, int] = {}
+    # Nothing stands right of the last column, so its width is of no matter.
+    columns = sorted({c for cells in grid for c in cells})
+    widths = dict.fromkeys(columns, 0)
     for cells in grid:
         for c, (lines, wide) in cells.items():
-            widths.setdefault(c, 0)
-            if wide == 1:
-                widths[c] = max(widths[c], *(_width(s) for s in lines), 0) if lines else widths[c]
+            if wide == 1 and lines and c != columns[-1]:
+                widths[c] = max(widths[c], *map(_width, lines))
     for cells in grid:  # a cell over several columns widens the last of them where it must
         for c, (lines, wide) in sorted(cells.items()):
-            if wide > 1 and lines:
-                over = [k for k in widths if c <= k < c + wide]
-                lack = max(_width(s) for s in lines) - sum(widths[k] for k in over) - 2 * (len(over) - 1)
+            if wide > 1 and lines and c + wide <= columns[-1]:
+                over = columns[bisect_left(columns, c) : bisect_left(columns, c + wide)]
+                lack = max(map(_width, lines)) - sum(widths[k] for k in over) - 2 * (len(over) - 1)
                 if lack > 0:
                     widths[over[-1]] += lack
     offsets, at = {}, 0
-    for c in sorted(widths):
+    for c in columns:
         offsets[c] = at
         at += widths[c] + 2
     for cells in grid:
+        placed = sorted(cells.items())
         for i in range(max(len(lines) for lines, _ in cells.values())):
             out, used = [], 0
-            for c, (lines, _) in sorted(cells.items()):
+            for c, (lines, _) in placed:
                 if i < len(lines) and lines[i]:
-                    out.append(" " * (offsets[c] - used) + lines[i])
-                    used = offsets[c] + _width(lines[i])
+                    gap = page.room.spaces(max(offsets[c] - used, 2 if out else 0), 2 if out else 0)
+                    out += [gap, lines[i]]
+                    used += len(gap) + _width(lines[i]) if c != columns[-1] else 0
             page.put("".join(out) or " ")
             page.end()
 
@@ -426,7 +451,7 @@ def render(source: str | None) -> str:
     """The visible text of a document; null and empty documents give an empty text."""
     if not source:
         return ""
-    page = Page()
+    page = Page(Room(len(source)))
     _walk(_render(parse(source), page, False, Node("#none", {})))
     page.end()
     return "\n".join(page.lines).replace("\x00", "")
@@ -436,7 +461,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, text), one row for each page, in place and without a shuffle.
 
     A null document gives an empty text; so does one without visible text. A document may have any length
-    and depth, and break any rule of the language. Rows that repeat a page_id, or have none, keep a row
+    and depth, and break any rule of the language. Indents and columns take at most ``ROOM`` spaces for each
+    character of the document, so a text grows in proportion to its page; beyond, lines start at the margin and
+    cells stand two spaces apart. Rows that repeat a page_id, or have none, keep a row
     each, in no order. Only page_id and html are read, so other columns may have any name.
     """
 

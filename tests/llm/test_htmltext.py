@@ -128,3 +128,39 @@ def test_random_broken_pages_show_just_the_visible_words():
         text = htmltext.render("".join(parts))
         assert sorted(re.findall(r"w\d+", text)) == sorted(want), seed
         assert not re.search(r"x\d", text), seed
+
+
+def long_pages(n):
+    """Pages of about ``n`` characters whose plain layout would grow with their square."""
+    wide = "w" * (n // 10)
+    return {
+        "one wide cell, many rows": f"<table><tr><td>{wide}<td>x" + "<tr><td>a<td>b" * (n // 15) + "</table>",
+        "many columns, rows with the last only": "<table><tr>" + "<td>c" * 900 + "<tr><td colspan=899><td>x" * (n // 25) + "</table>",
+        "deep quotes": "<blockquote>q " * (n // 14),
+        "deep lists": "<ul><li>i " * (n // 10),
+        "deep ordered lists": "<ol start=100000000><li>i " * (n // 26),
+        "nested tables": "<table><tr><td>a<td>" * (n // 21) + "end",
+        "long spans": "<table>" + "<tr><td rowspan=65534>r<td>s" * (n // 600) + "<tr><td>t" * (n // 12),
+        "lines in cells": "<table><tr><td>" + wide + "<td>" + "b<br>" * (n // 6) + "</table>",
+    }
+
+
+@pytest.mark.parametrize("name", list(long_pages(100)))
+def test_a_long_page_takes_room_in_proportion(name):
+    source = long_pages(300_000)[name]
+    text = htmltext.render(source)
+    assert len(text) < 10 * len(source)
+    words = lambda s: sorted(re.findall("[a-z]+", s))
+    assert words(text) == words(re.sub("<[^>]*>", " ", source))
+
+
+def test_a_page_of_a_megabyte():
+    source = "<table><tr><td>" + "w" * 500_000 + "<td>x" + "<tr><td>a<td>b" * 35_000 + "</table>"
+    text = htmltext.render(source)
+    assert len(text) < 10 * len(source) and text.split("\n")[-1] == "a  b"
+
+
+def test_spans_over_many_rows():
+    text = htmltext.render("<table><tr><td rowspan=3000>side<td>r0" + "".join(f"<tr><td>r{i}" for i in range(1, 2999)) + "<tr><td>r2999<tr><td>last</table>")
+    lines = text.split("\n")
+    assert lines[0] == "side  r0" and lines[2999] == "      r2999" and lines[3000] == "last"
