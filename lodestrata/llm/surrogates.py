@@ -4,11 +4,11 @@ All of it is SQL expressions. Detection is one regular expression with typed, va
 surrogate is a keyed permutation of the entity's characters within their classes (digits, and the small
 and capital letters of each script), by an alternating Feistel network over SHA-2: the same entity gives
 the same surrogate in every document, two entities of one format never meet, and format, case and script
-stay. Cards keep a valid check digit, addresses stay in the range of their parts, country codes and top
+stay. Cards and account numbers keep valid check digits, addresses stay in the range of their parts, country codes and top
 domains stay, and given names move within the names of their gender and script.
 
 A name is two entities: its family name, and its given name with that family. So a family keeps one
-surrogate with and without given names and titles, and a person has one gender: what any of the titles of
+surrogate with and without given names and titles, and where it stands alone in a text that names it; and a person has one gender: what any of the titles of
 that name says, else what the given name says.
 
 What a permutation cannot promise is checked over the whole corpus: a surrogate that equals its own or
@@ -64,6 +64,8 @@ SPOKEN = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", *L
 
 # Words between given and family name, and what keys of known services begin with.
 PARTICLES = "von van der den de del della di da dos du la le ter zu bin al".split()
+#: Country codes of telephone numbers: of one digit, of two, else of three.
+COUNTRY = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 PREFIXES = "AKIA|ASIA|AIza|gh[a-z]_|github_pat_|glpat-|xox[a-z]-|(?:sk|pk|rk)_(?:live|test)_|sk-|eyJ"
 
 _PART = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -80,17 +82,23 @@ PATTERN = "|".join(
     (
         r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|(?:gh[a-z]_|github_pat_|glpat-)[A-Za-z0-9_-]{20,}+|xox[a-z]-[A-Za-z0-9-]{10,}+|(?:sk|pk|rk)_(?:live|test)_[0-9A-Za-z]{16,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9_-])",
         r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
-        r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}",
+        r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,30}PRIVATE KEY-----",
+        r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]{1,63}(?:\.[\p{L}0-9-]{1,63}){0,125}\.\p{L}{2,63}",
         rf"(?<![0-9.])(?:{_PART}\.){{3}}{_PART}(?![0-9]|\.[0-9])",
         rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|(?:{_H}:){{2,7}}:|::(?:{_H}:){{0,6}}{_H})(?![0-9A-Za-z:])",
+        r"(?<![0-9A-Za-z:-])[0-9A-Fa-f]{2}(?:(?::[0-9A-Fa-f]{2}){5}|(?:-[0-9A-Fa-f]{2}){5})(?![0-9A-Za-z:-])",
         r"(?<![0-9])[0-9]{13,19}(?![0-9])",
+        r"(?<![0-9])3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])",
         r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])",
         r"(?<![0-9A-Za-z+])\+1 ?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
         r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
         r"(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
         r"(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
-        r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+        r"(?<![0-9-])[0-9]{3}(?:-[0-9]{2}-|(?<![0-9] [0-9]{3}) [0-9]{2} )[0-9]{4}(?![0-9-]| [0-9])",
+        r"(?<![0-9])0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}(?![0-9]| [0-9])",
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z]{0,4}[0-9]{10,26}(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [0-9A-Z]{4}){2,7}(?: [0-9]{1,4})?(?![A-Za-z0-9])",
         rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE})\.? (?:{_WORD} {_BETWEEN}{_WORD}|{_BETWEEN}{_WORD})",
         rf"(?=[{_FIRST_GIVEN}])(?<![\p{{L}}'’-])(?:{_GIVEN}) {_BETWEEN}{_WORD}",
         rf"(?<=[=:\"' ])(?<=(?i:token|secret|password|passwd|api[_-]?key) {{0,2}}[=:] {{0,2}}[\"']?)(?=[A-Za-z_+/=.~-]*+[0-9]){_TOKEN}{{8,}}+",
@@ -138,18 +146,25 @@ def _check_digit(body: str) -> str:
     return f"cast(pmod(-aggregate(transform(reverse(split({body}, '')), (c, i) -> {doubled}), 0, (a, b) -> a + b), 10) AS string)"
 
 
+def _iban_rest(x: str) -> str:
+    """What an account number without spaces leaves modulo 97: 1 where its check digits are right."""
+    value = "if(c BETWEEN '0' AND '9', a * 10 + cast(c AS int), a * 100 + ascii(c) - 55)"
+    return f"aggregate(split(concat(substr({x}, 5), substr({x}, 1, 4)), ''), 0, (a, c) -> if(c = '', a, ({value}) % 97))"
+
+
 def kind_sql(x: str) -> str:
-    """The type of a match; null for numbers that look like a card but fail its check."""
+    """The type of a match; null for numbers that look like a card, or an account, but fail its check."""
     digits = f"regexp_replace({x}, '[ -]', '')"
     valid = f"{_check_digit(f'substr({digits}, 1, length({digits}) - 1)')} = right({digits}, 1)"
     return rf"""CASE WHEN instr({x}, '@') > 0 THEN 'email'
       WHEN {x} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN 'ip'
-      WHEN {x} rlike '^[0-9]{{13,19}}$' OR {x} rlike '^[0-9]{{4}}([ -][0-9]{{4}}){{3}}$' THEN if({valid}, 'card', NULL)
+      WHEN {x} rlike '^[0-9]{{13,19}}$' OR {x} rlike '^[0-9]{{4}}([ -][0-9]{{4}}){{3}}$' OR {x} rlike '^3[47][0-9]{{2}}[ -][0-9]{{6}}[ -][0-9]{{5}}$' THEN if({valid}, 'card', NULL)
       WHEN {x} rlike '^[0-9A-Fa-f]{{32,}}$' THEN 'secret'
-      WHEN {x} rlike '^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$' THEN 'ip6'
-      WHEN {x} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn'
+      WHEN {x} rlike '^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$' OR {x} rlike '^[0-9A-Fa-f]{{2}}(-[0-9A-Fa-f]{{2}}){{5}}$' THEN 'ip6'
+      WHEN {x} rlike '^[0-9]{{3}}[ -][0-9]{{2}}[ -][0-9]{{4}}$' THEN 'ssn'
       WHEN {x} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z]{{0,4}}[0-9]{{10,26}}$' THEN 'iban'
-      WHEN {x} rlike '^[+(]' OR {x} rlike '^[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}$' THEN 'phone'
+      WHEN {x} rlike '^[A-Z]{{2}}[0-9]{{2}}( [0-9A-Z]{{4}} |[0-9A-Z]{{11,30}}$)' THEN if({_iban_rest(f"replace({x}, ' ', '')")} = 1, 'iban', NULL)
+      WHEN {x} rlike '^(0[0-9]{{2,4}} |[+(])' OR {x} rlike '^[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}$' THEN 'phone'
       WHEN {x} rlike {_text(f"^(?:(?:{_TITLE})[.]? |(?:{_GIVEN}) )")} THEN 'name'
       ELSE 'token' END"""
 
@@ -220,16 +235,20 @@ def _address_sql(x: str, tweak: str) -> str:
 def surrogate_sql(x: str, kind: str, tweak: str) -> str:
     """The surrogate of a match of this kind under a tweak; the match itself where the kind is null."""
     whole = lambda y, k, letters: _refill(y, _moved(_core(y), tweak, k, letters))
-    at = f"(length({x}) - length(regexp_extract({x}, '([.]example)?[.][A-Za-z]+$', 0)))"  # reserved domains stay reserved
+    at = f"(length({x}) - length(regexp_extract({x}, '([.]example)?[.]\\\\p{{L}}+$', 0)))"  # reserved domains stay reserved
     email = f"concat({whole(f'substr({x}, 1, {at})', 'email', LETTERS)}, substr({x}, {at} + 1))"
     digits = f"regexp_replace({x}, '[ -]', '')"
     body = _moved(f"substr({digits}, 1, length({digits}) - 1)", tweak, "card", LETTERS[:1])
     card = _refill(x, _let("b", body, f"concat(b, {_check_digit('b')})"))
-    led = f"regexp_extract({x}, '^[+][0-9]', 0)"
+    led = f"regexp_extract({x}, '^(?:[+]{COUNTRY}|0)', 0)"  # the country code, or the zero before an area
     phone = f"concat({led}, {whole(f'substr({x}, length({led}) + 1)', 'phone', LETTERS[:1])})"
-    iban = f"concat(substr({x}, 1, 2), {whole(f'substr({x}, 3)', 'iban', LETTERS[:3])})"
-    prefix = f"regexp_extract({x}, '^(?:{PREFIXES})', 0)"
-    token = f"concat({prefix}, {whole(f'substr({x}, length({prefix}) + 1)', 'token', LETTERS[:3])})"
+    account = f"replace({x}, ' ', '')"
+    check = f"lpad(cast(98 - {_iban_rest('concat(left(i, 2), \'00\', b)')} AS string), 2, '0')"  # right check digits stay right
+    valid = _let("i", account, _let("b", _moved("substr(i, 5)", tweak, "iban", LETTERS[:3]), _refill(x, f"concat(left(i, 2), {check}, b)")))
+    iban = f"if({_iban_rest(account)} = 1, {valid}, concat(substr({x}, 1, 2), {whole(f'substr({x}, 3)', 'iban', LETTERS[:3])}))"
+    prefix = f"regexp_extract({x}, '^(?:{PREFIXES}|-----BEGIN [A-Z ]*-----)', 0)"
+    suffix = f"regexp_extract({x}, '-----END [A-Z ]*-----$', 0)"
+    token = f"concat({prefix}, {whole(f'substr({x}, length({prefix}) + 1, length({x}) - length({prefix}) - length({suffix}))', 'token', LETTERS[:3])}, {suffix})"
     return f"""CASE {kind} WHEN 'email' THEN {email} WHEN 'ip' THEN {_address_sql(x, tweak)} WHEN 'card' THEN {card}
       WHEN 'secret' THEN {_moved(x, tweak, 'secret', HEX)} WHEN 'ssn' THEN {whole(x, 'ssn', LETTERS[:1])}
       WHEN 'iban' THEN {iban} WHEN 'phone' THEN {phone} WHEN 'ip6' THEN {whole(x, 'ip6', HEX)} WHEN 'token' THEN {token} ELSE {x} END"""
@@ -318,7 +337,7 @@ def replace(docs: DataFrame) -> DataFrame:
     few = cut(rekeyed(docs).select(F.concat_ws("|", "kind", "norm").alias("key"), F.concat_ws("|", F.col("tweak").cast("string"), "gender").alias("value")))
     count = few.count()
     text = docs.withColumn("text", F.col("text").cast("string"))
-    tweaks, found, gaps, at = (f"{c}_{len(docs.columns)}_{'_'.join(docs.columns)}" for c in ("tweaks", "found", "gaps", "at"))  # no column's name
+    tweaks, found, gaps, at, named = (f"{c}_{len(docs.columns)}_{'_'.join(docs.columns)}" for c in ("tweaks", "found", "gaps", "at", "named"))  # no column's name
     if count <= REKEYED:  # a literal of at most REKEYED entries, in parts
         parts: list[dict[str, str]] = [{} for _ in range(PARTS if count > PARTS else 1)]
         for r in few.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(len(parts)))).collect() if count else []:
@@ -342,12 +361,16 @@ def replace(docs: DataFrame) -> DataFrame:
     name = _let("p", _struct(name_parts("e")), f"concat_ws(' ', nullif(p.title, ''), if(p.given = '', NULL, {person}), p.between, {family})")
     other = _let("w", tweak_of(look(f"concat_ws('|', k, {norm_sql('e', 'k')})")), surrogate_sql("e", "k", "w"))
     each = _let("k", kind_sql("e"), f"CASE WHEN k IS NULL THEN e WHEN k = 'name' THEN {name} ELSE {other} END")
-    new = f"array_join(flatten(zip_with(`{gaps}`, `{found}`, (g, e) -> array(coalesce(g, ''), if(e IS NULL, '', {each})))), '')"
+    # A family that the text names stays one where it stands alone.
+    families = f"array_distinct(transform(filter(`{found}`, e -> ({kind_sql('e')}) = 'name'), e -> {_let('p', _struct(name_parts('e')), f"struct(p.family AS real, {family} AS made)")}))"
+    alone = "regexp_replace(t, concat('(?<![\\\\p{L}@.])', n.real, '(?!\\\\p{L})'), n.made)"
+    new = f"array_join(flatten(zip_with(`{gaps}`, `{found}`, (g, e) -> array(aggregate(`{named}`, coalesce(g, ''), (t, n) -> {alone}), if(e IS NULL, '', {each})))), '')"
     split_up = given.withColumn(found, matches(F.col("text")))
     split_up = split_up.withColumn(gaps, F.when(F.size(found) > 0, F.split("text", PATTERN, -1)))
+    split_up = split_up.withColumn(named, F.when(F.size(found) > 0, F.expr(families)))
     return split_up.withColumns(
         {
             "text": F.when(F.size(found) > 0, F.expr(new)).otherwise(F.col("text")),
             "n_entities": F.expr(f"coalesce(size(filter(`{found}`, e -> ({kind_sql('e')}) IS NOT NULL)), 0)"),
         }
-    ).drop(tweaks, found, gaps)
+    ).drop(tweaks, found, gaps, named)

@@ -179,3 +179,47 @@ def test_columns_of_any_name_stay(spark):
     assert got.columns == [*names, "n_entities"]
     row = got.first()
     assert list(row)[1:] == [*range(1, len(names)), 1] and "a@b" not in row["text"]
+
+
+def iban_rest(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_country_codes_and_check_digits_stay_right(spark):
+    """Against plain rules: the country of a number, the remainder of an account, the check of a card."""
+    import re
+
+    codes = ["1", "7", "20", "33", "44", "49", "61", "81", "351", "372", "420", "971"]
+    phones = [f"+{c} 20 7946 095{i % 10}" for i, c in enumerate(codes)] + ["020 7946 0958"]
+    accounts = ["GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "NO93 8601 1117 947"]
+    bad = ["GB83WEST12345698765432"]
+    others = ["3782 822463 10005", "123 45 6789", "00:1A:2b:3C:4d:5E", "00-1A-2b-3C-4d-5E", "jörg@bücher.de", "-----BEGIN RSA PRIVATE KEY-----\nMIIabc123+/=\nQQ\n-----END RSA PRIVATE KEY-----"]
+    every = [*phones, *accounts, *bad, *others]
+    got = replaced(spark, [f"x {e} y" for e in every])
+    new = {e: got[i].text[2:-2] for i, e in enumerate(every)}
+    shape = lambda s: re.sub(r"[^\W\d_]", "a", re.sub("[0-9]", "9", s))
+    assert all(got[i].n_entities == 1 and new[e] != e for i, e in enumerate(every)), new
+    for e in phones[:-1]:
+        assert new[e].split(" ")[0] == e.split(" ")[0] and shape(new[e]) == shape(e)
+    assert new[phones[-1]][0] == "0"
+    for e in accounts:
+        assert iban_rest(new[e]) == 1 and new[e][:2] == e[:2] and [len(w) for w in new[e].split(" ")] == [len(w) for w in e.split(" ")] and new[e][4:] != e[4:]
+    assert luhn(new[others[0]]) and all(shape(new[e]) == shape(e) for e in others[1:4])
+    assert new["jörg@bücher.de"].endswith(".de") and shape(new["jörg@bücher.de"]) == shape("jörg@bücher.de")
+    pem = new[others[-1]]
+    assert pem.startswith("-----BEGIN RSA PRIVATE KEY-----\n") and pem.endswith("\n-----END RSA PRIVATE KEY-----") and "MIIabc123" not in pem
+    plain = ["call 100 200 300 or 12 345 6789", "GB82 WEST 1234 5698 7654 33 is no account", "a 123 45 67890 b", "3782 822463 10006"]
+    assert [r.text for _, r in sorted(replaced(spark, plain).items())] == plain
+
+
+def test_a_family_named_once_is_one_where_it_stands_alone(spark):
+    texts = ["Mr John Smith came. Smith's wife and the Smiths saw Smith; Smithson did not. smith@x", "Smith alone is a word", "Dr O'Brien, then O'Brien, and Ms Ada Li met Li at Lima."]
+    got = replaced(spark, texts)
+    family = got[0].text.split(" ")[2].rstrip(".")
+    assert got[0].text.split(" came. ")[1] == f"{family}'s wife and the Smiths saw {family}; Smithson did not. smith@x" or "Smith's" not in got[0].text
+    assert "Smith " not in got[0].text and "Smith;" not in got[0].text
+    assert got[1].text == texts[1]
+    assert "O'Brien" not in got[2].text and " Li " not in got[2].text and got[2].text.endswith(" at Lima.")
+    first, second = got[2].text.split(", ")[:2]
+    assert first.removeprefix("Dr ") == second.removeprefix("then ")
