@@ -12,10 +12,12 @@ across the whole corpus, both by MinHash bands over shingles of ``SHINGLE`` word
   at the same words wherever a passage stands, and every passage of ``RUN`` words holds one whole. A window's
   one band mixes ``WINDOW_ROWS`` least hashes and a hash of all its words: only equal windows collide.
 
-Windows that other documents hold too are joined to runs. A run of ``RUN`` words or more is a repeated
-passage. Around the windows of shorter runs, spans of ``CORE`` words are compared by 128 bits of their words,
-one at least of them inside any passage of ``RUN`` words that holds the window: where another document holds
-the span too, it is a repeated passage; else the run was too short for one.
+Windows that other documents hold too are verified as passages. From each window a bridge reaches to the end of
+the first window after it that ends ``RUN`` words on or more: where another document holds the whole bridge, by
+128 bits of its words, it is a repeated passage. Windows that touch but come from different documents make none.
+Around windows whose bridge nobody shares, spans of ``CORE`` words are compared the same way, one at least of
+them inside any passage of ``RUN`` words that holds the window; so a passage shorter than a bridge is found, and
+the end of a longer one to within ``STEP`` words.
 
 Equal paragraphs are merged by their hashes before anything is compared; they cost one row for each task and
 value, however common they are. Texts are read again to verify, not moved: what is asked for goes to the
@@ -56,6 +58,8 @@ PARAGRAPH, INSIDE = 0, 1
 #: Bits of a sieve, a power of two.
 SIEVE = 1 << 27
 KEYS = [f"k{b}" for b in range(BANDS)]
+#: Of a window: the hash of its bridge, and the bridge's words.
+BRIDGE = ["far", "m"]
 
 
 def windows(spans: Spans, sizes: np.ndarray) -> np.ndarray:
@@ -80,6 +84,14 @@ def _window_ids(spans: Spans, starts: np.ndarray) -> np.ndarray:
     return _mix(spans.of(starts, GRAM) ^ band.view(np.uint64)).view(np.int64)
 
 
+def bridges(h: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, words) of the bridge of each window; no words where the text ends before it."""
+    last = np.searchsorted(starts, starts + RUN - GRAM)
+    there = np.append(owner, -1)[last] == owner
+    m = np.where(there, np.append(starts, 0)[last] + GRAM - starts, 0)
+    return Spans(h, BASES[1]).of(starts, m).view(np.int64), m
+
+
 def paragraphs(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
     """The words of a text, and (start, length) of each line, and of short lines joined, of ``LEAST`` words or more."""
     words: list[bytes] = []
@@ -105,7 +117,7 @@ def paragraphs(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
 
 
 def _measured(texts: list[tuple], inside: bool = True) -> dict[str, np.ndarray]:
-    """Columns (at, kind, start, n, uid, keys) of the paragraphs of some texts; at is the text's place among them."""
+    """Columns (at, kind, start, n, uid, keys, far, m) of the paragraphs of some texts; at is the text's place among them."""
     h = _hashes([w for words, _ in texts for w in words])
     sizes = np.array([len(words) for words, _ in texts], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -120,7 +132,8 @@ def _measured(texts: list[tuple], inside: bool = True) -> dict[str, np.ndarray]:
     m, size = len(lines), n - SHINGLE + 1
     keys = bands(grams, start[:m], size[:m], BANDS, ROWS)
     uid = np.concatenate([spans.of(start[:m], n[:m]).view(np.int64), _window_ids(spans, start[m:])])
-    return {"at": who, "kind": kind, "start": start - begins[who], "n": n, "uid": uid, "keys": keys}
+    far, words = bridges(h, first, owner)
+    return {"at": who, "kind": kind, "start": start - begins[who], "n": n, "uid": uid, "keys": keys, "far": far, "m": words}
 
 
 def _batches(rows, some):
@@ -138,14 +151,15 @@ def _batches(rows, some):
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, n, uid, k0, ..): every paragraph of every document. start and n count words.
+    """(doc_id, kind, start, n, uid, k0, .., far, m): every paragraph of every document. start, n and m count words.
 
-    uid is a hash of all words in their order; only lines have keys, one for each band.
+    uid is a hash of all words in their order; only lines have keys, one for each band, and only windows a bridge.
     """
 
     def rows(names: list[int], texts: list[tuple]) -> pa.RecordBatch:
         made = _measured(texts)
-        nothing = pa.nulls(len(made["at"]) - len(made["keys"]), pa.int64())
+        nothing, lines = pa.nulls(len(made["at"]) - len(made["keys"]), pa.int64()), pa.nulls(len(made["keys"]), pa.int64())
+        none = made["m"] == 0
         columns = [
             pa.array(np.array(names, dtype=np.int64)[made["at"]]),
             pa.array(made["kind"].astype(np.int32)),
@@ -153,14 +167,16 @@ def _units(docs: DataFrame) -> DataFrame:
             pa.array(made["n"].astype(np.int32)),
             pa.array(made["uid"]),
             *[pa.concat_arrays([pa.array(made["keys"][:, b]), nothing]) for b in range(BANDS)],
+            pa.concat_arrays([lines, pa.array(made["far"], mask=none)]),
+            pa.concat_arrays([lines, pa.array(made["m"], mask=none)]).cast(pa.int32()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "start", "n", "uid", *KEYS])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "start", "n", "uid", *KEYS, *BRIDGE])
 
     def of(batches):
         for batch in batches:
             yield from _batches(_read(batch), rows)
 
-    return _texts(docs).mapInArrow(of, "doc_id long, kind int, start int, n int, uid long, " + ", ".join(f"{k} long" for k in KEYS))
+    return _texts(docs).mapInArrow(of, "doc_id long, kind int, start int, n int, uid long, " + ", ".join(f"{k} long" for k in KEYS) + ", far long, m int")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -287,21 +303,22 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     chosen = cut(same.unionByName(equal.select(F.lit(INSIDE).alias("kind"), "uid", F.col("uid").alias("cluster"), "keeper")))
     held = units.drop(*KEYS).join(chosen, ["kind", "uid"])
 
-    inside = held.where(F.col("kind") == INSIDE).select("doc_id", "uid", "start", "n", "cluster", (F.col("doc_id") != F.col("keeper")).alias("removed"))
-    run = ["doc_id", "removed", "run"]
-    inside = _runs(inside, *run[:2])
-    whole = Window.partitionBy(*run)
-    inside = stored(inside.withColumn("all", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)).drop("cluster"))
-    # Every document that holds a window of a short run compares the spans around it, also where its own run is long.
-    spans = cut(_spans_of(docs, sieve(inside.where(F.col("all") < RUN), "uid")))
+    inside = held.where(F.col("kind") == INSIDE).select("doc_id", "start", "uid", *BRIDGE)
+    apart = ["uid", "far"]  # 128 bits of a bridge's words
+    crossed = inside.where("far IS NOT NULL").groupBy(*apart).agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
+    inside = stored(inside.join(cut(crossed), apart, "left"))
+    # Every document that holds a window without a shared bridge compares the spans around it, also where its own bridge is shared.
+    spans = cut(_spans_of(docs, sieve(inside.where("keeper IS NULL").select("uid"), "uid")))
     twice = spans.groupBy("g1", "g2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
     found = spans.join(twice, ["g1", "g2"]).select("doc_id", "start", F.lit(CORE).alias("n"), F.col("g1").alias("cluster"), "keeper").distinct()
 
-    # Windows of long runs are one row for each run before they meet lines and spans.
-    long = inside.where(F.col("all") >= RUN).groupBy(*run).agg(
-        F.min("start").alias("start"), F.max("start").alias("last"), F.min("uid").alias("cluster"), F.count(F.lit(1)).alias("units")
+    # Bridges that touch are one row before they meet lines and spans.
+    run = ["doc_id", "removed", "run"]
+    whole = inside.where("keeper IS NOT NULL").select("doc_id", (F.col("doc_id") != F.col("keeper")).alias("removed"), "start", F.col("m").alias("n"), F.col("far").alias("cluster"))
+    long = _runs(whole, *run[:2]).groupBy(*run).agg(
+        F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"), F.min("cluster").alias("cluster"), F.count(F.lit(1)).alias("units")
     )
-    long = long.select("doc_id", "removed", "start", (F.col("last") + GRAM - F.col("start")).alias("n"), "cluster", "units")
+    long = long.select("doc_id", "removed", "start", "n", "cluster", "units")
     rest = held.where(F.col("kind") == PARAGRAPH).select("doc_id", "start", "n", "cluster", "keeper").unionByName(found)
     rest = rest.select("doc_id", (F.col("doc_id") != F.col("keeper")).alias("removed"), "start", "n", "cluster", F.lit(1).cast("long").alias("units"))
     passages = _runs(long.unionByName(rest), "doc_id", "removed")

@@ -172,3 +172,41 @@ def test_passages_of_real_texts_pasted_into_others_are_all_found_and_nothing_els
         mine = spans51(docs[d], substrings.CORE)
         assert any(jaccard(docs[d].lower(), t.lower()) >= 0.8 or not mine.keys().isdisjoint(spans51(t, substrings.CORE)) for o, t in docs.items() if o != d), d
     assert all(len(found[d] & want[d]) >= 0.6 * len(want[d]) for d in docs)
+
+
+def test_pieces_of_many_documents_make_no_passage(spark):
+    """Fragments that touch, or overlap, but come from different documents: no 51 words are in any other one."""
+    rng = random.Random(21)
+    sources = [words(rng, 90) for _ in range(300)]
+    touching = [w for s in sources[:150] for w in s[20:46]]
+    longer = [w for s in sources[150:250] for w in s[10:60]]
+    overlapping = [f"o{i}" for i in range(2000)]
+    pieces = [words(rng, 30) + overlapping[a : a + 50] + words(rng, 30) for a in range(0, 1950, 20)]
+    docs = [*sources, touching, longer, overlapping, *pieces]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = substrings.repeated_passages(df).collect()
+    held = {}
+    for i, d in enumerate(docs):
+        for s in spans51(" ".join(d), substrings.CORE):
+            held.setdefault(s, set()).add(i)
+    for r in got:  # whatever is reported holds CORE words that another document holds
+        mine = spans51(" ".join(docs[r.doc_id][r.start : r.start + r.n]), substrings.CORE)
+        assert any(len(held[s]) > 1 for s in mine)
+    assert not any(r.doc_id == 300 for r in got), "fragments of 26 words"
+
+
+@pytest.mark.parametrize("size", [51, 80, 120, 200])
+def test_copies_are_reported_almost_whole(spark, size):
+    rng = random.Random(size)
+    docs, spots = [], {}
+    for k in range(60):
+        passage = words(rng, size)
+        for j in range(2):
+            head = words(rng, rng.randrange(60, 120))
+            spots[2 * k + j] = len(head)
+            docs.append((2 * k + j, " ".join(head + passage + words(rng, 80))))
+    got = substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(120)) and len(got) == 120
+    for r in got:
+        before, after = r.start - spots[r.doc_id], spots[r.doc_id] + size - r.start - r.n
+        assert 0 <= before < substrings.GRAM and 0 <= after < substrings.STEP
