@@ -849,6 +849,49 @@ def jacoco_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(reports.jacoco(rows))
 
 
+_COVERAGE_FILES = "SELECT file_path, start_line, end_line, hit_count, sum(copies)::BIGINT AS copies FROM ({}) GROUP BY ALL"
+
+
+def _as_files(spark: SparkSession, reports_: DataFrame) -> str:
+    """Reports written to files, many in each."""
+    folder = scratch(spark, "reports")
+    reports_.select("text").write.text(folder)
+    return folder
+
+
+@query(_COVERAGE_FILES.format(_COVERAGE))
+def cobertura_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of ``cobertura_segments``, from files that are split over tasks."""
+    line = """concat('<line number="', l_linenumber, '" hits="', q, '"/>')"""
+    rows = _coverage_rows(spark, sf_dir, line, ('<class name="c" filename="|"><lines>', "</lines></class>"), ('<coverage><packages><package name="p"><classes>', "</classes></package></packages></coverage>"))
+    found = reports.cobertura_files(spark, _as_files(spark, rows)).where("error IS NULL")
+    return found.groupBy("file_path", "start_line", "end_line", "hit_count").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query(_COVERAGE_FILES.format(_COVERAGE.replace("'f' || l_suppkey", "'com/x' || l_orderkey % 7 || '/f' || l_suppkey")))
+def jacoco_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``jacoco_segments``, from files; a report's package is named after its order."""
+    line = """concat('<line nr="', l_linenumber, '" mi="0" ci="', q - 1, '" mb="0" cb="1"/>')"""
+    rows = _coverage_rows(spark, sf_dir, line, ('<sourcefile name="|">', "</sourcefile>"), ("", ""))
+    rows = rows.select("report_id", F.concat(F.lit('<?xml version="1.0"?><report name="r"><package name="com/x'), F.col("report_id") % 7, F.lit('">'), "text", F.lit("</package></report>")).alias("text"))
+    found = reports.jacoco_files(spark, _as_files(spark, rows)).where("error IS NULL")
+    return found.groupBy("file_path", "start_line", "end_line", "hit_count").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query(
+    """SELECT 'user ' || user_id AS suite_name, event_type AS name, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'skipped' ELSE 'passed' END AS status,
+  count(*)::BIGINT AS cases, sum(event_id % 100)::BIGINT AS millis FROM events GROUP BY ALL"""
+)
+def junit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as test cases, a suite for each user, from files that are split over tasks."""
+    inner = "CASE event_type WHEN 'error' THEN '><failure message=\"m\"/></testcase>' WHEN 'click' THEN '><skipped/></testcase>' ELSE '/>' END"
+    case = f"concat('<testcase name=\"', event_type, '\" time=\"0.', lpad(event_id % 100, 3, '0'), '\"', {inner}, '\n')"
+    suites = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.collect_list(F.expr(case)), "").alias("cases"))
+    rows = suites.select(F.concat(F.lit('<testsuite name="user '), "user_id", F.lit('">\n'), "cases", F.lit("</testsuite>")).alias("text"))
+    found = reports.junit_files(spark, _as_files(spark, rows)).where("error IS NULL")
+    return found.groupBy("suite_name", "name", "status").agg(F.count(F.lit(1)).alias("cases"), F.sum("duration_ms").alias("millis"))
+
+
 @query("SELECT o_orderkey AS test_run_id, count(l_orderkey)::BIGINT AS results, coalesce(string_agg(l_suppkey || '/' || l_partkey || '/' || l_linenumber, ',' ORDER BY 's' || l_suppkey, 'f' || l_partkey, l_linenumber), '') AS listed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def runs_with_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS test_run_id", "o_orderdate AS created_at", "o_orderpriority AS source_path")

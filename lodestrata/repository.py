@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import ids, text
 from lodestrata.operators import aggregates, graph, overlay, ranges, search
 from lodestrata.sources import diffs, syntax, worktree
+from lodestrata.storage import kept
 
 LIMIT, MOST = 8, 50
 
@@ -35,9 +36,10 @@ class Repository:
             sha = worktree.revision(root, commit)
         except OSError:
             sha = "working-tree"
-        files = worktree.manifest(spark, root).withColumn("body", F.decode("content", "UTF-8")).drop("content")
+        # Read, parsed and resolved once: every question starts from these copies.
+        files = kept(worktree.manifest(spark, root).withColumn("body", F.decode("content", "UTF-8")).drop("content"), "files")
         sources = files.where(text.is_indexable(F.col("file_path"), F.col("language")))
-        found = syntax.symbols(sources)
+        found = kept(syntax.symbols(sources), "symbols")
         failed = syntax.failed(found)
         if fail_fast:
             first = failed.orderBy("file_path").head()
@@ -48,16 +50,16 @@ class Repository:
         rows = found.where("error IS NULL").drop("error").join(hashes, "file_path")
         # Ids that grow along a global sort: the documented order, without a single-partition window.
         ordered = rows.orderBy("file_path", "fqn", "ordinal").withColumn("ordinal", F.monotonically_increasing_id())
-        symbols = ordered.select(
+        symbols = kept(ordered.select(
             ids.versioned_symbol(lit(repo), lit(sha), F.col("file_path"), F.col("fqn"), F.col("content_sha256")).alias("versioned_symbol_id"),
             ids.stable_symbol(lit(repo), F.col("file_path"), F.col("fqn")).alias("stable_symbol_id"),
             lit(repo).alias("repo_id"),
             lit(sha).alias("commit_sha"),
             *["file_path", "language", "kind", "name", "fqn", "start_line", "start_col", "end_line", "end_col", "ordinal"],
-        )
-        raw = syntax.calls(sources).where("error IS NULL").drop("error").withColumn("call_id", F.struct("file_path", "ordinal"))
+        ), "ordered")
+        raw = kept(syntax.calls(sources).where("error IS NULL").drop("error"), "raw").withColumn("call_id", F.struct("file_path", "ordinal"))
         resolved = graph.resolve_calls(raw, symbols).join(raw.select("call_id", "ordinal"), "call_id")
-        resolved = resolved.withColumns({"repo_id": lit(repo), "commit_sha": lit(sha)}).drop("call_id")
+        resolved = kept(resolved.withColumns({"repo_id": lit(repo), "commit_sha": lit(sha)}).drop("call_id"), "calls")
         return cls(repo, sha, files, symbols, resolved, failed)
 
     def architecture(self) -> DataFrame:

@@ -6,11 +6,12 @@ rows in ``bad_records`` style: where a whole report can't be read, ``error`` is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.text import seconds_to_millis
+from lodestrata.storage import carried, ranged
 
 RESULT_FIELDS = ["suite_name", "class_name", "name", "fqn", "file_path", "status", "duration_ms", "message"]
 
@@ -30,11 +31,14 @@ def junit(reports: DataFrame, key: str = "report_id", text: str = "text") -> Dat
     one = F.from_xml(F.col(text), _SUITE, options)
     suites = F.when(F.contains(F.col(text), F.lit("<testsuites")), many["testsuite"]).otherwise(F.array(one))
     cases = reports.select(key, F.explode(suites).alias("s")).select(key, F.col("s._name").alias("suite_name"), F.posexplode("s.testcase").alias("pos", "c"))
+    return cases.select(key, "suite_name", *_case_columns())
+
+
+def _case_columns() -> list[Column]:
+    """The fields of a test case c, but for its suite."""
     has = lambda kind: F.size(F.coalesce(F.col(f"c.{kind}"), F.array().cast(f"array<{_MESSAGE}>"))) > 0
     given = F.col("c._classname")
-    return cases.select(
-        key,
-        "suite_name",
+    return [
         given.alias("class_name"),
         F.col("c._name").alias("name"),
         F.when(given != "", F.concat(given, F.lit("::"), F.col("c._name"))).otherwise(F.col("c._name")).alias("fqn"),
@@ -42,7 +46,7 @@ def junit(reports: DataFrame, key: str = "report_id", text: str = "text") -> Dat
         F.when(has("error"), "error").when(has("failure"), "failed").when(has("skipped"), "skipped").otherwise("passed").alias("status"),
         seconds_to_millis(F.col("c._time")).alias("duration_ms"),
         F.when(has("error"), _first_message("error")).when(has("failure"), _first_message("failure")).when(has("skipped"), _first_message("skipped")).alias("message"),
-    )
+    ]
 
 
 def pytest_json(reports: DataFrame, key: str = "report_id", text: str = "text") -> DataFrame:
@@ -170,11 +174,16 @@ def lcov(reports: DataFrame, key: str = "report_id", text: str = "text") -> Data
 
     A record of three fields is an error row, as is one that is no number; lines before a file drop.
     """
-    rows = reports.select(key, F.posexplode(F.split(text, r"\r?\n", -1)).alias("pos", "raw")).withColumn("line", F.trim("raw"))
+    rows = reports.select(key, F.posexplode(F.split(text, r"\r?\n", -1)).alias("pos", "raw")).select(key, "pos", F.trim("raw").alias("line"))
+    return lcov_lines(rows, key)
+
+
+def lcov_lines(rows: DataFrame, key: str = "report_id") -> DataFrame:
+    """The rows of ``lcov`` from ``rows`` (key, pos, line), pos a number from 0. The file of a line is carried from range to range, so one report of any length is worked on by all tasks."""
+    rows = ranged(rows, [key, "pos"], "lcov")
     opens, ends = F.col("line").startswith("SF:"), F.col("line") == "end_of_record"
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = F.when(opens, F.struct(F.substring("line", 4, 1 << 20).alias("f"))).when(ends, F.struct(F.lit(None).cast("string").alias("f")))
-    marked = rows.withColumn("file_path", F.last(state, ignorenulls=True).over(upto)["f"]).where(F.col("line").startswith("DA:"))
+    marked = carried(rows, key, "spot", file_path=state).withColumn("file_path", F.col("file_path.f")).where(F.col("line").startswith("DA:"))
     body = F.substring("line", 4, 1 << 20)
     number = F.split_part(body, F.lit(","), F.lit(1)).try_cast("int")
     hits = F.when(F.instr(body, ",") > 0, F.substring(body, F.instr(body, ",") + 1, F.length(body))).try_cast("long")
@@ -205,11 +214,97 @@ def jacoco(reports: DataFrame, key: str = "report_id", text: str = "text") -> Da
     clean = F.regexp_replace(F.col(text), r"(?s)<!DOCTYPE[^>]*>", "")
     packages = reports.select(key, F.explode(F.from_xml(clean, schema, {"attributePrefix": "_"})["package"]).alias("p"))
     files = packages.select(key, F.col("p._name").alias("package"), F.explode("p.sourcefile").alias("f"))
-    rows = files.select(key, F.when(F.col("package") != "", F.concat_ws("/", "package", "f._name")).otherwise(F.col("f._name")).alias("file_path"), F.explode("f.line").alias("l"))
+    rows = files.select(key, _jacoco_path(F.col("package"), F.col("f._name")), F.explode("f.line").alias("l"))
+    return rows.select(key, "file_path", *_jacoco_line())
+
+
+def _jacoco_path(package: Column, name: Column) -> Column:
+    return F.when(package != "", F.concat_ws("/", package, name)).otherwise(name).alias("file_path")
+
+
+def _jacoco_line() -> list[Column]:
+    """The line l, and the instructions and branches covered in it."""
     line = F.col("l._nr").try_cast("int")
     covered = lambda c: F.coalesce(F.col(c).try_cast("long"), F.lit(0).cast("long"))
     total = F.coalesce(F.try_add(covered("l._ci"), covered("l._cb")), F.lit((1 << 63) - 1))
-    return rows.select(key, "file_path", line.alias("start_line"), line.alias("end_line"), total.alias("hit_count"))
+    return [line.alias("start_line"), line.alias("end_line"), total.alias("hit_count")]
+
+
+# --- reports as files -------------------------------------------------------------------------
+
+#: The start of a tag, up to its end and with it; a quoted value may hold any character but its quote.
+_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_CORRUPT = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+
+
+def elements(spark: SparkSession, path: str, tag: str, key: str = "report_id") -> DataFrame:
+    """(key, pos, head, element, after) of every ``tag`` in XML files of any size; the key is the file's path.
+
+    Files are cut where the tag opens, so a file is split over tasks and none holds more than one element. ``head``
+    is what stands before the first element (one row without an element), ``after`` what follows one. An element that
+    never ends is null. The tag must not nest in itself or stand in comments.
+    """
+    read = spark.read.option("lineSep", f"<{tag}").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = read.select(F.col("_metadata.file_path").alias(key), place.alias("pos"), "value", (F.col("_metadata.file_block_start") == 0).alias("leads"))
+    first = F.col("leads") & (F.col("value").rlike(r"^\s*(?:\x{FEFF})?<[?!a-zA-Z]") | (F.trim("value") == ""))
+    is_tag = F.col("value").rlike(r"^[\s/>]") & ~first  # else the name only begins like the tag
+    whole = F.regexp_extract("value", rf"(?s)^({_TAG.removesuffix('>')}(?<=/)>|.*?</{tag}\s*>)", 1)
+    return rows.select(
+        key, "pos", F.when(~is_tag, F.col("value")).alias("head"), is_tag.alias("is_element"), F.when(is_tag & (whole != ""), F.concat(F.lit(f"<{tag}"), whole)).alias("element"),
+        F.when(is_tag, F.substring("value", F.length(whole) + 1, F.length("value"))).otherwise(F.col("value")).alias("after"),
+    )
+
+
+def _parsed(rows: DataFrame, schema: str) -> DataFrame:
+    """The elements of ``rows`` with e, the parsed one, and error for one that can't be read."""
+    given = rows.where("is_element").withColumn("e", F.from_xml("element", f"struct<{schema},_broken:string>", _CORRUPT))
+    broken = F.col("element").isNull() | F.col("e").isNull() | F.col("e._broken").isNotNull()
+    return given.withColumn("error", F.when(broken, F.concat(F.lit("broken element: "), F.substring(F.coalesce("element", "after"), 1, 60))))
+
+
+def _last_name(text: Column, tag: str) -> Column:
+    """The name attribute of the last ``tag`` that opens in a text, unescaped; null where none does."""
+    opened = F.try_element_at(F.regexp_extract_all(text, F.lit(rf"<{tag}(?=[\s>])({_TAG})"), F.lit(1)), F.lit(-1))
+    value = F.regexp_extract(opened, r"""(?:^|\s)name\s*=\s*("[^"]*"|'[^']*')""", 1)
+    plain = F.substring(value, 2, F.greatest(F.length(value) - 2, F.lit(0)))
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(c))
+    return F.when(opened.isNotNull(), F.struct(F.when(value != "", plain).alias("name")))
+
+
+def _named(rows: DataFrame, tag: str, key: str) -> DataFrame:
+    """``rows`` with owner: the name of the ``tag`` that last opened before each element, in its file."""
+    placed = ranged(rows, [key, "pos"], "elements").withColumn("opens", _last_name(F.col("after"), tag))
+    # What follows an element counts from the next one on.
+    return carried(placed, key, "spot", inclusive=False, owner=F.col("opens")).withColumn("owner", F.col("owner.name"))
+
+
+def junit_files(spark: SparkSession, path: str, key: str = "report_id") -> DataFrame:
+    """The rows of ``junit`` with error, from files of any size: a test case belongs to the suite that opened last before it.
+
+    A test case that can't be read is a row with its error alone; the others of its file stay.
+    """
+    cases = _parsed(_named(elements(spark, path, "testcase", key), "testsuite", key), _CASE.removeprefix("struct<").removesuffix(">"))
+    rows = cases.select(key, F.col("owner").alias("suite_name"), F.col("e").alias("c"), "error")
+    return rows.select(key, "suite_name", *_case_columns(), "error").withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in RESULT_FIELDS})
+
+
+def cobertura_files(spark: SparkSession, path: str, key: str = "report_id") -> DataFrame:
+    """The rows of ``cobertura`` with error, from files of any size, a class at a time."""
+    classes = _parsed(elements(spark, path, "class", key), "_filename:string,lines:struct<line:array<struct<_number:string,_hits:string>>>")
+    sound = classes.where("error IS NULL").select(key, F.col("e._filename").alias("file_path"), F.explode("e.lines.line").alias("l"))
+    line = F.col("l._number").try_cast("int")
+    found = sound.select(key, "file_path", line.alias("start_line"), line.alias("end_line"), F.col("l._hits").try_cast("long").alias("hit_count"))
+    return found.unionByName(classes.where("error IS NOT NULL").select(key, "error"), allowMissingColumns=True)
+
+
+def jacoco_files(spark: SparkSession, path: str, key: str = "report_id") -> DataFrame:
+    """The rows of ``jacoco`` with error, from files of any size, a source file at a time, in the package that opened last before it."""
+    files = _parsed(_named(elements(spark, path, "sourcefile", key), "package", key), "_name:string,line:array<struct<_nr:string,_ci:string,_cb:string>>")
+    rows = files.where("error IS NULL").select(key, _jacoco_path(F.col("owner"), F.col("e._name")), F.explode("e.line").alias("l"))
+    found = rows.select(key, "file_path", *_jacoco_line())
+    return found.unionByName(files.where("error IS NOT NULL").select(key, "error"), allowMissingColumns=True)
 
 
 def status_counts(results: DataFrame, runs: DataFrame, key: str = "report_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,3 +46,20 @@ def before_parts(totals: DataFrame, keys: list[str], sums: list[str]) -> DataFra
     """Rows (keys, part, sums) of per-part totals as what came in earlier parts of the same keys; a row for each part and key it holds."""
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(*keys, "part", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(s) for s in sums])
+
+
+def carried(rows: DataFrame, key: str, spot: str, inclusive: bool = True, **marks: Column) -> DataFrame:
+    """``rows`` (key, part, spot, ..) with the last value of each mark up to the row, of its own key; null before the first.
+
+    A prefix scan: each part's last marks are carried over the parts after it, then each row takes the last
+    one of its part or what was carried. A mark knows its key, so no key needs a part to itself. ``inclusive``
+    says whether a row's own mark counts for it.
+    """
+    rows = rows.withColumns({n: F.when(m.isNotNull(), F.struct(F.col(key).alias("k"), m.alias("v"))) for n, m in marks.items()})
+    tops = rows.groupBy("part").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(spot))).alias(n) for n in marks])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    tops = tops.select("part", *[F.last(n, ignorenulls=True).over(before).alias(f"__{n}") for n in marks])
+    upto = Window.partitionBy("part").orderBy(spot).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    last = {n: F.coalesce(F.last(n, ignorenulls=True).over(upto), F.col(f"__{n}")) for n in marks}
+    found = rows.join(tops, "part").withColumns(last).drop(*[f"__{n}" for n in marks])
+    return found.withColumns({n: F.when(F.col(f"{n}.k").eqNullSafe(F.col(key)), F.col(f"{n}.v")) for n in marks})

@@ -26,12 +26,17 @@ class StoredTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{version}")
 
+    def newest(self) -> int:
+        """The number of the newest version whose write has ended; -1 before the first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+        return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and files.exists(path(f"{self.root}/{n}/_SUCCESS"))), default=-1)
+
     def last(self) -> DataFrame:
-        """The newest version that a step has written; an empty table before the first."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
-        return self.at(max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=-1))
+        """The newest version; an empty table before the first."""
+        return self.at(self.newest())
 
     def put(self, version: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/v{version}")
@@ -48,12 +53,16 @@ def apply_batches(stream: DataFrame, table: StoredTable, step: Callable[[DataFra
 
 
 class SearchIndex:
-    """Derived search indexes as one stored table, partitioned by index name; each step writes the next version."""
+    """Derived search indexes as one stored table, partitioned by index name; each step writes the next version.
+
+    An instance over a folder that holds versions goes on from the newest; one writer at a time.
+    """
 
     COLUMNS = "target_index string, entity_id string, payload string"
 
     def __init__(self, spark: SparkSession, root: str):
-        self.table, self.version, self.names = StoredTable(spark, root, self.COLUMNS), -1, set()
+        self.table = StoredTable(spark, root, self.COLUMNS)
+        self.version = self.table.newest()
 
     def rows(self) -> DataFrame:
         return self.table.at(self.version)
@@ -62,15 +71,10 @@ class SearchIndex:
         rows.select("target_index", "entity_id", "payload").write.mode("overwrite").partitionBy("target_index").parquet(f"{self.table.root}/v{self.version + 1}")
         self.version += 1
 
-    def create(self, name: str) -> None:
-        """An index that is there already stays as it is."""
-        self.names.add(name)
-
     def drop(self, name: str) -> None:
         """The index and its documents go; one that is not there is no error."""
-        self.names.discard(name)
         if self.version >= 0:
-            self._next(self.rows().where(f"target_index <> '{name}'"))
+            self._next(self.rows().where(F.col("target_index") != name))
 
     def apply(self, changes: DataFrame) -> None:
         """Upserts and deletes (target_index, entity_id, operation, payload, created_at, outbox_id); the last one of a document counts."""
@@ -84,8 +88,8 @@ class SearchIndex:
         return self.rows()
 
     def count(self, name: str) -> int:
-        """Documents of an index; zero for one that is not there."""
-        return self.rows().where(f"target_index = '{name}'").count()
+        """Documents of an index, which is there once it holds one; zero for any other."""
+        return self.rows().where(F.col("target_index") == name).count()
 
 
 def sync_stream(stream: DataFrame, index: StoredTable, checkpoint: str, once: bool = True) -> StreamingQuery:

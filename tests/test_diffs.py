@@ -37,6 +37,23 @@ def test_changed_lines_match_a_plain_model(spark):
         assert got.get(i, []) == lines_plain(t), t
 
 
+def test_diffs_as_files_are_split(spark, tmp_path):
+    """One diff of many hunks, in parts of a few hundred bytes: path and counter cross all of them."""
+    rng = random.Random(4)
+    body = "".join(f"diff --git a/f{i}.rs b/f{i}.rs\n--- a/f{i}.rs\n+++ b/f{i}.rs\n" + "".join(f"@@ -1 +{10 * k} @@\n" + "".join(rng.choice(["+x\n", " y\r\n", "-z\n"]) for _ in range(rng.randrange(60))) for k in range(1, 6)) for i in range(20))
+    (tmp_path / "one.diff").write_bytes(body.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        rows = diffs.file_lines(spark, str(tmp_path / "one.diff"))
+        assert rows.rdd.getNumPartitions() > 5
+        got = [(r.file_path, r.line) for r in diffs.changed_lines_of(rows).orderBy("pos").collect()]
+        files = [(r.file_path, r.status) for r in diffs.changed_files_of(rows).orderBy("ordinal").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == lines_plain(body) and files == [(f"f{i}.rs", "modified") for i in range(20)]
+
+
 def test_changed_files(spark):
     diff = """diff --git a/src/a.rs b/src/a.rs
 --- a/src/a.rs

@@ -84,28 +84,53 @@ def test_a_poll_dispatches_by_kind(spark):
     assert {(r.job_id, r.status) for r in attempts.collect()} == {("a", "succeeded"), ("b", "succeeded"), ("c", "failed"), ("d", "failed"), ("e", "failed")}
 
 
-def test_windows_of_requests_cross_batches(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        rows = [("a", T0 + dt.timedelta(seconds=s), i) for i, s in enumerate([0, 1, 2, 59, 60, 61, 62, 119, 120, 121, 300, 301])] + [("b", T0, 90), (None, T0, 91)]
-        df = spark.createDataFrame(rows, "k string, t timestamp, ordinal long")
-        got = {r.ordinal: r.allowed for r in queue.rate_limited(df, "k", "t", 2, 60).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 7: False, 8: True, 9: True, 10: True, 11: True, 90: True, 91: True}
-
-
-def test_a_search_index_is_created_counted_and_dropped(spark, tmp_path):
+def limited_plain(rows, budget, seconds):
+    """The requests one by one: a window starts with the first request after the last one's end."""
+    out, since, n, me = {}, None, 0, object()
+    for k, t, i in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        if k != me or (t - since).total_seconds() >= seconds:
+            me, since, n = k, t, 0
+        n += 1
+        out[i] = n <= budget
+    return out
+
+
+def test_a_hot_key_is_spread_and_gives_the_rows_of_a_walk(spark):
+    """One key of thousands of windows without a pause, some others, equal times and a null key."""
+    import random
+
+    rng = random.Random(5)
+    rows = [("hot", T0 + dt.timedelta(seconds=rng.randrange(40_000)), i) for i in range(3000)]
+    rows += [(rng.choice(["a", "b", None, ""]), T0 + dt.timedelta(seconds=rng.randrange(0, 9000, 20)), 5000 + i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, ordinal long").repartition(5)
+    got = queue.rate_limited(df, "k", "t", 3, 60)
+    assert {r.ordinal: r.allowed for r in got.collect()} == limited_plain(rows, 3, 60)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and got.columns == ["k", "ordinal", "allowed"]
+
+
+def test_windows_of_requests(spark):
+    rows = [("a", T0 + dt.timedelta(seconds=s), i) for i, s in enumerate([0, 1, 2, 59, 60, 61, 62, 119, 120, 121, 300, 301])] + [("b", T0, 90), (None, T0, 91)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, ordinal long")
+    got = {r.ordinal: r.allowed for r in queue.rate_limited(df, "k", "t", 2, 60).collect()}
+    assert queue.rate_limited(df.limit(0), "k", "t").count() == 0
+    assert got == limited_plain(rows, 2, 60) == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 7: False, 8: True, 9: True, 10: True, 11: True, 90: True, 91: True}
+
+
+def test_a_search_index_is_counted_dropped_and_opened_again(spark, tmp_path):
     from lodestrata.streaming.worker import SearchIndex
 
     index = SearchIndex(spark, str(tmp_path / "index"))
-    index.create("one")
     assert index.count("one") == 0 and index.count("absent") == 0
     change = lambda *rows: spark.createDataFrame(rows, "target_index string, entity_id string, operation string, payload string, created_at int, outbox_id int")
     index.apply(change(("one", "a", "upsert", "x", 1, 1), ("one", "a", "upsert", "y", 2, 2), ("two", "b", "upsert", "z", 1, 3)))
     index.apply(change(("one", "c", "upsert", "w", 3, 4), ("two", "b", "delete", None, 3, 5)))
     assert {(r.target_index, r.entity_id, r.payload) for r in index.refresh().collect()} == {("one", "a", "y"), ("one", "c", "w")}
     assert index.count("one") == 2 and index.count("two") == 0
+    again = SearchIndex(spark, str(tmp_path / "index"))
+    assert again.count("one") == 2
+    again.apply(change(("it's", "d", "upsert", "q", 4, 6)))
+    assert again.count("it's") == 1 and again.count("one") == 2 and SearchIndex(spark, str(tmp_path / "index")).count("one") == 2
+    index = SearchIndex(spark, str(tmp_path / "index"))
     index.drop("one")
     index.drop("absent")
     assert index.count("one") == 0

@@ -50,6 +50,54 @@ def test_cobertura_and_jacoco(spark):
     assert reports.segment_count(reports.jacoco(one(spark, xml))).first().segments == 1
 
 
+def written(tmp_path, name, body):
+    path = tmp_path / name
+    path.write_text(body, encoding="utf-8", newline="")
+    return str(path)
+
+
+def test_report_files_give_the_rows_of_their_texts(spark, tmp_path):
+    """Split into many small parts, so that suites, packages and elements are cut anywhere."""
+    cases = lambda k: "".join(
+        f'<testcase name="t{i} &lt;x&gt;" classname="{"C" if i % 2 else ""}" file="f.py" time="0.0{i}" note="a > b"/>\n' if i % 3 else f"<testcase name='t{i}'>\n  <failure message='m{i} &amp; é'>body</failure>\n</testcase >" for i in range(k)
+    )
+    junit = "<?xml version='1.0'?>\n<testsuites name='all'>" + "".join(f'<testsuite name="s{k} &amp; co" tests="9">\n<properties/>{cases(k)}<system-out>x</system-out></testsuite>\n' for k in range(1, 40)) + "</testsuites>"
+    cob = "<coverage><packages>" + "".join(f'<package name="p{k}"><classes>' + "".join(f'<class name="c" filename="p{k}/{c}.py"><methods/><lines>' + "".join(f'<line number="{n}" hits="{n * c}"/>' for n in range(1, 9)) + "</lines></class>" for c in range(k % 4)) + "</classes></package>" for k in range(40)) + "</packages></coverage>"
+    jac = '<?xml version="1.0"?><!DOCTYPE report PUBLIC "a" "b"><report name="r">' + "".join(f'<package name="{"com/x" + str(k) if k % 5 else ""}"><class name="com/x/A"/>' + "".join(f'<sourcefile name="A{c}.java"><line nr="{c + 5}" mi="0" ci="{k}" mb="0" cb="1"/></sourcefile>' for c in range(k % 4)) + "</package>" for k in range(60)) + "</report>"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for name, body, whole, files in (("j.xml", junit, reports.junit, reports.junit_files), ("c.xml", cob, reports.cobertura, reports.cobertura_files), ("k.xml", jac, reports.jacoco, reports.jacoco_files)):
+            path = written(tmp_path, name, body)
+            want = whole(one(spark, body)).drop("report_id")
+            got = files(spark, path)
+            assert spark.read.option("lineSep", "<x").text(path).rdd.getNumPartitions() > 5
+            assert got.where("error IS NOT NULL").count() == 0
+            assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect())), name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_broken_element_is_an_error_and_the_others_stay(spark, tmp_path):
+    good = '<testcase name="ok" classname="C"/>'
+    path = written(tmp_path, "j.xml", f'<testsuite name="s">{good}<testcase name="bad"><failure></testcase>{good}<testcase name="cut" ')
+    got = reports.junit_files(spark, path).collect()
+    assert sorted((r.suite_name, r.name) for r in got if not r.error) == [("s", "ok"), ("s", "ok")]
+    assert len([r for r in got if r.error]) == 2 and all(r.error.startswith("broken element: ") and r.name is None for r in got if r.error)
+    path = written(tmp_path, "c.xml", '<classes><class filename="a.py"><lines><line number="3" hits="1"/></lines></class><class filename="b.py"><lines><line number="x" hits=1></lines></class></classes>')
+    got = reports.cobertura_files(spark, path).collect()
+    assert [(r.file_path, r.start_line) for r in got if not r.error] == [("a.py", 3)] and len([r for r in got if r.error]) == 1
+    assert reports.junit_files(spark, written(tmp_path, "e.xml", "")).count() == 0 and reports.jacoco_files(spark, written(tmp_path, "n.xml", "<report/>")).count() == 0
+
+
+def test_long_lcov_reports_are_scanned_by_ranges(spark):
+    body = "\n".join(f"SF:f{i // 7}.rs" if i % 7 == 0 else "end_of_record" if i % 7 == 6 else f"DA:{i},{i % 3}" for i in range(7000))
+    rows = spark.createDataFrame([(1, body), (2, "DA:1,1\n" + body), (None, body)], "report_id int, text string").repartition(3)
+    got = reports.lcov(rows)
+    assert got.groupBy("report_id").count().collect() and got.count() == 3 * 5000
+    assert got.where("file_path <> concat('f', cast((start_line - start_line % 7) / 7 AS int), '.rs')").count() == 0
+
+
 def test_empty_run_has_passed(spark):
     runs = one(spark, "")
     results = spark.createDataFrame([], "report_id int, status string")

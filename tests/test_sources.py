@@ -18,6 +18,30 @@ def test_manifest(spark, tmp_path):
     assert worktree.revision(str(tmp_path)) == "abc" and worktree.revision(str(tmp_path), "v1") == "v1"
 
 
+def test_a_tree_is_walked_by_tasks(spark, tmp_path, monkeypatch):
+    """Any depth, empty files, links, NUL bytes, odd names; ignored folders are not even opened."""
+    import hashlib
+    import os
+
+    monkeypatch.setattr(worktree, "FOLDERS_A_TASK", 2)
+    monkeypatch.setattr(worktree, "AT_ONCE", 8)
+    deep = "/".join(f"d{i}" for i in range(6))
+    bodies = {f"{deep}/x.py": b"x" * 100, "a b/é.txt": "é".encode(), "empty": b"", "late.bin": b"a" * 50 + b"\x00", "vendored.txt": b"v", "targets/x": b"t", "sub/target/kept.rs": b"k", **{f"many/f{i}": str(i).encode() for i in range(300)}}
+    for name, body in {**bodies, "target/x": b"", ".git/objects/a": b"", "a/node_modules/b/c.js": b"", "x/vendor/y": b""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "nothing").mkdir()
+    os.symlink(tmp_path / "empty", tmp_path / "link")
+    os.symlink(tmp_path / "many", tmp_path / "folder_link")
+    os.mkfifo(tmp_path / "pipe")
+    for root in (f"{tmp_path}/", f"file://{tmp_path}"):
+        got = {r.file_path: (r.content_sha256, r.size_bytes) for r in worktree.manifest(spark, root, content=False).collect()}
+        assert got == {n: (hashlib.sha256(b).hexdigest(), len(b)) for n, b in bodies.items() if b"\x00" not in b}
+    assert {r.file_path: bytes(r.content) for r in worktree.manifest(spark, str(tmp_path)).where("file_path LIKE '%.txt'").collect()} == {"a b/é.txt": "é".encode(), "vendored.txt": b"v"}
+    bare = tmp_path / "nothing"
+    assert worktree.manifest(spark, str(bare)).count() == 0
+
+
 def test_env():
     assert worktree.env_values("# c\n A = b=c \n\nX=\n") == {"A": "b=c", "X": ""}
     with pytest.raises(ValueError, match="line 2"):

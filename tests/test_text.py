@@ -72,10 +72,22 @@ def redact_plain(value):
 def test_redaction_matches_a_plain_model(spark):
     rng = random.Random(0)
     parts = ["password", "api_key", "Token", "=", ":", " ", "\n", "ghp_x", "(sk-abcdefghijkl)", "sk-ab", "word", '"glpat-1",', "é", "x=1", "Authorization", "\t", "  "]
-    values = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(400)]
+    parts += ["pass", ".", "word", "se", "-", "_", "cret", "PRIVATE", "_key", "\u00a0", "\u2003", "[redacted]", "auth", "$1", "\\"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randrange(24))) for _ in range(3000)]
     assert run(spark, values, text.redact) == [redact_plain(v) for v in values]
 
 
+def test_redaction_takes_time_in_proportion_to_the_text(spark):
+    """Long texts of keys that wait, of one long token, and of keys with characters between their letters."""
+    import time
+
+    values = ["password= a token: b word " * 40_000, "p." * 400_000 + "=", "a" * 1_000_000 + "= x y", "secret: " * 100_000]
+    began = time.time()
+    got = run(spark, values, text.redact)
+    assert time.time() - began < 30
+    assert got == [redact_plain(v) for v in values]
+
+
 def test_redaction_fixtures(spark):
     values = ["token=abc rest", "Authorization: Bearer abc kept", "plain text stays", 'token = "x" y']
     assert run(spark, values, text.redact) == ["token=[redacted] rest", "Authorization: [redacted] [redacted] kept", "plain text stays", 'token = "x" y']
