@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lodestrata.functions import ids
 from lodestrata.functions.text import confidence_tier, normalized
 from lodestrata.operators.ranges import innermost, overlaps
+from lodestrata.storage import kept
 
 # Confidence and method of each kind of edge.
 METHODS = {
@@ -145,26 +146,49 @@ def import_edges(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return _edges(found, source, ids.file_node(F.col("repo_id"), F.col("commit_sha"), F.col("target_path")), "imports")
 
 
-def test_covers(symbols: DataFrame) -> DataFrame:
+def _grams(of: str, n: int) -> Column:
+    """Every window of ``n`` letters."""
+    every = F.transform(F.sequence(F.lit(1), F.length(of) - (n - 1)), lambda i: F.substring(of, i, F.lit(n)))
+    return F.when(F.length(of) >= n, every).otherwise(F.array().cast("array<string>"))
+
+
+#: Pairs of a name and a text that one window of letters may bring together.
+PAIRS = 1 << 20
+
+
+def _holding(needles: DataFrame, hays: DataFrame, most: int) -> DataFrame:
+    """(needle, hay): distinct needles and the distinct hays that hold them.
+
+    A needle of three letters or more is looked up by that of its windows of three that the fewest hays hold,
+    and verified; a shorter one by itself among windows of its length. Where needles and hays of one window make
+    more than ``most`` pairs, the window grows to the whole needle: those hays are cut into windows of just the
+    lengths that such needles have, so a needle meets the hays that hold it, and no other.
+    """
+    windows = F.array_distinct(F.flatten(F.array(_grams("hay", 1), _grams("hay", 2), _grams("hay", 3))))
+    held = hays.select("hay", F.explode(windows).alias("gram"))
+    common = held.groupBy("gram").agg(F.count(F.lit(1)).alias("hays"))
+    asked = needles.select("needle", F.explode(F.when(F.length("needle") < 3, F.array("needle")).otherwise(F.array_distinct(_grams("needle", 3)))).alias("gram"))
+    rarest = asked.join(common, "gram").groupBy("needle").agg(F.min_by(F.struct("gram", "hays"), F.struct("hays", "gram")).alias("x")).select("needle", "x.*")
+    crowds = rarest.where(F.length("needle") >= 3).groupBy("gram").agg(F.count(F.lit(1)).alias("needles"), F.first("hays").alias("hays")).where(F.col("needles") * F.col("hays") > most).select("gram")
+    lengths = sorted(r["n"] for r in rarest.join(crowds, "gram", "left_semi").select(F.length("needle").alias("n")).distinct().collect())  # as many as a name has letters
+    if not lengths:
+        return held.join(rarest, "gram").where(F.contains("hay", "needle")).select("needle", "hay")
+    hot = kept(rarest.join(crowds, "gram", "left_semi"), "crowds")
+    few = held.join(rarest.join(hot.select("needle"), "needle", "left_anti"), "gram").where(F.contains("hay", "needle"))
+    whole = held.join(hot.select("gram").distinct(), "gram", "left_semi").select("hay").distinct()
+    pieces = whole.select("hay", F.explode(F.array_distinct(F.flatten(F.array(*[_grams("hay", n) for n in lengths])))).alias("needle"))
+    return few.select("needle", "hay").unionByName(pieces.join(hot.select("needle"), "needle").select("needle", "hay"))
+
+
+def test_covers(symbols: DataFrame, most: int = PAIRS) -> DataFrame:
     """(test_id, target_id): tests whose normalised fqn holds a target's normalised name.
 
-    A containment join without a cross product: a name of three characters or more is looked up by that of
-    its windows of three that the fewest fqns hold, shorter names by the name itself among windows of their
-    length. Each candidate is then verified. Names are compared once each, however many symbols share them.
+    A containment join without a cross product, see ``_holding``. Names and fqns are compared once each, however
+    many symbols share them.
     """
     tests = symbols.where("kind = 'test_case'").select(F.col("versioned_symbol_id").alias("test_id"), normalized(F.col("fqn")).alias("hay"))
     targets = symbols.where("kind <> 'test_case'").select(F.col("versioned_symbol_id").alias("target_id"), normalized(F.col("name")).alias("needle")).where("needle <> ''")
-
-    def grams(of: str, n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(of) - (n - 1)), lambda i: F.substring(of, i, F.lit(n)))
-        return F.when(F.length(of) >= n, every).otherwise(F.array().cast("array<string>"))
-
-    needles, hays = targets.select("needle").distinct(), tests.select("hay").distinct()
-    held = hays.select("hay", F.explode(F.array_distinct(F.flatten(F.array(grams("hay", 1), grams("hay", 2), grams("hay", 3))))).alias("gram"))
-    common = held.groupBy("gram").agg(F.count(F.lit(1)).alias("hays"))
-    asked = needles.select("needle", F.explode(F.when(F.length("needle") < 3, F.array("needle")).otherwise(F.array_distinct(grams("needle", 3)))).alias("gram"))
-    rarest = asked.join(common, "gram").groupBy("needle").agg(F.min_by("gram", F.struct("hays", "gram")).alias("gram"))
-    pairs = held.join(rarest, "gram").where(F.contains("hay", "needle")).select("hay", "needle")
+    pairs = _holding(targets.select("needle").distinct(), tests.select("hay").distinct(), most)
     return tests.join(pairs, "hay").join(targets, "needle").select("test_id", "target_id")
 
 
@@ -236,6 +260,27 @@ def impact(symbols: DataFrame, calls: DataFrame, chosen: DataFrame) -> DataFrame
     return out.withColumn("impact_score", (F.col("related") + F.size("direct_callers") + F.size("direct_callees") + 1).cast("long"))
 
 
+def impact_counts(symbols: DataFrame, calls: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(versioned_symbol_id, related, callers, callees, files, impact_score): the numbers of ``impact`` without its lists.
+
+    Callers, callees and files are counted as distinct rows, in parts before they meet, so a symbol that all
+    others call makes no long row. The lists of one symbol are ``impact`` of that symbol.
+    """
+    known = symbols.select(F.col("versioned_symbol_id").alias("id"), F.col("file_path").alias("path"))
+    me = chosen.select("versioned_symbol_id", "file_path")
+    ends = [("target_symbol_id", "source_symbol_id", "callers"), ("source_symbol_id", "target_symbol_id", "callees")]
+    sides = [calls.select(F.col(mine).alias("versioned_symbol_id"), F.col(theirs).alias("id")).distinct().join(known, "id") for mine, theirs, _ in ends]
+    counted = [s.groupBy("versioned_symbol_id").agg(F.count(F.lit(1)).alias(name)) for s, (_, _, name) in zip(sides, ends, strict=True)]
+    paths = sides[0].unionByName(sides[1]).select("versioned_symbol_id", "path").unionByName(me.select("versioned_symbol_id", F.col("file_path").alias("path"))).where("path IS NOT NULL").distinct()
+    files = paths.groupBy("versioned_symbol_id").agg(F.count(F.lit(1)).alias("files"))
+    related = related_symbols(symbols, chosen).groupBy("versioned_symbol_id").agg(F.count(F.lit(1)).alias("related"))
+    told = me.select("versioned_symbol_id")
+    for more in (related, *counted, files):
+        told = told.join(more, "versioned_symbol_id", "left")
+    told = told.na.fill(0, ["related", "callers", "callees", "files"])
+    return told.withColumn("impact_score", F.col("related") + F.col("callers") + F.col("callees") + 1)
+
+
 def references(symbols: DataFrame, calls: DataFrame, symbol_id: str) -> DataFrame:
     """Calls of one symbol: incoming where it is the target, else outgoing; calls with an unknown end drop."""
     name = lambda end: symbols.select(F.col("versioned_symbol_id").alias(f"{end}_symbol_id"), F.col("fqn").alias(f"{end}_fqn"))

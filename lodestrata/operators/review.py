@@ -131,11 +131,29 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 def sarif_log(findings: DataFrame) -> DataFrame:
     """One JSON document for the findings of one review, which is small; results in order."""
     results = sarif_results(findings).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "result"))), lambda x: x["result"]).alias("results"))
+    return results.select(F.to_json(_sarif(F.col("results"))).alias("sarif"))
+
+
+def _sarif(results: Column) -> Column:
     rule = F.struct(F.lit(RULE).alias("id"), F.lit(RULE_NAME).alias("name"))
     driver = F.struct(F.lit(TOOL).alias("name"), F.array(rule).alias("rules"))
-    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results"))
-    log = F.struct(F.lit(SARIF_VERSION).alias("version"), F.lit(SARIF_SCHEMA).alias("$schema"), F.array(run).alias("runs"))
-    return results.select(F.to_json(log).alias("sarif"))
+    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), results.alias("results"))
+    return F.struct(F.lit(SARIF_VERSION).alias("version"), F.lit(SARIF_SCHEMA).alias("$schema"), F.array(run).alias("runs"))
+
+
+def sarif_lines(findings: DataFrame) -> DataFrame:
+    """(place, ordinal, line): the document of ``sarif_log`` as lines, one for each finding, however many there are.
+
+    In the order of (place, ordinal) the lines make the document; written in that order by ranges, it is a text
+    in parts. Only the least ordinal is looked up, as the first result has no comma before it.
+    """
+    spark = findings.sparkSession
+    frame = spark.range(1).select(F.split(F.to_json(_sarif(F.array().cast("array<string>"))), r'(?<="results":\[)').alias("halves"))
+    edges = frame.select(F.posexplode("halves").alias("half", "line")).select(F.when(F.col("half") == 0, 0).otherwise(2).alias("place"), F.lit(None).cast("long").alias("ordinal"), "line")
+    rows = sarif_results(findings).select(F.lit(1).alias("place"), F.col("ordinal").cast("long").alias("ordinal"), F.to_json("result").alias("line"))
+    least = rows.agg(F.min("ordinal").alias("least")).withColumn("place", F.lit(1))  # one row
+    commas = rows.join(F.broadcast(least), "place").withColumn("line", F.concat(F.when(F.col("ordinal") > F.col("least"), ",").otherwise(""), "line")).drop("least")
+    return edges.unionByName(commas)
 
 
 def discussions(findings: DataFrame) -> DataFrame:

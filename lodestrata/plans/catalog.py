@@ -454,6 +454,13 @@ def impact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("versioned_symbol_id", F.col("related").cast("long").alias("related"), *flat, "impact_score")
 
 
+@query(f"{_IMPACT} SELECT versioned_symbol_id, related, len(callers)::BIGINT AS callers, len(callees)::BIGINT AS callees, len(files)::BIGINT AS files, impact_score FROM scored")
+def impact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of ``impact_scores``, without a list of all callers of a symbol anywhere."""
+    rows = symbols(spark, sf_dir)
+    return graph.impact_counts(rows, calls(spark, sf_dir), rows)
+
+
 @query(
     f"""{_IMPACT} SELECT versioned_symbol_id, fqn AS symbol, CASE WHEN impact_score >= 5 OR len(files) >= 4 THEN 'high' WHEN impact_score >= 3 OR len(files) >= 2 THEN 'medium' ELSE 'low' END AS risk, f AS slice_file,
   CASE WHEN f = file_path THEN 'target symbol definition lives in this file' ELSE 'direct caller/callee or same-file related symbol may be affected' END AS rationale FROM (SELECT *, unnest(files) AS f FROM scored)"""
@@ -1134,6 +1141,17 @@ def review_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.join(results, "ordinal").join(quality, "ordinal")
 
 
+@query(
+    f"""WITH ok AS (SELECT * FROM part WHERE ({_FINDING}) IS NULL)
+SELECT p_partkey AS ordinal, CASE WHEN p_partkey > (SELECT min(p_partkey) FROM ok) THEN ',' ELSE '' END || '{{"ruleId":"{review.RULE}","level":"' || CASE p_partkey % 4 WHEN 0 THEN 'note' WHEN 1 THEN 'warning' ELSE 'error' END
+  || '","message":{{"text":"' || p_name || ' token=[redacted]"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || p_brand || '"}},"region":{{"startLine":' || (p_partkey % 13) || ',"endLine":' || (CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE p_partkey % 13 + p_size END) || '}}}}}}]}}' AS line FROM ok"""
+)
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of a log of all findings, a line for each."""
+    good, _ = review.verify(_findings(spark, sf_dir))
+    return review.sarif_lines(good).where("place = 1").select("ordinal", "line")
+
+
 @query(
     """WITH v AS (SELECT vec_id, array_to_string(embedding, ', ') || CASE vec_id % 5 WHEN 1 THEN ',' WHEN 2 THEN ', x' WHEN 3 THEN ', NaN' ELSE '' END AS t, len(embedding) AS n FROM embeddings)
 SELECT vec_id, CASE WHEN vec_id % 5 IN (1, 2, 3) THEN NULL ELSE n END::INTEGER AS dimensions, CASE WHEN vec_id % 7 = 0 THEN 'empty:model' WHEN vec_id % 7 = 1 THEN 'range:dimensions' END AS error FROM v"""
@@ -1277,6 +1295,24 @@ def worktree_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy(F.regexp_replace("file_path", "/[^/]*$", "").alias("folder")).agg(F.sum("size_bytes").alias("bytes"))
 
 
+@query(
+    """WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'succeed' WHEN 'error' THEN 'fail' ELSE 'begin' END AS event FROM events),
+b AS (SELECT user_id, min(struct_pack(a := ts, b := event_id)) AS began FROM e WHERE event = 'begin' GROUP BY user_id),
+f AS (SELECT user_id, arg_min(event, struct_pack(a := ts, b := event_id)) AS ended FROM e JOIN b USING (user_id) WHERE event <> 'begin' AND struct_pack(a := ts, b := event_id) > began GROUP BY user_id)
+SELECT user_id, CASE WHEN began IS NULL THEN NULL WHEN ended IS NULL THEN 'started' WHEN ended = 'fail' THEN 'failed' ELSE 'succeeded' END AS status
+FROM (SELECT DISTINCT user_id FROM e) LEFT JOIN b USING (user_id) LEFT JOIN f USING (user_id)"""
+)
+def generation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the lives of generations, one for each user, followed by a stream with keyed state."""
+    from lodestrata.streaming import generations
+
+    rows = "user_id AS generation_id", "event_id AS seq", "CASE event_type WHEN 'purchase' THEN 'succeed' WHEN 'error' THEN 'fail' ELSE 'begin' END AS event", "ts AS at", "CAST(NULL AS string) AS error"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet").selectExpr(*rows)
+    folder = scratch(spark, "generations")
+    generations.follow(stream, folder).awaitTermination()
+    return generations.standing(spark.read.schema(generations.MOVES).parquet(f"{folder}/moves")).select(F.col("generation_id").cast("long").alias("user_id"), "status")
+
+
 # --- chunks, drift, edges and workers ---------------------------------------------------------
 
 

@@ -93,3 +93,24 @@ def test_context_pack(spark):
     calls = spark.createDataFrame([("v0", "v1")], "source_symbol_id string, target_symbol_id string")
     got = search.context_pack(frame(spark, rows), calls, "alpha", 8).collect()
     assert len(got) == 1 and got[0].direct_callees == ["beta"] and got[0].impact_score == 3
+
+
+def test_a_crowded_window_grows_to_the_whole_name(spark):
+    """Names and tests that all share one window of three letters: the pairs are those of brute force, and no other pair is made."""
+    rows = [sym(i, "t.rs", f"t{i}", kind="test_case", fqn=f"abc_{i % 97}_loads_{i}") for i in range(300)]
+    rows += [sym(1000 + i, "s.rs", f"abc{i}") for i in range(300)] + [sym(5000 + i, "s.rs", "abc") for i in range(50)] + [sym(6000, "s.rs", "x"), sym(6001, "s.rs", "lo"), sym(6002, "s.rs", "zzz")]
+    df = frame(spark, rows)
+    want = {(r.test_id, r.target_id) for r in graph.test_covers(df).collect()}
+    assert {(r.test_id, r.target_id) for r in graph.test_covers(df, most=10).collect()} == want
+    low = lambda s: "".join(c for c in s.lower() if c.isalnum())
+    plain = {(f"v{t[0]}", f"v{s[0]}") for t, s in (((i, f"abc_{i % 97}_loads_{i}"), (j, n)) for i in range(300) for j, n in [*((1000 + k, f"abc{k}") for k in range(300)), *((5000 + k, "abc") for k in range(50)), (6000, "x"), (6001, "lo"), (6002, "zzz")]) if low(s[1]) in low(t[1])}
+    assert len(want) == len(plain)
+
+
+def test_counts_of_impact_are_those_of_its_lists(spark):
+    rows = [sym(i, f"f{i % 5}.rs", f"n{i}", start=i) for i in range(40)]
+    df = frame(spark, rows)
+    calls = spark.createDataFrame([(f"v{i}", "v0") for i in range(40)] + [("v0", "v3"), ("v0", "v3"), ("v1", "v99")], "source_symbol_id string, target_symbol_id string")
+    lists = {r.versioned_symbol_id: (r.related, len(r.direct_callers), len(r.direct_callees), len(r.affected_files), r.impact_score) for r in graph.impact(df, calls, df).collect()}
+    got = {r.versioned_symbol_id: (r.related, r.callers, r.callees, r.files, r.impact_score) for r in graph.impact_counts(df, calls, df).collect()}
+    assert got == lists and lists["v0"][1] == 40

@@ -29,3 +29,11 @@ def test_batch_error_and_exports(spark):
     quality = review.code_quality(good).first()
     assert quality.severity == "critical" and quality.fingerprint.endswith(":a.rs:3:token--redacted--leaks")
     assert "Evidence:\na.rs:3-4" in review.discussions(good).first().body
+
+
+def test_a_log_as_lines_is_the_log(spark):
+    df = spark.createDataFrame([with_(ordinal=i, title=f"t{i}") for i in (5, 3, 9)], SCHEMA)
+    lines = sorted(review.sarif_lines(df).collect(), key=lambda r: (r.place, r.ordinal or 0))
+    assert json.loads("".join(r.line for r in lines)) == json.loads(review.sarif_log(df).first().sarif)
+    none = sorted(review.sarif_lines(df.limit(0)).collect(), key=lambda r: r.place)
+    assert json.loads("".join(r.line for r in none))["runs"][0]["results"] == []
