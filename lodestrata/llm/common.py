@@ -52,6 +52,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def hash_share(value: Column) -> Column:
+    """A number from 0 up to, not with, 1 by a hash of the value, fine enough for a sample of any table."""
+    return F.pmod(F.xxhash64(value, F.lit("share")), F.lit(1 << 52)) / float(1 << 52)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a compressed table in the same folder: for wide rows, and to read single columns."""
     spark = df.sparkSession

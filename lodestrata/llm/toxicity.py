@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.boosting import Isotonic, Trees
-from lodestrata.llm.common import cut, held_out, ship
+from lodestrata.llm.common import cut, hash_share, held_out, ship
 
 ship(__name__)
 
@@ -131,7 +131,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     count = known.count()
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = known.where(spot < int(1e6 * min(1.0, TRAIN_ROWS / max(count, 1)))).select("doc_id", "toxic", (spot % FOLDS).cast("int").alias("fold"))
+    chosen = known.where(hash_share(F.col("doc_id")) < min(1.0, TRAIN_ROWS / max(count, 1))).select("doc_id", "toxic", (spot % FOLDS).cast("int").alias("fold"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most about TRAIN_ROWS rows of three numbers, whatever the corpus: a bounded broadcast.
     once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.boosting import Trees
-from lodestrata.llm.common import ascii_lower
+from lodestrata.llm.common import ascii_lower, hash_share
 
 TRAIN_ROWS, FOLDS = 20_000, 4
 #: Rows of the overall rate that a suffix's own rate is smoothed with.
@@ -150,7 +150,7 @@ def train(known: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """
     count = known.agg(F.approx_count_distinct("url")).first()[0]
     spot = F.pmod(F.xxhash64("url"), F.lit(1_000_000))
-    chosen = known.where(spot < int(1e6 * min(1.0, train_rows / max(count, 1)))).groupBy("url").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.max("bad").alias("bad"))
+    chosen = known.where(hash_share(F.col("url")) < min(1.0, train_rows / max(count, 1))).groupBy("url").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.max("bad").alias("bad"))
     made = lexical(F.col("url"), F.col("host"), F.col("path"))
     rows = chosen.select(*[c.alias(n) for n, c in made.items()], suffix_of(F.col("host")).alias("suffix"), "bad", (spot % FOLDS).alias("fold"), "url").orderBy("url").collect()
     names = list(made)
