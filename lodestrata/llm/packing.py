@@ -66,6 +66,10 @@ def _encoder(path: str):
     letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     special = {t["content"]: t["id"] for t in saved["added_tokens"]}
     ranks = {bytes(letter[c] for c in word): i for word, i in saved["model"]["vocab"].items() if word not in special}
+    pairs = ("".join(m if isinstance(m, list) else m.split(" ", 1)) for m in saved["model"]["merges"])
+    order = [saved["model"]["vocab"].get(p, -1) for p in pairs]
+    if any(a >= b for a, b in zip(order, order[1:], strict=False)):  # the faster library merges in the order of ids
+        return safe
     made = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     names, blanks = set(special), re.compile(rf"\s{{{BLANKS}}}")
 
