@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lodestrata.functions import ids
 from lodestrata.functions.text import ascii_lower, ascii_lower_text, json_language, query_terms
 from lodestrata.operators.graph import impact
+from lodestrata.storage import kept
 
 K1, B = 1.2, 0.75
 MODES = ("exact_symbol", "lexical", "graph")
@@ -52,14 +53,15 @@ def bm25(docs: DataFrame, query: str, id_column: str = "doc_id", text: str = "te
     """(id, score) of documents that hold a term of the query; repeated terms count once.
 
     Terms are runs of ASCII letters and digits. Counts are expressions over the lower-cased text: the corpus
-    is neither split into words nor shuffled, and one row of totals gives the averages.
+    is neither split into words nor shuffled, and one row of totals gives the averages. Texts are read once; their
+    counts are kept.
     """
     terms = list(dict.fromkeys(query_terms(query.replace("_", " "))))
     if not terms:
         return docs.select(id_column, F.lit(0.0).alias("score")).limit(0)
     low = docs.select(id_column, ascii_lower(F.col(text)).alias("low"))
     times = lambda t: F.when(F.contains("low", F.lit(t)), F.regexp_count("low", F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])"))).otherwise(0)
-    counts = low.select(id_column, F.regexp_count("low", F.lit("[a-z0-9]+")).alias("len"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counts = kept(low.select(id_column, F.regexp_count("low", F.lit("[a-z0-9]+")).alias("len"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)]), "counts")
     total = counts.agg(F.count("len").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     scored = counts.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).withColumn("k", F.lit(1)).join(F.broadcast(total.withColumn("k", F.lit(1))), "k")  # one row
     part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
