@@ -15,9 +15,9 @@ across the whole corpus, both by MinHash bands over shingles of ``SHINGLE`` word
 Windows that other documents hold too are verified as passages. From each window a bridge reaches to the end of
 the first window after it that ends ``RUN`` words on or more: where another document holds the whole bridge, by
 128 bits of its words, it is a repeated passage. Windows that touch but come from different documents make none.
-Around windows whose bridge nobody shares, spans of ``CORE`` words are compared the same way, one at least of
-them inside any passage of ``RUN`` words that holds the window; so a passage shorter than a bridge is found, and
-the end of a longer one to within ``STEP`` words.
+Around windows whose bridge nobody shares, and the first windows of runs of bridges, spans of ``CORE`` words are
+compared the same way, one at least of them inside any passage of ``RUN`` words that holds the window; so a passage
+shorter than a bridge is found, and both ends of a longer one to within ``STEP`` words.
 
 Equal paragraphs are merged by their hashes before anything is compared; they cost one row for each task and
 value, however common they are. Texts are read again to verify, not moved: what is asked for goes to the
@@ -307,17 +307,20 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     apart = ["uid", "far"]  # 128 bits of a bridge's words
     crossed = inside.where("far IS NOT NULL").groupBy(*apart).agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
     inside = stored(inside.join(cut(crossed), apart, "left"))
-    # Every document that holds a window without a shared bridge compares the spans around it, also where its own bridge is shared.
-    spans = cut(_spans_of(docs, sieve(inside.where("keeper IS NULL").select("uid"), "uid")))
-    twice = spans.groupBy("g1", "g2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
-    found = spans.join(twice, ["g1", "g2"]).select("doc_id", "start", F.lit(CORE).alias("n"), F.col("g1").alias("cluster"), "keeper").distinct()
-
     # Bridges that touch are one row before they meet lines and spans.
     run = ["doc_id", "removed", "run"]
-    whole = inside.where("keeper IS NOT NULL").select("doc_id", (F.col("doc_id") != F.col("keeper")).alias("removed"), "start", F.col("m").alias("n"), F.col("far").alias("cluster"))
-    long = _runs(whole, *run[:2]).groupBy(*run).agg(
-        F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"), F.min("cluster").alias("cluster"), F.count(F.lit(1)).alias("units")
+    whole = inside.where("keeper IS NOT NULL").select("doc_id", (F.col("doc_id") != F.col("keeper")).alias("removed"), "start", F.col("m").alias("n"), F.col("far").alias("cluster"), "uid")
+    long = cut(
+        _runs(whole, *run[:2]).groupBy(*run).agg(
+            F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"), F.min("cluster").alias("cluster"),
+            F.count(F.lit(1)).alias("units"), F.min_by("uid", F.struct("start", "uid")).alias("first"),
+        )
     )
+    # Every document that holds a window without a shared bridge, or one that begins a run, compares the spans around it.
+    asked = inside.where("keeper IS NULL").select("uid").unionByName(long.select(F.col("first").alias("uid")))
+    spans = cut(_spans_of(docs, sieve(asked, "uid")))
+    twice = spans.groupBy("g1", "g2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
+    found = spans.join(twice, ["g1", "g2"]).select("doc_id", "start", F.lit(CORE).alias("n"), F.col("g1").alias("cluster"), "keeper").distinct()
     long = long.select("doc_id", "removed", "start", "n", "cluster", "units")
     rest = held.where(F.col("kind") == PARAGRAPH).select("doc_id", "start", "n", "cluster", "keeper").unionByName(found)
     rest = rest.select("doc_id", (F.col("doc_id") != F.col("keeper")).alias("removed"), "start", "n", "cluster", F.lit(1).cast("long").alias("units"))

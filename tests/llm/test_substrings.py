@@ -209,4 +209,4 @@ def test_copies_are_reported_almost_whole(spark, size):
     assert {r.doc_id for r in got} == set(range(120)) and len(got) == 120
     for r in got:
         before, after = r.start - spots[r.doc_id], spots[r.doc_id] + size - r.start - r.n
-        assert 0 <= before < substrings.GRAM and 0 <= after < substrings.STEP
+        assert 0 <= before < substrings.STEP and 0 <= after < substrings.STEP
