@@ -514,18 +514,18 @@ def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Line items as stored test edges, and as coverage segments of their part's brand.
-_COVERS = "concat('v', l_partkey) AS test_symbol_id, concat('v', l_orderkey % 200 + 1) AS target_symbol_id, CAST(1 - l_discount * 6 AS DOUBLE) AS confidence"
-_SEGMENTS = "p_brand AS file_path, CAST(l_quantity AS INT) AS segment_start, CAST(l_quantity AS INT) + l_linenumber - 3 AS segment_end"
+_COVER_EDGES = "concat('v', l_partkey) AS test_symbol_id, concat('v', l_orderkey % 200 + 1) AS target_symbol_id, CAST(1 - l_discount * 6 AS DOUBLE) AS confidence"
+_COVER_SEGMENTS = "p_brand AS file_path, CAST(l_quantity AS INT) AS segment_start, CAST(l_quantity AS INT) + l_linenumber - 3 AS segment_end"
 
 
 @query(
     f"""WITH {SYM}, target AS (SELECT * FROM sym WHERE fqn = 'red bolt' OR name = 'red bolt' ORDER BY ordinal LIMIT 1),
-edges AS (SELECT c.* FROM (SELECT {_COVERS} FROM lineitem) c JOIN target ON target.versioned_symbol_id = target_symbol_id),
+edges AS (SELECT c.* FROM (SELECT {_COVER_EDGES} FROM lineitem) c JOIN target ON target.versioned_symbol_id = target_symbol_id),
 linked AS (SELECT fqn, name, file_path, CASE WHEN confidence >= 0.95 THEN 'exact' WHEN confidence >= 0.80 THEN 'high' WHEN confidence >= 0.50 THEN 'medium' ELSE 'low' END AS confidence FROM edges JOIN sym ON sym.versioned_symbol_id = test_symbol_id),
 t AS (SELECT s.fqn, s.name, s.file_path, s.ordinal, CASE WHEN contains({_NORM.format('s.fqn')}, {_NORM.format('g.name')}) THEN 'medium' ELSE 'low' END AS confidence FROM sym s, target g
   WHERE s.kind = 'test_case' AND (contains({_NORM.format('s.fqn')}, {_NORM.format('g.name')}) OR s.file_path = g.file_path)
     AND s.versioned_symbol_id NOT IN (SELECT test_symbol_id FROM edges) AND s.fqn NOT IN (SELECT fqn FROM linked)),
-segs AS (SELECT {_SEGMENTS} FROM lineitem JOIN part ON p_partkey = l_partkey)
+segs AS (SELECT {_COVER_SEGMENTS} FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT 'linked' AS evidence, fqn, name, file_path, confidence, NULL::INT AS segment_start, NULL::INT AS segment_end FROM linked
 UNION ALL SELECT 'found', fqn, arg_min(name, ordinal), arg_min(file_path, ordinal), arg_min(confidence, ordinal), NULL, NULL FROM t GROUP BY fqn
 UNION ALL SELECT 'covered', NULL, NULL, s.file_path, NULL, segment_start, segment_end FROM segs s JOIN target g ON s.file_path = g.file_path AND segment_end >= segment_start AND segment_start <= g.end_line AND segment_end >= g.start_line"""
@@ -533,8 +533,8 @@ UNION ALL SELECT 'covered', NULL, NULL, s.file_path, NULL, segment_start, segmen
 def test_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tests of one symbol, by stored edges, by name and by file, and the segments that cover it."""
     items = table(spark, sf_dir, "lineitem")
-    edges = items.selectExpr(*_columns(_COVERS))
-    segments = items.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).selectExpr(*_columns(_SEGMENTS))
+    edges = items.selectExpr(*_columns(_COVER_EDGES))
+    segments = items.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).selectExpr(*_columns(_COVER_SEGMENTS))
     rows = symbols(spark, sf_dir)
     tests, covered = graph.test_context(rows, edges, segments, "red bolt")
     mine = edges.join(graph.find_symbol(rows, "red bolt").select(F.col("versioned_symbol_id").alias("target_symbol_id")), "target_symbol_id")
