@@ -217,8 +217,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 
 #: Cosine of a link, the probability with which a pair at just that cosine meets in some table, the bucket
-#: width, and the number of unrelated vectors that a vector meets in one table on average.
-THRESHOLD, RECALL, BUCKET, STRANGERS = 0.9, 0.95, 2.0, 6.0
+#: width, and the number of unrelated vectors that a vector meets in one table on average: one small matrix
+#: product costs less than the further tables, and moves, that smaller buckets ask for.
+THRESHOLD, RECALL, BUCKET, STRANGERS = 0.9, 0.95, 2.0, 200.0
 #: Projections of a key, at least.
 LEAST_PROJECTIONS = 10
 #: Vectors of a bucket compared in one task; larger buckets are compared chunk by chunk.
