@@ -319,7 +319,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # Every document that holds a window without a shared bridge, or one that begins a run, compares the spans around it.
     asked = inside.where("keeper IS NULL").select("uid").unionByName(long.select(F.col("first").alias("uid")))
     spans = cut(_spans_of(docs, sieve(asked, "uid")))
-    twice = spans.groupBy("g1", "g2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
+    twice = cut(spans.groupBy("g1", "g2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last"))  # so that a span that very many hold can be split
     found = spans.join(twice, ["g1", "g2"]).select("doc_id", "start", F.lit(CORE).alias("n"), F.col("g1").alias("cluster"), "keeper").distinct()
     long = long.select("doc_id", "removed", "start", "n", "cluster", "units")
     rest = held.where(F.col("kind") == PARAGRAPH).select("doc_id", "start", "n", "cluster", "keeper").unionByName(found)
