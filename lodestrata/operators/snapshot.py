@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.pairs import crossed
+
 
 def latest_generations(generations: DataFrame, key: str = "repo_id", index_kind: str | None = None, succeeded: bool = True) -> DataFrame:
     """(key, generation_id): each repository's newest generation by start, ties to the larger id.
@@ -27,6 +29,16 @@ def active(rows: DataFrame, generations: DataFrame, key: str = "repo_id", index_
     return rows.where("stale_at IS NULL").join(latest, [key, "generation_id"], "left_semi")
 
 
+def active_shared(rows: DataFrame, owners: DataFrame, generations: DataFrame, share: str, key: str = "repo_id") -> DataFrame:
+    """``active`` over rows that many generations share: (share, generation_id, ..) of each active row and latest generation.
+
+    ``owners`` has key, generation_id and ``share``, ``rows`` has ``share`` and stale_at. Both are reduced to what is
+    active before they meet, so rows of older generations are never made, and no row of the result is moved.
+    """
+    live = active(owners.withColumn("stale_at", F.lit(None).cast("string")), generations, key).drop("stale_at")
+    return crossed(live, rows.where("stale_at IS NULL").drop("stale_at"), [share])
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The union of both with one row for each key: that of the greatest ``order``; it is not stale any more."""
     both = old.unionByName(new)
