@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.pairs import crossed
+
 
 def _saturating(a: str, b: str):
     return F.greatest(F.col(a) - F.col(b), F.lit(0))
@@ -42,7 +44,7 @@ def _inside(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str)
     binned = sized.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("__w")), F.floor(F.col(end) / F.col("__w")))))
     used = sized.select("file_path", "__w").distinct()  # a few widths for each file
     spread = points.join(used, "file_path").withColumn("__bin", F.floor(F.col(at) / F.col("__w")))
-    return spread.join(binned, ["file_path", "__w", "__bin"]).where(F.col(at).between(F.col(start), F.col(end))).drop("__w", "__bin")
+    return crossed(spread, binned, ["file_path", "__w", "__bin"], ([at], [start, end]), F.col(at).between(F.col(start), F.col(end))).drop("__w", "__bin")
 
 
 def overlaps(segments: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -50,6 +52,7 @@ def overlaps(segments: DataFrame, symbols: DataFrame) -> DataFrame:
 
     ``segments`` has file_path, segment_start, segment_end; ``symbols`` has file_path, start_line, end_line.
     Two ranges share a line if one of them begins inside the other, so both sides are looked up as points.
+    A file's pairs may be many times its ranges; they are made by all tasks (``pairs.crossed``).
     """
     whole = segments.where("segment_end >= segment_start")
     later = _inside(whole, symbols, "segment_start", "start_line", "end_line")
