@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,3 +77,17 @@ BROADCAST_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast where its counted rows are within the bound, else as it is."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+@contextmanager
+def parser_caches_dropped(spark: SparkSession):
+    """Within it, Spark's SQL parser drops what it has learnt from long expressions, some 50 MB that the driver would keep for good."""
+    now = {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "500"}
+    old = {k: spark.conf.get(k, None) for k in now}
+    try:
+        for k, v in now.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

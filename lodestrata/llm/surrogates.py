@@ -26,7 +26,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut, stored
+from lodestrata.llm.common import cut, parser_caches_dropped, stored
 
 KEY, REKEYED, ROUNDS = "lodestrata-surrogates-1", 50_000, 6
 #: Parts of the literal map; an entity looks into one of them.
@@ -265,13 +265,15 @@ def mentions(found: DataFrame) -> DataFrame:
     A name gives its family, and with a given name the two together, whose scope is the family.
     """
     rest = [c for c in found.columns if c != "entity"]
-    typed = found.withColumn("kind", F.expr(kind_sql("entity"))).where("kind is not null")
+    with parser_caches_dropped(found.sparkSession):
+        typed = found.withColumn("kind", F.expr(kind_sql("entity"))).where("kind is not null")
     plain = f"named_struct('kind', kind, 'norm', {norm_sql('entity', 'kind')}, 'spelling', entity, 'gender', 'n', 'scope', '')"
     low, both = "lower(p.family)", "lower(concat(p.given, ' ', p.family))"
     families = f"named_struct('kind', 'family', 'norm', {low}, 'spelling', p.family, 'gender', 'n', 'scope', '')"
     people = f"named_struct('kind', 'name', 'norm', {both}, 'spelling', p.given, 'gender', {gender_sql('p.title', 'p.given')}, 'scope', {low})"
     split = _let("p", _struct(name_parts("entity")), f"if(p.given = '', array({families}), array({families}, {people}))")
-    return typed.select(*rest, F.explode(F.expr(f"if(kind = 'name', {split}, array({plain}))")).alias("m")).select(*rest, "m.*")
+    with parser_caches_dropped(found.sparkSession):
+        return typed.select(*rest, F.explode(F.expr(f"if(kind = 'name', {split}, array({plain}))")).alias("m")).select(*rest, "m.*")
 
 
 def _struct(fields: dict[str, str]) -> str:
@@ -289,7 +291,8 @@ def _made(known: DataFrame) -> DataFrame:
     """``known`` with made, the surrogate under its tweak as it is compared."""
     family, given = f"lower({_family_sql('spelling', 'tweak')})", f"lower({_given_sql('spelling', 'gender', 'tweak')})"
     other = _let("y", surrogate_sql("spelling", "kind", "tweak"), norm_sql("y", "kind"))
-    return known.withColumn("made", F.expr(f"CASE kind WHEN 'family' THEN {family} WHEN 'name' THEN {given} ELSE {other} END"))
+    with parser_caches_dropped(known.sparkSession):
+        return known.withColumn("made", F.expr(f"CASE kind WHEN 'family' THEN {family} WHEN 'name' THEN {given} ELSE {other} END"))
 
 
 def rekeyed(docs: DataFrame) -> DataFrame:
@@ -367,10 +370,11 @@ def replace(docs: DataFrame) -> DataFrame:
     new = f"array_join(flatten(zip_with(`{gaps}`, `{found}`, (g, e) -> array(aggregate(`{named}`, coalesce(g, ''), (t, n) -> {alone}), if(e IS NULL, '', {each})))), '')"
     split_up = given.withColumn(found, matches(F.col("text")))
     split_up = split_up.withColumn(gaps, F.when(F.size(found) > 0, F.split("text", PATTERN, -1)))
-    split_up = split_up.withColumn(named, F.when(F.size(found) > 0, F.expr(families)))
-    return split_up.withColumns(
-        {
-            "text": F.when(F.size(found) > 0, F.expr(new)).otherwise(F.col("text")),
-            "n_entities": F.expr(f"coalesce(size(filter(`{found}`, e -> ({kind_sql('e')}) IS NOT NULL)), 0)"),
-        }
-    ).drop(tweaks, found, gaps, named)
+    with parser_caches_dropped(docs.sparkSession):
+        split_up = split_up.withColumn(named, F.when(F.size(found) > 0, F.expr(families)))
+        return split_up.withColumns(
+            {
+                "text": F.when(F.size(found) > 0, F.expr(new)).otherwise(F.col("text")),
+                "n_entities": F.expr(f"coalesce(size(filter(`{found}`, e -> ({kind_sql('e')}) IS NOT NULL)), 0)"),
+            }
+        ).drop(tweaks, found, gaps, named)

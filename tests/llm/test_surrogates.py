@@ -223,3 +223,28 @@ def test_a_family_named_once_is_one_where_it_stands_alone(spark):
     assert "O'Brien" not in got[2].text and " Li " not in got[2].text and got[2].text.endswith(" at Lima.")
     first, second = got[2].text.split(", ")[:2]
     assert first.removeprefix("Dr ") == second.removeprefix("then ")
+
+
+def test_parser_keeps_little_of_the_long_expressions():
+    """A driver of its own, since other tests fill the parser's caches: the states that stay after the expressions are read are few."""
+    import subprocess
+    import sys
+
+    code = """
+import subprocess
+from pyspark.sql import SparkSession
+from lodestrata.llm import surrogates
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+before = {k: spark.conf.get(k) for k in ("spark.sql.parser.manageParserCaches", "spark.sql.parser.parserDfaCacheFlushThreshold")}
+row = spark.createDataFrame([("a", "b", "c", "d", "n", 0)], "kind string, norm string, scope string, spelling string, gender string, tweak int")
+surrogates._made(row)
+surrogates.mentions(row.select(row["norm"].alias("entity")))
+assert before == {k: spark.conf.get(k) for k in before}
+pid = spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()
+told = subprocess.run(["jcmd", str(pid), "GC.class_histogram"], capture_output=True, text=True, check=True).stdout
+assert "java.lang.String" in told
+print("STATES", sum(int(line.split()[1]) for line in told.split("\\n") if line.split()[3:4] == ["org.antlr.v4.runtime.atn.ATNConfig"]))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("STATES")[1]) < 50_000
