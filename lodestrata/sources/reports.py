@@ -249,6 +249,7 @@ def elements(spark: SparkSession, path: str, tag: str, key: str = "report_id") -
     first = F.col("leads") & (F.col("value").rlike(r"^\s*(?:\x{FEFF})?<[?!a-zA-Z]") | (F.trim("value") == ""))
     is_tag = F.col("value").rlike(r"^[\s/>]") & ~first  # else the name only begins like the tag
     whole = F.regexp_extract("value", rf"(?s)^({_TAG.removesuffix('>')}(?<=/)>|.*?</{tag}\s*>)", 1)
+    rows, whole = rows.withColumn("whole", whole), F.col("whole")
     return rows.select(
         key, "pos", F.when(~is_tag, F.col("value")).alias("head"), is_tag.alias("is_element"), F.when(is_tag & (whole != ""), F.concat(F.lit(f"<{tag}"), whole)).alias("element"),
         F.when(is_tag, F.substring("value", F.length(whole) + 1, F.length("value"))).otherwise(F.col("value")).alias("after"),
@@ -256,12 +257,22 @@ def elements(spark: SparkSession, path: str, tag: str, key: str = "report_id") -
 
 
 def _parsed(rows: DataFrame, schema: str) -> DataFrame:
-    """The elements of ``rows`` with e, the parsed one, and error for one that can't be read."""
-    given = rows.where("is_element").withColumn("e", F.from_xml("element", f"struct<{schema},_broken:string>", _CORRUPT))
+    """The elements of ``rows`` with e, the parsed one, and error for one that can't be read.
+
+    The parsed one comes out of an explode of one, below which no filter on it goes: it would parse every element again.
+    """
+    given = rows.where("is_element").withColumn("e", F.explode(F.array(F.from_xml("element", f"struct<{schema},_broken:string>", _CORRUPT))))
     broken = F.col("element").isNull() | F.col("e").isNull() | F.col("e._broken").isNotNull()
     return given.withColumn("error", F.when(broken, F.concat(F.lit("broken element: "), F.substring(F.coalesce("element", "after"), 1, 60))))
 
 
+def _line_rows(parsed: DataFrame, lines: str, fields: str, key: str, path: Column) -> DataFrame:
+    """(key, file_path, l, error): a row for each of the ``lines`` of an element, one without a line for an element that can't be read."""
+    sound = F.col("error").isNull()
+    each = F.when(sound, F.col(lines)).otherwise(F.array(F.lit(None).cast(fields)))
+    return parsed.select(key, F.when(sound, path).alias("file_path"), F.explode(each).alias("l"), "error")
+
+
 def _last_name(text: Column, tag: str) -> Column:
     """The name attribute of the last ``tag`` that opens in a text, unescaped; null where none does."""
     opened = F.try_element_at(F.regexp_extract_all(text, F.lit(rf"<{tag}(?=[\s>])({_TAG})"), F.lit(1)), F.lit(-1))
@@ -291,19 +302,19 @@ def junit_files(spark: SparkSession, path: str, key: str = "report_id") -> DataF
 
 def cobertura_files(spark: SparkSession, path: str, key: str = "report_id") -> DataFrame:
     """The rows of ``cobertura`` with error, from files of any size, a class at a time."""
-    classes = _parsed(elements(spark, path, "class", key), "_filename:string,lines:struct<line:array<struct<_number:string,_hits:string>>>")
-    sound = classes.where("error IS NULL").select(key, F.col("e._filename").alias("file_path"), F.explode("e.lines.line").alias("l"))
-    line = F.col("l._number").try_cast("int")
-    found = sound.select(key, "file_path", line.alias("start_line"), line.alias("end_line"), F.col("l._hits").try_cast("long").alias("hit_count"))
-    return found.unionByName(classes.where("error IS NOT NULL").select(key, "error"), allowMissingColumns=True)
+    line = "struct<_number:string,_hits:string>"
+    classes = _parsed(elements(spark, path, "class", key), f"_filename:string,lines:struct<line:array<{line}>>")
+    number = F.col("l._number").try_cast("int")
+    rows = _line_rows(classes, "e.lines.line", line, key, F.col("e._filename"))
+    return rows.select(key, "file_path", number.alias("start_line"), number.alias("end_line"), F.col("l._hits").try_cast("long").alias("hit_count"), "error")
 
 
 def jacoco_files(spark: SparkSession, path: str, key: str = "report_id") -> DataFrame:
     """The rows of ``jacoco`` with error, from files of any size, a source file at a time, in the package that opened last before it."""
-    files = _parsed(_named(elements(spark, path, "sourcefile", key), "package", key), "_name:string,line:array<struct<_nr:string,_ci:string,_cb:string>>")
-    rows = files.where("error IS NULL").select(key, _jacoco_path(F.col("owner"), F.col("e._name")), F.explode("e.line").alias("l"))
-    found = rows.select(key, "file_path", *_jacoco_line())
-    return found.unionByName(files.where("error IS NOT NULL").select(key, "error"), allowMissingColumns=True)
+    line = "struct<_nr:string,_ci:string,_cb:string>"
+    files = _parsed(_named(elements(spark, path, "sourcefile", key), "package", key), f"_name:string,line:array<{line}>")
+    rows = _line_rows(files, "e.line", line, key, _jacoco_path(F.col("owner"), F.col("e._name")))
+    return rows.select(key, "file_path", *[F.when(F.col("error").isNull(), c).alias(n) for c, n in zip(_jacoco_line(), ("start_line", "end_line", "hit_count"), strict=True)], "error")
 
 
 def status_counts(results: DataFrame, runs: DataFrame, key: str = "report_id") -> DataFrame:

@@ -114,3 +114,23 @@ def test_playwright_suites_of_any_depth(spark):
     assert {r.name for r in rows} == {"deep", *(f"s{i}" for i in range(20))}
     deep = next(r for r in rows if r.name == "deep")
     assert deep.class_name == "::".join(f"t{i}" for i in range(21)) and deep.file_path == "a.ts" and deep.duration_ms == 5
+
+
+def test_elements_of_files_are_parsed_once(spark, tmp_path):
+    """A filter on the error is not pushed below the parse, and sound and broken elements come from one pass."""
+    bodies = {
+        "cobertura_files": '<coverage><packages><package><classes><class filename="a"><lines><line number="1" hits="2"/><line number="x" hits="3"/></lines></class><class filename="none"><lines/></class><class filename="b"><lines><line number="7"</lines></class></classes></package></packages></coverage>',
+        "jacoco_files": '<report><package name="p"><sourcefile name="a"><line nr="1" ci="2" cb="0"/><line nr="x" ci="3"/></sourcefile><sourcefile name="none"/><sourcefile name="b"><line nr="7"</sourcefile></package></report>',
+        "junit_files": '<testsuite name="s"><testcase name="a"/><testcase name="b"><failure</testcase></testsuite>',
+    }
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+        found = getattr(reports, name)(spark, str(tmp_path / name))
+        plan = found.where("error IS NULL")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_xml(") == 1, name
+        rows = found.collect()
+        assert [r.error is None for r in rows].count(False) == 1
+        if name != "junit_files":
+            file, broken = {"cobertura_files": "a", "jacoco_files": "p/a"}[name], next(r for r in rows if r.error)
+            assert {(r.file_path, r.start_line, r.end_line, r.hit_count) for r in rows if not r.error} == {(file, 1, 1, 2), (file, None, None, 3)}
+            assert (broken.file_path, broken.start_line, broken.end_line, broken.hit_count) == (None, None, None, None) and broken.error.startswith("broken element: <")
