@@ -30,13 +30,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.llm.common import cut, ship, stored
 from lodestrata.llm.components import connected_components
-from lodestrata.llm.shingles import BASES, SHINGLE, Spans, _hashes, _mix, bands, linked
+from lodestrata.llm.shingles import BASES, SHINGLE, Spans, _hashes, _mix, _slices, bands, linked
 
 ship(__name__)
 
@@ -52,14 +54,86 @@ CORE = RUN - STEP + 1
 BANDS, ROWS, WINDOW_ROWS = 6, 2, 3
 #: Paragraphs of one band value that one task compares; more are compared chunk against chunk.
 CHUNK = 4096
-#: Words that are worked on at once.
-AT_ONCE = 100_000
 PARAGRAPH, INSIDE = 0, 1
 #: Bits of a sieve, a power of two.
 SIEVE = 1 << 27
 KEYS = [f"k{b}" for b in range(BANDS)]
 #: Of a window: the hash of its bridge, and the bridge's words.
 BRIDGE = ["far", "m"]
+#: Of each byte: whether it stands between words, and its lower case. The numbers of XXH64.
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What ``_hashes`` gives for the words at ``starts`` of some bytes: XXH64 (seed 7), for all words at once."""
+    p1, p2, p3, p4, p5 = PRIMES
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from each byte on
+    out = sizes.astype(np.uint64) + (p5 + np.uint64(7))
+    for k in range(3):
+        some = np.flatnonzero(sizes >= 8 * k + 8)
+        out[some] = _rotated(out[some] ^ _rotated(eight[starts[some] + 8 * k] * p2, 31) * p1, 27) * p1 + p4
+    tail = sizes & 7
+    for n in range(1, 8):
+        some = np.flatnonzero(tail == n)
+        h, rest = out[some], eight[starts[some] + (sizes[some] - n)]
+        if n & 4:
+            h = _rotated(h ^ (rest & np.uint64(0xFFFFFFFF)) * p1, 23) * p2 + p3
+            rest = rest >> np.uint64(32)
+        for _ in range(n & 3):
+            h = _rotated(h ^ (rest & np.uint64(0xFF)) * p5, 11) * p1
+            rest = rest >> np.uint64(8)
+        out[some] = h
+    out = (out ^ (out >> np.uint64(33))) * p2
+    out = (out ^ (out >> np.uint64(29))) * p3
+    out ^= out >> np.uint64(32)
+    for i in np.flatnonzero(sizes >= 32):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes(), 7)
+    return out
+
+
+class Texts:
+    """The lower-cased words of texts in a row: where each begins and ends in ``data``, and how many each text has."""
+
+    def __init__(self, column: pa.Array):
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64, count=len(column) + 1, offset=8 * column.offset) if len(column) else np.zeros(1, dtype=np.int64)
+        self.data = LOWER[np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]]] if at[-1] > at[0] else np.zeros(0, dtype=np.uint8)
+        self.texts = at - at[0]
+        space = np.append(SPACE[self.data], True)
+        edge = np.append(True, space[1:] != space[:-1])
+        edge[self.texts] = True  # a text ends its last word
+        edge = np.flatnonzero(edge)
+        word = np.flatnonzero(~space[edge])
+        self.starts, self.ends = edge[word], edge[word + 1]
+        self.sizes = np.diff(np.searchsorted(self.starts, self.texts))
+        self.hashes = word_hashes(self.data, self.starts, self.ends - self.starts)
+
+    def lines(self) -> np.ndarray:
+        """(text, first word of all, words) of each line, and of short lines joined, of ``LEAST`` words or more."""
+        begins = np.sort(np.concatenate([self.texts[:-1], np.flatnonzero(self.data == 10) + 1]))
+        first = np.searchsorted(self.starts, begins)
+        n = np.diff(first, append=len(self.starts))
+        full = np.flatnonzero(n)
+        first, n = first[full], n[full]
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)[first]
+        # Joined are lines that follow each other without a blank one, in one text.
+        new = np.flatnonzero(np.append(True, (np.diff(full) > 1) | (np.diff(owner) > 0))[: len(full)])
+        whole, short, many = (np.add.reduceat(x, new) if len(new) else n for x in (n, (n < LEAST).astype(np.int64), np.ones_like(n)))
+        joined = np.flatnonzero((many > 1) & (2 * short > many) & (whole >= LEAST))
+        alone = np.flatnonzero(n >= LEAST)
+        return np.concatenate([np.stack([owner[alone], first[alone], n[alone]], axis=1), np.stack([owner[new[joined]], first[new[joined]], whole[joined]], axis=1)])
+
+    def words(self, first: int, n: int) -> list[bytes]:
+        """Words in a row, of one text."""
+        return self.data[self.starts[first] : self.ends[first + n - 1]].tobytes().split() if n else []
 
 
 def windows(spans: Spans, sizes: np.ndarray) -> np.ndarray:
@@ -67,15 +141,17 @@ def windows(spans: Spans, sizes: np.ndarray) -> np.ndarray:
     n = int(sizes.sum()) - RUN + 1
     if n < 1:
         return np.zeros(0, dtype=np.int64)
-    grams = spans.every(GRAM)
-    rows = np.lib.stride_tricks.sliding_window_view(grams, ROW)
+    # The least of ROW hashes in a row and its place, from those of 1, 2, 4, .. in a row.
+    least, at = spans.every(GRAM), np.arange(n + ROW - 1, dtype=np.int32 if n < 1 << 30 else np.int64)
+    wide = 1
+    while wide < ROW:
+        step = min(wide, ROW - wide)
+        at = np.where(least[step:] <= least[:-step], at[step:], at[:-step])
+        least = np.minimum(least[step:], least[:-step])
+        wide += step
     left = np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n)  # words from each row to its text's end
-    chosen = []
-    for at in range(0, n, 65536):
-        some = rows[at : at + 65536]
-        last = at + np.arange(len(some)) + ROW - 1 - np.argmin(some[:, ::-1], axis=1)
-        chosen.append(last[left[at : at + 65536] >= RUN])
-    return np.unique(np.concatenate(chosen))
+    chosen = at[left >= RUN].astype(np.int64)
+    return chosen[np.append(True, chosen[1:] != chosen[:-1])[: len(chosen)]]  # they ascend
 
 
 def _window_ids(spans: Spans, starts: np.ndarray) -> np.ndarray:
@@ -94,36 +170,18 @@ def bridges(h: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple[np.nd
 
 def paragraphs(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
     """The words of a text, and (start, length) of each line, and of short lines joined, of ``LEAST`` words or more."""
-    words: list[bytes] = []
-    found, begin, lines, short = [], 0, 0, 0
-
-    def end() -> None:
-        if lines > 1 and 2 * short > lines and len(words) - begin >= LEAST:
-            found.append((begin, len(words) - begin))
-
-    for line in text.encode().lower().split(b"\n"):
-        some = line.split()
-        if not some:
-            end()
-            begin, lines, short = len(words), 0, 0
-            continue
-        if len(some) >= LEAST:
-            found.append((len(words), len(some)))
-        words += some
-        lines += 1
-        short += len(some) < LEAST
-    end()
-    return words, found
-
-
-def _measured(texts: list[tuple], inside: bool = True) -> dict[str, np.ndarray]:
-    """Columns (at, kind, start, n, uid, keys, far, m) of the paragraphs of some texts; at is the text's place among them."""
-    h = _hashes([w for words, _ in texts for w in words])
-    sizes = np.array([len(words) for words, _ in texts], dtype=np.int64)
+    made = Texts(pa.array([text]))
+    return made.words(0, len(made.starts)), [(s, n) for _, s, n in sorted(made.lines().tolist(), key=lambda x: (x[1] + x[2], x[2]))]
+
+
+def _measures(h: np.ndarray, sizes: np.ndarray, lines: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns (at, kind, start, n, uid, keys, far, m) of the paragraphs of some texts; at is the text's place among them.
+
+    ``h`` has the hashes of their words, ``sizes`` how many each has, ``lines`` is as ``Texts.lines`` gives it.
+    """
     begins = np.cumsum(sizes) - sizes
-    lines = np.array([(d, begins[d] + s, n) for d, (_, found) in enumerate(texts) for s, n in found], dtype=np.int64).reshape(-1, 3)
     spans = Spans(h)
-    first = windows(spans, sizes) if inside else np.zeros(0, dtype=np.int64)
+    first = windows(spans, sizes)
     owner = np.searchsorted(begins, first, side="right") - 1
     who, start = np.concatenate([lines[:, 0], owner]), np.concatenate([lines[:, 1], first])
     n = np.concatenate([lines[:, 2], np.full(len(first), GRAM, dtype=np.int64)])
@@ -136,18 +194,20 @@ def _measured(texts: list[tuple], inside: bool = True) -> dict[str, np.ndarray]:
     return {"at": who, "kind": kind, "start": start - begins[who], "n": n, "uid": uid, "keys": keys, "far": far, "m": words}
 
 
-def _batches(rows, some):
-    """Calls ``some(names, texts)`` for (name, words, lines), about ``AT_ONCE`` words at a time."""
-    names, texts, size = [], [], 0
-    for name, words, lines in rows:
-        names.append(name)
-        texts.append((words, lines))
-        size += len(words)
-        if size > AT_ONCE:
-            yield some(names, texts)
-            names, texts, size = [], [], 0
-    if names:
-        yield some(names, texts)
+def _measured(texts: list[tuple]) -> dict[str, np.ndarray]:
+    """``_measures`` of texts as ``paragraphs`` gives them."""
+    sizes = np.array([len(words) for words, _ in texts], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    lines = np.array([(d, begins[d] + s, n) for d, (_, found) in enumerate(texts) for s, n in found], dtype=np.int64).reshape(-1, 3)
+    return _measures(_hashes([w for words, _ in texts for w in words]), sizes, lines)
+
+
+def _parts(batches):
+    """(doc_ids, texts) of batches (doc_id, text), of about a million bytes at a time."""
+    for batch in batches:
+        names, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        for a, b in _slices(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+            yield names[a:b], Texts(column.slice(a, b - a))
 
 
 def _units(docs: DataFrame) -> DataFrame:
@@ -156,12 +216,12 @@ def _units(docs: DataFrame) -> DataFrame:
     uid is a hash of all words in their order; only lines have keys, one for each band, and only windows a bridge.
     """
 
-    def rows(names: list[int], texts: list[tuple]) -> pa.RecordBatch:
-        made = _measured(texts)
+    def rows(names: np.ndarray, texts: Texts) -> pa.RecordBatch:
+        made = _measures(texts.hashes, texts.sizes, texts.lines())
         nothing, lines = pa.nulls(len(made["at"]) - len(made["keys"]), pa.int64()), pa.nulls(len(made["keys"]), pa.int64())
         none = made["m"] == 0
         columns = [
-            pa.array(np.array(names, dtype=np.int64)[made["at"]]),
+            pa.array(names[made["at"]]),
             pa.array(made["kind"].astype(np.int32)),
             pa.array(made["start"].astype(np.int32)),
             pa.array(made["n"].astype(np.int32)),
@@ -173,8 +233,7 @@ def _units(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "start", "n", "uid", *KEYS, *BRIDGE])
 
     def of(batches):
-        for batch in batches:
-            yield from _batches(_read(batch), rows)
+        yield from (rows(*part) for part in _parts(batches))
 
     return _texts(docs).mapInArrow(of, "doc_id long, kind int, start int, n int, uid long, " + ", ".join(f"{k} long" for k in KEYS) + ", far long, m int")
 
@@ -203,27 +262,18 @@ def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[spot >> 6].view(np.uint64) >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _read(batch, least: int = LEAST):
-    """(doc_id, words, lines) of the texts of a batch that have ``least`` words."""
-    for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        words, lines = paragraphs(text.as_py() or "")
-        if len(words) >= least:
-            yield name, words, lines
-
-
 def _picked(docs: DataFrame, table) -> DataFrame:
     """(uid, text) of the lines whose hash with their document passes the sieve."""
 
-    def rows(names: list[int], texts: list[tuple]) -> pa.RecordBatch:
-        made = _measured(texts, inside=False)
-        hits = np.flatnonzero(passes(table.value, _of_document(made["uid"], np.array(names, dtype=np.int64)[made["at"]])))
-        at, start, n = (made[c][hits].tolist() for c in ("at", "start", "n"))
-        bodies = [b" ".join(texts[a][0][s : s + m]).decode() for a, s, m in zip(at, start, n, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(made["uid"][hits]), pa.array(bodies, pa.string())], ["uid", "text"])
+    def rows(names: np.ndarray, texts: Texts) -> pa.RecordBatch:
+        lines, spans = texts.lines(), Spans(texts.hashes)
+        uid = spans.of(lines[:, 1], lines[:, 2]).view(np.int64)
+        hits = np.flatnonzero(passes(table.value, _of_document(uid, names[lines[:, 0]])))
+        bodies = [b" ".join(texts.words(s, n)).decode() for s, n in lines[hits, 1:].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(uid[hits]), pa.array(bodies, pa.string())], ["uid", "text"])
 
     def of(batches):
-        for batch in batches:
-            yield from _batches(_read(batch), rows)
+        yield from (rows(*part) for part in _parts(batches))
 
     return _texts(docs).mapInArrow(of, "uid long, text string")
 
@@ -261,15 +311,14 @@ def spans_around(h: np.ndarray, sizes: np.ndarray, spots: np.ndarray) -> tuple[n
 def _spans_of(docs: DataFrame, table) -> DataFrame:
     """(doc_id, start, g1, g2): the spans around the windows that pass the sieve."""
 
-    def rows(names: list[int], texts: list[tuple]) -> pa.RecordBatch:
-        h, sizes = _hashes([w for words, _ in texts for w in words]), np.array([len(words) for words, _ in texts], dtype=np.int64)
-        at = windows(Spans(h), sizes)
-        who, start, one, two = spans_around(h, sizes, at[passes(table.value, _window_ids(Spans(h), at))])
-        return pa.RecordBatch.from_arrays([pa.array(np.array(names, dtype=np.int64)[who]), pa.array(start.astype(np.int32)), pa.array(one), pa.array(two)], ["doc_id", "start", "g1", "g2"])
+    def rows(names: np.ndarray, texts: Texts) -> pa.RecordBatch:
+        spans = Spans(texts.hashes)
+        at = windows(spans, texts.sizes)
+        who, start, one, two = spans_around(texts.hashes, texts.sizes, at[passes(table.value, _window_ids(spans, at))])
+        return pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(start.astype(np.int32)), pa.array(one), pa.array(two)], ["doc_id", "start", "g1", "g2"])
 
     def of(batches):
-        for batch in batches:
-            yield from _batches(_read(batch, RUN), rows)
+        yield from (rows(*part) for part in _parts(batches))
 
     return _texts(docs).mapInArrow(of, "doc_id long, start int, g1 long, g2 long")
 

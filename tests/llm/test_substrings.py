@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("lodestrata.llm")
@@ -210,3 +211,25 @@ def test_copies_are_reported_almost_whole(spark, size):
     for r in got:
         before, after = r.start - spots[r.doc_id], spots[r.doc_id] + size - r.start - r.n
         assert 0 <= before < substrings.STEP and 0 <= after < substrings.STEP
+
+
+def test_words_of_many_texts_are_read_and_hashed_as_one_by_one():
+    """Texts in a row, from any slice of a batch: words, their hashes (as by xxhash) and their lines."""
+    rng = random.Random(5)
+    some = ["a", "B", "é", "\u2003", "𝒳", "\x1c", "\xa0", "\x00", *" \n\t\r\x0b\x0c", " ", " ", "\n\n", *("Xy" * n + "z" * (n % 2) for n in range(20))]
+    texts = [None, "", " ", "\n", *("".join(rng.choice(some) for _ in range(rng.choice([1, 5, 900]))) for _ in range(300)), "end", None]
+    column = pa.array(texts)
+    for a, b in ((0, len(texts)), (0, 0), (3, 200), (200, len(texts)), (4, 5)):
+        got, at = substrings.Texts(column.slice(a, b - a)), 0
+        lines = {tuple(x) for x in got.lines().tolist()}
+        for i, t in enumerate(texts[a:b]):
+            want = (t or "").encode().lower().split()
+            assert got.sizes[i] == len(want) and got.words(at, len(want)) == want
+            assert (got.hashes[at : at + len(want)] == substrings._hashes(want)).all()
+            n = 0
+            for line in (t or "").split("\n"):
+                m = len(line.encode().split())
+                assert ((i, at + n, m) in lines) or m < substrings.LEAST
+                n += m
+            at += len(want)
+        assert at == len(got.hashes)
