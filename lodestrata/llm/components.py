@@ -2,8 +2,9 @@
 
 Each round rewrites every edge towards the smallest neighbour of its larger end (large star), then
 of its smaller neighbours (small star), until the edges form one star for each component. Rounds grow
-with the logarithm of the longest path. Nothing is gathered on the driver but a count and a checksum
-of each round; minima are combined before they are shuffled, so a node of very high degree costs one
+with the logarithm of the longest path. Nothing is gathered on the driver but a count of each round: of the
+nodes that are no star's centre or leaf, so edges that are stars take no round. Each round costs the driver the
+state of its tasks, so edges are read and moved as few times as the steps allow; minima are combined before they are shuffled, so a node of very high degree costs one
 row for each task.
 """
 
@@ -15,21 +16,23 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import cut, stored
 
 
+def _ends(edges: DataFrame, one: str, other: str) -> DataFrame:
+    """Two rows for each edge, by expressions over (hi, lo)."""
+    return edges.selectExpr(f"inline(array({one}, {other}))")
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over distinct edges (hi, lo) with hi > lo."""
-    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-        edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    )
-    nearest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.where("v > u").join(nearest, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    nearest = _ends(edges, "struct(hi AS u, lo AS v)", "struct(lo AS u, hi AS v)").groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    large = edges.withColumnRenamed("lo", "u").join(nearest, "u").select("hi", F.col("m").alias("lo")).distinct()
     root = large.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return moved.unionByName(root.select("hi", F.col("m").alias("lo"))).distinct()
+    return _ends(large.join(root, "hi"), "struct(hi AS hi, m AS lo)", "struct(lo AS hi, m AS lo)").where("hi <> lo").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
-    return row["n"], row["x"]
+def _open(edges: DataFrame) -> int:
+    """How many nodes keep distinct edges (hi, lo) from being stars: larger than one neighbour and smaller than another, or larger than two."""
+    sides = _ends(edges, "struct(hi AS u, 1L AS up, 0L AS down)", "struct(lo AS u, 0L AS up, 1L AS down)")
+    return sides.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").count()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -42,15 +45,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
         .distinct()
     )
-    mark, rounds = _mark(now), 0
-    while mark[0]:
+    rounds = 0
+    while _open(now):
         rounds += 1
         # A checkpoint keeps its plan's statistics; a table every few rounds ends their chain.
-        after = (stored if rounds % 4 == 0 else cut)(_stars(now))
-        old, mark = mark, _mark(after)
-        now = after
-        if mark == old:
-            break
-    members = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    return members.unionByName(roots)
+        now = (stored if rounds % 4 == 0 else cut)(_stars(now))
+    return _ends(now, "struct(hi AS node, lo AS component)", "struct(lo AS node, lo AS component)").distinct()

@@ -352,7 +352,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     chosen = cut(same.unionByName(equal.select(F.lit(INSIDE).alias("kind"), "uid", F.col("uid").alias("cluster"), "keeper")))
     held = units.drop(*KEYS).join(chosen, ["kind", "uid"])
 
-    inside = held.where(F.col("kind") == INSIDE).select("doc_id", "start", "uid", *BRIDGE)
+    inside = stored(held.where(F.col("kind") == INSIDE).select("doc_id", "start", "uid", *BRIDGE))  # so that all windows are moved once
     apart = ["uid", "far"]  # 128 bits of a bridge's words
     crossed = inside.where("far IS NOT NULL").groupBy(*apart).agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").drop("last")
     inside = stored(inside.join(cut(crossed), apart, "left"))

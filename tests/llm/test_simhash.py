@@ -89,3 +89,34 @@ def test_query_matches_brute_force(spark, sf_dir):
         comps.setdefault(c, []).append(d)
     smallest = {d: min(v) for v in comps.values() for d in v}
     assert {r.doc_id: r.component_id for r in got} == smallest
+
+
+def test_components_cost_the_driver_few_tasks(spark):
+    """The driver keeps the state of every task: edges that are stars take no round, and a round reads and moves them little."""
+    context, held = spark.sparkContext, {"spark.sql.shuffle.partitions": "10", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+
+    def tasks(edges):
+        frame = spark.createDataFrame(edges, "a long, b long").repartition(10, "a")
+        context.setJobGroup(group := f"components-{len(edges)}", "")
+        try:
+            got = {r.node: r.component for r in connected_components(frame).collect()}
+        finally:
+            context._jsc.clearJobGroup()
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        return got, sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        stars, for_stars = tasks([(100 * k, 100 * k + i) for k in range(1, 8) for i in range(1, 9)])
+        assert stars == {100 * k + i: 100 * k for k in range(1, 8) for i in range(9)}
+        assert for_stars <= 90
+        # Two stars that share a leaf are one star after a round.
+        crossed, for_crossed = tasks([(1, i) for i in range(3, 30)] + [(2, i) for i in range(29, 60)])
+        assert crossed == dict.fromkeys(range(1, 60), 1)
+        assert for_crossed - for_stars <= 220
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
