@@ -40,6 +40,18 @@ def test_same_rows_as_a_join(spark):
     assert crossed(left.where("k > 9"), right, ["k"]).count() == 0
 
 
+def test_sides_without_other_columns(spark):
+    """Equal rows of a side that has only keys, or keys and columns alike, make as many pairs as in a join."""
+    left = spark.createDataFrame([(i % 3, i % 5) for i in range(60)], "k int, a int")
+    right = spark.createDataFrame([(i % 4, i % 2) for i in range(40)], "k int, b int")
+    want = left.join(right, "k").where("a >= b")
+    assert rows_of(crossed(left, right, ["k"], (["a"], ["b"]), F.expr("a >= b"), block=4)) == rows_of(want)
+    assert rows_of(crossed(left.select("k"), right.select("k"), ["k"], block=4)) == rows_of(left.select("k").join(right.select("k"), "k"))
+    segments = spark.createDataFrame([("f", 1, 3), ("f", 1, 3), ("f", 5, 9), ("g", 1, 9)], "file_path string, segment_start int, segment_end int")
+    found = ranges.overlaps(segments, spark.createDataFrame([("f", 2, 4), ("f", 2, 4)], "file_path string, start_line int, end_line int"))
+    assert rows_of(found) == rows_of(spark.createDataFrame([("f", 2, 4, 1, 3)] * 4, found.schema))
+
+
 def test_overlaps_of_one_file_are_made_by_many_tasks(spark, no_broadcast):
     segments = spark.createDataFrame([(i, "f", 3 + i % 3, 9) for i in range(9000)], "s int, file_path string, segment_start int, segment_end int")
     symbols = spark.createDataFrame([(i, "f", 4, 8) for i in range(200)] + [(1000, "f", 8, 4), (1001, "g", 4, 8)], "id int, file_path string, start_line int, end_line int")
