@@ -40,6 +40,16 @@ def test_same_rows_as_a_join(spark):
     assert crossed(left.where("k > 9"), right, ["k"]).count() == 0
 
 
+def test_pairs_of_two_blocks_are_not_held_together(spark, no_broadcast):
+    """A key of many blocks on both sides, with equal rows; only the few rows of one list are unfolded at once, not a list in a list."""
+    left = spark.createDataFrame([(i % 2, f"a{i % 90}") for i in range(200)], "k int, s string")
+    right = spark.createDataFrame([(i % 3, i % 70) for i in range(150)], "k int, t int")
+    pairs = crossed(left, right, ["k"], block=8)
+    assert rows_of(pairs) == rows_of(left.join(right, "k"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("Exchange")].count("Generate inline") == 1
+
+
 def test_sides_without_other_columns(spark):
     """Equal rows of a side that has only keys, or keys and columns alike, make as many pairs as in a join."""
     left = spark.createDataFrame([(i % 3, i % 5) for i in range(60)], "k int, a int")
